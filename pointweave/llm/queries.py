@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import mixing, packing, quality, simhash
+from pointweave.llm import html_wrapper, mixing, packing, quality, simhash, warc
+from pointweave.sources.scratch import Scratch
 from pointweave.sources.tables import read_table
 
 
@@ -24,10 +25,20 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Scratch(spark, "op4").path("warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), archives)
+    return warc.read_archives(spark, archives)
+
+
 def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -36,7 +47,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op5_tier_packing": op5_tier_packing,
+    "op6_html_wrappers": op6_html_wrappers,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

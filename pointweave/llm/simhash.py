@@ -5,6 +5,9 @@ shingles are runs of ``shingle`` words joined by one space (a shorter text gives
 whole word sequence as its one shingle; no words give fingerprint zero).  A bit is 1
 where more than half of the shingles' XXH64 values (seed 42) have it.
 
+A fingerprint of distinct shingles counts each once, so that one word that fills half of
+a text doesn't decide it.
+
 Linking.  Fingerprints within ``max_distance`` bits link.  Copies of a fingerprint
 collapse first.  The 64 bits are cut into ``max_distance + 2`` blocks: two fingerprints
 that close agree on at least two whole blocks, so every pair of blocks is a key and
@@ -15,6 +18,12 @@ search follows only edges within the radius of its own distance.  A shard larger
 its shard, so no task holds more than two chunks and no pair is skipped.  A task hands on
 the links that join groups so far apart, never all pairs.
 
+``check`` adds a second fingerprint that linked rows must also agree on, within its own
+distance.  Fingerprints of single distinct words move little when a copy is edited, and
+so find near copies within few bits; those of 5-word shingles then tell copies from texts
+that only share their vocabulary.  Two texts whose 5-word shingles have a Jaccard
+similarity of 0.8 differ in about 64 * acos(1.6 / 1.8) / pi = 9.7 of 64 bits.
+
 Defined cases: a null text counts as empty; empty texts link with one another; rows
 that repeat an id each get a row; rows without an id get a fingerprint and no component,
 and link nothing.
@@ -24,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +47,23 @@ from pointweave.sources.scratch import Scratch
 SEED = 42
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+class Kind(NamedTuple):
+    """What a fingerprint is made of."""
+
+    shingle: int = 3
+    distinct: bool = False
+
+
+class Check(NamedTuple):
+    """The second fingerprint, and how many bits of it may differ."""
+
+    kind: Kind = Kind(5, True)
+    distance: int = 14
+
+
+def fingerprint(text: bytes | None, kind: Kind = Kind()) -> int:
     """Signed 64-bit SimHash of one text in UTF-8."""
+    shingle, distinct = kind
     words = (text or b"").lower().split()  # bytes.lower() and .split() know ASCII only
     if not words:
         return 0
@@ -49,6 +74,8 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
         parts = [joined[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+    if distinct:
+        parts = set(parts)
     h = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # bounded memory for very long texts
@@ -56,16 +83,18 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, fp`` (signed long) of every row."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = Kind(), check: Check | None = None) -> DataFrame:
+    """``id, fp, fp2`` (signed longs) of every row; fp2 is 0 without a check."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            texts = b.column(1)
+            fps = [fingerprint(t.as_py(), kind) for t in texts]
+            second = [fingerprint(t.as_py(), check.kind) for t in texts] if check else [0] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(second, pa.int64())], ["id", "fp", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(prints, "id long, fp long")
+    return rows.mapInArrow(prints, "id long, fp long, fp2 long")
 
 
 class BKTree:
@@ -104,8 +133,11 @@ class BKTree:
         return found
 
 
-def _joins(tree_rows: list[tuple[int, int]], probes: list[tuple[int, int]] | None, radius: int) -> list[tuple[int, int]]:
-    """Links (id, id) that connect all of the rows (id, value) that lie within the radius; no probes: the tree's own rows."""
+Row = tuple[int, int, int]  # id, fp, fp2
+
+
+def _joins(held: list[Row], probes: list[Row] | None, radius: int, far: int) -> list[tuple[int, int]]:
+    """Links (id, id) that connect all probes and held rows within both distances; no probes: the held rows among themselves."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -113,35 +145,43 @@ def _joins(tree_rows: list[tuple[int, int]], probes: list[tuple[int, int]] | Non
             parent[x] = x = parent.get(p, p)
         return x
 
-    tree, owner, out = BKTree(), [], []
+    tree, at_node, out = BKTree(), [], []
+
+    def add(row: Row) -> None:
+        node = tree.insert(row[1])
+        if node == len(at_node):
+            at_node.append([])
+        at_node[node].append(row)
+
     if probes is not None:
-        for i, v in tree_rows:
-            if tree.insert(v) == len(owner):
-                owner.append(i)
-    for i, v in tree_rows if probes is None else probes:
-        for at in tree.within(v, radius):
-            a, b = root(owner[at]), root(i)
-            if a != b:
-                parent[b] = a
-                out.append((owner[at], i))
-        if probes is None and tree.insert(v) == len(owner):
-            owner.append(i)
+        for row in held:
+            add(row)
+    for row in held if probes is None else probes:
+        mine = root(row[0])
+        for node in tree.within(row[1], radius):
+            for i, _, second in at_node[node]:
+                if (second ^ row[2]).bit_count() <= far and (other := root(i)) != mine:
+                    parent[mine] = other
+                    mine = other
+                    out.append((i, row[0]))
+        if probes is None:
+            add(row)
     return out
 
 
-def near_links(classes: DataFrame, max_distance: int = 3, shard_rows: int = 256) -> DataFrame:
-    """Links ``src, dst`` between rows ``id, fp`` (distinct values) that connect all within the distance."""
+def near_links(classes: DataFrame, max_distance: int = 3, check_distance: int = 64, shard_rows: int = 256) -> DataFrame:
+    """Links ``src, dst`` between rows ``id, fp, fp2`` (distinct values) that connect all within the distances."""
     n = max_distance + 2
     edges = [round(64 * k / n) for k in range(n + 1)]
     block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     masks = [block[i] | block[j] for i, j in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = classes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
+    keyed = classes.select("id", "fp", "fp2", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
     crowd = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(crowd, ["mask", "key"]).select("mask", "key", "id", "fp", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    met = keyed.join(crowd, ["mask", "key"]).select("mask", "key", "id", "fp", "fp2", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), "chunks").cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("mask", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "fp")
+    dealt = dealt.select("mask", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "fp", "fp2")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows, out = None, [], []
@@ -149,15 +189,15 @@ def near_links(classes: DataFrame, max_distance: int = 3, shard_rows: int = 256)
         def close() -> None:
             if shard and len(rows) > 1:
                 lo, hi = shard[2], shard[3]
-                held = [(i, v) for own, i, v in rows if own == lo]
-                out.extend(_joins(held, None if lo == hi else [(i, v) for own, i, v in rows if own == hi], max_distance))
+                held = [r[1:] for r in rows if r[0] == lo]
+                out.extend(_joins(held, None if lo == hi else [r[1:] for r in rows if r[0] == hi], max_distance, check_distance))
 
         for b in batches:
-            for *key, own, i, v in zip(*(c.to_pylist() for c in b.columns)):
+            for *key, own, i, v, second in zip(*(c.to_pylist() for c in b.columns)):
                 if key != shard:
                     close()
                     shard, rows = key, []
-                rows.append((own, i, v % (1 << 64)))  # the bits of a negative long are counted from its unsigned value
+                rows.append((own, i, v % (1 << 64), second % (1 << 64)))  # the bits of a negative long are counted from its unsigned value
             yield _links(out)
             out = []
         close()
@@ -171,12 +211,13 @@ def near_links(classes: DataFrame, max_distance: int = 3, shard_rows: int = 256)
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(trees, "src long, dst long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = Kind(), max_distance: int = 3, check: Check | None = None) -> DataFrame:
     """``id, fp, component``: every document's fingerprint and the smallest id its links reach."""
     tmp = Scratch(docs.sparkSession, "simhash")
-    prints = tmp.write(with_fingerprint(docs, id_col, text_col, shingle), "prints")
-    classes = tmp.write(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "classes")
-    whole = connected_components(near_links(classes, max_distance))
-    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = prints.join(named, "fp", "left")
+    prints = tmp.write(with_fingerprint(docs, id_col, text_col, kind, check), "prints")
+    classes = tmp.write(prints.where("id is not null").groupBy("fp", "fp2").agg(F.min("id").alias("id")), "classes")
+    links = tmp.write(near_links(classes, max_distance, check.distance if check else 64), "links")
+    whole = connected_components(links)
+    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select("fp", "fp2", F.coalesce("component", "id").alias("component"))
+    out = prints.join(named, ["fp", "fp2"], "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
