@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import html_wrapper, mixing, packing, quality, simhash, warc
+from pointweave.llm import embeddings, html_wrapper, mixing, packing, quality, simhash, substring, warc
 from pointweave.sources.scratch import Scratch
 from pointweave.sources.tables import read_table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -39,17 +44,25 @@ def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.drop_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_tier_packing": op5_tier_packing,
     "op6_html_wrappers": op6_html_wrappers,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
