@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import embeddings, html_wrapper, mixing, packing, quality, simhash, substring, warc
+from pointweave.llm import embeddings, fingerprints, html_wrapper, mixing, packing, privacy, quality, simhash, substring, warc
 from pointweave.sources.scratch import Scratch
 from pointweave.sources.tables import read_table
 
@@ -44,6 +44,19 @@ def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = privacy.all_spans(privacy.find(read_table(spark, sf_dir, "documents")))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(F.expr(privacy.listed("base")), 256).alias("base_sha256"), F.expr(privacy.listed("spans")).alias("spans"))
+
+
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    near = [fingerprints.likeness("fp_text", "fp_edited").alias("near_edited"), fingerprints.likeness("fp_text", "fp_next").alias("near_next")]
+    texts = [fingerprints.as_text("fp_text").alias("fingerprint"), fingerprints.as_text("fp_edited").alias("edited_fingerprint")]
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *texts, *near)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.drop_repeats(read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"])
@@ -62,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_tier_packing": op5_tier_packing,
     "op6_html_wrappers": op6_html_wrappers,
+    "op7_disclosing_terms": op7_disclosing_terms,
+    "op8_weighted_fingerprints": op8_weighted_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
