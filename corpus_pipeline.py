@@ -1,3 +1,70 @@
-STAGES = []
+"""A corpus from raw documents to training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``.  ``run`` writes every stage's result to the shared scratch
+folder and reads it again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointweave.llm import mixing, packing, privacy, quality, simhash
+from pointweave.sources.scratch import Scratch
+from pointweave.sources.tables import read_table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rates good."""
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies.
+
+    Copies meet by the fingerprints of their words, within 4 bits, and must agree in that of
+    their 5-word shingles, within 14 bits (a similarity of about 0.8 or more).  Rows that share an
+    id are one document; rows without an id stay.
+    """
+    groups = simhash.simhash_groups(docs, kind=simhash.Kind(1, distinct=True), max_distance=4, check=simhash.Check())
+    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
+    stay = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it replaced by their kinds."""
+    return privacy.sanitised(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def tier_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("personal_data", personal_data),
+    ("source_mixing", source_mixing),
+    ("tier_packing", tier_packing),
+]
+
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tmp = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = tmp.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

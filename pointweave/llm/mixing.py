@@ -90,18 +90,20 @@ class Mix(NamedTuple):
     pieces: DataFrame
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), passes: int = 3, slots: int = 100_000) -> Mix:
-    """Which words of which document fill which slot; a block holds ``total // slots`` words, at least one."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order_col: str | None = None, weights: tuple[float, ...] = (5, 2, 1), passes: int = 3, slots: int = 100_000) -> Mix:
+    """Which words of which document fill which slot; a block holds ``total // slots`` words, at least one.
+
+    A source's line is in order of the hash of ``order_col`` (by default the id)."""
     tmp = Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(order_col or id_col).alias("key"))
     sized = tmp.write(sized, "sizes")
     goals = targets(sized, weights, passes)
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, int(total // slots))
     known = sized.join(goals.select(F.col("source").alias("_s"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    lined = known.withColumn("h", F.xxhash64("doc_id", "size", F.lit(7)))
-    documents = tmp.write(amount_ahead(lined, "s", ["h", "doc_id", "size"], "size", f"shiftright(h, {64 - 10})", "at").drop("h"), "line")
+    lined = known.withColumn("h", F.xxhash64("key", "size", F.lit(7)))
+    documents = tmp.write(amount_ahead(lined, "s", ["h", "key", "size", "doc_id"], "size", f"shiftright(h, {64 - 10})", "at").drop("h", "key"), "line")
     passed = documents.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("lo", F.col("pass") * F.col("source_size") + F.col("at"))
     cut = passed.where(f"lo < target + 2 * {block}").withColumn("rank", F.explode(F.expr(f"sequence(lo div {block}, (lo + size - 1) div {block})")))
     pieces = cut.select("s", "at", "doc_id", "pass", "rank", F.expr(f"greatest(lo, rank * {block}) - lo").alias("from_word"), F.expr(f"least(lo + size, (rank + 1) * {block}) - greatest(lo, rank * {block})").alias("n_words"))
@@ -114,3 +116,19 @@ def taken_words(mixed: Mix) -> DataFrame:
     sums = mixed.pieces.groupBy("s", "at").agg(F.sum("n_words").alias("taken"))
     full = mixed.documents.where("size > 0").join(sums, ["s", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     return full.unionByName(mixed.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **how: object) -> DataFrame:
+    """The documents as the mix takes them: a row for each pass, the last one of a source cut after the words that are taken."""
+    tmp = Scratch(docs.sparkSession, "mixed")
+    keyed = tmp.write(docs.select(F.struct(*docs.columns).alias("d")).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    flat = keyed.select("row", *[F.col(f"d.{c}").alias(f"_{c}") for c in docs.columns])
+    mixed = mix(flat, "row", f"_{text_col}", "_source", order_col=f"_{id_col}", **how)
+    # A pass takes a document from its first word on.
+    taken = mixed.pieces.groupBy(F.col("doc_id").alias("row"), "pass").agg(F.sum("n_words").alias("words"), F.max("at").alias("at"))
+    sizes = mixed.documents.select(F.col("doc_id").alias("row"), "size")
+    rows = keyed.join(taken.join(sizes, "row"), "row")
+    cut = F.array_join(F.slice(F.split(F.regexp_replace(F.col(f"d.{text_col}"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(f"d.{text_col}"))
+    fresh = {text_col: text, length_col: F.length(text)}
+    return rows.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -25,6 +25,8 @@ their own; a text that holds U+0001 or U+0002 is searched as if these were other
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,18 +85,19 @@ def _words(line: str) -> str:
     return f"array_distinct(regexp_extract_all(lower({line}), r'\\p{{L}}{{3,}}', 0))"
 
 
-class Found:
-    """``rows``: row, doc_id, spans (base).  ``terms``: row, spans (of kind term)."""
+class Found(NamedTuple):
+    """``rows``: row, doc_id, spans (base), text (where there are spans, or all), carry.  ``terms``: row, more (spans of kind term)."""
 
-    def __init__(self, rows: DataFrame, held: DataFrame, terms: DataFrame):
-        self.rows, self.held, self.terms = rows, held, terms
+    rows: DataFrame
+    terms: DataFrame
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3) -> Found:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3, whole: bool = False) -> Found:
+    """whole: the rows keep all texts, and all columns of the documents in ``carry``."""
     tmp = Scratch(docs.sparkSession, "privacy")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.struct(*docs.columns) if whole else F.lit(0)).alias("carry"))
     spans = texts.withColumn("spans", F.expr(base_spans("text"))).withColumn("row", F.monotonically_increasing_id())
-    kept = spans.select("row", "doc_id", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))
+    kept = spans.select("row", "doc_id", "spans", "carry", F.when((F.size("spans") > 0) | F.lit(whole), F.col("text")).alias("text"))
     rows = tmp.write(kept, "spans")
     held = rows.where("size(spans) > 0")
     # Entities with the lines that they stand on.
@@ -113,21 +116,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     known = strong.join(every, "t").join(seen, "e").where((F.col("with_e") < n) & (tells >= threshold)).select("e", "t")
     known = tmp.write(known, "revealing")
     marked = lines.select("row", "e").distinct().join(known, "e").groupBy("row").agg(F.collect_set("t").alias("ts"))
-    whole = held.select("row", "text").join(marked, "row")
+    marked_texts = held.select("row", "text").join(marked, "row")
     # Letter runs are split off in turn; runs that are revealing terms keep their places.
     runs = f"""aggregate(
         zip_with(slice(split(text, r'\\p{{L}}{{3,}}+', -1), 1, size(regexp_extract_all(text, r'\\p{{L}}{{3,}}+', 0))), regexp_extract_all(text, r'\\p{{L}}{{3,}}+', 0), (p, m) -> struct(length(p) as p, m as m)),
         struct(0 as at, cast(array() as array<{_SPAN}>) as spans),
         (s, x) -> struct(s.at + x.p + length(x.m) as at, if(array_contains(ts, lower(x.m)), array_append(s.spans, named_struct('start', s.at + x.p, 'kind', 4, 'end', s.at + x.p + length(x.m), 'value', x.m)), s.spans) as spans),
         s -> s.spans)"""
-    return Found(rows, held, tmp.write(whole.select("row", F.expr(runs).alias("more")), "terms"))
+    return Found(rows, tmp.write(marked_texts.select("row", F.expr(runs).alias("more")), "terms"))
 
 
 def all_spans(found: Found) -> DataFrame:
     """``row, doc_id, base, spans`` of every document: base spans, and all spans."""
-    joined = found.rows.select("row", "doc_id", F.col("spans").alias("base")).join(found.terms, "row", "left")
+    return _with_terms(found.rows.select("row", "doc_id", F.col("spans").alias("base")), found.terms).select("row", "doc_id", "base", "spans")
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     every = "concat(base, coalesce(more, cast(array() as array<%s>)))" % _SPAN
-    return joined.select("row", "doc_id", "base", F.expr(f"array_sort({every})").alias("spans"))
+    return rows.join(terms, "row", "left").withColumn("spans", F.expr(f"array_sort({every})"))
 
 
 def redacted(text: str, spans: str) -> str:
@@ -137,3 +143,14 @@ def redacted(text: str, spans: str) -> str:
         (s, x) -> case when x.start >= s.at then struct(x.end as at, concat(s.out, substring({text}, s.at + 1, x.start - s.at), element_at(array({names}), x.kind + 1)) as out)
                        else struct(greatest(s.at, x.end) as at, s.out as out) end,
         s -> concat(s.out, substring({text}, s.at + 1)))"""
+
+
+def sanitised(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **how: object) -> DataFrame:
+    """The documents with spans replaced in their texts; those without spans pass as they are."""
+    found = find(docs, text_col=text_col, whole=True, **how)
+    clean = found.rows.where("size(spans) = 0").select("carry.*")
+    held = _with_terms(found.rows.where("size(spans) > 0").withColumnRenamed("spans", "base"), found.terms)
+    held = held.select("carry", F.expr(redacted("text", "spans")).alias("new"))
+    fresh = {text_col: F.col("new"), length_col: F.length("new")}
+    columns = [fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("carry").getField(c).alias(c) for c in docs.columns]
+    return clean.unionByName(held.select(*columns))
