@@ -10,8 +10,8 @@ For a pair of cosine 0.9 whose difference has a random direction in 64 dimension
 boundary differ by 0.055 (one standard deviation), and a pair is missed only beyond twice the
 margin; with one cell (fewer than ``2 * cell_rows`` vectors) every pair is compared.
 
-Inside a cell, blocks of ``block_rows`` are compared with blocks, one pair of them per
-group, so the largest cell is as many small tasks.  A group returns, for each vector,
+Inside a cell, blocks of ``block_rows`` are compared with blocks, those who live there with one another
+and with those who visit, one pair of blocks per group, so the largest cell is as many small tasks.  A group returns, for each vector,
 its number of links and the smallest id of those it connects there; no pair leaves a task.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite components, and
@@ -34,8 +34,14 @@ from pointweave.sources.scratch import Scratch
 SOUND = "vec_id is not null and size(e) > 0 and forall(e, v -> v is not null and not isnan(v) and abs(v) < double('Infinity')) and exists(e, v -> v <> 0)"
 
 
-def unit(rows: list[list[float]]) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def unit(rows: list[list[float]] | pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as unit vectors in double precision."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    if isinstance(rows, pa.Array):
+        x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    else:
+        x = np.array(rows, np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -124,15 +130,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                x = unit(part.column("e").to_pylist())
+                x = unit(part.column("e"))
                 home, visits = cells_of(x, shared.value, margin)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("w"), part.column("e"), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["id", "w", "e", "home", "visits"])
 
     placed = tmp.write(classes.select("id", "w", "e").mapInArrow(assign, f"id long, w long, e array<{kind}>, home int, visits array<int>"), "placed")
-    stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
-    sizes = stays.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    cut = stays.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))).withColumn("lives", F.col("cell") == F.col("home"))
+    blocks_of = lambda c: F.ceil(F.count_if(c) / block_rows).cast("int")
+    sizes = stays.groupBy("cell").agg(blocks_of(F.col("lives")).alias("homes"), blocks_of(~F.col("lives")).alias("guests"))
+    # Blocks of those who live in the cell come first; guests meet these, not one another.
+    own = F.when(F.col("lives"), F.pmod(F.xxhash64("id"), "homes")).otherwise(F.col("homes") + F.pmod(F.xxhash64("id"), "guests"))
+    cut = stays.join(sizes, "cell").where("homes > 0").withColumn("own", own.cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("lives"), F.col("homes") + F.col("guests") - 1).otherwise(F.col("homes") - 1))))
     dealt = dealt.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "w", "home", "visits", "e")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +154,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             first = None if lo == hi else int((own == lo).sum())
             table = table.take(np.argsort(own, kind="stable"))
             ids, w, home = (table.column(c).to_numpy() for c in ("id", "w", "home"))
-            at, n, low = compare(cell, ids, unit(table.column("e").to_pylist()), w, home, table.column("visits").to_pylist(), first, threshold)
+            at, n, low = compare(cell, ids, unit(table.column("e")), w, home, table.column("visits").to_pylist(), first, threshold)
             return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n), pa.array(low)], ["src", "n", "dst"])
 
         for b in batches:
