@@ -60,11 +60,11 @@ def partition_scores(rows: DataFrame, pred: str = "pred", true: str = "true") ->
     expected = F.when(total > 0, F.col("pred_pairs") * F.col("true_pairs") / total).otherwise(0.0)
     most = (F.col("pred_pairs") + F.col("true_pairs")) / 2
     ari = F.when(F.col("n_obs") == 0, 0.0).when(most == expected, 1.0).otherwise((F.col("both") - expected) / (most - expected))
-    n_all = cells.agg(F.sum("n").alias("N"))
+    n_all = cells.agg(F.sum("n").alias("all_n"))
     p, t = cells.groupBy("pred").agg(F.sum("n").alias("np")), cells.groupBy("true").agg(F.sum("n").alias("nt"))
-    entropy = lambda df, c, name: df.crossJoin(n_all).agg(F.coalesce(-F.sum(F.col(c) / F.col("N") * F.log(F.col(c) / F.col("N"))), F.lit(0.0)).alias(name))
+    entropy = lambda df, c, name: df.crossJoin(n_all).agg(F.coalesce(-F.sum(F.col(c) / F.col("all_n") * F.log(F.col(c) / F.col("all_n"))), F.lit(0.0)).alias(name))
     joint = cells.join(p, "pred").join(t, "true").crossJoin(n_all)
-    given = joint.agg(F.coalesce(-F.sum(F.col("n") / F.col("N") * F.log(F.col("n") / F.col("np"))), F.lit(0.0)).alias("h_true_pred"), F.coalesce(-F.sum(F.col("n") / F.col("N") * F.log(F.col("n") / F.col("nt"))), F.lit(0.0)).alias("h_pred_true"))
+    given = joint.agg(F.coalesce(-F.sum(F.col("n") / F.col("all_n") * F.log(F.col("n") / F.col("np"))), F.lit(0.0)).alias("h_true_pred"), F.coalesce(-F.sum(F.col("n") / F.col("all_n") * F.log(F.col("n") / F.col("nt"))), F.lit(0.0)).alias("h_pred_true"))
     out = s.withColumn("ari", ari).crossJoin(entropy(t, "nt", "h_true")).crossJoin(entropy(p, "np", "h_pred")).crossJoin(given)  # one row each
     some = F.col("n_obs") > 0
     out = out.withColumn("homogeneity", F.when(some, F.when(F.col("h_true") > 0, 1 - F.col("h_true_pred") / F.col("h_true")).otherwise(1.0)).otherwise(0.0))
