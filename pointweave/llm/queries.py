@@ -81,4 +81,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the operators that SQL can express; the others are tested against plain Python in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    # One cell at the oracle's size, so that every pair is compared.
+    "op1_embedding_near_dedup": """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+), u as (
+    select vec_id, e, sqrt(list_dot_product(e, e)) as n from v
+), l as (
+    select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
+    where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), r(vec_id, low) as (
+    select vec_id, vec_id from v union select l.b, r.low from r join l on r.vec_id = l.a
+), d as (
+    select a as vec_id, count(*) as n from l group by 1
+), m as (
+    select vec_id, min(low) as low from r group by 1
+)
+select m.vec_id, coalesce(d.n, 0) as n_links, m.low as component_id, m.vec_id = m.low as kept
+from m left join d on m.vec_id = d.vec_id""",
+    "op4_warc_round_trip": """
+with p as (
+    select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages
+), k as (
+    select html, max(page_id) as original from p where n >= 1000 group by 1 having count(*) > 1
+)
+select p.page_id, p.n as payload_bytes, sha1(p.html) as payload_digest,
+    case when k.original is null or k.original = p.page_id then 'response' else 'revisit' end as record_type,
+    case when k.original <> p.page_id then k.original end as refers_to
+from p left join k on p.html = k.html and p.n >= 1000""",
+    "op9_substring_dedup": r"""
+with w as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+    select doc_id, words, unnest(range(greatest(len(words) - 19, 0))) as start from w
+), g as (
+    select doc_id, start, row_number() over (partition by list_slice(words, start + 1, start + 20) order by doc_id, start) as k from s
+), c as (
+    select distinct doc_id, start + unnest(range(20)) as pos from g where k > 1
+), f as (
+    select doc_id, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) - 1 as pos from w
+), j as (
+    select f.doc_id, f.n, f.word, f.pos, c.pos is not null as gone from f left join c on f.doc_id = c.doc_id and f.pos = c.pos
+), o as (
+    select doc_id, max(n) as n_words, sum(case when gone then 1 else 0 end) as n_removed, sha256(coalesce(string_agg(case when gone then null else word end, ' ' order by pos), '')) as kept_sha256
+    from j group by 1
+)
+select w.doc_id, len(w.words) as n_words, cast(coalesce(o.n_removed, 0) as bigint) as n_removed, coalesce(o.kept_sha256, sha256('')) as kept_sha256
+from w left join o on w.doc_id = o.doc_id""",
+}
