@@ -26,6 +26,7 @@ import heapq
 import os
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,14 +48,13 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼
 class WordIds:
     """Texts to little-endian unsigned 32-bit ids of one vocabulary file with word ends."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of words and of chunks of words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -76,24 +76,34 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         rows = [None if ODD.search(t or "") else (t or "").lower().split() for t in texts]
-        new = {c for r in rows if r for c in r if c not in self.chunks}
-        chunks = self.chunks
-        if new:
+        known = self.known
+        if new := {c for r in rows if r for c in r if c not in known}:
             parts = {c: SPLIT.findall(c) for c in new}
-            words = self.words
-            if fresh := list({w for p in parts.values() for w in p if w not in words}):
-                if len(words) + len(fresh) > self.limit:
-                    words = dict(words)
-                self._learn(fresh, words)
-            get = words.__getitem__
-            if len(chunks) + len(new) > self.limit:
-                chunks = dict(chunks)  # full: what is new serves this batch only
+            fresh = list({w for p in parts.values() for w in p if w not in known})
+            if len(known) + len(new) + len(fresh) > self.limit:
+                known = ChainMap({}, known)  # full: what is new serves this batch only
+            if fresh:
+                self._learn(fresh, known)
             for c, p in parts.items():
-                chunks[c] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        get = chunks.__getitem__
+                if len(p) != 1 or p[0] != c:
+                    known[c] = b"".join(map(known.__getitem__, p))
+            if known is not self.known:
+                known = _Both(*known.maps)
+        get = known.__getitem__
         return [self.whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, rows)]
 
 
+class _Both(dict):
+    """A dictionary that falls back on another one."""
+
+    def __init__(self, first: dict, second: dict):
+        super().__init__(first)
+        self.second = second
+
+    def __missing__(self, key: str) -> bytes:
+        return self.second[key]
+
+
 class Packer:
     """The windows of one partition.  A piece is (document, start, length)."""
 
@@ -174,7 +184,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 500_000) -> DataFrame:
     """One row per piece of a document: where it lies in the document and in its sequence, and its ids' CRC-32."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"]
 
