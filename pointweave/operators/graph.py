@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import cosine, log_odds, norm
 from pointweave.operators.components import connected_components
+from pointweave.operators.metrics import pairwise
 from pointweave.sources.scratch import Scratch
 
 
@@ -27,6 +28,20 @@ def threshold_clusters(nodes: DataFrame, edges: DataFrame, t: float, same_seg_t:
     return components(nodes, edges.where(F.col("p") >= need))
 
 
+def calibrated_threshold(nodes: DataFrame, edges: DataFrame, thresholds: list[float]) -> list[tuple[float, float]]:
+    """(pairwise F1, threshold) of components at each of a few thresholds, the best first (A35); nodes (node, label)."""
+    out = []
+    for t in thresholds:
+        parts = threshold_clusters(nodes, edges, t).join(nodes.select("node", "label"), "node")
+        out.append((pairwise(parts, "cluster", "label", empty=0.0).first()["f1"], t))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
+
+
+def boundary_edges(edges: DataFrame, low: float, high: float, top: int, score: str = "p") -> DataFrame:
+    """The edges in an ambiguous band, the nearest to its middle first."""
+    return edges.where(F.col(score).between(low, high)).orderBy(F.abs(F.col(score) - (low + high) / 2), "src", "dst", score).limit(top)
+
+
 def claimed(nodes: DataFrame, edges: DataFrame, parts: DataFrame, floor: float) -> DataFrame:
     """Clusters after every singleton has joined the cluster of its best neighbour above the floor, all at once."""
     size = parts.groupBy("cluster").agg(F.count("*").alias("_n"))

@@ -72,29 +72,40 @@ def partition_scores(rows: DataFrame, pred: str = "pred", true: str = "true") ->
     return out.withColumn("v_measure", f1(F.col("homogeneity"), F.col("completeness"))).select("n_obs", "n_pred", "n_true", "ari", "homogeneity", "completeness", "v_measure")
 
 
-def line_graph(rows: DataFrame, pred_pre: str = "pred_pre", pred_post: str = "pred_post", true_pre: str = "true_pre", true_post: str = "true_post") -> DataFrame:
-    """``variant, tp, fp, fn, precision, recall, f1`` of the line graph's pairs for pre, post, or, and.
+def line_graph(rows: DataFrame, pred_pre: str = "pred_pre", pred_post: str = "pred_post", true_pre: str = "true_pre", true_post: str = "true_post", by: list[str] | None = None) -> DataFrame:
+    """``variant, tp, fp, fn, precision, recall, f1`` of the line graph's pairs for pre, post, or, and (A23), per ``by``.
 
     The number of pairs together on the pre or the post side is C(pre) + C(post) - C(pre, post); hits are
     counted by inclusion and exclusion over groups of up to four ids.  Id 0 joins nothing.
     """
-    c = {"P": pred_pre, "Q": pred_post, "A": true_pre, "B": true_post}
+    c, by = {"P": pred_pre, "Q": pred_post, "A": true_pre, "B": true_post}, by or []
 
     def together(keys: str) -> DataFrame:
         names = [c[k] for k in keys]
         sound = reduce(lambda a, b: a & b, [F.col(x) != 0 for x in names])
-        return rows.where(sound).groupBy(*names).agg(F.count("*").alias("n")).agg(_sum(pairs_of("n")).alias(keys))
+        counts = rows.where(sound).groupBy(*by, *names).agg(F.count("*").alias("n"))
+        return counts.groupBy(*by).agg(_sum(pairs_of("n")).alias(keys))
 
     subsets = ["P", "Q", "A", "B", "PQ", "AB", "PA", "PB", "QA", "QB", "PAB", "QAB", "PQA", "PQB", "PQAB"]
-    one = reduce(lambda a, b: a.crossJoin(b), [together(k) for k in subsets])  # one row each
+    parts = [together(k) for k in subsets]
+    if by:
+        one = reduce(lambda a, b: a.join(b, by, "left"), parts, rows.select(*by).distinct()).na.fill(0.0, subsets)
+    else:
+        one = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
     v = F.col
     either = {"true": v("A") + v("B") - v("AB"), "pred": v("P") + v("Q") - v("PQ"), "tp": v("PA") + v("PB") - v("PAB") + v("QA") + v("QB") - v("QAB") - v("PQA") - v("PQB") + v("PQAB")}
     rows_of = [("pre", v("PA"), v("P"), v("A")), ("post", v("QB"), v("Q"), v("B")), ("or", either["tp"], either["pred"], either["true"]), ("and", v("PQAB"), v("PQ"), v("AB"))]
-    out = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), tp.alias("tp"), (p - tp).alias("fp"), (t - tp).alias("fn")) for n, tp, p, t in rows_of])).alias("r")).select("r.*")
+    out = one.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), tp.alias("tp"), (p - tp).alias("fp"), (t - tp).alias("fn")) for n, tp, p, t in rows_of])).alias("r")).select(*by, "r.*")
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"), 0.0)).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn"), 0.0))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def seg_baseline(synapses: DataFrame, box: str = "box_id") -> DataFrame:
+    """``variant, mean_f1, median_f1`` over boxes when base ids are the partition (A44); an id of 0 joins nothing; synapses (box, pre_seg, post_seg, pre_root, post_root)."""
+    f = line_graph(synapses, "pre_seg", "post_seg", "pre_root", "post_root", by=[box])
+    return f.groupBy("variant").agg(F.avg("f1").alias("mean_f1"), F.expr("percentile(f1, 0.5)").alias("median_f1"))
+
+
 def line_graph_pairs(rows: DataFrame, key: str, pre: str, post: str) -> DataFrame:
     """``a, b``: rows that share the pre or the post id, a < b; for small tables, as a yardstick."""
     def side(c: str) -> DataFrame:

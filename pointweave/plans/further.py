@@ -236,7 +236,16 @@ def v6_windows(p):
 
 @query("select src, dst, p from v_edge where p between 0.4 and 0.6 order by abs(p - 0.5), src, dst, p limit 30", "v_edge")
 def t3_boundary_edges(e):
-    return e.where("p between 0.4 and 0.6").orderBy(F.abs(F.col("p") - 0.5), "src", "dst", "p").limit(30).select("src", "dst", "p")
+    return graph.boundary_edges(e, 0.4, 0.6, 30).select("src", "dst", "p")
+
+
+@query(
+    "with r as (select id % 5 as g, id, (id * 7) % 23 as pp, (id * 11) % 19 as pq, id % 21 as tp, id % 18 as tq from v_part where id % 40 < 2), k as (select a.g, a.pp = b.pp and a.pp <> 0 or a.pq = b.pq and a.pq <> 0 as e, a.tp = b.tp and a.tp <> 0 or a.tq = b.tq and a.tq <> 0 as y from r a join r b on a.g = b.g and a.id < b.id), n as (select g, sum(case when e and y then 1 else 0 end) as tp, sum(case when e and not y then 1 else 0 end) as fp, sum(case when y and not e then 1 else 0 end) as fn from k group by 1), f as (select 2 * tp / (2 * tp + fp + fn) as f from n) select 'or' as variant, round(avg(f), 6) as mean_f1, round(quantile_cont(f, 0.5), 6) as median_f1 from f",
+    "v_part",
+)
+def a44_seg_baseline(r):
+    rows = r.where("id % 40 < 2").selectExpr("id % 5 as box_id", "(id * 7) % 23 as pre_seg", "(id * 11) % 19 as post_seg", "id % 21 as pre_root", "id % 18 as post_root")
+    return rounded(metrics.seg_baseline(rows).where("variant = 'or'"))
 
 
 def _trees(p: DataFrame) -> tuple[DataFrame, DataFrame]:
