@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import columns as C
 from pointweave.operators import connect, graph, metrics, pairs, sequence, sides, skeleton, spatial, stitch, versions
-from pointweave.plans.queries import ORACLE_SQL, QUERIES, query, rounded
+from pointweave.plans.queries import ORACLE_SQL, QUERIES, query, rounded, shared_pairs
 from pointweave.plans.views import with_views
 from pointweave.sources import boxes, synapses, worlds
 from pointweave.streaming import jobs
@@ -37,11 +37,11 @@ def f8_boxes(p):
 
 
 @query(
-    "select id from v_xyz a where id % 2 = 0 and sqrt(pow(greatest(4000 - x, x - 6000, 0), 2) + pow(greatest(4000 - y, y - 6000, 0), 2) + pow(greatest(0 - z, z - 997, 0), 2)) > 500 and seg not in (select seg from v_xyz where id % 97 = 1 and seg > 0)",
+    "select id from v_xyz a where sqrt(pow(greatest(4000 - x, x - 6000, 0), 2) + pow(greatest(4000 - y, y - 6000, 0), 2) + pow(greatest(0 - z, z - 997, 0), 2)) > 500 and seg not in (select seg from v_xyz where label = 7 and seg > 0)",
     "v_xyz",
 )
 def f16_seam_guard(p):
-    return sides.without_seam(p.where("id % 2 = 0"), p.where("id % 97 = 1"), (4000, 4000, 0), (6000, 6000, 997), 500.0).select("id")
+    return sides.without_seam(p, p.where("label = 7"), (4000, 4000, 0), (6000, 6000, 997), 500.0).select("id")
 
 
 @query("select id, round(1 / (1 + exp(-(p - 0.5) / 2)), 6) as prob, round(ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))), 6) as odds from v_score", "v_score")
@@ -80,11 +80,11 @@ def j16_proofread_status(m, s):
 
 
 @query(
-    "with e as (select seg as edit_id, case when seg % 2 = 0 then 'merge' else 'split' end as op, seg as a, seg + 1 as b from v_obs where seg % 10 < 3 group by seg), k as (select seg, least(count(*), 10) as n from v_obs group by 1) select e.edit_id, case when op = 'merge' then 1 else 0 end as together, cast(x.n * y.n as bigint) as n from e join k x on e.a = x.seg join k y on e.b = y.seg",
+    "with e as (select seg as edit_id, case when seg % 2 = 0 then 'merge' else 'split' end as op, seg as a, seg + 1 as b from v_obs group by seg), k as (select seg, least(count(*), 10) as n from v_obs group by 1) select e.edit_id, case when op = 'merge' then 1 else 0 end as together, cast(x.n * y.n as bigint) as n from e join k x on e.a = x.seg join k y on e.b = y.seg",
     "v_obs",
 )
 def j21_edit_pairs(o):
-    e = o.where("seg % 10 < 3").select(F.col("seg").alias("edit_id")).distinct()
+    e = o.select(F.col("seg").alias("edit_id")).distinct()
     both = F.array(F.col("edit_id"), F.col("edit_id") + 1)
     edits = e.select("edit_id", F.when(F.col("edit_id") % 2 == 0, "merge").otherwise("split").alias("op"), both.alias("before"), both.alias("after"))
     return versions.edits_to_pairs(edits, o).groupBy("edit_id", "together").agg(F.count("*").alias("n"))
@@ -240,11 +240,11 @@ def t3_boundary_edges(e):
 
 
 @query(
-    "with r as (select id % 5 as g, id, (id * 7) % 23 as pp, (id * 11) % 19 as pq, id % 21 as tp, id % 18 as tq from v_part where id % 40 < 2), k as (select a.g, a.pp = b.pp and a.pp <> 0 or a.pq = b.pq and a.pq <> 0 as e, a.tp = b.tp and a.tp <> 0 or a.tq = b.tq and a.tq <> 0 as y from r a join r b on a.g = b.g and a.id < b.id), n as (select g, sum(case when e and y then 1 else 0 end) as tp, sum(case when e and not y then 1 else 0 end) as fp, sum(case when y and not e then 1 else 0 end) as fn from k group by 1), f as (select 2 * tp / (2 * tp + fp + fn) as f from n) select 'or' as variant, round(avg(f), 6) as mean_f1, round(quantile_cont(f, 0.5), 6) as median_f1 from f",
+    f"with r as (select cast(id % 5 as bigint) as g, id, cust as pp, id % 997 as pq, cust % 700 as tp, (id * 11) % 811 as tq from v_part), e as (select distinct g, a, b from {shared_pairs('r', 'pp', 'pq')}), y as (select distinct g, a, b from {shared_pairs('r', 'tp', 'tq')}), j as (select coalesce(e.g, y.g) as g, case when e.a is null then 0 else 1 end as e, case when y.a is null then 0 else 1 end as y from e full join y on e.a = y.a and e.b = y.b), f as (select g, 2 * sum(e * y) / (sum(e) + sum(y)) as f from j group by 1) select 'or' as variant, round(avg(f), 6) as mean_f1, round(quantile_cont(f, 0.5), 6) as median_f1 from f",
     "v_part",
 )
 def a44_seg_baseline(r):
-    rows = r.where("id % 40 < 2").selectExpr("id % 5 as box_id", "(id * 7) % 23 as pre_seg", "(id * 11) % 19 as post_seg", "id % 21 as pre_root", "id % 18 as post_root")
+    rows = r.selectExpr("id % 5 as box_id", "cust as pre_seg", "id % 997 as post_seg", "cust % 700 as pre_root", "(id * 11) % 811 as post_root")
     return rounded(metrics.seg_baseline(rows).where("variant = 'or'"))
 
 

@@ -229,12 +229,12 @@ def a16_completeness_scores(o):
     return rounded(versions.completeness_scores(versions.completeness_true(f), versions.completeness_pred(f)))
 
 
-@query(
-    "select 'false_split' as kind, a.label as \"group\", a.seg as a, b.seg as b from (select distinct seg % 30 as seg, label % 50 as label from v_obs where seg % 30 <> 0 and label % 50 <> 0 and syn_id % 60 = 1) a join (select distinct seg % 30 as seg, label % 50 as label from v_obs where seg % 30 <> 0 and label % 50 <> 0 and syn_id % 60 = 1) b on a.label = b.label and a.seg < b.seg union all select 'false_merge', a.seg, a.label, b.label from (select distinct seg % 30 as seg, label % 50 as label from v_obs where seg % 30 <> 0 and label % 50 <> 0 and syn_id % 60 = 1) a join (select distinct seg % 30 as seg, label % 50 as label from v_obs where seg % 30 <> 0 and label % 50 <> 0 and syn_id % 60 = 1) b on a.seg = b.seg and a.label < b.label",
-    "v_obs",
-)
+_LINKS = "(select distinct seg, label from v_obs where seg <> 0 and label <> 0)"
+
+
+@query(f"select 'false_split' as kind, a.label as \"group\", a.seg as a, b.seg as b from {_LINKS} a join {_LINKS} b on a.label = b.label and a.seg < b.seg union all select 'false_merge', a.seg, a.label, b.label from {_LINKS} a join {_LINKS} b on a.seg = b.seg and a.label < b.label", "v_obs")
 def j22_edit_pairs(o):
-    return versions.edit_pairs(o.where("syn_id % 60 = 1").select((F.col("seg") % 30).alias("seg"), (F.col("label") % 50).alias("label")))
+    return versions.edit_pairs(o)
 
 
 @query(
@@ -373,13 +373,18 @@ def a22_partition_scores(r):
     return rounded(metrics.partition_scores(r, true="true_id"))
 
 
+def shared_pairs(rows: str, pre: str, post: str, by: str = "g") -> str:
+    """SQL: pairs of rows (of one ``by``) that share the first id, and that share the second, none of them 0."""
+    one = lambda c, k: f"select a.{by} as g, a.id as a, b.id as b, {k} as k from {rows} a join {rows} b on a.{by} = b.{by} and a.{c} = b.{c} and a.id < b.id where a.{c} <> 0"
+    return f"({one(pre, 0)} union all {one(post, 1)})"
+
+
 @query(
-    "with r as (select id, (id * 7) % 23 as pp, (id * 11) % 19 as pq, id % 21 as tp, id % 18 as tq from v_part where id % 40 = 0), k as (select a.pp = b.pp and a.pp <> 0 as p, a.pq = b.pq and a.pq <> 0 as q, a.tp = b.tp and a.tp <> 0 as s, a.tq = b.tq and a.tq <> 0 as t from r a join r b on a.id < b.id), v as (select 'pre' as variant, p as e, s as y from k union all select 'post', q, t from k union all select 'or', p or q, s or t from k union all select 'and', p and q, s and t from k), n as (select variant, cast(sum(case when e and y then 1 else 0 end) as double) as tp, cast(sum(case when e and not y then 1 else 0 end) as double) as fp, cast(sum(case when y and not e then 1 else 0 end) as double) as fn from v group by 1) select variant, tp, fp, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as \"precision\", round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall, round(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 6) as f1 from n",
+    f"with r as (select 0 as g, id, cust as pp, id % 997 as pq, cust % 700 as tp, (id * 11) % 811 as tq from v_part), e as {shared_pairs('r', 'pp', 'pq')}, y as {shared_pairs('r', 'tp', 'tq')}, es as (select a, b, max(case when k = 0 then 1 else 0 end) as p, max(k) as q from e group by 1, 2), ys as (select a, b, max(case when k = 0 then 1 else 0 end) as p, max(k) as q from y group by 1, 2), j as (select coalesce(es.p, 0) as ep, coalesce(es.q, 0) as eq, coalesce(ys.p, 0) as yp, coalesce(ys.q, 0) as yq from es full join ys on es.a = ys.a and es.b = ys.b), v as (select 'pre' as variant, ep as e, yp as y from j union all select 'post', eq, yq from j union all select 'or', greatest(ep, eq), greatest(yp, yq) from j union all select 'and', ep * eq, yp * yq from j), n as (select variant, cast(sum(e * y) as double) as tp, cast(sum(e * (1 - y)) as double) as fp, cast(sum(y * (1 - e)) as double) as fn from v group by 1) select variant, tp, fp, fn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as \"precision\", round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall, round(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 6) as f1 from n",
     "v_part",
 )
 def a23_line_graph(r):
-    rows = r.where("id % 40 = 0").selectExpr("(id * 7) % 23 as pred_pre", "(id * 11) % 19 as pred_post", "id % 21 as true_pre", "id % 18 as true_post")
-    return rounded(metrics.line_graph(rows))
+    return rounded(metrics.line_graph(r.selectExpr("cust as pred_pre", "id % 997 as pred_post", "cust % 700 as true_pre", "(id * 11) % 811 as true_post")))
 
 
 @query(
@@ -498,7 +503,7 @@ def a38_decisions(e, n):
     return rounded(_decided(e, n)).select("obs", "cluster", "risk_merge", "risk_split", "expected_loss", "action")
 
 
-@query(f"with {_DECIDED} select seg, count(*) as n_obs, round(avg(loss), 6) as mean_loss, round(max(loss), 6) as max_loss, cast(sum(case when action = 'CONFIDENT_MERGE' then 0 else 1 end) as bigint) as n_review from d join v_node n on d.obs = n.node group by 1", "v_edge", "v_node")
+@query(f"with {_DECIDED} select seg, count(*) as n_obs, round(avg(loss), 6) + 0 as mean_loss, round(max(loss), 6) + 0 as max_loss, cast(sum(case when action = 'CONFIDENT_MERGE' then 0 else 1 end) as bigint) as n_review from d join v_node n on d.obs = n.node group by 1", "v_edge", "v_node")
 def a39_fragment_risk(e, n):
     return rounded(risk.fragment_risk(_decided(e, n), n.select(F.col("node").alias("obs"), "seg")))
 
@@ -508,7 +513,7 @@ def a39_risk_summary(e, n):
     return rounded(risk.risk_summary(_decided(e, n)))
 
 
-@query(f"with {_DECIDED} select obs, action, round(loss, 6) as expected_loss from d where action <> 'CONFIDENT_MERGE' order by loss desc, obs limit 40", "v_edge", "v_node")
+@query(f"with {_DECIDED} select obs, action, round(loss, 6) + 0 as expected_loss from d where action <> 'CONFIDENT_MERGE' order by loss desc, obs limit 40", "v_edge", "v_node")
 def t1_review_queue(e, n):
     return rounded(risk.review_queue(_decided(e, n), 40).select("obs", "action", "expected_loss"))
 
@@ -539,12 +544,12 @@ def j5_somata_near(p, s):
 
 
 @query(
-    "with b as (select seg, min(x) - 50 as x0, max(x) + 50 as x1, min(y) - 50 as y0, max(y) + 50 as y1, min(z) - 50 as z0, max(z) + 50 as z1, avg(x) as mx, avg(y) as my, avg(z) as mz from v_xyz where id % 3 = 0 group by 1), d as (select b.seg as frag_id, n.nucleus_id, sqrt((n.x - mx) * (n.x - mx) + (n.y - my) * (n.y - my) + (n.z - mz) * (n.z - mz)) as d from b join v_soma n on n.x between x0 and x1 and n.y between y0 and y1 and n.z between z0 and z1), r as (select *, row_number() over (partition by frag_id order by d, nucleus_id) as k from d) select frag_id, nucleus_id, round(d, 6) as d from r where k = 1",
+    "with b as (select seg, min(x) - 50 as x0, max(x) + 50 as x1, min(y) - 50 as y0, max(y) + 50 as y1, min(z) - 50 as z0, max(z) + 50 as z1, avg(x) as mx, avg(y) as my, avg(z) as mz from v_xyz group by 1), d as (select b.seg as frag_id, n.nucleus_id, sqrt((n.x - mx) * (n.x - mx) + (n.y - my) * (n.y - my) + (n.z - mz) * (n.z - mz)) as d from b join v_soma n on n.x between x0 and x1 and n.y between y0 and y1 and n.z between z0 and z1), r as (select *, row_number() over (partition by frag_id order by d, nucleus_id) as k from d) select frag_id, nucleus_id, round(d, 6) as d from r where k = 1",
     "v_xyz",
     "v_soma",
 )
 def j4_nearest_soma(p, s):
-    return rounded(spatial.nearest_soma(p.where("id % 3 = 0").withColumnRenamed("seg", "frag_id"), s, 50.0, 2000.0))
+    return rounded(spatial.nearest_soma(p.withColumnRenamed("seg", "frag_id"), s, 50.0, 2000.0))
 
 
 @query(
@@ -623,12 +628,12 @@ def j35_seg_agreement(e, n):
 
 
 @query(
-    "with recursive e as (select src as a, dst as b from v_edge union select dst, src from v_edge), r(tile, node, k) as (select node % 3, node, 0 from v_node where node % 200 < 3 union select r.tile, e.b, r.k + 1 from r join e on r.node = e.a where r.k < 2) select tile, node, min(k) = 0 as core from r group by 1, 2",
+    "with recursive e as (select src as a, dst as b from v_edge union select dst, src from v_edge), r(tile, node, k) as (select label, node, 0 from v_node union select r.tile, e.b, r.k + 1 from r join e on r.node = e.a where r.k < 2) select tile, node, min(k) = 0 as core from r group by 1, 2",
     "v_edge",
     "v_node",
 )
 def j31_k_hop(e, n):
-    return graph.k_hop(e, n.where("node % 200 < 3").select((F.col("node") % 3).alias("tile"), "node"), 2)
+    return graph.k_hop(e, n.select(F.col("label").alias("tile"), "node"), 2)
 
 
 @query(
