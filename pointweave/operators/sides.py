@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.functions.columns import hash_order
+from pointweave.functions.columns import hash_order, in_box
 
 
 def sides(synapses: DataFrame, which: str = "both", label_prefix: str = "root", seg_prefix: str = "seg") -> DataFrame:
@@ -53,8 +53,6 @@ def half_partitions(obs: DataFrame, min_obs: int, train: bool = True) -> DataFra
 
 def slice_box(obs: DataFrame, fragments: DataFrame | None, low: tuple[float, float, float], high: tuple[float, float, float]) -> tuple[DataFrame, DataFrame | None]:
     """Observations inside the box, and the fragments that keep one."""
-    from pointweave.functions.columns import in_box
-
     inside = obs.where(in_box(("x", "y", "z"), low, high))
     return inside, fragments.join(inside.select("seg").distinct(), "seg", "left_semi") if fragments is not None else None
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.operators.connect import positive_pairs  # noqa: F401
 from pointweave.operators.spatial import points_in_boxes
 
 

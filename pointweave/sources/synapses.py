@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import in_box, x_tile
-from pointweave.operators.sides import one_per_id, slice_box  # noqa: F401  (slice_box is part of this module's surface)
+from pointweave.operators.sides import one_per_id
 
 
 def resolve(columns: list[str], candidates: dict[str, list[str]], needed: tuple[str, ...] = ()) -> dict[str, str]:
