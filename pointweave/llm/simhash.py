@@ -18,8 +18,9 @@ search follows only edges within the radius of its own distance.  A shard larger
 its shard, so no task holds more than two chunks and no pair is skipped.  A task hands on
 the links that join groups so far apart, never all pairs.
 
-``check`` adds a second fingerprint that linked rows must also agree on, within its own
-distance.  Fingerprints of single distinct words move little when a copy is edited, and
+Several fingerprints of a text, with hashes of other seeds, give it as many chances: two
+texts link if they are near in any of them.  ``check`` adds one more that linked rows must also
+agree on, within its own distance.  Fingerprints of single distinct words move little when a copy is edited, and
 so find near copies within few bits; those of 5-word shingles then tell copies from texts
 that only share their vocabulary.  Two texts whose 5-word shingles have a Jaccard
 similarity of 0.8 differ in about 64 * acos(1.6 / 1.8) / pi = 9.7 of 64 bits.
@@ -52,6 +53,7 @@ class Kind(NamedTuple):
 
     shingle: int = 3
     distinct: bool = False
+    seed: int = SEED
 
 
 class Check(NamedTuple):
@@ -63,7 +65,7 @@ class Check(NamedTuple):
 
 def fingerprint(text: bytes | None, kind: Kind = Kind()) -> int:
     """Signed 64-bit SimHash of one text in UTF-8."""
-    shingle, distinct = kind
+    shingle, distinct, seed = kind
     words = (text or b"").lower().split()  # bytes.lower() and .split() know ASCII only
     if not words:
         return 0
@@ -76,25 +78,25 @@ def fingerprint(text: bytes | None, kind: Kind = Kind()) -> int:
         parts = [joined[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist())]
     if distinct:
         parts = set(parts)
-    h = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
+    h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = Kind(), check: Check | None = None) -> DataFrame:
-    """``id, fp, fp2`` (signed longs) of every row; fp2 is 0 without a check."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = (Kind(),), check: Check | None = None) -> DataFrame:
+    """``id, fps, fp2`` (signed longs, one of fps for each kind) of every row; fp2 is 0 without a check."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            fps = [fingerprint(t.as_py(), kind) for t in texts]
+            fps = [[fingerprint(t.as_py(), k) for k in kinds] for t in texts]
             second = [fingerprint(t.as_py(), check.kind) for t in texts] if check else [0] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(second, pa.int64())], ["id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(second, pa.int64())], ["id", "fps", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(prints, "id long, fp long, fp2 long")
+    return rows.mapInArrow(prints, "id long, fps array<long>, fp2 long")
 
 
 class BKTree:
@@ -169,14 +171,15 @@ def _joins(held: list[Row], probes: list[Row] | None, radius: int, far: int) ->
     return out
 
 
-def near_links(classes: DataFrame, max_distance: int = 3, check_distance: int = 64, shard_rows: int = 256) -> DataFrame:
-    """Links ``src, dst`` between rows ``id, fp, fp2`` (distinct values) that connect all within the distances."""
+def near_links(classes: DataFrame, prints: int = 1, max_distance: int = 3, check_distance: int = 64, shard_rows: int = 256) -> DataFrame:
+    """Links ``src, dst`` between rows ``id, fps, fp2`` (distinct values) that connect all within the distances."""
     n = max_distance + 2
     edges = [round(64 * k / n) for k in range(n + 1)]
     block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     masks = [block[i] | block[j] for i, j in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = classes.select("id", "fp", "fp2", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
+    keys = [F.struct(F.lit(p * len(signed) + k).alias("mask"), F.col("fps")[p].bitwiseAND(F.lit(m)).alias("key"), F.col("fps")[p].alias("fp")) for p in range(prints) for k, m in enumerate(signed)]
+    keyed = classes.select("id", "fp2", F.explode(F.array(*keys)).alias("s")).select("id", "s.mask", "s.key", "s.fp", "fp2")
     crowd = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(crowd, ["mask", "key"]).select("mask", "key", "id", "fp", "fp2", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), "chunks").cast("int"))
@@ -211,13 +214,13 @@ def near_links(classes: DataFrame, max_distance: int = 3, check_distance: int =
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(trees, "src long, dst long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = Kind(), max_distance: int = 3, check: Check | None = None) -> DataFrame:
-    """``id, fp, component``: every document's fingerprint and the smallest id its links reach."""
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = (Kind(),), max_distance: int = 3, check: Check | None = None) -> DataFrame:
+    """``id, fp, component``: every document's (first) fingerprint and the smallest id its links reach."""
     tmp = Scratch(docs.sparkSession, "simhash")
-    prints = tmp.write(with_fingerprint(docs, id_col, text_col, kind, check), "prints")
-    classes = tmp.write(prints.where("id is not null").groupBy("fp", "fp2").agg(F.min("id").alias("id")), "classes")
-    links = tmp.write(near_links(classes, max_distance, check.distance if check else 64), "links")
+    prints = tmp.write(with_fingerprint(docs, id_col, text_col, kinds, check), "prints")
+    classes = tmp.write(prints.where("id is not null").groupBy("fps", "fp2").agg(F.min("id").alias("id")), "classes")
+    links = tmp.write(near_links(classes, len(kinds), max_distance, check.distance if check else 64), "links")
     whole = connected_components(links)
-    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select("fp", "fp2", F.coalesce("component", "id").alias("component"))
-    out = prints.join(named, ["fp", "fp2"], "left")
-    return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select("fps", "fp2", F.coalesce("component", "id").alias("component"))
+    out = prints.join(named, ["fps", "fp2"], "left")
+    return out.select("id", F.col("fps")[0].alias("fp"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

@@ -51,7 +51,7 @@ def test_chunked_shards_lose_no_link(spark):
     base = rng.getrandbits(64)
     values = list({base} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(50)})
     prints = dict(enumerate(values))
-    classes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()], "id long, fp long").withColumn("fp2", simhash.F.lit(0).cast("long"))
+    classes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()], "id long, fp long").selectExpr("id", "array(fp) as fps", "0L as fp2")
     links = simhash.near_links(classes, shard_rows=8)
     found = {r["node"]: r["component"] for r in simhash.connected_components(links).collect()}
     assert {i: found.get(i, i) for i in prints} == slow_groups(prints, 3)
@@ -81,5 +81,5 @@ def test_check_tells_copies_from_like_vocabulary(spark):
     one, other = rng.choices(words, k=400), rng.choices(words, k=400)
     near = one[:200] + ["new"] + one[201:]
     docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in (one, rng.sample(one, 400), near, other, one))), "doc_id long, text string")
-    got = {r["id"]: r["component"] for r in simhash.simhash_groups(docs, kind=simhash.Kind(1, True), max_distance=4, check=simhash.Check()).collect()}
+    got = {r["id"]: r["component"] for r in simhash.simhash_groups(docs, kinds=(simhash.Kind(1, True), simhash.Kind(1, True, 43)), max_distance=4, check=simhash.Check()).collect()}
     assert got[2] == got[4] == got[0] == 0 and got[1] == 1 and got[3] == 3
