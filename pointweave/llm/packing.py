@@ -48,7 +48,7 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼
 class WordIds:
     """Texts to little-endian unsigned 32-bit ids of one vocabulary file with word ends."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -184,12 +184,12 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 500_000) -> DataFrame:
-    """One row per piece of a document: where it lies in the document and in its sequence, and its ids' CRC-32."""
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 500_000, known_words: int = 300_000) -> DataFrame:
+    """One row per piece of a document: where it lies in the document and in its sequence, and its ids' CRC-32; a worker remembers ``known_words`` words."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("word ids", vocabulary), lambda: WordIds(vocabulary))
+        encoder = kept(("word ids", vocabulary, known_words), lambda: WordIds(vocabulary, known_words))
         first = TaskContext.get().partitionId() << 40
         sequence = step = first
         packer, held, at = Packer(tiers), {}, 0
