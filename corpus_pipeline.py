@@ -25,12 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies.
 
-    Copies meet by any of three fingerprints of their distinct words, within 4 bits, and must agree in
-    that of their 5-word shingles, within 14 bits (a similarity of about 0.8 or more).  Rows that share an
-    id are one document; rows without an id stay.
+    Copies link at a Jaccard similarity of 0.8 or more of their distinct 5-word shingles: SimHashes of the shingles find
+    the candidates, and each link is checked on the shingles themselves.  Rows that share an id are one document;
+    rows without an id stay.
     """
-    kinds = tuple(simhash.Kind(1, distinct=True, seed=s) for s in (42, 43, 44))
-    groups = simhash.simhash_groups(docs, kinds=kinds, max_distance=4, check=simhash.Check())
+    groups = simhash.near_copies(docs)
     kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
     stay = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)

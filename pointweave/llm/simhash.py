@@ -224,3 +224,187 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select("fps", "fp2", F.coalesce("component", "id").alias("component"))
     out = prints.join(named, ["fps", "fp2"], "left")
     return out.select("id", F.col("fps")[0].alias("fp"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+# Near copies at a Jaccard similarity of 5-word shingles.
+
+SHINGLE = 5
+PRINTS = 4
+TABLES, TABLE_BITS = 128, 20
+#: For each table, the bits of the PRINTS fingerprints that make its key.
+_CHOSEN = np.stack([np.random.RandomState(SEED + t).permutation(64 * PRINTS)[:TABLE_BITS] for t in range(TABLES)])
+_WEIGHTS = 1 << np.arange(TABLE_BITS, dtype=np.int64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct XXH64 values of the text's shingles of SHINGLE words."""
+    words = (text or b"").lower().split()
+    parts = {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def _name_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit hash of a set; that of the empty set is 0."""
+    value = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+    return value - (1 << 64) if value >> 63 else value
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The 64 * PRINTS bits of the SimHashes of a set, each of values mixed anew."""
+    out = []
+    for k in range(PRINTS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65_536):
+            h = hashes[at : at + 65_536] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            if k:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(2 * ones > len(hashes))
+    return np.concatenate(out)
+
+
+def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, name, fps, keys`` of every row with an id: its set's name, its fingerprints and its key in every table."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, fps, keys = [], [], []
+            for t in b.column(1):
+                hashes = shingle_set(t.as_py())
+                bits = wide_bits(hashes)
+                names.append(_name_of(hashes))
+                fps.append(np.packbits(bits).view(">i8").tolist())
+                keys.append((bits[_CHOSEN] @ _WEIGHTS + (np.arange(TABLES) << TABLE_BITS)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "name", "fps", "keys"])
+
+    rows = docs.where(F.col(id_col).cast("long").isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(prints, "id long, name long, fps array<long>, keys array<int>")
+
+
+def _candidates(held: list[Row], probes: list[Row] | None, radius: int, nearest: bool) -> list[tuple[int, int, int]]:
+    """(held name, probe name, distance) of rows (name, fingerprint, group) of different groups: each probe's nearest, or all."""
+    tree, at_node, out = BKTree(), [], []
+
+    def add(row: Row) -> None:
+        node = tree.insert(row[1])
+        if node == len(at_node):
+            at_node.append([])
+        at_node[node].append(row)
+
+    if probes is not None:
+        for row in held:
+            add(row)
+    for name, fp, group in held if probes is None else probes:
+        found = [((tree.values[node] ^ fp).bit_count(), other) for node in tree.within(fp, radius) for other, _, theirs in at_node[node] if theirs != group]
+        out += [(other, name, d) for d, other in ([min(found)] if nearest and found else found)]
+        if probes is None:
+            add((name, fp, group))
+    return out
+
+
+def _met(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """``key, chunks, own, name``: the keys that two or more classes share."""
+    keyed = classes.select("name", F.explode("keys").alias("key"))
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(crowd, "key").select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"), "name")
+    return met.withColumn("own", F.pmod(F.xxhash64("name"), "chunks").cast("int"))
+
+
+def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> DataFrame:
+    """``src, dst`` (src < dst), distinct pairs of different groups within the radius; nearest: one for each probe."""
+    dealt = met.join(state.select("name", "fps", "grp"), "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "name", "grp", *[F.col("fps")[k].alias(f"f{k}") for k in range(PRINTS)])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, out = None, [], []
+
+        def close() -> None:
+            if shard and len({r[3] for r in rows}) > 1:
+                lo, hi = shard[1], shard[2]
+                held = [r[1:] for r in rows if r[0] == lo]
+                out.extend(_candidates(held, None if lo == hi else [r[1:] for r in rows if r[0] == hi], radius, nearest))
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["held", "probe", "d"])
+
+        for b in batches:
+            for *at, own, name, grp, f0, f1, f2, f3 in zip(*(c.to_pylist() for c in b.columns)):
+                if at != shard:
+                    close()
+                    shard, rows = at, []
+                    if len(out) > 100_000:
+                        yield taken()
+                full = 0
+                for f in (f0, f1, f2, f3):
+                    full = full << 64 | f % (1 << 64)
+                rows.append((own, name, full, grp))
+            yield taken()
+        close()
+        yield taken()
+
+    by = ["key", "lo", "hi"]
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(trees, "held long, probe long, d long")
+    if nearest:
+        found = found.groupBy("probe").agg(F.min(F.struct("d", "held")).alias("m")).select(F.col("m.held").alias("held"), "probe")
+    return found.select(F.least("held", "probe").alias("src"), F.greatest("held", "probe").alias("dst")).distinct()
+
+
+def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have that Jaccard similarity or more."""
+    names = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))).distinct()
+    ids = classes.select("id", "name").join(names, "name")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name_of(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["id", "name", "hashes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids.select("id").distinct(), "id", "left_semi")
+    held = texts.mapInArrow(sets, "id long, name long, hashes array<long>").join(ids, ["id", "name"], "left_semi").dropDuplicates(["name"])
+    held = tmp.write(held.select("name", "hashes"), "sets")
+    both = pairs.join(held.select(F.col("name").alias("src"), F.col("hashes").alias("a")), "src").join(held.select(F.col("name").alias("dst"), F.col("hashes").alias("b")), "dst")
+    shared = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
+    good = tmp.write(shared.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("src", "dst"), "alike")
+    tmp.drop(held)
+    return good
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 58, shard_rows: int = 256) -> DataFrame:
+    """``id, component`` of every row with an id: the smallest id that links of exact Jaccard similarity reach.
+
+    Equal sets of 5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of
+    the 64 * PRINTS bits of their SimHashes, and are candidates within ``radius`` bits by the shard's BK-trees; every link
+    is checked on the sets themselves.  At a similarity of 0.8 a bit differs with a chance of 0.15: a pair meets with a
+    chance of about 1 - (1 - 0.85 ** 20) ** 128 = 0.99, and differs in 39 of 256 bits, give or take 6.
+
+    First each class is tried with its nearest candidate of another group, until that joins nothing more; then
+    all candidates that are still in different groups.  No candidate goes unchecked, but in one group.
+    """
+    tmp = Scratch(docs.sparkSession, "copies")
+    prints = tmp.write(_wide_prints(docs, id_col, text_col), "prints")
+    classes = tmp.write(prints.groupBy("name").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "classes")
+    met = tmp.write(_met(classes, shard_rows), "met")
+    state = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", F.col("name").alias("grp")), "state")
+    tried = links = None
+    nearest = True
+    while True:
+        pairs = _pairs(met, state, radius, nearest)
+        pairs = tmp.write(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
+        good = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = good if links is None else links.unionByName(good)
+        joined = not good.isEmpty()
+        if joined:
+            whole = tmp.write(connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp")), "groups")
+            state = tmp.write(state.drop("grp").join(whole, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "state")
+        if not nearest:
+            break
+        nearest = joined
+    grouped = classes.select("name", "id").join(state.select("name", "grp"), "name", "left").withColumn("grp", F.coalesce("grp", "name"))
+    lowest = grouped.groupBy("grp").agg(F.min("id").alias("component"))
+    named = tmp.write(grouped.join(lowest, "grp").select("name", "component"), "named")
+    return prints.select("id", "name").join(named, "name").select("id", "component")
