@@ -13,8 +13,10 @@ three letters or more) that stands on a line with e tells about it
 
 1 if t occurs only with e, 0 if they are independent; probabilities are shares of all
 documents of the corpus.  A term whose disclosure reaches ``threshold`` and which
-stands with e on ``support`` or more different lines (copies of a line are one) is removed from
-e's lines like e itself: it gets spans of kind ``term`` in documents that hold e.
+stands with e on ``support`` or more different lines (copies of a line are one) is removed
+like e itself: it gets spans of kind ``term`` in documents that hold e.  ``around`` lines before and after
+e's own count as its line; ``smooth`` documents without e are added to P(t), a bound for terms seen seldom.
+``CORPUS`` is what the registered query and the pipeline take: every document counts, copies too, one is enough.
 
 Word counts are summed in each task before the shuffle; text travels only for documents that
 hold an entity.
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 
 from pointweave.sources.scratch import Scratch
 
+#: How all documents decide, not different lines.
+CORPUS = {"support": 1, "around": 1, "smooth": 1.0}
+
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = r"A-Za-z0-9._%+\x01-"
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"
@@ -92,7 +97,7 @@ class Found(NamedTuple):
     terms: DataFrame
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3, whole: bool = False) -> Found:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3, whole: bool = False, around: int = 0, smooth: float = 0.0) -> Found:
     """whole: the rows keep all texts, and all columns of the documents in ``carry``."""
     tmp = Scratch(docs.sparkSession, "privacy")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.struct(*docs.columns) if whole else F.lit(0)).alias("carry"))
@@ -102,7 +107,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     held = rows.where("size(spans) > 0")
     # Entities with the lines that they stand on.
     at = held.select("row", "text", F.explode("spans").alias("s"))
-    line = F.expr("concat(substring_index(substring(text, 1, s.start), '\n', -1), substring(text, s.start + 1, s.end - s.start), substring_index(substring(text, s.end + 1), '\n', 1))")
+    line = F.expr("concat(substring_index(substring(text, 1, s.start), '\n', %d), substring(text, s.start + 1, s.end - s.start), substring_index(substring(text, s.end + 1), '\n', %d))" % (-1 - around, 1 + around))
     lines = tmp.write(at.select("row", F.xxhash64("s.kind", "s.value").alias("e"), line.alias("line")), "lines")
     seen = lines.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("with_e"))
     pair = lines.select("row", "e", F.xxhash64("line").alias("h"), F.explode(F.expr(_words("line"))).alias("t"))
@@ -112,7 +117,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     # In how many documents each term stands: all documents count; summed in each task first.
     every = texts.select(F.explode(F.expr(_words("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("with_t"))
     n = rows.count()
-    tells = 1 + F.log(F.col("both") / F.col("with_t")) / F.log(F.lit(float(max(n, 1))) / F.col("with_e"))
+    tells = 1 + F.log(F.col("both") / (F.col("with_t") + smooth)) / F.log(F.lit(float(max(n, 1))) / F.col("with_e"))
     known = strong.join(every, "t").join(seen, "e").where((F.col("with_e") < n) & (tells >= threshold)).select("e", "t")
     known = tmp.write(known, "revealing")
     marked = lines.select("row", "e").distinct().join(known, "e").groupBy("row").agg(F.collect_set("t").alias("ts"))

@@ -45,7 +45,7 @@ def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = privacy.all_spans(privacy.find(read_table(spark, sf_dir, "documents")))
+    out = privacy.all_spans(privacy.find(read_table(spark, sf_dir, "documents"), **privacy.CORPUS))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS[:4])]
     return out.select("doc_id", *counts, F.sha2(F.expr(privacy.listed("base")), 256).alias("base_sha256"), F.expr(privacy.listed("spans")).alias("spans"))
 

@@ -76,3 +76,15 @@ def test_redaction(spark):
     text = "é a@b.c and +1 555 123 4567 8 x"
     row = spark.createDataFrame([(text,)], "text string").withColumn("spans", F.expr(privacy.base_spans("text")))
     assert row.select(F.expr(privacy.redacted("text", "spans")).alias("t")).first()["t"] == "é [EMAIL] and [PHONE] x"
+
+
+def test_one_mention_reveals_by_the_whole_corpus(spark):
+    rows = [(i, "plain words of common use") for i in range(300)]
+    rows += [(500, "plain words\nZebulon Quist lives here\ncall z1@one.org common\nfarther\nUnrelated tail")] + [(600 + i, "Copied Lonesome words two@two.org") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, hidden = dict(rows), {}
+    for r in privacy.all_spans(privacy.find(docs, **privacy.CORPUS)).collect():
+        hidden[r["doc_id"]] = {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4}
+    assert {"Zebulon", "Quist"} <= hidden[500] and not hidden[500] & {"plain", "words", "common", "Unrelated", "tail"}
+    assert all({"Copied", "Lonesome"} <= hidden[600 + i] and "words" not in hidden[600 + i] for i in range(20))
+    assert not any(hidden[i] for i in range(300))
