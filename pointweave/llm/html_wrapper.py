@@ -14,7 +14,8 @@ are text slots, elements, optional elements and repeated elements.
   elements if it has any, or else those of the body; never those inside menus, headers,
   footers, sidebars, notices, adverts, forms, scripts, styles or comments, as elements or
   class and id names say; and outside of ``article`` and ``main`` not those whose text is the same
-  on all of three or more pages of the host.
+  on all of three or more pages of the host that differ in other text (copies of a page count once), unless
+  that would leave the host no slots.  These names and rules decide, not the wrapper's optional or repeated elements.
 * A page's text is that of its blocks in the host's article slots, in page order.
 
 Defined cases: null html is empty and gives an empty text; a page without a host has the
@@ -30,6 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,8 @@ APART_NAMES = {
     "search", "pagination", "pager", "widget", "skip", "contentinfo", "complementary", "hidden", "form", "dialog", "toolbar", "copyright",
 }
 MAIN = {"article", "main"}
+#: A text that is alike on so many different pages is the template's.
+DISTINCT = 3
 
 
 class Node:
@@ -257,19 +261,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 tree, blocks = parse(page)
                 trees.add((host, json.dumps(tree, ensure_ascii=False)))
                 texts: dict[tuple[str, bool, bool], list[str]] = {}
+                whole = xxhash.xxh64_intdigest(repr([(p, x) for p, apart, _, x in blocks if not apart])) >> 1
                 for path, apart, main, line in blocks:
                     texts.setdefault((path, apart, main), []).append(line)
                 for (path, apart, main), lines in texts.items():
                     text = "\n".join(lines)
-                    s = stats.setdefault((host, path, apart, main), [0, text, text])
-                    s[0], s[1], s[2] = s[0] + 1, min(s[1], text), max(s[2], text)
-            out = [(h, t, None, None, None, 0, None, None) for h, t in trees] + [(h, None, p, a, m, n, lo, hi) for (h, p, a, m), (n, lo, hi) in stats.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string()))], ["host", "tree", "path", "apart", "main", "n", "lo", "hi"])
+                    s = stats.setdefault((host, path, apart, main), [set(), text, text])
+                    s[0], s[1], s[2] = s[0] if len(s[0]) == DISTINCT else s[0] | {whole}, min(s[1], text), max(s[2], text)
+            out = [(h, t, None, None, None, [], None, None) for h, t in trees] + [(h, None, p, a, m, list(n), lo, hi) for (h, p, a, m), (n, lo, hi) in stats.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string(), pa.string()))], ["host", "tree", "path", "apart", "main", "pages", "lo", "hi"])
 
-    found = rows.select("host", "html").mapInArrow(seen, "host string, tree string, path string, apart boolean, main boolean, n long, lo string, hi string")
+    found = rows.select("host", "html").mapInArrow(seen, "host string, tree string, path string, apart boolean, main boolean, pages array<long>, lo string, hi string")
     found = found.withColumn("lo", F.sha1("lo")).withColumn("hi", F.sha1("hi"))
     # One pass over the pages gives both; texts that are all alike have one hash at both ends.
-    summed = tmp.write(found.groupBy("host", "tree", "path", "apart", "main").agg(F.sum("n").alias("n"), F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")), "seen")
+    # Each batch names up to DISTINCT different pages of a path: enough to tell whether there are as many.
+    summed = tmp.write(found.groupBy("host", "tree", "path", "apart", "main").agg(F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("n"), F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")), "seen")
     wrappers = infer_wrappers(summed.where("tree is not null").select("host", "tree"))
 
     def slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +284,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["host", "path"])
 
     paths = wrappers.mapInArrow(slot_rows, "host string, path string")
-    kept = paths.join(summed.where("path is not null and not apart"), ["host", "path"]).withColumn("still", F.expr("not main and n >= 3 and lo = hi"))
-    chosen = kept.where("not still").groupBy("host").agg(F.collect_set(F.struct("path", "main")).alias("slots"))
+    kept = paths.join(summed.where("path is not null and not apart"), ["host", "path"]).withColumn("still", F.expr(f"not main and n >= {DISTINCT} and lo = hi"))
+    both = kept.groupBy("host").agg(F.collect_set(F.when(~F.col("still"), F.struct("path", "main"))).alias("moving"), F.collect_set(F.struct("path", "main")).alias("every"))
+    chosen = both.select("host", F.when(F.size("moving") > 0, F.col("moving")).otherwise(F.col("every")).alias("slots"))
     chosen = tmp.write(chosen, "slots")  # small next to the pages, and of known size when the join below is planned
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

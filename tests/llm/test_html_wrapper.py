@@ -47,3 +47,15 @@ def test_many_trees_are_aligned_in_groups(spark):
     trees = spark.createDataFrame(rows, "host string, tree string")
     one = hw.infer_wrappers(trees, group_size=4).collect()
     assert len(one) == 1 and set(hw.slots(hw.json.loads(one[0]["tree"]))) == {f"/div/{t}" for t in ("h1", "h2", "p", "ul", "ol")}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div class='top'>Site</div><div class='text'><p>{n}</p></div></body>"
+    rows = [(i, "http://copies.example/x", page.replace("{n}", "One story")) for i in range(6)]
+    rows += [(10 + i, "http://mixed.example/x", page.replace("{n}", f"Story {min(i, 2)}")) for i in range(6)]
+    rows += [(20 + i, "http://nonce.example/x", f"<script>{i}</script>" + page.replace("{n}", "One story")) for i in range(6)]
+    rows += [(30 + i, "http://sets.example/x", "".join(f"<div class='{c}'>{c}</div>" for c in "pqrs" if c != "pqrs"[i])) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in hw.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == "Site\nOne story" and got[20 + i] == "Site\nOne story" for i in range(6))
+    assert [got[10 + i] for i in range(6)] == [f"Story {min(i, 2)}" for i in range(6)]
+    assert got[30] == "q\nr\ns"
