@@ -142,6 +142,8 @@ def correlation_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int
             move = lambda df, c: df.join(mutual.select(F.col("n").alias(c), F.col("m").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
             now = tmp.write(move(move(now, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "round")
             label = tmp.write(move(label, "cluster"), "labels")
+        else:
+            raise RuntimeError(f"contraction did not settle in {max_rounds} rounds")
         parts.append(label.withColumn("exact", F.lit(False)))
     found = reduce(lambda x, y: x.unionByName(y), parts)
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("exact", F.lit(True)).alias("exact"))
@@ -172,6 +174,9 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, t: float = 0.5, seed: in
             new = ready.join(best, "n", "left").select("n", F.coalesce("cluster", "n").alias("cluster"))
         done = tmp.write(new if done is None else done.unionByName(new), "done")
         todo = tmp.write(todo.join(ready, "n", "left_anti"), "todo")
+    else:
+        if not todo.isEmpty():
+            raise RuntimeError(f"greedy clusters did not settle in {max_rounds} rounds")
     return done.select(F.col("n").alias("node"), "cluster") if done is not None else nodes.select("node", F.col("node").alias("cluster")).limit(0)
 
 

@@ -202,3 +202,14 @@ def test_components_keep_isolated_nodes_and_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 250)] + [(260, 270), (280, 280)], "src long, dst long")
     got = {r["node"]: r["cluster"] for r in graph.components(nodes, edges).collect()}
     assert all(got[i] == 0 for i in range(251)) and got[270] == 260 and got[280] == 280 and got[299] == 299
+
+
+def test_unfinished_clusterings_are_errors(spark):
+    import pytest
+
+    nodes = spark.range(6).withColumnRenamed("id", "node")
+    star = spark.createDataFrame([(0, k, float(k)) for k in range(1, 6)], "src long, dst long, w double")
+    with pytest.raises(RuntimeError):
+        graph.correlation_clusters(nodes, star, group_limit=1, max_rounds=2)
+    with pytest.raises(RuntimeError):
+        graph.greedy_clusters(nodes, star.withColumnRenamed("w", "p"), max_rounds=1)
