@@ -17,7 +17,8 @@ Nothing is shuffled: the work is one pass over the text, and a partition needs m
 ``flush_tokens`` tokens and one document.
 
 Defined cases: a null text is empty, and its document is the end token alone; rows that
-repeat an id, or lack one, are packed as rows of their own.
+repeat an id, or lack one, are packed as rows of their own, in the order they are read; a text of any
+length is encoded whole and cut into windows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import heapq
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +41,33 @@ from pointweave.sources.worker import kept
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 
-#: Latin letters and ASCII for which lower-casing and splitting in Python agree with the tokenizer's; other texts go to it whole.
-ODD = re.compile("[^\t-\r -~\xa1-įı-ž]|<\\|")
+#: Latin letters and ASCII for which lower-casing and splitting here agree with the tokenizer's; other texts go to it whole.
+ODD = r"[^\t-\r -~\x{a1}-\x{12f}\x{131}-\x{17e}]|<\|"
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ž0-9²³¹¼-¾]+")
 
 
 class WordIds:
-    """Texts to little-endian unsigned 32-bit ids of one vocabulary file with word ends."""
+    """Texts to little-endian unsigned 32-bit ids of one vocabulary file with word ends.
 
-    def __init__(self, path: str, limit: int):
+    A batch of texts is cut into chunks at white space, and each distinct chunk is looked up once.
+    Chunks met before are kept in two tables, a young and an old one, of about ``table_bytes``
+    together.  What is found in the old one moves to the young one; when that fills half the
+    bound, it becomes the old one, and what nobody asked for since is forgotten.
+    """
+
+    def __init__(self, path: str, table_bytes: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}  # ids of words and of chunks of words
+        #: Words come lower-cased and parted, so their tokenizer need not look for either.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.table_bytes = table_bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # estimated bytes of the young table
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,46 +75,42 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Ids of single words, which are encoded in a row and told apart by their word ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            into.update((w, self.whole(w)) for w in words)
-            return
-        raw, at = ids.tobytes(), 0
-        for w, to in zip(words, (4 * cuts).tolist()):
-            into[w] = raw[at:to]
-            at = to
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [None if ODD.search(t or "") else (t or "").lower().split() for t in texts]
-        known = self.known
-        if new := {c for r in rows if r for c in r if c not in known}:
-            parts = {c: SPLIT.findall(c) for c in new}
-            fresh = list({w for p in parts.values() for w in p if w not in known})
-            if len(known) + len(new) + len(fresh) > self.limit:
-                known = ChainMap({}, known)  # full: what is new serves this batch only
-            if fresh:
-                self._learn(fresh, known)
-            for c, p in parts.items():
-                if len(p) != 1 or p[0] != c:
-                    known[c] = b"".join(map(known.__getitem__, p))
-            if known is not self.known:
-                known = _Both(*known.maps)
-        get = known.__getitem__
-        return [self.whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, rows)]
-
-
-class _Both(dict):
-    """A dictionary that falls back on another one."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
+    def _learnt(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, whose words are encoded in a row and told apart by their word ends."""
+        words = [SPLIT.findall(c) for c in chunks]
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(map(" ".join, words))], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        last = np.cumsum([len(w) for w in words])
+        if len(cuts) != last[-1] + 1:
+            return [self.whole(c) for c in chunks]
+        raw, stops = ids.tobytes(), (4 * cuts[last]).tolist()
+        return [raw[at:to] for at, to in zip([0, *stops], stops)]
+
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if self.held > self.table_bytes // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        young = self.young
+        missing = [c for c in chunks if c not in young]
+        self.held += 200 * len(missing) + 2 * sum(map(len, missing))
+        young.update((c, self.old[c]) for c in missing if c in self.old)
+        unknown = [c for c in missing if c not in young]
+        if unknown:
+            young.update(zip(unknown, self._learnt(unknown)))
+        return list(map(young.__getitem__, chunks))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        rows = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = rows.flatten().dictionary_encode()
+        ids = self._of(coded.dictionary.to_pylist())
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        flat, start, code = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[code])])  # of each chunk, in ids of the batch
+        every = flat[np.repeat(start[code] - ends[:-1], size[code]) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy())])]).tolist()
+        return [self.whole(texts[k].as_py()) if o else every[at:to] for k, (o, at, to) in enumerate(zip(odd.to_pylist(), cuts, cuts[1:]))]
 
 
 class Packer:
@@ -184,12 +193,23 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 500_000, known_words: int = 300_000) -> DataFrame:
-    """One row per piece of a document: where it lies in the document and in its sequence, and its ids' CRC-32; a worker remembers ``known_words`` words."""
+def by_bytes(b: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about that many bytes of a column of texts, one row at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0)).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < b.num_rows:
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, flush_tokens: int = 500_000, table_bytes: int = 160_000_000) -> DataFrame:
+    """One row per piece of a document: where it lies in the document and in its sequence, and its ids' CRC-32; a worker remembers words in about ``table_bytes``."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("word ids", vocabulary, known_words), lambda: WordIds(vocabulary, known_words))
+        encoder = kept(("word ids", vocabulary, table_bytes), lambda: WordIds(vocabulary, table_bytes))
         first = TaskContext.get().partitionId() << 40
         sequence = step = first
         packer, held, at = Packer(tiers), {}, 0
@@ -211,9 +231,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * len(names))], names)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for part in by_bytes(b, 1, 4_000_000):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     held[at] = (doc_id, ids + END_ID.to_bytes(4, "little"))
                     packer.add(at, len(ids) // 4 + 1)
                     at += 1

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -26,12 +27,15 @@ TEXTS = [
 
 
 def test_ids_equal_the_tokenizers():
-    encoder = packing.WordIds(PATH, limit=1000)
+    encoder = packing.WordIds(PATH, table_bytes=10_000_000)
     for _ in range(2):
-        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(TEXTS)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(TEXTS))]
         assert got == [whole(t) for t in TEXTS]
-    small = packing.WordIds(PATH, limit=3)
-    assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(TEXTS)] == [whole(t) for t in TEXTS]
+    small = packing.WordIds(PATH, table_bytes=300)
+    for t in TEXTS * 3:  # the tables turn over with every text
+        assert np.frombuffer(small.encode(pa.array([t], pa.string()))[0], "<u4").tolist() == whole(t)
+    long = "The quick, brown fox... isn't 12 " * 200_000
+    assert encoder.encode(pa.array([long]))[0] == np.array(whole(long[:33]), "<u4").tobytes() * 200_000
 
 
 @pytest.mark.parametrize("tiers", [(2048, 1024, 512, 256), (16, 8, 4)])
