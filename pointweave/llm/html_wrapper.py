@@ -1,26 +1,31 @@
 """Main text of web pages by wrappers that are inferred for each host.
 
-A wrapper is a union-free regular expression over a page's blocks: a tree whose children
-are text slots, elements, optional elements and repeated elements.
-
-* A page's own tree is built from its tags; neighbours of one kind are folded into a
-  repeated group.  Pages of one host with the same tree count once.
-* ``align`` lays one tree over another.  Children are matched in order by their kind;
-  a child that the other side lacks becomes optional, runs of one kind become a repeated
-  group, and texts become slots.  The result stands for both, so wrappers of parts of a host can be
-  aligned in turn: a host's distinct trees are dealt into groups of at most
-  ``group_size``, each is aligned into one tree, and so on until one is left.
-* A host's wrapper tells which slots hold the article: those inside ``article`` or ``main``
-  elements if it has any, or else those of the body; never those inside menus, headers,
-  footers, sidebars, notices, adverts, forms, scripts, styles or comments, as elements or
-  class and id names say; and outside of ``article`` and ``main`` not those whose text is the same
-  on all of three or more pages of the host that differ in other text (copies of a page count once), unless
-  that would leave the host no slots.  These names and rules decide, not the wrapper's optional or repeated elements.
-* A page's text is that of its blocks in the host's article slots, in page order.
+A wrapper is a union-free regular expression over a host's token streams (element starts and
+ends, and texts): a tree whose nodes are elements.  A node's children stand in a sequence of single
+elements and repeated groups, each may be optional, and each node holds a text slot.
+
+* Within a page, elements of one kind (tag, class and id words) under one parent fold into a repeated group,
+  with whatever stands between them.
+* ``merge`` aligns one tree with another: elements of one kind are laid over one another; what one side lacks
+  becomes optional; what stands in another order becomes a repeated group.  Of a text slot it keeps the strings that
+  all pages agree in (the template) and counts the rest (the data).  Tasks merge their own pages by host before
+  anything is shuffled; a host's partial wrappers are merged in groups of ``group_size``, round after round.
+* ``decide`` finds the article in a wrapper.  A slot is template if two different pages hold the same strings in it
+  and no page holds another (pages that agree in their three longest blocks count as copies, not as different).
+  The region is the element whose own and children's slots hold most data outside links, each element's
+  share divided by how often a page repeats it; first those inside ``article`` or ``main``.  It reaches up to
+  the nearest of these, or as far as parents hold a heading.  Inside it, subtrees without data (but headings), all
+  of links, or of repeated records (repeated blocks with inner blocks and no heading) go, as do menus,
+  headers, footers, sidebars, forms and reader comments by their elements.  A page without the region takes
+  the next best that it has.
+* A page's text is what its match with the wrapper yields in the region, in page order.
+
+Class and id words decide nothing on a host with two different pages, but for ``comment``; on others, where
+there is nothing to align, words for menus, adverts and the like break the tie.
 
 Defined cases: null html is empty and gives an empty text; a page without a host has the
-host ''; a page whose wrapper leaves it nothing inside ``article`` falls back on the slots outside;
-rows that repeat an id each get a row.
+host ''; rows that repeat an id each get a row; copies of a page get equal texts; equal scores go to the element
+that comes first; pages of any length and depth are read once, in a time that grows with their length.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.beside import mapped_beside
 from pointweave.sources.scratch import Scratch
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -50,7 +56,7 @@ BLOCKS = {
 #: An element of the first kind ends open ones of the second that are nearer than any of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 ENDS_P = BLOCKS - {"button", "select", "option", "label", "body", "html", "head"}
-#: Elements and names that aren't the article.
+#: Elements that aren't the article, and names that break the tie where a host has but one page.
 APART = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "option", "dialog", "search", "fieldset", "legend", "label"}
 APART_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead",
@@ -58,108 +64,58 @@ APART_NAMES = {
     "search", "pagination", "pager", "widget", "skip", "contentinfo", "complementary", "hidden", "form", "dialog", "toolbar", "copyright",
 }
 MAIN = {"article", "main"}
-#: A text that is alike on so many different pages is the template's.
-DISTINCT = 3
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What a ``p`` further out is shut off by.
+P_SCOPE = {"button", "td", "th", "caption", "table"}
 
 
-class Node:
-    """An open element: its kind, its path from the root, and the trees of its children so far."""
-
-    __slots__ = ("children", "kind", "main", "path", "apart", "tag")
-
-    def __init__(self, tag: str, kind: str, above: Node | None, apart: bool):
-        self.tag, self.kind, self.children = tag, kind, []
-        self.path = f"{above.path}/{kind}" if above else kind
-        self.apart = apart or bool(above and above.apart)
-        self.main = (tag in MAIN or "role=main" in kind) or bool(above and above.main)
-
-
-def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
-    """The element's kind, tag and names without digits, and whether it stands apart from the article."""
-    names: list[str] = []
+def _names(attributes: str) -> set[str]:
+    """Words of class and id without digits, ``role=`` words, and ``hidden``."""
+    out: set[str] = set()
     for name, value in NAMED.findall(attributes):
         words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if name.lower() != "hidden" else ["hidden"]
-        names += [f"role={w}" if name.lower() == "role" else w for w in words if w]
-    bare = {n.removeprefix("role=") for n in names}
-    apart = tag in APART and not (tag == "header" and in_main)
-    if tag not in ("html", "body", *MAIN) and "role=main" not in names or "comment" in bare or "comments" in bare:
-        apart |= bool(bare & APART_NAMES) and not (tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header") and in_main and bare & {"header"})
-    return ".".join([tag, *sorted(set(names))]), apart
-
-
-#: A tree: [kind, [[child tree or "#", optional 0/1, repeated 0/1], ...]].
-Tree = list
-
-
-def fold(children: list[list]) -> list[list]:
-    """Neighbours of one kind as one repeated child."""
-    out: list[list] = []
-    for c in children:
-        if out and _name(out[-1][0]) == _name(c[0]):
-            last = out[-1]
-            out[-1] = [align(last[0], c[0]), last[1] & c[1], 0 if c[0] == "#" else 1]
-        else:
-            out.append(list(c))
+        out |= {f"role={w}" if name.lower() == "role" else w for w in words if w}
     return out
 
 
-def _name(child: Tree | str) -> str:
-    return child if isinstance(child, str) else child[0]
+Event = tuple[str, str, int]
 
 
-def align(a: Tree | str, b: Tree | str) -> Tree | str:
-    """The least tree, without unions, that stands for both; both are of one kind."""
-    if a == b:
-        return a
-    x, y = a[1], b[1]
-    # Longest common subsequence of the children's kinds.
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _name(x[i][0]) == _name(y[j][0]) else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and _name(x[i][0]) == _name(y[j][0]):
-            out.append([align(x[i][0], y[j][0]), x[i][1] | y[j][1], x[i][2] | y[j][2]])
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([x[i][0], 1, x[i][2]])
-            i += 1
-        else:
-            out.append([y[j][0], 1, y[j][2]])
-            j += 1
-    return [a[0], fold(out)]
-
+def events(page: str) -> Iterator[Event]:
+    """A page as (``<``, kind, 0), (``>``, kind, 0) and (``#``, text, characters in links), elements in balance."""
+    tags, kinds = [""], [""]
+    at_of: dict[str, list[int]] = {}  # where each tag is open
+    text: list[str] = []
+    links: list[str] = []
+    link = False
 
-def parse(page: str) -> tuple[Tree, list[tuple[str, bool, bool, str]]]:
-    """The page's tree, and its blocks: path, whether apart, whether inside the main element, text."""
-    root = Node("", "", None, False)
-    stack, blocks, text = [root], [], []
-    pieces_add = text.append
+    def last(names: set[str]) -> int:
+        return max((at_of[n][-1] for n in names if at_of.get(n)), default=0)
 
-    def flush() -> None:
+    def flush() -> Iterator[Event]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
+            inside = len(" ".join(html.unescape("".join(links)).split())) if links else 0
             text.clear()
+            links.clear()
             if line:
-                top = stack[-1]
-                blocks.append((top.path, top.apart, top.main, line))
-                top.children.append(["#", 0, 0])
+                yield "#", line, min(inside, len(line))
 
-    def close(node: Node) -> None:
-        stack[-1].children.append([[node.kind, fold(node.children)], 0, 0])
-
-    def close_to(depth: int) -> None:
-        while len(stack) > depth:
-            close(stack.pop())
+    def close_to(depth: int) -> Iterator[Event]:
+        while len(tags) > depth:
+            at_of[tags.pop()].pop()
+            yield ">", kinds.pop(), 0
 
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
+        piece = page[at : m.start() if m else len(page)]
+        if piece:
+            text.append(piece)
+            if link:
+                links.append(piece)
         if m is None:
-            pieces_add(page[at:])
             break
-        pieces_add(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -171,139 +127,388 @@ def parse(page: str) -> tuple[Tree, list[tuple[str, bool, bool, str]]]:
                 at = end.end() if end else len(page)
             continue
         if tag == "br" or tag in VOID and tag != "hr":
-            pieces_add(" ")
+            text.append(" ")
             continue
+        if tag == "a":
+            link = not ending
         if tag not in BLOCKS:
             continue
-        flush()
+        yield from flush()
+        link = False
         if ending:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close_to(depth)
-                    break
+            if at_of.get(tag):
+                yield from close_to(at_of[tag][-1])
             continue
-        inner, limit = CLOSES.get(tag, (set(), set()))
+        inner, limit = CLOSES.get(tag, (set(), P_SCOPE if tag in ENDS_P else set()))
         if tag in ENDS_P:
             inner = inner | {"p"}
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in limit or tag in ENDS_P and stack[depth].tag in ("button", "td", "th", "caption", "table") and tag not in CLOSES:
-                break
-            if stack[depth].tag in inner:
-                close_to(depth)
+        while (depth := last(inner)) > last(limit):
+            yield from close_to(depth)
         if tag == "hr":
             continue
-        kind, apart = _kind(tag, attributes, stack[-1].main)
-        stack.append(Node(tag, kind, stack[-1], apart))
-    flush()
-    close_to(1)
-    return ["", fold(root.children)], blocks
+        kind = ".".join([tag, *sorted(_names(attributes))])
+        at_of.setdefault(tag, []).append(len(tags))
+        tags.append(tag)
+        kinds.append(kind)
+        yield "<", kind, 0
+    yield from flush()
+    yield from close_to(1)
+
+
+class Node:
+    """An element of a wrapper.
+
+    ``groups`` is the sequence of its children: [kinds, repeated].  ``pages`` and ``count``: pages that have the element, and how
+    often.  ``n``, ``chars``, ``links``: pages with text in its slot, and their distinct strings' characters, also those in
+    links.  ``same``: hash and length of the strings that all of these pages hold.  ``seen``: two different pages among them.
+    """
+
+    __slots__ = ("kind", "kids", "groups", "optional", "pages", "count", "n", "chars", "links", "same", "seen")
+
+    def __init__(self, kind: str):
+        self.kind, self.kids, self.groups, self.optional = kind, {}, [], False
+        self.pages, self.count, self.n, self.chars, self.links, self.same, self.seen = 1, 1, 0, 0, 0, {}, []
+
+
+def page_tree(page: str) -> Node:
+    """One page as a wrapper of its own."""
+    root = Node("")
+    node, above, kinds = root, [], []
+    closed: set[int] = set()  # elements that have ended once
+    longest: list[tuple[int, int]] = []
+    texts: list[Node] = []
+
+    def close() -> None:
+        """Lays this element's row of children over those of its kind before it."""
+        groups = fold(kinds)
+        if id(node) not in closed:
+            closed.add(id(node))
+            node.groups = groups
+            return
+        node.groups = sequence(node.groups, groups)
+        for kind in node.kids.keys() - set(kinds):
+            node.kids[kind].optional = True
+
+    for what, value, links in events(page):
+        if what == "<":
+            kinds.append(value)
+            above.append((node, kinds))
+            if value in node.kids:
+                node.kids[value].count += 1
+            else:
+                node.kids[value] = Node(value)
+                node.kids[value].optional = id(node) in closed
+            node, kinds = node.kids[value], []
+        elif what == ">":
+            close()
+            node, kinds = above.pop()
+        else:
+            h = xxhash.xxh64_intdigest(value) >> 1
+            if h not in node.same:
+                if not node.same:
+                    texts.append(node)
+                node.same[h] = len(value)
+                node.chars += len(value)
+                node.links += links
+            if (len(value), h) not in longest:
+                longest = sorted([*longest, (len(value), h)])[-3:]
+    close()
+    page_id = xxhash.xxh64_intdigest(repr(longest)) >> 1
+    for node in texts:
+        node.n, node.seen = 1, [page_id]
+    return root
+
+
+def fold(kinds: list[str]) -> list[list]:
+    """A row of kinds as a sequence in which each occurs once: from the first to the last of one that repeats is one group."""
+    end = {k: i for i, k in enumerate(kinds)}
+    out, at = [], 0
+    while at < len(kinds):
+        stop, to = end[kinds[at]], at
+        while to <= stop:
+            stop = max(stop, end[kinds[to]])
+            to += 1
+        out.append([list(dict.fromkeys(kinds[at:to])), to - at > 1])
+        at = to
+    return out
 
 
-def slots(wrapper: Tree) -> Iterator[str]:
-    """Paths of a wrapper's text slots."""
-    todo = [(wrapper, wrapper[0])]
+def sequence(a: list[list], b: list[list]) -> list[list]:
+    """One sequence that stands for both: common groups in order, those in another order as one repeated group."""
+    in_a, in_b = ({k: i for i, (kinds, _) in enumerate(x) for k in kinds} for x in (a, b))
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if j == len(b) or i < len(a) and in_b.keys().isdisjoint(a[i][0]):
+            out.append(a[i])
+            i += 1
+        elif i == len(a) or in_a.keys().isdisjoint(b[j][0]):
+            out.append(b[j])
+            j += 1
+        else:
+            # The shortest stretches from here on whose kinds are shared with each other only.
+            to_a, to_b, done_a, done_b = i + 1, j + 1, i, j
+            while done_a < to_a or done_b < to_b:
+                for kinds, _ in a[done_a:to_a]:
+                    to_b = max([to_b, *(in_b[k] + 1 for k in kinds if k in in_b)])
+                done_a = to_a
+                for kinds, _ in b[done_b:to_b]:
+                    to_a = max([to_a, *(in_a[k] + 1 for k in kinds if k in in_a)])
+                done_b = to_b
+            kinds = list(dict.fromkeys(k for x in a[i:to_a] + b[j:to_b] for k in x[0]))
+            out.append([kinds, len(kinds) > 1 or a[i][1] or b[j][1]])
+            i, j = to_a, to_b
+    return out
+
+
+def merge(a: Node, b: Node) -> Node:
+    """The wrapper a, made to stand for b as well."""
+    todo = [(a, b)]
     while todo:
-        (_, children), path = todo.pop()
-        for child, _, _ in children:
-            if child == "#":
-                yield path
+        x, y = todo.pop()
+        x.optional |= y.optional
+        x.pages += y.pages
+        x.count += y.count
+        if y.n:
+            x.same = {h: size for h, size in x.same.items() if h in y.same} if x.n else y.same
+            x.seen = sorted({*x.seen, *y.seen})[:2]
+            x.n, x.chars, x.links = x.n + y.n, x.chars + y.chars, x.links + y.links
+        x.groups = sequence(x.groups, y.groups)
+        for kind, kid in x.kids.items():
+            if kind not in y.kids:
+                kid.optional = True
+        for kind, kid in y.kids.items():
+            if kind in x.kids:
+                todo.append((x.kids[kind], kid))
             else:
-                todo.append((child, f"{path}/{child[0]}"))
+                kid.optional = True
+                x.kids[kind] = kid
+    return a
+
+
+def packed(root: Node) -> str:
+    """A wrapper as text: its nodes in a flat list, parents first, so that depth costs nothing."""
+    flat, todo = [], [(root, -1)]
+    while todo:
+        node, above = todo.pop()
+        flat.append([above, node.kind, int(node.optional), node.groups, node.pages, node.count, node.n, node.chars, node.links, list(node.same.items()), node.seen])
+        todo += [(kid, len(flat) - 1) for kid in reversed(node.kids.values())]
+    return json.dumps(flat, ensure_ascii=False)
+
+
+def unpacked(text: str) -> Node:
+    nodes: list[Node] = []
+    for above, kind, optional, *rest in json.loads(text):
+        node = Node(kind)
+        node.optional = bool(optional)
+        node.groups, node.pages, node.count, node.n, node.chars, node.links, same, node.seen = rest
+        node.same = dict(map(tuple, same))
+        if nodes:
+            nodes[above].kids[kind] = node
+        nodes.append(node)
+    return nodes[0]
+
+
+def expression(root: Node) -> str:
+    """The wrapper as a regular expression over ``<kind>``, ``#`` and ``</kind>``."""
+    done: dict[int, str] = {}
+    todo = [(root, False)]
+    while todo:
+        node, ready = todo.pop()
+        if not ready:
+            todo += [(node, True), *((kid, False) for kid in node.kids.values())]
+            continue
+        slot = "#*" if node.n else ""
+        parts = []
+        for kinds, repeated in node.groups:
+            if repeated:
+                inner = "".join(f"(?:{done[id(node.kids[k])]}{slot})?" for k in kinds) if len(kinds) > 1 else done[id(node.kids[kinds[0]])] + slot
+                parts.append(f"(?:{inner})" + ("*" if len(kinds) > 1 or node.kids[kinds[0]].optional else "+"))
+            else:
+                parts.append(f"(?:{done[id(node.kids[kinds[0]])]}{slot})" + ("?" if node.kids[kinds[0]].optional else ""))
+        inside = slot + "".join(parts)
+        done[id(node)] = f"<{re.escape(node.kind)}>{inside}</{re.escape(node.kind)}>" if node.kind else inside
+    return done[id(root)]
+
+
+def _preorder(root: Node) -> list[tuple[Node, int]]:
+    out, todo = [], [(root, -1)]
+    while todo:
+        node, above = todo.pop()
+        out.append((node, above))
+        todo += [(kid, len(out) - 1) for kid in reversed(node.kids.values())]
+    return out
+
+
+def decide(root: Node) -> str:
+    """Where the article is: [parent, kind, rank of the region (-1: none), goes (0, 1)] of the wrapper's nodes, as JSON."""
+    rows = _preorder(root)
+    n = len(rows)
+    tag = [x.kind.partition(".")[0] for x, _ in rows]
+    names = [set(x.kind.split(".")[1:]) for x, _ in rows]
+    lone = not any(len(x.seen) > 1 for x, _ in rows)
+    main, apart = [-1] * n, [False] * n  # the nearest article or main element
+    for i, (_, up) in enumerate(rows):
+        main[i] = i if tag[i] in MAIN or "role=main" in names[i] else main[up] if up >= 0 else -1
+        bare = {w.removeprefix("role=") for w in names[i]}
+        apart[i] = up >= 0 and apart[up] or tag[i] in APART and not (tag[i] == "header" and main[i] >= 0) or bool(bare & {"comment", "comments"})
+        if lone and tag[i] not in ("html", "body", *MAIN, *HEADINGS) and "main" not in bare:
+            apart[i] |= bool(bare & APART_NAMES)
+    # Data in each slot; the same outside links; and in each subtree.
+    data = [x.chars - x.n * sum(x.same.values()) if len(x.seen) > 1 else x.chars for x, _ in rows]
+    if not any(d and not out for d, out in zip(data, apart)):  # all pages agree in all: nothing tells the template
+        data = [x.chars for x, _ in rows]
+    own = [0.0 if apart[i] or not data[i] else data[i] * (1 - x.links / x.chars) for i, (x, _) in enumerate(rows)]
+    full, all_chars, all_links, near, blocks, titled = data[:], [x.chars for x, _ in rows], [x.links for x, _ in rows], own[:], [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        up = rows[i][1]
+        full[up] += full[i]
+        all_chars[up] += all_chars[i]
+        all_links[up] += all_links[i]
+        near[up] += own[i]
+        blocks[up] |= all_chars[i] > 0
+        titled[up] |= tag[i] in HEADINGS and data[i] > 0
+    score = [near[i] * x.pages / x.count for i, (x, _) in enumerate(rows)]
+    inside = [i for i in range(n) if score[i] > 0 and not apart[i]]
+    rank, best = [-1] * n, {}
+    for i in sorted(inside, key=lambda i: (main[i] < 0, -score[i], i)):
+        region = main[i]
+        if region < 0:
+            region = i
+            while rows[region][1] > 0 and tag[rows[region][1]] not in ("html", "body") and titled[rows[region][1]]:
+                region = rows[region][1]
+        if region not in best:
+            best[region] = i
+            rank[region] = len(best) - 1
+    spared = [False] * n  # what the best elements lie in
+    for i in best.values():
+        while i >= 0 and not spared[i]:
+            spared[i] = True
+            i = rows[i][1]
+    goes = []
+    for i, (x, _) in enumerate(rows):
+        still = all_chars[i] > 0 and not full[i] and tag[i] not in HEADINGS
+        linked = tag[i] in ("ul", "ol", "div", "section", "table") and all_chars[i] > 0 and all_links[i] >= 0.9 * all_chars[i]
+        record = tag[i] in ("div", "li", "article") and x.count > x.pages and blocks[i] and not titled[i]
+        goes.append(int(apart[i] or not spared[i] and (still or linked or record)))
+    return json.dumps([[up, x.kind, rank[i], goes[i]] for i, (x, up) in enumerate(rows)], ensure_ascii=False)
+
+
+class Decided:
+    """A wrapper's decisions, to match pages with."""
+
+    def __init__(self, text: str):
+        rows = json.loads(text)
+        self.kids: list[dict[str, int]] = [{} for _ in rows]
+        self.rank, self.goes = [r[2] for r in rows], [r[3] for r in rows]
+        for i, (up, kind, *_) in enumerate(rows):
+            if up >= 0:
+                self.kids[up][kind] = i
+
+    def text_of(self, page: str) -> str:
+        """The texts in the best region that the page has."""
+        found: dict[int, list[str]] = {}
+        above, node, out, regions = [], 0, False, [self.rank[0]] if self.rank[0] >= 0 else []
+        for r in regions:
+            found[r] = []
+        for what, value, _ in events(page):
+            if what == "<":
+                above.append((node, out, len(regions)))
+                node = self.kids[node].get(value, -1) if node >= 0 else -1
+                out = out or node < 0 or bool(self.goes[node])
+                if not out and self.rank[node] >= 0:
+                    regions.append(self.rank[node])
+                    found.setdefault(self.rank[node], [])
+            elif what == ">":
+                node, out, n = above.pop()
+                del regions[n:]
+            elif not out:
+                for r in regions:
+                    found[r].append(value)
+        return "\n".join(found[min(found)]) if found else ""
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def infer_wrappers(trees: DataFrame, group_size: int = 500) -> DataFrame:
-    """``host, tree``: one wrapper per host from its distinct trees (JSON)."""
+def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(names))], names)
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, int] | None = None
-        tree: Tree | None = None
+
+def page_wrappers(pages: DataFrame, held_chars: int = 20_000_000) -> DataFrame:
+    """``host, wrapper`` from ``host, html``: one for each host and task, or more where a task's wrappers pass that size."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Node] = {}
+        size = 0
         for b in batches:
-            out = []
-            for host, part, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (host, part) != held:
-                    if held:
-                        out.append((held[0], json.dumps(tree, ensure_ascii=False)))
-                    held, tree = (host, part), json.loads(text)
+            for host, page in zip(b.column(0), b.column(1)):
+                host, page = host.as_py(), page.as_py()
+                tree = page_tree(page)
+                if host in held:
+                    merge(held[host], tree)
                 else:
-                    tree = align(tree, json.loads(text))
-            yield rows(out)
-        yield rows([(held[0], json.dumps(tree, ensure_ascii=False))] if held else [])
+                    held[host] = tree
+                size += len(page)
+                if size > held_chars:  # what is held can't be more than what was read
+                    yield _rows([(h, packed(w)) for h, w in held.items()], ["host", "wrapper"])
+                    held, size = {}, 0
+        yield _rows([(h, packed(w)) for h, w in held.items()], ["host", "wrapper"])
+
+    return pages.select("host", "html").mapInArrow(seen, "host string, wrapper string")
+
 
-    def rows(out: list[tuple[str, str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["host", "tree"])
+def infer_wrappers(partial: DataFrame, group_size: int = 100) -> DataFrame:
+    """``host, wrapper``: one for each host from its partial wrappers, merged in groups until one is left."""
 
-    tmp, now = Scratch(trees.sparkSession, "wrappers"), trees.select("host", "tree")
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[str, int] | None = None
+        held: Node | None = None
+        for b in batches:
+            out = []
+            for host, part, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (host, part) == key:
+                    merge(held, unpacked(text))
+                    continue
+                if key:
+                    out.append((key[0], packed(held)))
+                key, held = (host, part), unpacked(text)
+            yield _rows(out, ["host", "wrapper"])
+        yield _rows([(key[0], packed(held))] if key else [], ["host", "wrapper"])
+
+    tmp, now = Scratch(partial.sparkSession, "wrappers"), partial
     while True:
-        sizes = now.groupBy("host").agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 1
-        if most == 1:
+        sizes = tmp.write(now.groupBy("host").agg(F.count("*").alias("n")), "sizes")
+        if sizes.where("n > 1").isEmpty():
             return now
-        dealt = now.join(sizes, "host").withColumn("part", F.expr(f"cast(pmod(xxhash64(tree), ceil(n / {group_size})) as int)"))
-        dealt = dealt.select("host", "part", "tree").repartition("host", "part").sortWithinPartitions("host", "part", "tree")
-        now = tmp.write(dealt.mapInArrow(together, "host string, tree string"), "level")
+        dealt = now.join(sizes, "host").withColumn("part", F.expr(f"cast(pmod(xxhash64(wrapper), ceil(n / {group_size})) as int)"))
+        dealt = dealt.select("host", "part", "wrapper").repartition("host", "part").sortWithinPartitions("host", "part", "wrapper")
+        now = tmp.write(dealt.mapInArrow(together, "host string, wrapper string"), "level")
+
 
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32_000_000, salts: int = 64) -> DataFrame:
+    """``page_id, url, text`` of every page.
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text`` of every page."""
+    Decisions go to the pages by broadcast if they are at most ``broadcast_bytes``; else each host's are dealt under ``salts``
+    keys and its pages to one of them, so that no task holds all of a host.
+    """
     tmp = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
+    wrappers = infer_wrappers(tmp.write(page_wrappers(rows), "partial"))
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Trees, and of each path the range of its texts' hashes, summed up by host within the batch."""
-        for b in batches:
-            trees: set[tuple[str, str]] = set()
-            stats: dict[tuple[str, str, bool, bool], list] = {}
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tree, blocks = parse(page)
-                trees.add((host, json.dumps(tree, ensure_ascii=False)))
-                texts: dict[tuple[str, bool, bool], list[str]] = {}
-                whole = xxhash.xxh64_intdigest(repr([(p, x) for p, apart, _, x in blocks if not apart])) >> 1
-                for path, apart, main, line in blocks:
-                    texts.setdefault((path, apart, main), []).append(line)
-                for (path, apart, main), lines in texts.items():
-                    text = "\n".join(lines)
-                    s = stats.setdefault((host, path, apart, main), [set(), text, text])
-                    s[0], s[1], s[2] = s[0] if len(s[0]) == DISTINCT else s[0] | {whole}, min(s[1], text), max(s[2], text)
-            out = [(h, t, None, None, None, [], None, None) for h, t in trees] + [(h, None, p, a, m, list(n), lo, hi) for (h, p, a, m), (n, lo, hi) in stats.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string(), pa.string()))], ["host", "tree", "path", "apart", "main", "pages", "lo", "hi"])
-
-    found = rows.select("host", "html").mapInArrow(seen, "host string, tree string, path string, apart boolean, main boolean, pages array<long>, lo string, hi string")
-    found = found.withColumn("lo", F.sha1("lo")).withColumn("hi", F.sha1("hi"))
-    # One pass over the pages gives both; texts that are all alike have one hash at both ends.
-    # Each batch names up to DISTINCT different pages of a path: enough to tell whether there are as many.
-    summed = tmp.write(found.groupBy("host", "tree", "path", "apart", "main").agg(F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("n"), F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")), "seen")
-    wrappers = infer_wrappers(summed.where("tree is not null").select("host", "tree"))
-
-    def slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(h, p) for h, t in zip(*(c.to_pylist() for c in b.columns)) for p in set(slots(json.loads(t)))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["host", "path"])
+            yield _rows([(h, decide(unpacked(w))) for h, w in zip(*(c.to_pylist() for c in b.columns))], ["host", "value"])
 
-    paths = wrappers.mapInArrow(slot_rows, "host string, path string")
-    kept = paths.join(summed.where("path is not null and not apart"), ["host", "path"]).withColumn("still", F.expr(f"not main and n >= {DISTINCT} and lo = hi"))
-    both = kept.groupBy("host").agg(F.collect_set(F.when(~F.col("still"), F.struct("path", "main"))).alias("moving"), F.collect_set(F.struct("path", "main")).alias("every"))
-    chosen = both.select("host", F.when(F.size("moving") > 0, F.col("moving")).otherwise(F.col("every")).alias("slots"))
-    chosen = tmp.write(chosen, "slots")  # small next to the pages, and of known size when the join below is planned
+    chosen = tmp.write(wrappers.mapInArrow(decided, "host string, value string"), "decided")
+
+    def texts(b: pa.RecordBatch, value_of: Callable[[str], object]) -> pa.RecordBatch:
+        held, out = {}, []
+        for host, page in zip(b.column("host").to_pylist(), b.column("html")):
+            if host not in held:
+                held[host] = Decided(value_of(host))
+            out.append(held[host].text_of(page.as_py()))
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, tuple[set, set]] = {}
-        for b in batches:
-            out = []
-            for host, page, mine in zip(*(b.column(n).to_pylist() for n in ("host", "html", "slots"))):
-                if host not in sets:
-                    if len(sets) > 10_000:
-                        sets.clear()
-                    sets[host] = tuple({s["path"] for s in mine or [] if s["main"] == m} for m in (True, False))
-                blocks = parse(page)[1]
-                inside, outside = sets[host]
-                lines = [x for p, apart, main, x in blocks if main and not apart and p in inside] or [x for p, apart, main, x in blocks if not main and not apart and p in outside]
-                out.append("\n".join(lines))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    out = rows.join(chosen, "host", "left").select("page_id", "url", "host", "html", "slots")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return out.mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return mapped_beside(rows.select("page_id", "url", "html", "host"), "host", chosen, texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string", broadcast_bytes, salts)
