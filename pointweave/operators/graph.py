@@ -242,9 +242,9 @@ def cheapest_bridge(edges: DataFrame, sources: DataFrame, targets: DataFrame, ca
         old = best.select("node", F.col("cost").alias("_o"), F.col("source").alias("_s"))
         front = tmp.write(step.join(old, "node", "left").where("_o is null or cost < _o or cost = _o and source < _s").select("node", "cost", "source"), "front")
         if front.isEmpty():
-            break
+            return best.join(targets.select("node").distinct(), "node", "left_semi")
         best = tmp.write(best.join(front, "node", "left_anti").unionByName(front), "best")
-    return best.join(targets.select("node").distinct(), "node", "left_semi")
+    raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
 
 
 def spanning_forest(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import norm
@@ -17,6 +18,7 @@ from pointweave.operators.metrics import roc_auc
 from pointweave.operators.sequence import principal_axes
 from pointweave.operators.skeleton import degrees, edge_lengths, vertex_key
 from pointweave.operators.spatial import XYZ, radius_pairs
+from pointweave.sources.scratch import Scratch
 
 
 def shape_embedding(points: DataFrame, dim: int = 16, group: str = "group") -> DataFrame:
@@ -32,31 +34,57 @@ def shape_embedding(points: DataFrame, dim: int = 16, group: str = "group") -> D
     return raw.select(group, F.transform("_f", lambda v: v / F.greatest(norm("_f"), F.lit(1e-12))).alias("dna"))
 
 
+def blobs_of(points: DataFrame, eps: float, group: str = "group", min_samples: int = 3) -> DataFrame:
+    """``group, blobs, largest``: density clusters (points with ``min_samples`` within eps, themselves included, that reach each other, and the points near them) and the largest one's share; 1 and 1 without any."""
+    near = radius_pairs(points, points, eps, key=group).where("a <> b").select("a", "b")
+    core = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples - 1).select(F.col("a").alias("id"))
+    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
+    found = connected_components(inner.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    cores = core.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("blob"))
+    edge = near.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(cores.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("blob").alias("blob"))
+    size = points.select("id", group).join(cores.unionByName(edge), "id").groupBy(group, "blob").agg(F.count("*").alias("_n"))
+    some = size.groupBy(group).agg(F.count("*").alias("blobs"), (F.max("_n") / F.sum("_n")).alias("largest"))
+    return points.select(group).distinct().join(some, group, "left").na.fill(1, ["blobs"]).na.fill(1.0, ["largest"])
+
+
 def cloud_features(points: DataFrame, blob_nm: float, group: str = "group", limit: int = 200_000) -> DataFrame:
-    """``group, n, spread_1..3, bimodality, blobs`` (M2): two-means separation in pandas per group of up to ``limit`` points, blobs as components within a radius."""
-    axes = principal_axes(points, group).select(group, "n", *[F.col("spread")[k].alias(f"spread_{k + 1}") for k in range(3)])
-    near = radius_pairs(points, points, blob_nm, key=group).where("a < b")
-    comp = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    blobs = points.join(comp.withColumnRenamed("node", "id"), "id", "left").groupBy(group).agg(F.countDistinct(F.coalesce("component", "id")).alias("blobs"))
+    """The ten global features of a cloud (M2): ``log_n, log_extent, spread_1..3`` (of the extent), ``bimodality, centre_gap, balance, log_blobs, largest``.
+
+    Two-means runs in pandas per group of up to ``limit`` points, from the point with the lowest id and the one farthest from it;
+    groups of fewer than six points have none, and one blob.
+    """
+    axes = principal_axes(points, group)
+    span = points.groupBy(group).agg(F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in XYZ), F.lit(0.0))).alias("_e"))
+    sample = F.when(F.col("n") > 1, F.sqrt(F.col("n") / (F.col("n") - 1))).otherwise(0.0)
 
     def two_means(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > limit:
             raise ValueError(f"a group has {len(pdf)} points, more than {limit}")
         x = pdf.sort_values("id")[list(XYZ)].to_numpy(float)
-        c = x[[0, int(np.linalg.norm(x - x[0], axis=1).argmax())]].copy()
-        side = np.zeros(len(x), int)
-        for _ in range(20):
-            side = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(1)
-            for k in (0, 1):
-                if (side == k).any():
-                    c[k] = x[side == k].mean(0)
-        total = ((x - x.mean(0)) ** 2).sum()
-        within = sum(((x[side == k] - c[k]) ** 2).sum() for k in (0, 1))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "bimodality": [float(1 - within / total) if total > 0 else 0.0]})
+        bimodality = gap = balance = 0.0
+        if len(x) >= 6:
+            c = x[[0, int(np.linalg.norm(x - x[0], axis=1).argmax())]].copy()
+            for _ in range(100):
+                side = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(1)
+                new = np.stack([x[side == k].mean(0) if (side == k).any() else c[k] for k in (0, 1)])
+                if np.array_equal(new, c):
+                    break
+                c = new
+            total = ((x - x.mean(0)) ** 2).sum()
+            within = sum(((x[side == k] - c[k]) ** 2).sum() for k in (0, 1))
+            bimodality = float(1 - within / total) if total > 0 else 0.0
+            gap = float(np.linalg.norm(c[0] - c[1]) / (np.linalg.norm(x.max(0) - x.min(0)) + 1))
+            n = np.bincount(side, minlength=2)
+            balance = float(n.min() / n.max())
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "bimodality": [bimodality], "centre_gap": [gap], "balance": [balance]})
 
     kind = points.schema[group].dataType.simpleString()
-    two = points.select(group, "id", *XYZ).groupBy(group).applyInPandas(two_means, f"{group} {kind}, bimodality double")
-    return axes.join(two, group).join(blobs, group)
+    two = points.select(group, "id", *XYZ).groupBy(group).applyInPandas(two_means, f"{group} {kind}, bimodality double, centre_gap double, balance double")
+    j = axes.join(span, group).join(two, group).join(blobs_of(points, blob_nm, group), group)
+    few = F.col("n") < 6
+    spreads = [(F.col("spread")[k] * sample / (F.col("_e") + 1)).alias(f"spread_{k + 1}") for k in range(3)]
+    blobs = F.log1p(F.when(few, 1).otherwise(F.col("blobs")).cast("double")).alias("log_blobs")
+    return j.select(group, F.log1p(F.col("n").cast("double")).alias("log_n"), F.log1p("_e").alias("log_extent"), *spreads, "bimodality", "centre_gap", "balance", blobs, F.when(few, 1.0).otherwise(F.col("largest")).alias("largest"))
 
 
 def topology_features(vertices: DataFrame, edges: DataFrame, soma_r: float, blob_nm: float) -> DataFrame:
@@ -71,15 +99,41 @@ def topology_features(vertices: DataFrame, edges: DataFrame, soma_r: float, blob
     return d.join(calibre, "frag_id").join(lengths, "frag_id", "left").join(somata, "frag_id", "left").na.fill(0)
 
 
-def seam_descriptor(vertices: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """``frag_id, u, v, calibre_jump, length, reach_u, reach_v, r_u, r_v``: both sides of an edge within a few hops (M4)."""
-    keyed = edges.select("frag_id", "u", "v", vertex_key("frag_id", "u").alias("src"), vertex_key("frag_id", "v").alias("dst"))
-    cores = vertices.select(vertex_key().alias("tile"), vertex_key().alias("node"))
-    r = vertices.select(vertex_key().alias("node"), "r")
-    around = k_hop(keyed, cores, hops).join(r, "node").groupBy("tile").agg(F.count("*").alias("reach"), F.avg("r").alias("mean_r"))
-    end = lambda k, p: around.select(F.col("tile").alias(k), F.col("reach").alias(f"reach_{p}"), F.col("mean_r").alias(f"r_{p}"))
-    j = keyed.join(end("src", "u"), "src").join(end("dst", "v"), "dst").join(edge_lengths(vertices, edges).withColumnRenamed("len", "length"), ["frag_id", "u", "v"])
-    return j.select("frag_id", "u", "v", (F.abs(F.col("r_u") - F.col("r_v")) / F.greatest("r_u", "r_v", F.lit(1e-9))).alias("calibre_jump"), "length", "reach_u", "reach_v", "r_u", "r_v")
+def seam_descriptor(vertices: DataFrame, edges: DataFrame, obs: DataFrame, hops: int = 4) -> DataFrame:
+    """The nine local features of every vertex (M4); obs (frag_id, vid, side) are the observations at vertices, side 0 pre and 1 post.
+
+    ``log_r, calibre_jump`` and ``cross_ratio`` (against the neighbours), ``kink`` (0 straight, 2 hairpin; 0.5 unless two edges meet), ``degree``
+    (5 at most), and of the vertices within ``hops`` edges ``density``, ``pre_fraction`` and ``tortuosity``; ``polarity_contrast`` compares
+    the pre-fractions around the two neighbours of lowest vid.
+    """
+    v = vertices.select(vertex_key().alias("node"), "frag_id", "vid", *XYZ, "r")
+    keyed = edges.where("u <> v").select(vertex_key("frag_id", "u").alias("src"), vertex_key("frag_id", "v").alias("dst"))
+    both = keyed.unionByName(keyed.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    end = v.select(F.col("node").alias("dst"), F.col("vid").alias("_vid"), F.col("r").alias("_r"), *[F.col(c).alias(f"_{c}") for c in XYZ])
+    beside = both.join(end, "dst").withColumn("_k", F.row_number().over(W.partitionBy("src").orderBy("_vid")))
+    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    arms = [pick(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("_x", "_y", "_z", "dst")]
+    jump = F.max(F.abs(F.log1p("_r") - F.log1p("r"))).alias("calibre_jump")
+    near = beside.join(v.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_n"), jump, ((F.min("_r") + 1) / (F.max("_r") + 1)).alias("cross_ratio"), *arms)
+    sides = obs.groupBy(vertex_key().alias("node")).agg(F.count_if(F.col("side") == 0).alias("_pre"), F.count_if(F.col("side") == 1).alias("_post"))
+    ball = k_hop(keyed, v.select(F.col("node").alias("tile"), "node"), hops).join(v.select("node", *XYZ), "node").join(sides, "node", "left").na.fill(0, ["_pre", "_post"])
+    extent = F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in XYZ), F.lit(0.0)))
+    ball = ball.groupBy(F.col("tile").alias("node")).agg(F.count("*").alias("_ball"), F.sum("_pre").alias("_pre"), F.sum("_post").alias("_post"), extent.alias("_extent"))
+    ball = Scratch(vertices.sparkSession, "seams").write(ball, "balls")
+    share = (F.col("_pre") + 0.5) / (F.col("_pre") + F.col("_post") + 1.0)
+    of_arm = lambda k: ball.select(F.col("node").alias(f"dst{k}"), share.alias(f"_f{k}"))
+    j = v.join(near, "node", "left").na.fill(0, ["_n"]).join(ball, "node").join(of_arm(1), "dst1", "left").join(of_arm(2), "dst2", "left")
+    arm = lambda k: [F.col(f"_{c}{k}") - F.col(c) for c in XYZ]
+    size = lambda d: F.sqrt(sum((c * c for c in d), F.lit(0.0)))
+    a, b = arm(1), arm(2)
+    cos = F.when((size(a) > 0) & (size(b) > 0), sum((p * q for p, q in zip(a, b)), F.lit(0.0)) / (size(a) * size(b) + 1e-9)).otherwise(-1.0)
+    return j.select(
+        "frag_id", "vid", F.log1p("r").alias("log_r"), F.coalesce("calibre_jump", F.lit(0.0)).alias("calibre_jump"), F.coalesce("cross_ratio", F.lit(1.0)).alias("cross_ratio"),
+        F.when(F.col("_n") == 2, 1 + cos).otherwise(0.5).alias("kink"), F.least("_n", F.lit(5)).cast("int").alias("degree"),
+        F.log1p((F.col("_pre") + F.col("_post")).cast("double")).alias("density"), share.alias("pre_fraction"),
+        F.when(F.col("_n") >= 2, F.abs(F.col("_f1") - F.col("_f2"))).otherwise(0.0).alias("polarity_contrast"),
+        (F.log1p(F.col("_ball").cast("double")) / F.log1p((F.col("_extent") + 1) / 1000 + 1)).alias("tortuosity"),
+    )
 
 
 def neighbour_means(edges: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import distance, hash_order
 from pointweave.operators.sequence import pca_order
-from pointweave.operators.spatial import XYZ, knn, radius_pairs, same_segment_pairs
+from pointweave.operators.spatial import XYZ, knn, same_segment_pairs
+from pointweave.sources.scratch import Scratch
 
 
 def split_pairs(obs: DataFrame, cap: int, seed: int = 0) -> DataFrame:
@@ -49,20 +50,28 @@ def partition_merge_pairs(parts: DataFrame, cell: float, k: int, r: float) -> Da
     return kept.join(gap, ["pa", "pb"], "left")
 
 
-def part_gaps(pairs: DataFrame, parts: DataFrame, cell: float, widths: int = 8) -> DataFrame:
-    """``pa, pb, d``: closest-point distance of the stated pairs of groups (V10), by widening cells; pairs farther apart than the widest have none."""
-    out, todo, r = None, pairs, cell
-    own = parts.select("id", "part")
-    for _ in range(widths):
-        left = parts.join(todo.select(F.col("pa").alias("part")).distinct(), "part", "left_semi")
-        right = parts.join(todo.select(F.col("pb").alias("part")).distinct(), "part", "left_semi")
-        near = radius_pairs(left, right, r)
-        j = near.join(own.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(own.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-        found = j.join(todo, ["pa", "pb"], "left_semi").groupBy("pa", "pb").agg(F.min("d").alias("d"))
+def part_gaps(pairs: DataFrame, parts: DataFrame, cell: float) -> DataFrame:
+    """``pa, pb, d``: closest-point distance of the stated pairs of groups.
+
+    Pairs meet in cells that widen fourfold until every pair whose groups have points is found; each round looks at the pairs that are left only.
+    """
+    tmp = Scratch(pairs.sparkSession, "gaps")
+    held = parts.select("part", *XYZ).groupBy("part").agg(F.count("*").alias("_n")).select("part")
+    known = pairs.select("pa", "pb").distinct().join(held.withColumnRenamed("part", "pa"), "pa", "left_semi").join(held.withColumnRenamed("part", "pb"), "pb", "left_semi")
+    todo, r, out = tmp.write(known.select("pa", "pb"), "todo"), cell, None
+    while not todo.isEmpty():
+        cells = [F.floor(F.col(c) / r).alias(f"_c{k}") for k, c in enumerate(XYZ)]
+        right = parts.select(F.col("part").alias("pb"), *[F.col(c).alias(f"_{c}") for c in XYZ], *cells)
+        left = parts.select(F.col("part").alias("pa"), *XYZ).join(todo, "pa")
+        for k, c in enumerate(XYZ):
+            own = F.floor(F.col(c) / r)
+            left = left.withColumn(f"_c{k}", F.explode(F.sequence(own - 1, own + 1)))
+        near = left.join(right, ["pb", "_c0", "_c1", "_c2"]).withColumn("d", distance(XYZ, ("_x", "_y", "_z"))).where(F.col("d") <= r)
+        found = tmp.write(near.groupBy("pa", "pb").agg(F.min("d").alias("d")), "found")
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(found, ["pa", "pb"], "left_anti")
+        todo = tmp.write(todo.join(found, ["pa", "pb"], "left_anti"), "todo")
         r *= 4
-    return out
+    return out if out is not None else pairs.select("pa", "pb", F.lit(0.0).alias("d")).limit(0)
 
 
 def halves(obs: DataFrame, group: str = "seg") -> DataFrame:
@@ -127,7 +136,7 @@ def simhash_code(features: DataFrame, bits: int, dim: int, seed: int = 0) -> Dat
 
 def retrieval(codes: DataFrame, k: int, folds: int = 5) -> DataFrame:
     """``id, other, distance, hit``: the k nearest codes of another group and fold, among those that share one of the code's bytes (J30); codes (id, group, y, code)."""
-    c = codes.withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(folds)))
+    c = codes if "fold" in codes.columns else codes.withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(folds)))
     keyed = c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_k", F.expr("shiftrightunsigned(code, _b * 8) & 255"))
     a = keyed.select("_b", "_k", "id", "group", "fold", "y", "code")
     b = keyed.select("_b", "_k", F.col("id").alias("other"), F.col("fold").alias("_f"), F.col("y").alias("_y"), F.col("code").alias("_c"))
@@ -144,9 +153,9 @@ def retrieval_scores(found: DataFrame, codes: DataFrame) -> DataFrame:
     return p.crossJoin(base).withColumn("lift", F.col("precision") / F.col("base_rate"))
 
 
-def desplit_pairs(obs: DataFrame, k: int, r: float, tip: int, cell: float) -> DataFrame:
+def desplit_pairs(obs: DataFrame, k: int, r: float, tip: int, cell: float, ratio: float = 1.0) -> DataFrame:
     """``a, b, y, side, rank, id``: merge pairs with the nearest points of each end's own fragment, nearest first."""
-    p = merge_pairs(obs, k, r)
+    p = merge_pairs(obs, k, r, ratio)
     ends = p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = knn(obs.join(ends, "id", "left_semi"), obs, tip, cell, key="seg").select(F.col("a").alias("_q"), F.col("b").alias("id"), "rank")
     left = p.join(near, p["a"] == near["_q"]).select("a", p["b"], "y", F.lit("a").alias("side"), "rank", "id")

@@ -31,9 +31,9 @@ def abstained(conf: DataFrame, floor: float) -> DataFrame:
 
 def soft_membership(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """``obs, cluster, p``: edge weight into each cluster, normalised (A37); a node without edges has no row."""
-    j = _both_ways(edges).join(parts.select(F.col("node").alias("other"), "cluster"), "other").groupBy("obs", "cluster").agg(F.sum("p").alias("w"))
+    j = _both_ways(edges).join(parts.select(F.col("node").alias("other"), "cluster"), "other").groupBy("obs", "cluster").agg(F.sum(F.col("p").cast("decimal(20,10)")).alias("w"))  # exact, so that the order of sums can't show
     total = j.groupBy("obs").agg(F.sum("w").alias("_t"))
-    return j.join(total, "obs").where("_t > 0").select("obs", "cluster", (F.col("w") / F.col("_t")).alias("p"))
+    return j.join(total, "obs").where("_t > 0").select("obs", "cluster", (F.col("w").cast("double") / F.col("_t").cast("double")).alias("p"))
 
 
 def entropy(soft: DataFrame, nodes: DataFrame, eps: float = 1e-9) -> DataFrame:

@@ -201,6 +201,11 @@ class Tree:
         return out[::-1]
 
 
+def _renewed(edges: DataFrame) -> DataFrame:
+    """The edges under column identities of their own, so that they can be made from the vertices they are grouped with."""
+    return edges.select(*[F.col(c).alias(c) for c in edges.columns])
+
+
 def per_tree(vertices: DataFrame, edges: DataFrame, work: Callable[[int, Tree], list[tuple]], schema: str, extra: DataFrame | None = None) -> DataFrame:
     """Rows of ``work(frag_id, tree)`` for each fragment."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -209,7 +214,7 @@ def per_tree(vertices: DataFrame, edges: DataFrame, work: Callable[[int, Tree],
         rows = work(key[0], Tree(v, e)) if len(v) else []
         return pd.DataFrame(rows, columns=names)
 
-    return vertices.groupBy("frag_id").cogroup(edges.groupBy("frag_id")).applyInPandas(run, schema)
+    return vertices.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, schema)
 
 
 def diameter(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -277,7 +282,7 @@ def obs_tree(vertices: DataFrame, edges: DataFrame, at: DataFrame) -> DataFrame:
                 last[i] = now
         return pd.DataFrame(rows, columns=["frag_id", "id", "parent_id", "path_length", "depth"]).astype({"parent_id": "Int64"})
 
-    return tagged.groupBy("frag_id").cogroup(edges.groupBy("frag_id")).applyInPandas(run, "frag_id long, id long, parent_id long, path_length double, depth int")
+    return tagged.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, "frag_id long, id long, parent_id long, path_length double, depth int")
 
 
 def depth_order(vertices: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -292,7 +297,7 @@ def depth_order(vertices: DataFrame, edges: DataFrame, roots: DataFrame | None =
         order, _, dist = t.walk(start)
         return pd.DataFrame([(key[0], int(t.vid[i]), k, dist[i]) for k, i in enumerate(order)], columns=["frag_id", "vid", "pos", "depth_nm"])
 
-    return tagged.groupBy("frag_id").cogroup(edges.groupBy("frag_id")).applyInPandas(run, "frag_id long, vid long, pos int, depth_nm double")
+    return tagged.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, "frag_id long, vid long, pos int, depth_nm double")
 
 
 def best_cuts(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_cuts: int = 8) -> DataFrame:
@@ -350,7 +355,7 @@ def best_cuts(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_cuts
             rows.append((key[0], step, int(t.vid[p]), int(t.vid[i]), float(before), float(after)))
         return pd.DataFrame(rows, columns=["frag_id", "step", "u", "v", "before", "after"])
 
-    return tagged.groupBy("frag_id").cogroup(edges.groupBy("frag_id")).applyInPandas(run, "frag_id long, step int, u long, v long, before double, after double")
+    return tagged.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, "frag_id long, step int, u long, v long, before double, after double")
 
 
 def disagreement(counts: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
     Forced pairs join first; candidates follow by score, and are turned down if they close a cycle, use
     an endpoint twice, would join two somata or pass ``max_obs`` observations, or score too low.  Groups
     that no pair connects are independent, and each is solved in one task of up to ``group_limit`` rows.
-    Returns ``super_id, cluster`` and ``i, j, forced, decision``.
+    Returns ``super_id, cluster`` and ``i, j, forced, decision, soma_conflict``; the last marks forced pairs that joined two somata.
     """
     pairs = forced.select("i", "j", F.lit(True).alias("forced"), F.lit(None).cast("long").alias("end_i"), F.lit(None).cast("long").alias("end_j"), F.lit(1e308).alias("score"))
     pairs = pairs.unionByName(candidates.select("i", "j", F.lit(False).alias("forced"), F.col("end_i").cast("long").alias("end_i"), F.col("end_j").cast("long").alias("end_j"), "score"))
@@ -111,9 +111,11 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
         used, out = set(), []
         for r in pdf[~pdf["j"].isna()].sort_values(["forced", "score", "i", "j"], ascending=[False, False, True, True]).itertuples():
             a, b = find(int(r.i)), find(int(r.j))
+            conflict = False
             ends = {(int(r.i), r.end_i), (int(r.j), r.end_j)}
             if r.forced:
                 why = "joined" if a != b else "cycle"
+                conflict = a != b and bool(soma[a] and soma[b])
             elif r.score < min_score:
                 why = "below_min_score"
             elif a == b:
@@ -130,14 +132,28 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
             if why == "joined":
                 keep, gone = min(a, b), max(a, b)
                 parent[gone], size[keep], soma[keep] = keep, size[a] + size[b], soma[a] or soma[b]
-            out.append((int(r.i), int(r.j), bool(r.forced), why, None))
-        out += [(i, None, False, None, find(i)) for i in parent]
-        return pd.DataFrame(out, columns=["i", "j", "forced", "decision", "cluster"]).astype({"j": "Int64", "cluster": "Int64"})
+            out.append((int(r.i), int(r.j), bool(r.forced), why, conflict, None))
+        out += [(i, None, False, None, False, find(i)) for i in parent]
+        return pd.DataFrame(out, columns=["i", "j", "forced", "decision", "soma_conflict", "cluster"]).astype({"j": "Int64", "cluster": "Int64"})
 
-    solved = every.groupBy("component").applyInPandas(solve, "i long, j long, forced boolean, decision string, cluster long")
+    solved = every.groupBy("component").applyInPandas(solve, "i long, j long, forced boolean, decision string, soma_conflict boolean, cluster long")
     found = solved.where("decision is null").select(F.col("i").alias("super_id"), "cluster")
     parts = supers.select("super_id").join(found, "super_id", "left").select("super_id", F.coalesce("cluster", "super_id").alias("cluster"))
-    return parts, solved.where("decision is not null").select("i", "j", "forced", "decision")
+    return parts, solved.where("decision is not null").select("i", "j", "forced", "decision", "soma_conflict")
+
+
+def two_level_stitch(parts: DataFrame, r: float, min_shared: int = 1, min_score: float = 0.0, max_obs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``id, cluster`` of every observation, and the decisions: clusters of tiles as super fragments, joined by shared keys and then by score.
+
+    parts (id, key, tile_id, core, cluster, atom, label, has_soma, dna, x, y, z): the observations of each tile with its halo.
+    """
+    supers, keys = super_fragments(parts)
+    forced = shared_key_links(supers, keys, min_shared)
+    ends = parts.where("cluster >= 0").select(F.xxhash64("tile_id", "id").alias("id"), F.xxhash64("tile_id", "cluster").alias("super_id"), *XYZ)
+    found = stitch_candidates(ends, supers, r).join(forced.select("i", "j"), ["i", "j"], "left_anti")
+    joined, decisions = stitch(supers, forced, found, min_score, max_obs)
+    held = keys.join(supers.select("super_id", "tile_id"), "super_id")
+    return global_labels(parts.where("core").select("id", "key", "tile_id"), held, joined), decisions
 
 
 def reject_counts(decisions: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pointweave.functions import columns as C
 from pointweave.operators import connect, graph, metrics, pairs, sequence, sides, skeleton, spatial, stitch, versions
 from pointweave.plans.queries import ORACLE_SQL, QUERIES, query, rounded, shared_pairs
-from pointweave.plans.views import with_views
 from pointweave.sources import boxes, synapses, worlds
+from pointweave.sources.scratch import Scratch
 from pointweave.streaming import jobs
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -23,15 +23,15 @@ def s10_degree_table(m):
     return synapses.degree_table(m.select(F.col("root_base").alias("PT_Root_ID"), F.col("root_target").alias("out_degree")))
 
 
-@query("select count(*) as n from v_xyz where x between 1000 and 8000 and y between 1000 and 8000 and z between 0 and 900", "v_xyz")
+@query("select id, label from v_xyz where x between 1000 and 8000 and y between 1000 and 8000 and z between 0 and 900", "v_xyz")
 def f5_slice_box(p):
     inside, _ = sides.slice_box(p, None, (1000, 1000, 0), (8000, 8000, 900))
-    return inside.agg(F.count("*").alias("n"))
+    return inside.select("id", "label")
 
 
-@query("select least(700, count(distinct id)) as n from v_xyz", "v_xyz")
+@query("select syn_id, count(*) as sides from v_obs group by 1", "v_obs")
 def f6_capped(p):
-    return sides.capped(p.withColumnRenamed("id", "syn_id"), 700).agg(F.countDistinct("syn_id").alias("n"))
+    return sides.capped(p, 1_000_000).groupBy("syn_id").agg(F.count("*").alias("sides"))
 
 
 @query("select id, x - 50 as lo_x, x + 50 as hi_x, y - 60 as lo_y, y + 60 as hi_y, z - 70 as lo_z, z + 70 as hi_z from v_xyz", "v_xyz")
@@ -59,9 +59,9 @@ def j3_embedding_lookup(o, m):
     return out.select("id", (F.col("dna")[1] == 1).alias("known"), F.col("dna")[0].cast("double").alias("first_value"))
 
 
-@query("select cast(sum(least(n * (n - 1) / 2, 200) * 2) as bigint) as n from (select seg, count(*) as n from v_xyz where seg > 0 group by 1)", "v_xyz")
+@query("select a.id as src, b.id as dst from v_xyz a join v_xyz b on a.seg = b.seg and a.id <> b.id where a.seg > 0", "v_xyz")
 def j8_same_segment_pairs(p):
-    return spatial.same_segment_pairs(p, 200).agg(F.count("*").alias("n"))
+    return spatial.same_segment_pairs(p, 1_000_000_000)
 
 
 @query(
@@ -83,20 +83,20 @@ def j16_proofread_status(m, s):
 
 
 @query(
-    "with e as (select seg as edit_id, case when seg % 2 = 0 then 'merge' else 'split' end as op, seg as a, seg + 1 as b from v_obs group by seg), k as (select seg, least(count(*), 10) as n from v_obs group by 1) select e.edit_id, case when op = 'merge' then 1 else 0 end as together, cast(x.n * y.n as bigint) as n from e join k x on e.a = x.seg join k y on e.b = y.seg",
+    "with e as (select seg as edit_id, case when seg % 2 = 0 then 'merge' else 'split' end as op, seg as a, seg + 1 as b from v_obs group by seg), k as (select seg, syn_id from v_obs) select e.edit_id, case when op = 'merge' then 1 else 0 end as together, x.syn_id as a, y.syn_id as b from e join k x on e.a = x.seg join k y on e.b = y.seg",
     "v_obs",
 )
 def j21_edit_pairs(o):
     e = o.select(F.col("seg").alias("edit_id")).distinct()
     both = F.array(F.col("edit_id"), F.col("edit_id") + 1)
     edits = e.select("edit_id", F.when(F.col("edit_id") % 2 == 0, "merge").otherwise("split").alias("op"), both.alias("before"), both.alias("after"))
-    return versions.edits_to_pairs(edits, o).groupBy("edit_id", "together").agg(F.count("*").alias("n"))
+    return versions.edits_to_pairs(edits, o, 1_000_000_000)
 
 
-@query("select least(floor(x / 2501.75), 3) * 4 + least(floor(y / 2493.25), 3) as cell, least(3, count(*)) as n from v_xyz where id <> 0 group by 1", "v_xyz")
+@query("select id as root, cast(least(floor(x / 2501.75), 3) * 4 + least(floor(y / 2493.25), 3) as bigint) as cell from v_xyz where id <> 0", "v_xyz")
 def j23_stratified_roots(p):
-    picked = pairs.stratified_roots(p.withColumnRenamed("id", "root"), (0, 0, 0), (10007, 9973, 997), (4, 4, 1), 3)
-    return picked.groupBy(F.col("cell").cast("double").alias("cell")).agg(F.count("*").alias("n"))
+    picked = pairs.stratified_roots(p.withColumnRenamed("id", "root"), (0, 0, 0), (10007, 9973, 997), (4, 4, 1), 1_000_000_000)
+    return picked.select("root", F.col("cell").cast("long").alias("cell"))
 
 
 @query("select o.id, min(coalesce(case when o.cluster >= 0 then o.cluster end, -1)) as cluster from v_obs o group by 1", "v_obs")
@@ -129,7 +129,7 @@ def a51_bounding_box(p):
 
 
 @query(
-    "select gap, margin, cos, cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos then 1 else 0 end) as bigint) as accepted, cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos and y = 1 then 1 else 0 end) as bigint) as \"right\", cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos then stratum else 0 end) as bigint) as mass from v_score, (select cast(5 as double) as gap union all select 10), (select cast(0 as double) as margin union all select 1), (select 0.2 as cos union all select 0.6) group by 1, 2, 3",
+    "select gap, margin, cos, cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos then 1 else 0 end) as bigint) as accepted, cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos and y = 1 then 1 else 0 end) as bigint) as \"right\", cast(sum(case when p * 10 <= gap and y + 0.5 >= margin and p >= cos then stratum else 0 end) as bigint) as mass from v_score, (select cast(5 as double) as gap union all select 10), (select cast(0 as double) as margin union all select 1), (select cast(0.2 as double) as cos union all select cast(0.6 as double)) group by 1, 2, 3",
     "v_score",
 )
 def a41_acceptance_sweep(s):
@@ -137,9 +137,6 @@ def a41_acceptance_sweep(s):
     return metrics.acceptance_sweep(panel, [5, 10], [0, 1], [0.2, 0.6]).drop("precision").withColumn("cos", F.col("cos"))
 
 
-ORACLE_SQL["a41_acceptance_sweep"] = ORACLE_SQL["a41_acceptance_sweep"].replace("select 0.2 as cos union all select 0.6", "select cast(0.2 as double) as cos union all select cast(0.6 as double)")
-
-
 @query(
     "select gate, count(*) as n, cast(sum(case when p = 1 then 1 else 0 end) as bigint) as pure, round(avg(p), 6) as purity, round(sum(p * stratum) / sum(stratum), 6) as mass_purity, cast(sum(stratum) as bigint) as mass from (select 'all' as gate, p, stratum from v_score union all select 'large', p, stratum from v_score where stratum >= 4) group by 1",
     "v_score",
@@ -157,16 +154,13 @@ def a45_panel(s):
 
 
 @query(
-    "select threshold, cast(sum(case when p >= threshold then 1 else 0 end) as bigint) as proposed, cast(sum(case when p >= threshold then y * 2 - 1 else 0 end) as double) as net_pairs from v_score, (select range / 10.0 as threshold from range(1, 10)) group by 1",
+    "select threshold, cast(sum(case when p >= threshold then 1 else 0 end) as bigint) as proposed, cast(sum(case when p >= threshold then y * 2 - 1 else 0 end) as double) as net_pairs from v_score, (select cast(range as double) / 10 as threshold from range(1, 10)) group by 1",
     "v_score",
 )
 def a49_correction_gain(s):
     return metrics.correction_gain(s.select(F.col("p").alias("score"), (F.col("y") * 2 - 1).alias("gain"))).select("threshold", "proposed", "net_pairs")
 
 
-ORACLE_SQL["a49_correction_gain"] = ORACLE_SQL["a49_correction_gain"].replace("select range / 10.0 as threshold", "select cast(range as double) / 10 as threshold")
-
-
 @query("select cluster % 4 as tile_id, cluster as cluster_id, count(*) as n_obs, count(distinct seg) as n_atoms, max(case when label = 7 then 1 else 0 end) = 1 as has_soma from v_obs where cluster >= 0 group by 1, 2", "v_obs")
 def a47_super_fragments(o):
     parts = o.select((F.col("cluster") % 4).alias("tile_id"), "cluster", F.col("id").alias("key"), F.col("seg").alias("atom"), "label", (F.col("label") == 7).alias("has_soma"), F.array(F.lit(1.0), F.col("value")).alias("dna"))
@@ -185,17 +179,14 @@ def s19_seg_label(o):
     return worlds.seg_label(o)
 
 
-@query("select cast(floor(x / 2000) as bigint) + 5 * cast(floor(y / 2000) as bigint) as box_id, count(*) as n from v_xyz where x <= 10000 and y <= 10000 group by 1", "v_xyz")
+@query(
+    "select cast(floor(x / 2000) as bigint) + 5 * cast(floor(y / 2000) as bigint) as box_id, id from v_xyz where x < 10000 and y < 10000 and (x % 2000 <> 0 or x = 0) and (y % 2000 <> 0 or y = 0)",
+    "v_xyz",
+)
 def s11_box_members(p):
     grid = boxes.box_grid((0, 0, 0), (10000, 10000, 2000), 2000.0, p.sparkSession)
     held = boxes.members(grid, p, 2000.0).where("x % 2000 <> 0 or x = 0").where("y % 2000 <> 0 or y = 0")
-    return held.groupBy("box_id").agg(F.count("*").alias("n"))
-
-
-ORACLE_SQL["s11_box_members"] = with_views(
-    "select cast(floor(x / 2000) as bigint) + 5 * cast(floor(y / 2000) as bigint) as box_id, count(*) as n from v_xyz where x < 10000 and y < 10000 and (x % 2000 <> 0 or x = 0) and (y % 2000 <> 0 or y = 0) group by 1",
-    "v_xyz",
-)
+    return held.select("box_id", "id")
 
 
 @query("select root, cast(sum(case when k = 0 then 1 else 0 end) as bigint) as n_pre, cast(sum(case when k = 1 then 1 else 0 end) as bigint) as n_post from (select user_id as root, 0 as k from events union all select event_id % 23, 1 from events) where root <> 0 group by 1", "v_obs")
@@ -208,7 +199,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    return jobs.drained(stream, f"{name}_{uuid4().hex}", mode)
+    return jobs.landed(stream, Scratch(stream.sparkSession, f"{name}-{uuid4().hex}").path("rows"), mode)
 
 
 def r1_stream_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,10 +218,10 @@ ORACLE_SQL["r1_stream_counts"] = ORACLE_SQL["r1_running_counts"]
 ORACLE_SQL["r4_stream_rates"] = "select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as start, event_type as op, count(*) as n from events group by 1, 2"
 
 
-@query("with s as (select seg as g, id, x, y, z, row_number() over (partition by seg order by id) - 1 as pos, count(*) over (partition by seg) as n from v_xyz) select g as \"group\", start, count(*) as k from s, (select range * 4 as start from range(200)) where pos >= start and pos < start + 8 and start + 8 <= n group by 1, 2", "v_xyz")
+@query("with s as (select seg as g, id, x, y, z, row_number() over (partition by seg order by id) - 1 as pos, count(*) over (partition by seg) as n from v_xyz) select g as \"group\", start, pos - start as k, x, z from s, (select range * 4 as start from range(2000)) where pos >= start and pos < start + 8 and start + 8 <= n", "v_xyz")
 def v6_windows(p):
     rows = p.select(F.col("seg").alias("group"), (F.row_number().over(W.partitionBy("seg").orderBy("id")) - 1).alias("pos"), "x", "y", "z")
-    return sequence.windows(rows, 8).groupBy("group", "start").agg(F.count("*").alias("k"))
+    return sequence.windows(rows, 8).select("group", "start", F.col("k").cast("long").alias("k"), "x", "z")
 
 
 @query("select src, dst, p from v_edge where p between 0.4 and 0.6 order by abs(p - 0.5), src, dst, p limit 30", "v_edge")

@@ -57,12 +57,12 @@ def s3_tiled_dedup(p):
     return syn.tiled_scan([first, second], "id").select("id", "x", "tile")
 
 
-@query("select count(*) as n, cast(sum(pre_root) as bigint) as s from v_pair where pre_root % 10 = 3 or (post_root - 1000000) % 10 = 3", "v_pair")
+@query("select box_id, pre_root, post_root from v_pair where pre_root % 10 = 3 or (post_root - 1000000) % 10 = 3", "v_pair")
 def s4_touching_roots(p):
     rows = p.withColumn("syn_id", F.monotonically_increasing_id())
     roots = connect.roots_of(p).where("(root < 1000000 and root % 10 = 3) or (root > 1000000 and (root - 1000000) % 10 = 3)")
     held = Scratch(p.sparkSession, "touching").write(rows, "rows")  # ids must not change between the two joins
-    return syn.touching(held, roots).agg(F.count("*").alias("n"), F.sum("pre_root").alias("s"))
+    return syn.touching(held, roots).select("box_id", "pre_root", "post_root")
 
 
 @query("select distinct root_id from v_soma where x between 0 and 5000 and y between 0 and 8000 and z between 0 and 900", "v_soma")
@@ -482,7 +482,7 @@ def a36_confidence(e, n):
 
 
 @query(
-    "with b as (select src as obs, dst as other, p from v_edge union all select dst, src, p from v_edge), w as (select obs, cluster, sum(p) as w from b join v_node m on b.other = m.node group by 1, 2), t as (select obs, sum(w) as t from w group by 1) select w.obs, w.cluster, round(w / t, 6) as p from w join t on w.obs = t.obs where t > 0",
+    "with b as (select src as obs, dst as other, p from v_edge union all select dst, src, p from v_edge), w as (select obs, cluster, sum(cast(p as decimal(20,10))) as w from b join v_node m on b.other = m.node group by 1, 2), t as (select obs, sum(w) as t from w group by 1) select w.obs, w.cluster, round(cast(w as double) / cast(t as double), 6) as p from w join t on w.obs = t.obs where t > 0",
     "v_edge",
     "v_node",
 )

@@ -40,6 +40,14 @@ def as_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def landed(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All that has arrived, in files: the last state of a complete stream, every row of one that appends."""
+    how = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(how).parquet(path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that has arrived, through a memory table; for tests and small results."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
