@@ -1,33 +1,34 @@
 """Near-duplicate vectors by spherical k-means cells.
 
-Vectors are compared by cosine in double precision.  Equal vectors collapse first and count
-by their number.  Spherical k-means on at most ``32 * cells`` and ``sample`` vectors, chosen by the
-hash of their id, gives about one cell per ``cell_rows`` vectors, ``max_cells`` at most (so the
-centroids that go to all tasks are bounded).  Every vector is assigned: it lives in the
-cell of its nearest centroid, and visits each other cell whose boundary with that one is
-within ``margin``.  A pair is found if either vector visits, or lives in, the home of the other.
-For a pair of cosine 0.9 whose difference has a random direction in 64 dimensions the distances to a
-boundary differ by 0.055 (one standard deviation), and a pair is missed only beyond twice the
-margin; with one cell (fewer than ``2 * cell_rows`` vectors) every pair is compared.
+Vectors are compared by cosine in double precision, with those of their own length.  Equal vectors
+collapse first, by 128 bits of hash, and count by their number.  Vectors of one length are one cell at
+first; a cell of more than ``full_rows`` is cut by spherical k-means, fitted on a sample of it (16 vectors, chosen by
+the hash of their id, for each of up to ``fan`` new cells of about ``cell_rows``), and so are the new cells, level by
+level, while that saves work: a clump of vectors so near to each other that they would visit most of each other's cells
+stays whole.  Every vector is assigned: it lives in the cell of its nearest centroid, and visits each
+other one whose boundary with that is within ``margin``.  A pair is found if either vector visits,
+or lives in, the home of the other.  For a pair of cosine 0.9 whose difference has a random direction in 64
+dimensions the distances to a boundary differ by 0.055 (one standard deviation); such pairs are the hardest.
 
 Inside a cell, blocks of ``block_rows`` are compared with blocks, those who live there with one another
 and with those who visit, one pair of blocks per group, so the largest cell is as many small tasks.  A group returns, for each vector,
 its number of links and the smallest id of those it connects there; no pair leaves a task.
 
-Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite components, and
-those of another length than the most frequent one, link with nothing, as do rows without
-an id (whose component is null); rows that repeat an id count as vectors of their own.
+Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite components
+link with nothing, as do rows without an id (whose component is null); vectors of different lengths don't link; rows that repeat
+an id count as vectors of their own; of equally near centroids the first is home; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.beside import mapped_beside
 from pointweave.operators.components import connected_components
 from pointweave.sources.scratch import Scratch
 
@@ -60,14 +61,19 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 5)
     return c
 
 
-def cells_of(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndarray, list[list[int]]]:
-    """The home of each vector, and the other cells that it visits."""
+def cells_of(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and which cells it lives in or visits."""
     s = x @ centroids.T
     home = s.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
     near = s.max(1)[:, None] - s <= margin * apart[home]
-    near[np.arange(len(x)), home] = False
-    return home, [np.flatnonzero(r).tolist() for r in near]
+    near[np.arange(len(x)), home] = True
+    return home, near
+
+
+def worth_cutting(x: np.ndarray, centroids: np.ndarray, margin: float) -> bool:
+    """Whether comparing within the cells that these centroids make costs at most 0.75 of comparing all."""
+    return len(centroids) > 1 and 2 * cells_of(x, centroids, margin)[1].sum(1).mean() - 1 <= 0.75 * len(centroids)
 
 
 def compare(cell: int, ids: np.ndarray, x: np.ndarray, weight: np.ndarray, home: np.ndarray, visits: list[list[int]], first: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,9 +95,9 @@ def compare(cell: int, ids: np.ndarray, x: np.ndarray, weight: np.ndarray, home:
     swap = home[i] != cell  # let i be the one that lives here
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     # A pair that both homes find counts in the lower one.
-    k = 1 + max([cell, *home.tolist(), *(v for r in visits for v in r)])
-    been = np.sort(np.array([r * k + v for r, row in enumerate(visits) for v in row], np.int64))
-    both = np.isin(i * k + home[j], been) & (home[j] < cell)
+    names, code = np.unique(np.concatenate([home, *map(np.asarray, visits)]).astype(np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), [len(r) for r in visits])
+    both = np.isin(i * len(names) + code[j], owner * len(names) + code[len(ids) :]) & (home[j] < cell)
     i, j = i[~both], j[~both]
     n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
     order = np.argsort(ids, kind="stable")
@@ -111,30 +117,62 @@ def compare(cell: int, ids: np.ndarray, x: np.ndarray, weight: np.ndarray, home:
     return rows, n[rows].astype(np.int64), ids[order][label[rank[rows]]]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float = 0.08, cell_rows: int = 1024, block_rows: int = 1024, max_cells: int = 4096, sample: int = 65_536) -> DataFrame:
+def place(classes: DataFrame, margin: float, cell_rows: int, full_rows: int, fan: int, broadcast_bytes: int) -> DataFrame:
+    """``id, home, visits``: the cells of every vector, as hashes of their names."""
+    tmp = Scratch(classes.sparkSession, "cells")
+    kind = classes.schema["e"].dataType.simpleString()
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = unit(table.column("e"))[np.argsort(table.column("id").to_numpy(), kind="stable")]
+        c = spherical_kmeans(x, int(table.column("k")[0].as_py()))
+        value = c.tobytes() if worth_cutting(x, c, margin) else b""
+        return pa.table({"cell": table.column("cell")[:1], "value": pa.array([value], pa.binary())})
+
+    def assign(b: pa.RecordBatch, value_of: Callable[[str], object]) -> pa.RecordBatch:
+        at, to, stays = [], [], []
+        names = np.array(b.column("cell").to_pylist(), object)
+        for cell in sorted(set(names)):
+            rows = np.flatnonzero(names == cell)
+            value = value_of(cell)
+            if not value:  # a clump: a name with ! isn't cut again
+                at.append(rows)
+                to += [f"{cell}!"] * len(rows)
+                stays.append(np.ones(len(rows), bool))
+                continue
+            x = unit(b.column("e").take(pa.array(rows)))
+            home, near = cells_of(x, np.frombuffer(value, np.float64).reshape(-1, x.shape[1]), margin)
+            i, j = np.nonzero(near)
+            at.append(rows[i])
+            to += [f"{cell}.{c}" for c in j.tolist()]
+            stays.append(home[i] == j)
+        i = np.concatenate(at) if at else np.zeros(0, np.int64)
+        lives = b.column("lives").to_numpy(zero_copy_only=False).astype(bool)[i] & (np.concatenate(stays) if at else np.zeros(0, bool))
+        took = pa.array(i)
+        return pa.RecordBatch.from_arrays([b.column("id").take(took), b.column("e").take(took), pa.array(to, pa.string()), pa.array(lives)], ["id", "e", "cell", "lives"])
+
+    here = classes.select("id", "e", F.size("e").cast("string").alias("cell"), F.lit(True).alias("lives"))
+    while True:
+        full = here.where("not endswith(cell, '!')").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > full_rows)
+        full = tmp.write(full.withColumn("k", F.least(F.lit(fan), F.ceil(F.col("n") / cell_rows)).cast("int")), "full")
+        if full.isEmpty():
+            break
+        of_hash = F.pmod(F.xxhash64("id", F.length("cell")), F.lit(1 << 20)) < F.col("k") / F.col("n") * (16 << 20)
+        sample = here.join(full, "cell").where(of_hash).select("cell", "k", "id", "e")
+        centroids = tmp.write(sample.groupBy("cell").applyInArrow(fit, "cell string, value binary"), "centroids")
+        cut = mapped_beside(here.join(full, "cell", "left_semi"), "cell", centroids, assign, f"id long, e {kind}, cell string, lives boolean", broadcast_bytes)
+        here = tmp.write(here.join(full, "cell", "left_anti").unionByName(cut), "cells")
+    cell = F.xxhash64("cell")
+    return here.groupBy("id").agg(F.max(F.when(F.col("lives"), cell)).alias("home"), F.collect_set(F.when(~F.col("lives"), cell)).alias("visits"))
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float = 0.06, cell_rows: int = 128, full_rows: int = 480, block_rows: int = 1024, fan: int = 1024, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """``vec_id, n_links, component_id`` of every row."""
-    spark, tmp = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
-    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    tmp = Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
-    sound = rows.where(SOUND)
-    lengths = sound.groupBy(F.size("e").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = lengths["dim"] if lengths else 1
-    sound = sound.where(F.size("e") == dim)
-    classes = tmp.write(sound.groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "classes")
-    cells = max(1, min(max_cells, classes.count() // cell_rows))
-    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(min(sample, 32 * cells)).select("e").collect() if cells > 1 else []
-    centroids = spherical_kmeans(unit([r["e"] for r in chosen]), cells) if cells > 1 else np.zeros((1, dim))
-    shared = spark.sparkContext.broadcast(centroids)  # at most max_cells vectors
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                x = unit(part.column("e"))
-                home, visits = cells_of(x, shared.value, margin)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("w"), part.column("e"), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["id", "w", "e", "home", "visits"])
-
-    placed = tmp.write(classes.select("id", "w", "e").mapInArrow(assign, f"id long, w long, e array<{kind}>, home int, visits array<int>"), "placed")
+    sound = rows.where(SOUND).withColumn("k1", F.xxhash64(F.lit(1), "e")).withColumn("k2", F.xxhash64(F.lit(2), "e"))
+    classes = tmp.write(sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("e").alias("e")), "classes")
+    cells = place(classes, margin, cell_rows, full_rows, fan, broadcast_bytes)
+    placed = tmp.write(classes.select("id", "w", "e").join(cells, "id").withColumn("visits", F.array_except("visits", F.array("home"))), "placed")
     stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))).withColumn("lives", F.col("cell") == F.col("home"))
     blocks_of = lambda c: F.ceil(F.count_if(c) / block_rows).cast("int")
     sizes = stays.groupBy("cell").agg(blocks_of(F.col("lives")).alias("homes"), blocks_of(~F.col("lives")).alias("guests"))
@@ -177,7 +215,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
     whole = connected_components(found.where("src <> dst").select("src", "dst")).withColumnRenamed("node", "id")
     known = classes.join(counts, "id", "left").join(whole, "id", "left")
-    known = known.select("e", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    others = rows.where(f"not coalesce({SOUND} and size(e) = {dim}, false)")
-    linked = sound.join(known, "e").select("vec_id", "n_links", "component_id")
+    known = known.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    others = rows.where(f"not coalesce({SOUND}, false)")
+    linked = sound.join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

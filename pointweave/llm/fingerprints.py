@@ -13,8 +13,9 @@ partitions without another shuffle, a document's words never meet in one row, an
 is a third of the corpus takes one pass of a hash aggregate.
 
 Defined cases: a null text is empty; a text without words has samples of its own kind, equal
-for all such texts; rows that repeat an id count as one document, the one whose text sorts
-first; rows without an id are fingerprinted one by one without a next document.
+for all such texts; rows that repeat an id are documents of their own, in the
+order of their texts' hashes; rows without an id are fingerprinted one by one without a next document; a text of any length is
+one row until its words are counted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,24 +65,28 @@ def as_text(fp: str) -> F.Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
 
 
-def neighbours(ids: DataFrame, tmp: Scratch, parts: int) -> DataFrame:
-    """``id, n, next_id, prev_id, prev_n`` of rows ``id, n`` with distinct ids: the order is a ring.
+ORDER = ["id", "h", "key"]
 
-    Ids are dealt by range; only each part's first and last row meet in one place.
+
+def neighbours(rows: DataFrame, tmp: Scratch, parts: int) -> DataFrame:
+    """``key, n, next_key, prev_key, prev_n`` of rows ``id, h, key, n`` with distinct keys; in their order they are a ring.
+
+    Rows are dealt by range; only each part's first and last row meet in one place.
     """
-    dealt = tmp.write(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ids")
-    inside = W.partitionBy("part").orderBy("id")
-    ends = dealt.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max_by("n", "id").alias("last_n"))
-    ring, every = W.orderBy("part"), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row per part
+    dealt = tmp.write(rows.repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id()), "keys")
+    inside, order = W.partitionBy("part").orderBy(*ORDER), F.struct(*ORDER)
+    ends = dealt.groupBy("part").agg(F.min_by("key", order).alias("first_key"), F.max_by("key", order).alias("last_key"), F.max_by("n", order).alias("last_n"))
+    ring, every = W.orderBy("part"), W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row per part
     bridge = ends.select(
         "part",
-        F.coalesce(F.lead("first_id").over(ring), F.min("first_id").over(every)).alias("onward"),
-        F.coalesce(F.lag("last_id").over(ring), F.max("last_id").over(every)).alias("back"),
-        F.coalesce(F.lag("last_n").over(ring), F.max_by("last_n", "last_id").over(every)).alias("back_n"),
+        F.coalesce(F.lead("first_key").over(ring), F.first("first_key").over(every)).alias("onward"),
+        F.coalesce(F.lag("last_key").over(ring), F.last("last_key").over(every)).alias("back"),
+        F.coalesce(F.lag("last_n").over(ring), F.last("last_n").over(every)).alias("back_n"),
     )
-    beside = dealt.withColumn("next_id", F.lead("id").over(inside)).withColumn("prev_id", F.lag("id").over(inside)).withColumn("prev_n", F.lag("n").over(inside))
+    beside = dealt.withColumn("next_key", F.lead("key").over(inside)).withColumn("prev_key", F.lag("key").over(inside)).withColumn("prev_n", F.lag("n").over(inside))
     full = beside.join(bridge, "part")
-    return full.select("id", "n", F.coalesce("next_id", "onward").alias("next_id"), F.coalesce("prev_id", "back").alias("prev_id"), F.when(F.col("prev_id").isNull(), F.col("back_n")).otherwise(F.col("prev_n")).alias("prev_n"))
+    before = F.when(F.col("prev_key").isNull(), F.col("back_n")).otherwise(F.col("prev_n"))
+    return full.select("key", "id", "n", F.coalesce("next_key", "onward").alias("next_key"), F.coalesce("prev_key", "back").alias("prev_key"), before.alias("prev_n"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 32) -> DataFrame:
@@ -92,21 +97,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "fingerprints")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("id is not null")
-    sizes = tmp.write(known.select("id", F.length("text").alias("n")), "sizes")
-    if not sizes.groupBy("id").count().where("count > 1").isEmpty():
-        known = known.groupBy("id").agg(F.min("text").alias("text"))
-        sizes = tmp.write(known.select("id", F.length("text").alias("n")), "sizes")
+    known = rows.where("id is not null").withColumn("key", F.col("id"))
+    sizes = tmp.write(known.select("id", F.lit(0).cast("long").alias("h"), "key", F.length("text").alias("n")), "sizes")
+    if not sizes.groupBy("id").count().where("count > 1").isEmpty():  # rows that share an id need keys of their own
+        known = tmp.write(known.withColumn("key", F.monotonically_increasing_id()), "rows")
+        sizes = tmp.write(known.select("id", F.xxhash64("text").alias("h"), "key", F.length("text").alias("n")), "sizes")
     beside = tmp.write(neighbours(sizes, tmp, parts), "beside")
-    dealt = known.repartition(parts, "id").join(beside, "id")
-    heads = dealt.select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, prev_n div 4)").alias("head"))
-    joined = dealt.select("id", "n", "text").join(heads.repartition(parts, "id"), "id")
-    edited = joined.select("id", "text", F.expr("substring(text, 1, n - n div 4) || head").alias("edited"))
-    fps = sketches(edited.select("id", "text", "edited"), "id", ["text", "edited"], samples)
-    digest = edited.select("id", F.sha2("edited", 256).alias("edited_sha256"))
-    fps = tmp.write(fps.join(digest, "id"), "fps")
-    next_fp = fps.select(F.col("id").alias("next_id"), F.col("fp_text").alias("fp_next"))
-    whole = fps.join(beside.select("id", "n", "next_id"), "id").join(next_fp, "next_id")
+    dealt = known.select("key", "text").repartition(parts, "key").join(beside, "key")
+    heads = dealt.select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, prev_n div 4)").alias("head"))
+    joined = dealt.select("key", "n", "text").join(heads.repartition(parts, "key"), "key")
+    edited = joined.select("key", "text", F.expr("substring(text, 1, n - n div 4) || head").alias("edited"))
+    fps = sketches(edited.select("key", "text", "edited"), "key", ["text", "edited"], samples)
+    digest = edited.select("key", F.sha2("edited", 256).alias("edited_sha256"))
+    fps = tmp.write(fps.join(digest, "key"), "fps")
+    next_fp = fps.select(F.col("key").alias("next_key"), F.col("fp_text").alias("fp_next"))
+    whole = fps.join(beside.select("key", "id", "n", "next_key"), "key").join(next_fp, "next_key")
     out = whole.select("id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fp_text", "fp_edited", "fp_next")
     lone = rows.where("id is null").withColumn("row", F.monotonically_increasing_id())
     lone = tmp.write(lone.select("row", "text", F.expr("substring(text, 1, length(text) - length(text) div 4)").alias("edited")), "lone")

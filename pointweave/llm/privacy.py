@@ -7,22 +7,24 @@ recurses nor rescans: separators inside a card number and dots inside a domain a
 a mark of the same length.
 
 Terms.  Each distinct value found is a protected entity e.  A term t (a lower-cased word of
-three letters or more) that stands on a line with e tells about it
+three letters or more, known by its hash) that stands within ``reach`` code points of e tells about it
 
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 + ln(P(t, e) / P(t)) / ln(1 / P(e)),
 
 1 if t occurs only with e, 0 if they are independent; probabilities are shares of all
-documents of the corpus.  A term whose disclosure reaches ``threshold`` and which
-stands with e on ``support`` or more different lines (copies of a line are one) is removed
-like e itself: it gets spans of kind ``term`` in documents that hold e.  ``around`` lines before and after
-e's own count as its line; ``smooth`` documents without e are added to P(t), a bound for terms seen seldom.
-``CORPUS`` is what the registered query and the pipeline take: every document counts, copies too, one is enough.
+documents of the corpus, each copy counting, and ``smooth`` documents without e are added to P(t), a bound for
+terms seen seldom.  A term whose disclosure reaches ``threshold`` is removed like e itself, wherever it
+stands, from documents that hold e: it gets spans of kind ``term``.  A document without e that holds ``together``
+or more of the terms that reveal it tells who is meant by their combination, and loses these terms too; fewer than
+that are chance.
 
-Word counts are summed in each task before the shuffle; text travels only for documents that
-hold an entity.
+Cost.  A text is cut into blocks of ``BLOCK`` code points once, and what lies around a span is cut from
+its blocks; running sums go by groups of ``GROUP`` matches.  So work grows with a text's length, whatever number
+of spans it holds.  Word counts are summed in each task before the shuffle, and no text is shuffled.
 
 Defined cases: a null text is empty; rows that repeat an id, or lack one, are documents of
-their own; a text that holds U+0001 or U+0002 is searched as if these were other letters.
+their own; a text that holds U+0001 or U+0002 is searched as if these were other letters; an entity that all
+documents hold has no terms; a text is searched whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -34,8 +36,7 @@ from pyspark.sql import functions as F
 
 from pointweave.sources.scratch import Scratch
 
-#: How all documents decide, not different lines.
-CORPUS = {"support": 1, "around": 1, "smooth": 1.0}
+BLOCK, GROUP = 1000, 256
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = r"A-Za-z0-9._%+\x01-"
@@ -52,14 +53,42 @@ def _marked(text: str, inner: str) -> str:
     return f"regexp_replace(translate({text}, '\\u0001', '\\u0002'), r'{inner}', '\\u0001')"
 
 
+def _scan(items: str, start: str, step: str, out: str, kind: str) -> str:
+    """SQL: for each x of an array what ``out`` makes of it and of the state s before it, in groups, so that the cost is linear; ``step`` is the next state."""
+    empty, groups = f"cast(array() as array<{kind}>)", f"cast(array() as array<array<{kind}>>)"
+    inner = f"aggregate(g, struct(o.s as s, {empty} as found), (i, x) -> struct({step.replace('s.', 'i.s.')} as s, array_append(i.found, {out.replace('s.', 'i.s.')}) as found))"
+    cut = f"transform(sequence(0, greatest(size(it) - 1, 0) div {GROUP}), k -> slice(it, k * {GROUP} + 1, {GROUP}))"
+    each = _once(inner, "r", "struct(r.s as s, array_append(o.all, r.found) as all)")
+    return _once(items, "it", f"aggregate({cut}, struct({start} as s, {groups} as all), (o, g) -> {each}, o -> flatten(o.all))")
+
+
+def _once(value: str, name: str, then: str) -> str:
+    """SQL: an expression that reads a value by name, which is so computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _places(text: str, pattern: str) -> str:
+    """SQL: the matches m of a pattern with their start."""
+    matches = f"regexp_extract_all({text}, r'{pattern}', 0)"
+    pieces = f"zip_with(slice(split({text}, r'{pattern}', -1), 1, size({matches})), {matches}, (p, m) -> struct(length(p) as p, m as m))"
+    return _scan(pieces, "struct(0 as at)", "struct(s.at + x.p + length(x.m) as at)", "struct(s.at + x.p as start, x.m as m)", "struct<start:int,m:string>")
+
+
 def _found(kind: int, text: str, pattern: str, may: str, value: str, sound: str) -> str:
     """SQL: spans of one kind; ``may`` tells cheaply whether there can be any, ``value`` and ``sound`` read m."""
-    places = f"""aggregate(
-        zip_with(slice(split({text}, r'{pattern}', -1), 1, size(regexp_extract_all({text}, r'{pattern}', 0))), regexp_extract_all({text}, r'{pattern}', 0), (p, m) -> struct(length(p) as p, m as m)),
-        struct(0 as at, cast(array() as array<{_SPAN}>) as spans),
-        (s, x) -> struct(s.at + x.p + length(x.m) as at, array_append(s.spans, named_struct('start', s.at + x.p, 'kind', {kind}, 'end', s.at + x.p + length(x.m), 'value', x.m)) as spans),
-        s -> transform(s.spans, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', {value.replace("m.", "x.value")})))"""
-    return f"case when {may} then filter({places}, x -> {sound}) else cast(array() as array<{_SPAN}>) end"
+    spans = f"transform({_places(text, pattern)}, y -> named_struct('start', y.start, 'kind', {kind}, 'end', y.start + length(y.m), 'value', {value.replace('m.', 'y.m')}))"
+    return f"case when {may} then filter({spans}, x -> {sound}) else cast(array() as array<{_SPAN}>) end"
+
+
+def blocks(text: str) -> str:
+    """SQL: a text in blocks of BLOCK code points."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}+', 0)"
+
+
+def _cut(of: str, lo: str, hi: str) -> str:
+    """SQL: code points lo to hi of a text that is given as blocks."""
+    inside = f"array_join(slice({of}, ({lo}) div {BLOCK} + 1, (({hi}) - 1) div {BLOCK} - ({lo}) div {BLOCK} + 1), '')"
+    return f"if(({hi}) > ({lo}), substring({inside}, ({lo}) % {BLOCK} + 1, ({hi}) - ({lo})), '')"
 
 
 def _digits(x: str) -> str:
@@ -86,49 +115,53 @@ def listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat_ws(':', element_at(array({names}), x.kind + 1), x.start, x.end)), ',')"
 
 
-def _words(line: str) -> str:
-    return f"array_distinct(regexp_extract_all(lower({line}), r'\\p{{L}}{{3,}}', 0))"
+def _words(text: str) -> str:
+    """SQL: hashes of the distinct lower-cased words of three letters or more."""
+    return f"array_distinct(transform(regexp_extract_all(lower({text}), r'\\p{{L}}{{3,}}+', 0), w -> xxhash64(w)))"
 
 
 class Found(NamedTuple):
-    """``rows``: row, doc_id, spans (base), text (where there are spans, or all), carry.  ``terms``: row, more (spans of kind term)."""
+    """``rows``: row, doc_id, text, spans (base), carry.  ``terms``: row, more (spans of kind term)."""
 
     rows: DataFrame
     terms: DataFrame
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 3, whole: bool = False, around: int = 0, smooth: float = 0.0) -> Found:
-    """whole: the rows keep all texts, and all columns of the documents in ``carry``."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, reach: int = 120, smooth: float = 1.0, together: int = 3, whole: bool = False, broadcast_rows: int = 1_000_000) -> Found:
+    """whole: the rows keep all columns of the documents in ``carry``.  Up to ``broadcast_rows`` terms go to the words of all documents by broadcast, more by a shuffle."""
     tmp = Scratch(docs.sparkSession, "privacy")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.struct(*docs.columns) if whole else F.lit(0)).alias("carry"))
     spans = texts.withColumn("spans", F.expr(base_spans("text"))).withColumn("row", F.monotonically_increasing_id())
-    kept = spans.select("row", "doc_id", "spans", "carry", F.when((F.size("spans") > 0) | F.lit(whole), F.col("text")).alias("text"))
-    rows = tmp.write(kept, "spans")
+    rows = tmp.write(spans.select("row", "doc_id", "text", "spans", "carry"), "spans")
+    # What stands around each entity; a word that the reach cuts is left out.
+    before = f"regexp_replace({_cut('blocks', f'greatest(s.start - {reach}, 0)', 's.start')}, if(s.start > {reach}, r'^\\p{{L}}+', r'\\A\\z'), '')"
+    after = f"regexp_replace({_cut('blocks', 's.end', f'least(s.end + {reach}, n)')}, if(s.end + {reach} < n, r'\\p{{L}}+$', r'\\A\\z'), '')"
+    near = f"transform(spans, s -> named_struct('e', xxhash64(s.kind, s.value), 'ts', {_words(f"concat_ws(' ', {before}, {after})")}))"
+    near = _once(blocks("text"), "blocks", _once("length(text)", "n", near))
     held = rows.where("size(spans) > 0")
-    # Entities with the lines that they stand on.
-    at = held.select("row", "text", F.explode("spans").alias("s"))
-    line = F.expr("concat(substring_index(substring(text, 1, s.start), '\n', %d), substring(text, s.start + 1, s.end - s.start), substring_index(substring(text, s.end + 1), '\n', %d))" % (-1 - around, 1 + around))
-    lines = tmp.write(at.select("row", F.xxhash64("s.kind", "s.value").alias("e"), line.alias("line")), "lines")
-    seen = lines.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("with_e"))
-    pair = lines.select("row", "e", F.xxhash64("line").alias("h"), F.explode(F.expr(_words("line"))).alias("t"))
-    many = pair.groupBy("e", "t", "h").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("lines")).where(F.col("lines") >= support)
-    both = pair.select("row", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both"))
-    strong = tmp.write(many.join(both, ["e", "t"]), "pairs")
+    around = tmp.write(held.select("row", F.explode(F.expr(near)).alias("x")).select("row", "x.*"), "around")
+    holds = tmp.write(around.select("row", "e").distinct(), "holds")
+    seen = holds.groupBy("e").agg(F.count("*").alias("with_e"))
+    pair = around.select("row", "e", F.explode("ts").alias("t")).distinct()
+    both = tmp.write(pair.groupBy("e", "t").agg(F.count("*").alias("both")), "pairs")
     # In how many documents each term stands: all documents count; summed in each task first.
-    every = texts.select(F.explode(F.expr(_words("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("with_t"))
+    word = rows.select("row", F.explode(F.expr(_words("text"))).alias("t"))
+    every = word.groupBy("t").agg(F.count("*").alias("with_t"))
     n = rows.count()
     tells = 1 + F.log(F.col("both") / (F.col("with_t") + smooth)) / F.log(F.lit(float(max(n, 1))) / F.col("with_e"))
-    known = strong.join(every, "t").join(seen, "e").where((F.col("with_e") < n) & (tells >= threshold)).select("e", "t")
-    known = tmp.write(known, "revealing")
-    marked = lines.select("row", "e").distinct().join(known, "e").groupBy("row").agg(F.collect_set("t").alias("ts"))
-    marked_texts = held.select("row", "text").join(marked, "row")
-    # Letter runs are split off in turn; runs that are revealing terms keep their places.
-    runs = f"""aggregate(
-        zip_with(slice(split(text, r'\\p{{L}}{{3,}}+', -1), 1, size(regexp_extract_all(text, r'\\p{{L}}{{3,}}+', 0))), regexp_extract_all(text, r'\\p{{L}}{{3,}}+', 0), (p, m) -> struct(length(p) as p, m as m)),
-        struct(0 as at, cast(array() as array<{_SPAN}>) as spans),
-        (s, x) -> struct(s.at + x.p + length(x.m) as at, if(array_contains(ts, lower(x.m)), array_append(s.spans, named_struct('start', s.at + x.p, 'kind', 4, 'end', s.at + x.p + length(x.m), 'value', x.m)), s.spans) as spans),
-        s -> s.spans)"""
-    return Found(rows, tmp.write(marked_texts.select("row", F.expr(runs).alias("more")), "terms"))
+    known = both.join(every, "t").join(seen, "e").where((F.col("with_e") < n) & (tells >= threshold))
+    known = tmp.write(known.select("e", "t", (F.col("with_t") > F.col("both")).alias("elsewhere")), "revealing")
+    # Each document meets the terms it has, not all that its entities have.
+    hit = word.join(F.broadcast(known) if known.count() <= broadcast_rows else known, "t").join(holds.withColumn("held", F.lit(True)), ["row", "e"], "left")
+    hit = tmp.write(hit.where("held or elsewhere").select("row", "e", "t", F.coalesce("held", F.lit(False)).alias("held")), "hits")
+    # Documents that don't hold the entity, but enough of its terms.
+    many = hit.where("not held").groupBy("row", "e").agg(F.count("*").alias("k")).where(F.col("k") >= together)
+    told = hit.where("not held").join(many, ["row", "e"], "left_semi")
+    marks = tmp.write(hit.where("held").unionByName(told).select("row", "t").distinct(), "marks")
+    runs = F.explode(F.expr(_places("text", r"\p{L}{3,}+"))).alias("x")
+    run = rows.join(marks.select("row").distinct(), "row", "left_semi").select("row", runs).select("row", F.xxhash64(F.lower("x.m")).alias("t"), F.expr("named_struct('start', x.start, 'kind', 4, 'end', x.start + length(x.m), 'value', x.m)").alias("s"))
+    found = run.join(marks, ["row", "t"], "left_semi").groupBy("row").agg(F.collect_list("s").alias("more"))
+    return Found(rows, tmp.write(found, "terms"))
 
 
 def all_spans(found: Found) -> DataFrame:
@@ -144,18 +177,19 @@ def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def redacted(text: str, spans: str) -> str:
     """SQL: the text with each span replaced by its kind in brackets; overlapping spans give one gap."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    return f"""aggregate({spans}, struct(0 as at, '' as out),
-        (s, x) -> case when x.start >= s.at then struct(x.end as at, concat(s.out, substring({text}, s.at + 1, x.start - s.at), element_at(array({names}), x.kind + 1)) as out)
-                       else struct(greatest(s.at, x.end) as at, s.out as out) end,
-        s -> concat(s.out, substring({text}, s.at + 1)))"""
+    marked = f"array_append({spans}, named_struct('start', length({text}), 'kind', -1, 'end', length({text}), 'value', ''))"
+    gaps = _scan("m", "struct(0 as at)", "struct(greatest(s.at, x.end) as at)", "struct(s.at as lo, x.start as hi, x.kind as kind)", "struct<lo:int,hi:int,kind:int>")
+    label = f"if(y.kind < 0, '', element_at(array({names}), y.kind + 1))"
+    piece = f"case when y.hi >= y.lo then concat({_cut('b', 'y.lo', 'y.hi')}, {label}) else '' end"
+    return _once(blocks(text), "b", _once(marked, "m", f"array_join(transform({gaps}, y -> {piece}), '')"))
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **how: object) -> DataFrame:
     """The documents with spans replaced in their texts; those without spans pass as they are."""
     found = find(docs, text_col=text_col, whole=True, **how)
-    clean = found.rows.where("size(spans) = 0").select("carry.*")
-    held = _with_terms(found.rows.where("size(spans) > 0").withColumnRenamed("spans", "base"), found.terms)
-    held = held.select("carry", F.expr(redacted("text", "spans")).alias("new"))
+    every = _with_terms(found.rows.withColumnRenamed("spans", "base"), found.terms)
+    clean = every.where("size(spans) = 0").select("carry.*")
+    held = every.where("size(spans) > 0").select("carry", F.expr(redacted("text", "spans")).alias("new"))
     fresh = {text_col: F.col("new"), length_col: F.length("new")}
     columns = [fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("carry").getField(c).alias(c) for c in docs.columns]
     return clean.unionByName(held.select(*columns))

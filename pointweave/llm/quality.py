@@ -1,12 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is cut at ASCII white space.  Its features are hashed into ``BUCKETS`` rows of a
-learned table: words, pairs of neighbouring words (two equal words share one bucket,
-whatever the word), and runs of 3 and 4 bytes that don't cross a word's ends (which count
-as a space).  The document is the mean, over these kinds, of the mean vector of the kind;
+learned table: words, pairs of neighbouring words in their order, and runs of 3 and 4 characters that
+don't cross a word's ends (which count as a space).  The document is the mean, over these kinds, of the mean vector of the kind;
 a softmax over it gives the classes.  Vectors and softmax are learned together by plain
 stochastic gradient descent in numpy, on at most ``sample`` labelled rows, chosen by the
-hash of their id; that sample's features, and only those, come to the driver.
+hash of their id, or as many of them as have features in ``sample_bytes``; these features, and only those, come to the driver.
 
 Since the output is linear in the table, scoring looks up one number per feature; whole
 texts stream through ``mapInArrow`` and nothing is shuffled.
@@ -47,9 +46,8 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 def features(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind: the buckets of all texts in a row, and where each text's begin and the last ends."""
-    lines = [b" ".join((t or b"").split()) for t in texts]
-    joined = b"".join(b" " + x + b" \0" for x in lines)
-    raw = np.frombuffer(joined, np.uint8)
+    lines = [b" ".join((t or b"").split()).decode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer("".join(f" {x} \0" for x in lines).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(x) + 3 for x in lines])
     b = raw.astype(np.uint64)
     gap = (raw == 32) | (raw == 0)
@@ -59,7 +57,7 @@ def features(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * up[:-1], dtype=np.uint64)])
     word = (total[stops] - total[starts]) * down[starts]
     owner = np.searchsorted(ends, starts, "right")
-    pair = (word[:-1] ^ word[1:])[owner[:-1] == owner[1:]]
+    pair = (word[:-1] * _P + word[1:])[owner[:-1] == owner[1:]]
     pair_owner = owner[1:][owner[:-1] == owner[1:]]
     out = []
     n = len(texts)
@@ -139,8 +137,8 @@ def is_held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000) -> Model:
-    """Learns from at most ``sample`` labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, sample_bytes: int = 100_000_000) -> Model:
+    """Learns from at most ``sample`` labelled rows that are not held out, the first in hash order, and ``sample_bytes`` of features."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~is_held_out("_id"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).join(F.broadcast(chosen), "_id")
@@ -150,9 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [_sparse(t.as_py()) for t in b.column("_t")]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["i", "y", "idx", "w"])
 
-    got = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(rows, "i long, y int, idx binary, w binary").collect()
-    got.sort(key=lambda r: (r["i"], r["y"], bytes(r["idx"])))
-    return train([(r["y"], np.frombuffer(r["idx"], np.uint16), np.frombuffer(r["w"], np.float32)) for r in got])
+    found = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(rows, "i long, y int, idx binary, w binary")
+    got, size = [], 0
+    for r in found.orderBy(F.xxhash64("i"), "i", "y", "idx").toLocalIterator():
+        got.append((r["y"], np.frombuffer(r["idx"], np.uint16), np.frombuffer(r["w"], np.float32)))
+        size += len(r["idx"]) + len(r["w"])
+        if len(got) == sample or size >= sample_bytes:
+            break
+    return train(got)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -42,6 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.packing import by_bytes
+from pointweave.llm.substring import rolling, word_hashes
 from pointweave.operators.components import connected_components
 from pointweave.sources.scratch import Scratch
 
@@ -230,17 +232,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 SHINGLE = 5
 PRINTS = 4
-TABLES, TABLE_BITS = 128, 20
+TABLES, TABLE_BITS = 80, 20
 #: For each table, the bits of the PRINTS fingerprints that make its key.
 _CHOSEN = np.stack([np.random.RandomState(SEED + t).permutation(64 * PRINTS)[:TABLE_BITS] for t in range(TABLES)])
 _WEIGHTS = 1 << np.arange(TABLE_BITS, dtype=np.int64)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct XXH64 values of the text's shingles of SHINGLE words."""
-    words = (text or b"").lower().split()
-    parts = {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of SHINGLE words; fewer words are one shingle."""
+    words, cut = word_hashes([(t or b"").lower() for t in texts])
+    at, run = rolling(words, cut, SHINGLE)
+    edge = np.searchsorted(at, cut)
+    out = []
+    for lo, hi, a, b in zip(edge, edge[1:], cut, cut[1:]):
+        if lo == hi and b > a:
+            out.append(rolling(words[a:b], np.array([0, b - a]), int(b - a))[1])
+        else:
+            out.append(np.unique(run[lo:hi]))
+    return out
 
 
 def _name_of(hashes: np.ndarray) -> int:
@@ -265,22 +274,30 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _batches_of_sets(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for part in by_bytes(b, b.num_columns - 1, 1_000_000):
+        yield part, shingle_sets(part.column(b.num_columns - 1).to_pylist())
+
+
 def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, name, fps, keys`` of every row with an id: its set's name, its fingerprints and its key in every table."""
+    """``id, h, name, fps, keys`` of every row with an id: the row's hash, its set's name, its fingerprints and its key in every table."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.arange(TABLES) << TABLE_BITS
         for b in batches:
-            names, fps, keys = [], [], []
-            for t in b.column(1):
-                hashes = shingle_set(t.as_py())
-                bits = wide_bits(hashes)
-                names.append(_name_of(hashes))
-                fps.append(np.packbits(bits).view(">i8").tolist())
-                keys.append((bits[_CHOSEN] @ _WEIGHTS + (np.arange(TABLES) << TABLE_BITS)).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "name", "fps", "keys"])
+            for part, sets in _batches_of_sets(b):
+                bits = [wide_bits(x) for x in sets]
+                fps = [np.packbits(x).view(">i8").tolist() for x in bits]
+                keys = [(x[_CHOSEN] @ _WEIGHTS + shift).tolist() for x in bits]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_name_of, sets), pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "h", "name", "fps", "keys"])
+
+    rows = docs.where(F.col(id_col).cast("long").isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(prints, "id long, h long, name long, fps array<long>, keys array<int>")
+
 
-    rows = docs.where(F.col(id_col).cast("long").isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(prints, "id long, name long, fps array<long>, keys array<int>")
+def row_hash(docs: DataFrame) -> F.Column:
+    """A hash of all columns: rows of one id with the same hash are the same row."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
 
 
 def _candidates(held: list[Row], probes: list[Row] | None, radius: int, nearest: bool) -> list[tuple[int, int, int]]:
@@ -356,12 +373,12 @@ def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> Data
 def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have that Jaccard similarity or more."""
     names = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))).distinct()
-    ids = classes.select("id", "name").join(names, "name")
+    ids = tmp.write(classes.select("id", "name").join(names, "name"), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name_of(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["id", "name", "hashes"])
+            for part, found in _batches_of_sets(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_name_of, found), pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["id", "name", "hashes"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids.select("id").distinct(), "id", "left_semi")
     held = texts.mapInArrow(sets, "id long, name long, hashes array<long>").join(ids, ["id", "name"], "left_semi").dropDuplicates(["name"])
@@ -373,38 +390,33 @@ def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame,
     return good
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 58, shard_rows: int = 256) -> DataFrame:
-    """``id, component`` of every row with an id: the smallest id that links of exact Jaccard similarity reach.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 52, shard_rows: int = 256) -> DataFrame:
+    """``id, h, component, first``: every row with an id, the smallest id that links of exact Jaccard similarity reach, and whether the row is its group's first.
 
-    Equal sets of 5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of
+    ``h`` is the row's hash (``row_hash``); a group's first row is that with the smallest id, then hash.  Equal sets of
+    5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of
     the 64 * PRINTS bits of their SimHashes, and are candidates within ``radius`` bits by the shard's BK-trees; every link
     is checked on the sets themselves.  At a similarity of 0.8 a bit differs with a chance of 0.15: a pair meets with a
-    chance of about 1 - (1 - 0.85 ** 20) ** 128 = 0.99, and differs in 39 of 256 bits, give or take 6.
+    chance of about 1 - (1 - 0.85 ** 20) ** 80 = 0.95, and differs in 39 of 256 bits, give or take 6; at 0.85 these are 0.99 and 33.
 
-    First each class is tried with its nearest candidate of another group, until that joins nothing more; then
-    all candidates that are still in different groups.  No candidate goes unchecked, but in one group.
+    First each class of a shard is tried with the nearest one before it, which is enough to join a clump;
+    then all candidates that are still in different groups.  No candidate goes unchecked, but in one group.
     """
     tmp = Scratch(docs.sparkSession, "copies")
     prints = tmp.write(_wide_prints(docs, id_col, text_col), "prints")
-    classes = tmp.write(prints.groupBy("name").agg(F.min("id").alias("id"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "classes")
+    one = F.min_by(F.struct("fps", "keys"), F.struct("id", "h"))
+    classes = tmp.write(prints.groupBy("name").agg(F.min(F.struct("id", "h")).alias("row"), one.alias("s")).select("name", "row.id", "row.h", "s.fps", "s.keys"), "classes")
     met = tmp.write(_met(classes, shard_rows), "met")
     state = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", F.col("name").alias("grp")), "state")
-    tried = links = None
-    nearest = True
-    while True:
-        pairs = _pairs(met, state, radius, nearest)
-        pairs = tmp.write(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"), "pairs")
-        good = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-        joined = not good.isEmpty()
-        if joined:
-            whole = tmp.write(connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp")), "groups")
-            state = tmp.write(state.drop("grp").join(whole, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "state")
-        if not nearest:
-            break
-        nearest = joined
-    grouped = classes.select("name", "id").join(state.select("name", "grp"), "name", "left").withColumn("grp", F.coalesce("grp", "name"))
-    lowest = grouped.groupBy("grp").agg(F.min("id").alias("component"))
-    named = tmp.write(grouped.join(lowest, "grp").select("name", "component"), "named")
-    return prints.select("id", "name").join(named, "name").select("id", "component")
+    pairs = tmp.write(_pairs(met, state, radius, nearest=True), "nearest")
+    links = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
+    groups = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp"))
+    state = tmp.write(state.drop("grp").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "state")
+    others = tmp.write(_pairs(met, state, radius, nearest=False).join(pairs, ["src", "dst"], "left_anti"), "others")
+    links = links.unionByName(_alike(tmp, others, classes, docs, id_col, text_col, similarity))
+    groups = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp"))
+    grouped = tmp.write(classes.select("name", "id", "h").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "groups")
+    lowest = grouped.groupBy("grp").agg(F.min(F.struct("id", "h")).alias("low"))
+    named = tmp.write(grouped.join(lowest, "grp").select("name", "low"), "named")
+    first = (F.col("id") == F.col("low.id")) & (F.col("h") == F.col("low.h"))
+    return prints.select("id", "h", "name").join(named, "name").select("id", "h", F.col("low.id").alias("component"), first.alias("first"))

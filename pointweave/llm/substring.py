@@ -11,16 +11,17 @@ a reference block.  Documents are dealt by hash into chunks of about ``chunk_byt
    hash's bucket; a chunk names a hash once, however often it holds it;
 2. a bucket answers each chunk with the hashes that are a block somewhere and occur twice;
 3. the windows around these hits are extended to full length: the chunk sends each such
-   window's 64-bit hash once, with its first place; the bucket keeps the earliest of all chunks
-   and tells the others that theirs is a repeat;
+   window's hash of 96 bits, from two independent hashes of its words, once, with its first place; the bucket keeps the
+   earliest of all chunks and tells the others that theirs is a repeat;
 4. the chunk joins its repeats to maximal stretches and drops them.
 
-What travels is packed numbers, one row for each chunk and bucket, so a passage that a third of
-all documents share is one number in each chunk; no pairs of places are ever made.  The
+What travels is packed numbers, one row for each chunk and each bucket that it has hashes for, so never more rows than
+words, and a passage that a third of all documents share is one number in each chunk; no pairs of places are ever made.  The
 three passes over the text read one shuffle of it.
 
-Defined cases: a null text has no words; a null id is the largest; rows that repeat an id are
-documents in the order of their texts.
+Defined cases: a null text has no words; a null id is the largest; rows that repeat an id (or null) are
+documents in the order of their chunks (a hash of id and text), then of their texts; a text of any length lies whole in one
+chunk; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Powers of this make the second, independent hash.
+_P2 = np.uint64(0xBF58476D1CE4E5B9)
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32, 0]] = True  # 0 parts the documents; a text's own zero bytes are moved out of the way
 
@@ -56,8 +59,8 @@ def _steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of all texts in a row, and where each text's words begin and the last end."""
+def word_hashes(texts: list[bytes], base: np.uint64 = _P) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts in a row, by powers of ``base``, and where each text's words begin and the last end."""
     out, counts = [], []
     at = 0
     while at < len(texts):
@@ -69,7 +72,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         gap = _GAP[raw]
         starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
         stops = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-        up, down = np.full(len(raw), _P), np.full(len(raw), np.uint64(pow(int(_P), -1, 1 << 64)))
+        up, down = np.full(len(raw), base), np.full(len(raw), np.uint64(pow(int(base), -1, 1 << 64)))
         up[0] = down[0] = 1
         up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         total = np.zeros(len(raw) + 1, np.uint64)
@@ -116,14 +119,28 @@ class _Chunk:
     def hash(self) -> None:
         self.words, self.cut = word_hashes(self.texts)
 
+    def second(self, window: int) -> np.ndarray:
+        """32 more bits of every window."""
+        words, cut = word_hashes(self.texts, _P2)
+        return (rolling(words, cut, window)[1] >> np.uint64(32)).astype(np.uint32)
+
 
 def _codes(run: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket in the upper half, the rest of the hash in the lower."""
     return ((run >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (run & np.uint64(0xFFFFFFFF))
 
 
-def _by_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(codes, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+def _runs(bucket: np.ndarray) -> list[tuple[int, slice]]:
+    """Each bucket of a sorted array, and where it stands."""
+    edge = np.flatnonzero(np.diff(bucket)) + 1
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip([0, *edge], [*edge, len(bucket)]) if a < b]
+
+
+def _differs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a row of two columns is unlike the one before."""
+    out = np.ones(len(a), bool)
+    out[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return out
 
 
 _ASK = "bucket int, chunk int, a binary, b binary, c binary"
@@ -146,7 +163,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def probe(table: pa.Table) -> pa.Table:
         c = _Chunk(table)
@@ -155,12 +172,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         codes, first, times = np.unique(_codes(run, buckets), return_index=True, return_counts=True)
         aligned = (at - np.repeat(c.cut[:-1], np.diff(c.cut))[at]) % block == 0
         is_block = np.isin(codes, _codes(run[aligned], buckets))
-        edge, out = _by_bucket(codes, buckets), []
-        for k in range(buckets):
-            s = slice(edge[k], edge[k + 1])
-            if edge[k] < edge[k + 1]:
-                out.append((k, table.column("chunk")[0].as_py(), _squash(_steps(codes[s].astype(np.uint32))), np.packbits(is_block[s]).tobytes(), np.packbits(times[s] > 1).tobytes()))
-        return _table(out, _ASK_SCHEMA)
+        chunk = table.column("chunk")[0].as_py()
+        packed = lambda s: (_squash(_steps(codes[s].astype(np.uint32))), np.packbits(is_block[s]).tobytes(), np.packbits(times[s] > 1).tobytes())
+        return _table([(k, chunk, *packed(s)) for k, s in _runs((codes >> np.uint64(32)).astype(np.int64))], _ASK_SCHEMA)
 
     def match(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
@@ -191,36 +205,36 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seen = np.cumsum(seen)  # hits before each place
         at, run = rolling(c.words, c.cut, window)
         near = seen[np.minimum(at + block + 1, len(seen) - 1)] > seen[at]
-        at, run = at[near], run[near]
-        first = np.sort(np.unique(run, return_index=True)[1])
+        at, run, more = at[near], run[near], c.second(window)[near] if near.any() else np.zeros(0, np.uint32)
+        order = np.lexsort((more, run))  # stable: equal windows in order of their places
+        first = np.sort(order[_differs(run[order], more[order])])
         again = np.ones(len(at), bool)
         again[first] = False  # a later place in this chunk is a repeat, whatever the other chunks hold
         chunk = left.column("chunk")[0].as_py()
         out = [(-1 - chunk, chunk, None, _squash(_steps(at[again].astype(np.uint32))), None)] if again.any() else []
-        at, run = at[first], run[first]
+        at, run, more = at[first], run[first], more[first]
         # Sorted by bucket, then place: hashes, places, and the ids of the documents (null last).
         bucket = (run >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        at, run, edge = at[order], run[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        at, run, more = at[order], run[order], more[order]
         owner = np.searchsorted(c.cut, at, "right") - 1
         ids = np.array([np.iinfo(np.int64).max if i is None else i for i in c.ids], np.int64)[owner]
-        for k in range(buckets):
-            if edge[k] < edge[k + 1]:
-                s = slice(edge[k], edge[k + 1])
-                out.append((k, chunk, run[s].tobytes(), _squash(_steps(at[s].astype(np.uint32))), _squash(_steps(ids[s]))))
+        for k, s in _runs(bucket[order].astype(np.int64)):
+            out.append((k, chunk, run[s].tobytes() + more[s].tobytes(), _squash(_steps(at[s].astype(np.uint32))), _squash(_steps(ids[s]))))
         return _table(out, _ASK_SCHEMA)
 
     def decide(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
         if asked[0]["bucket"] < 0:  # a chunk's word to itself
             return _table([(r["chunk"], None, r["b"]) for r in asked], _TELL_SCHEMA)
-        runs = [np.frombuffer(r["a"], np.uint64) for r in asked]
+        runs = [np.frombuffer(r["a"], np.uint64, len(r["a"]) // 12) for r in asked]
         run = np.concatenate(runs)
+        more = np.concatenate([np.frombuffer(r["a"], np.uint32, offset=len(r["a"]) // 12 * 8) for r in asked])
         doc = np.concatenate([np.cumsum(_unsquash(r["c"], np.int64)) for r in asked])
         chunk = np.repeat([r["chunk"] for r in asked], [len(x) for x in runs])
-        order = np.lexsort((chunk, doc, run))
+        order = np.lexsort((chunk, doc, more, run))
         late = np.zeros(len(run), bool)
-        late[order[1:]] = run[order[1:]] == run[order[:-1]]
+        late[order[~_differs(run[order], more[order])]] = True
         out, lo = [], 0
         for r, x in zip(asked, runs):
             mine = late[lo : lo + len(x)]

@@ -34,8 +34,22 @@ def test_likeness_estimates_weighted_jaccard(spark):
     assert got[None]["fp_next"] is None and got[None]["n_chars"] == 15
 
 
-def test_repeated_ids_and_few_rows(spark):
-    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id long, text string")
+def test_repeated_ids_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "bbbb"), (1, "aaaa"), (1, "aaaa"), (2, "cccc")], "doc_id long, text string")
     out = fp.edited_fingerprints(docs, samples=4).collect()
-    assert [(r["id"], r["n_chars"], r["edited_sha256"]) for r in out] == [(1, 1, hashlib.sha256(b"a").hexdigest())]
+    edits = sorted((r["id"], r["n_chars"], r["edited_sha256"]) for r in out)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ways = []
+    for order in (["aaaa", "aaaa", "bbbb"], ["bbbb", "aaaa", "aaaa"]):  # equal texts lie side by side
+        ring = [*((1, t) for t in order), (2, "cccc")]
+        ways.append(sorted((i, 4, sha(t[:3] + ring[(k + 1) % 4][1][0])) for k, (i, t) in enumerate(ring)))
+    assert edits in ways
+    one = fp.edited_fingerprints(docs.where("doc_id = 2"), samples=4).collect()
+    assert [(r["id"], r["edited_sha256"]) for r in one] == [(2, sha("cccc"))]
     assert fp.edited_fingerprints(docs.limit(0), samples=4).count() == 0
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    out = {r["id"]: r for r in fp.edited_fingerprints(spark.createDataFrame([(1, long), (2, long), (3, "short")], "doc_id long, text string"), samples=4).collect()}
+    assert out[1]["fp_text"] == out[2]["fp_text"] != out[3]["fp_text"] and out[1]["n_chars"] == len(long)

@@ -6,7 +6,7 @@ from pointweave.llm import simhash
 
 
 def jaccard(a: str, b: str) -> float:
-    x, y = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+    x, y = (set(s.tolist()) for s in simhash.shingle_sets([a.encode(), b.encode()]))
     return len(x & y) / len(x | y)
 
 
@@ -61,3 +61,18 @@ def test_chunks_of_a_hot_shard(spark):
     words = [f"u{k}" for k in range(300)]
     docs = spark.createDataFrame([(k, " ".join([*words, f"end{k}"])) for k in range(40)], "doc_id long, text string")
     assert {r["component"] for r in simhash.near_copies(docs, shard_rows=8).collect()} == {0}
+
+
+def test_sets_of_short_texts_and_a_very_long_one():
+    long = b" ".join(b"w%d" % (k % 70_000) for k in range(300_000))
+    sets = simhash.shingle_sets([b"a b", None, b"A  b\n", b"a b c d e", b"", b"b a", long])
+    assert [len(s) for s in sets] == [1, 0, 1, 1, 0, 1, 70_000]
+    assert sets[0].tolist() == sets[2].tolist() != sets[5].tolist()
+    assert len(simhash.wide_bits(sets[6])) == 256
+
+
+def test_rows_that_share_an_id(spark):
+    words = [f"u{k}" for k in range(100)]
+    rows = [(1, " ".join(words), "a"), (1, " ".join(words), "b"), (1, " ".join(words), "b"), (1, "quite another text than that", "a"), (2, " ".join(words), "a")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [r["component"] for r in got] == [1] * 5 and sorted(r["first"] for r in got) in ([False] * 3 + [True] * 2, [False] * 2 + [True] * 3)
