@@ -26,18 +26,20 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the smallest id of each group of near copies.
 
     Copies link at a Jaccard similarity of 0.8 or more of their distinct 5-word shingles: SimHashes of the shingles find
-    the candidates, and each link is checked on the shingles themselves.  Rows that share an id are one document;
-    rows without an id stay.
+    the candidates, and each link is checked on the shingles themselves.  Rows that share an id are documents of their own,
+    of which a group keeps one, by the hash of all columns; of rows that agree in all columns one stays.  Rows without an id stay.
     """
-    groups = simhash.near_copies(docs)
-    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = simhash.near_copies(docs).where("first").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    kept = Scratch(spark, "kept").write(kept.groupBy("_id", "_h").agg(F.count("*").alias("_n")), "rows")
+    here = docs.withColumn("_h", simhash.row_hash(docs))
+    same = lambda some: here.join(some, (F.col("doc_id").cast("long") == F.col("_id")) & (here["_h"] == some["_h"]), "left_semi").select(*docs.columns)
+    once = same(kept.where("_n = 1")).unionByName(same(kept.where("_n > 1")).distinct())
+    return once.unionByName(docs.where(F.col("doc_id").cast("long").isNull())).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it replaced by their kinds."""
-    return privacy.sanitised(docs, **privacy.CORPUS)
+    return privacy.sanitised(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tier_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000)  # earlier stages' workers hold memory too
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), table_bytes=80_000_000)  # earlier stages' workers hold memory too
 
 
 STAGES = [
