@@ -87,18 +87,19 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
     that no pair connects are independent, and each is solved in one task of up to ``group_limit`` rows.
     Returns ``super_id, cluster`` and ``i, j, forced, decision, soma_conflict``; the last marks forced pairs that joined two somata.
     """
-    pairs = forced.select("i", "j", F.lit(True).alias("forced"), F.lit(None).cast("long").alias("end_i"), F.lit(None).cast("long").alias("end_j"), F.lit(1e308).alias("score"))
+    pairs = forced.select("i", "j", F.lit(True).alias("forced"), F.lit(0).cast("long").alias("end_i"), F.lit(0).cast("long").alias("end_j"), F.lit(1e308).alias("score"))
     pairs = pairs.unionByName(candidates.select("i", "j", F.lit(False).alias("forced"), F.col("end_i").cast("long").alias("end_i"), F.col("end_j").cast("long").alias("end_j"), "score"))
     comp = connected_components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     nodes = supers.select(F.col("super_id").alias("node"), "n_obs", "has_soma").join(comp, "node")
-    rows = nodes.select("component", F.col("node").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(False).alias("forced"), F.lit(None).cast("long").alias("end_i"), F.lit(None).cast("long").alias("end_j"), F.lit(0.0).alias("score"), "n_obs", "has_soma")
+    rows = nodes.select("component", F.col("node").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("forced"), F.lit(0).cast("long").alias("end_i"), F.lit(0).cast("long").alias("end_j"), F.lit(0.0).alias("score"), "n_obs", "has_soma")
     edges = pairs.join(comp.select(F.col("node").alias("i"), "component"), "i").select("component", "i", "j", "forced", "end_i", "end_j", "score", F.lit(0).cast("long").alias("n_obs"), F.lit(False).alias("has_soma"))
-    every = rows.withColumn("n_obs", F.col("n_obs").cast("long")).unionByName(edges)
+    # No nulls among the ids: pandas would make them doubles.
+    every = rows.withColumn("n_obs", F.col("n_obs").cast("long")).withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > group_limit:
             raise ValueError(f"a stitching group has {len(pdf)} rows, more than {group_limit}: raise the score or lower the radius")
-        single = pdf[pdf["j"].isna()]
+        single = pdf[~pdf["edge"]]
         parent = {int(i): int(i) for i in single["i"]}
         size = dict(zip(parent, single["n_obs"].tolist()))
         soma = dict(zip(parent, single["has_soma"].fillna(False).tolist()))
@@ -109,7 +110,7 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
             return x
 
         used, out = set(), []
-        for r in pdf[~pdf["j"].isna()].sort_values(["forced", "score", "i", "j"], ascending=[False, False, True, True]).itertuples():
+        for r in pdf[pdf["edge"]].sort_values(["forced", "score", "i", "j"], ascending=[False, False, True, True]).itertuples():
             a, b = find(int(r.i)), find(int(r.j))
             conflict = False
             ends = {(int(r.i), r.end_i), (int(r.j), r.end_j)}
@@ -134,7 +135,8 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
                 parent[gone], size[keep], soma[keep] = keep, size[a] + size[b], soma[a] or soma[b]
             out.append((int(r.i), int(r.j), bool(r.forced), why, conflict, None))
         out += [(i, None, False, None, False, find(i)) for i in parent]
-        return pd.DataFrame(out, columns=["i", "j", "forced", "decision", "soma_conflict", "cluster"]).astype({"j": "Int64", "cluster": "Int64"})
+        names = ["i", "j", "forced", "decision", "soma_conflict", "cluster"]
+        return pd.DataFrame({c: pd.array([r[k] for r in out], "Int64") if c in ("i", "j", "cluster") else [r[k] for r in out] for k, c in enumerate(names)})
 
     solved = every.groupBy("component").applyInPandas(solve, "i long, j long, forced boolean, decision string, soma_conflict boolean, cluster long")
     found = solved.where("decision is null").select(F.col("i").alias("super_id"), "cluster")
