@@ -128,9 +128,11 @@ class Found(NamedTuple):
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, reach: int = 120, smooth: float = 1.0, together: int = 3, whole: bool = False, broadcast_rows: int = 1_000_000) -> Found:
-    """whole: the rows keep all columns of the documents in ``carry``.  Up to ``broadcast_rows`` terms go to the words of all documents by broadcast, more by a shuffle."""
+    """whole: the rows keep all other columns of the documents in ``carry.c``, and in ``carry.gone`` whether the text was null.  Up to ``broadcast_rows`` terms go to the words of all documents by broadcast, more by a shuffle."""
     tmp = Scratch(docs.sparkSession, "privacy")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.struct(*docs.columns) if whole else F.lit(0)).alias("carry"))
+    others = F.struct(*[c for c in docs.columns if c != text_col])
+    carry = F.struct(others.alias("c"), F.col(text_col).isNull().alias("gone")) if whole else F.lit(0)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carry.alias("carry"))
     spans = texts.withColumn("spans", F.expr(base_spans("text"))).withColumn("row", F.monotonically_increasing_id())
     rows = tmp.write(spans.select("row", "doc_id", "text", "spans", "carry"), "spans")
     # What stands around each entity; a word that the reach cuts is left out.
@@ -161,7 +163,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     runs = F.explode(F.expr(_places("text", r"\p{L}{3,}+"))).alias("x")
     run = rows.join(marks.select("row").distinct(), "row", "left_semi").select("row", runs).select("row", F.xxhash64(F.lower("x.m")).alias("t"), F.expr("named_struct('start', x.start, 'kind', 4, 'end', x.start + length(x.m), 'value', x.m)").alias("s"))
     found = run.join(marks, ["row", "t"], "left_semi").groupBy("row").agg(F.collect_list("s").alias("more"))
-    return Found(rows, tmp.write(found, "terms"))
+    terms = tmp.write(found, "terms")
+    tmp.drop(around, holds, both, known, hit, marks)
+    return Found(rows, terms)
 
 
 def all_spans(found: Found) -> DataFrame:
@@ -188,8 +192,11 @@ def sanitised(docs: DataFrame, text_col: str = "text", length_col: str | None =
     """The documents with spans replaced in their texts; those without spans pass as they are."""
     found = find(docs, text_col=text_col, whole=True, **how)
     every = _with_terms(found.rows.withColumnRenamed("spans", "base"), found.terms)
-    clean = every.where("size(spans) = 0").select("carry.*")
-    held = every.where("size(spans) > 0").select("carry", F.expr(redacted("text", "spans")).alias("new"))
-    fresh = {text_col: F.col("new"), length_col: F.length("new")}
-    columns = [fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("carry").getField(c).alias(c) for c in docs.columns]
-    return clean.unionByName(held.select(*columns))
+    new = F.expr(f"case when size(spans) > 0 then {redacted('text', 'spans')} when not carry.gone then text end")
+    every = every.select("carry.c", (F.size("spans") > 0).alias("changed"), new.alias("new"))
+    fresh = {text_col: F.col("new")}
+    if length_col:
+        fresh[length_col] = F.when(F.col("changed"), F.length("new"))
+    old = {c: F.col("c").getField(c) for c in docs.columns if c != text_col}
+    columns = [F.coalesce(fresh[c].cast(docs.schema[c].dataType), *([old[c]] if c in old else [])).alias(c) if c in fresh else old[c].alias(c) for c in docs.columns]
+    return every.select(*columns)
