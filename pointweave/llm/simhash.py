@@ -138,6 +138,7 @@ class BKTree:
 
 
 Row = tuple[int, int, int]  # id, fp, fp2
+Sized = tuple[int, int, int, int]  # name, fp, group, size of the set
 
 
 def _joins(held: list[Row], probes: list[Row] | None, radius: int, far: int) -> list[tuple[int, int]]:
@@ -231,6 +232,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # Near copies at a Jaccard similarity of 5-word shingles.
 
 SHINGLE = 5
+SLACK = 1e-6  # so that rounding drops no pair that is just similar enough
 PRINTS = 4
 TABLES, TABLE_BITS = 80, 20
 #: For each table, the bits of the PRINTS fingerprints that make its key.
@@ -274,13 +276,34 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """For each of 2 to 4 buckets an element, whether it holds an odd number of them: little-endian bits.
+
+    The bits in which two sets differ are at most as many as the elements that only one of them holds.
+    """
+    k = max(6, (2 * len(hashes) - 1).bit_length())
+    bucket = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    odd = np.bincount((bucket & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two parities; the longer one is folded to the shorter one's length."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    for at in range(8 * len(a) // size):
+        y ^= x >> (at * size) & ((1 << size) - 1)
+    return y.bit_count()
+
+
 def _batches_of_sets(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in by_bytes(b, b.num_columns - 1, 1_000_000):
         yield part, shingle_sets(part.column(b.num_columns - 1).to_pylist())
 
 
 def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, name, fps, keys`` of every row with an id: the row's hash, its set's name, its fingerprints and its key in every table."""
+    """``id, h, name, n, odd, fps, keys`` of every row with an id: the row's hash, its set's name, size and parity, its fingerprints and its key in every table."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.arange(TABLES) << TABLE_BITS
@@ -289,10 +312,10 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bits = [wide_bits(x) for x in sets]
                 fps = [np.packbits(x).view(">i8").tolist() for x in bits]
                 keys = [(x[_CHOSEN] @ _WEIGHTS + shift).tolist() for x in bits]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_name_of, sets), pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "h", "name", "fps", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "h", "name", "n", "odd", "fps", "keys"])
 
     rows = docs.where(F.col(id_col).cast("long").isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(prints, "id long, h long, name long, fps array<long>, keys array<int>")
+    return rows.mapInArrow(prints, "id long, h long, name long, n int, odd binary, fps array<long>, keys array<int>")
 
 
 def row_hash(docs: DataFrame) -> F.Column:
@@ -300,11 +323,11 @@ def row_hash(docs: DataFrame) -> F.Column:
     return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
 
 
-def _candidates(held: list[Row], probes: list[Row] | None, radius: int, nearest: bool) -> list[tuple[int, int, int]]:
-    """(held name, probe name, distance) of rows (name, fingerprint, group) of different groups: each probe's nearest, or all."""
+def _candidates(held: list[Sized], probes: list[Sized] | None, radius: int, nearest: bool, similarity: float) -> list[tuple[int, int, int]]:
+    """(held name, probe name, distance) of rows (name, fingerprint, group, size) of different groups whose sizes allow the similarity: each probe's nearest, or all."""
     tree, at_node, out = BKTree(), [], []
 
-    def add(row: Row) -> None:
+    def add(row: Sized) -> None:
         node = tree.insert(row[1])
         if node == len(at_node):
             at_node.append([])
@@ -313,11 +336,11 @@ def _candidates(held: list[Row], probes: list[Row] | None, radius: int, nearest:
     if probes is not None:
         for row in held:
             add(row)
-    for name, fp, group in held if probes is None else probes:
-        found = [((tree.values[node] ^ fp).bit_count(), other) for node in tree.within(fp, radius) for other, _, theirs in at_node[node] if theirs != group]
+    for name, fp, group, n in held if probes is None else probes:
+        found = [((tree.values[node] ^ fp).bit_count(), other) for node in tree.within(fp, radius) for other, _, theirs, m in at_node[node] if theirs != group and min(n, m) >= similarity * max(n, m) - SLACK]
         out += [(other, name, d) for d, other in ([min(found)] if nearest and found else found)]
         if probes is None:
-            add((name, fp, group))
+            add((name, fp, group, n))
     return out
 
 
@@ -329,10 +352,10 @@ def _met(classes: DataFrame, shard_rows: int) -> DataFrame:
     return met.withColumn("own", F.pmod(F.xxhash64("name"), "chunks").cast("int"))
 
 
-def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> DataFrame:
+def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool, similarity: float) -> DataFrame:
     """``src, dst`` (src < dst), distinct pairs of different groups within the radius; nearest: one for each probe."""
-    dealt = met.join(state.select("name", "fps", "grp"), "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "name", "grp", *[F.col("fps")[k].alias(f"f{k}") for k in range(PRINTS)])
+    dealt = met.join(state.select("name", "fps", "grp", "n"), "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "name", "grp", "n", *[F.col("fps")[k].alias(f"f{k}") for k in range(PRINTS)])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows, out = None, [], []
@@ -341,7 +364,7 @@ def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> Data
             if shard and len({r[3] for r in rows}) > 1:
                 lo, hi = shard[1], shard[2]
                 held = [r[1:] for r in rows if r[0] == lo]
-                out.extend(_candidates(held, None if lo == hi else [r[1:] for r in rows if r[0] == hi], radius, nearest))
+                out.extend(_candidates(held, None if lo == hi else [r[1:] for r in rows if r[0] == hi], radius, nearest, similarity))
 
         def taken() -> pa.RecordBatch:
             columns = list(zip(*out)) or [(), (), ()]
@@ -349,7 +372,7 @@ def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> Data
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["held", "probe", "d"])
 
         for b in batches:
-            for *at, own, name, grp, f0, f1, f2, f3 in zip(*(c.to_pylist() for c in b.columns)):
+            for *at, own, name, grp, n, f0, f1, f2, f3 in zip(*(c.to_pylist() for c in b.columns)):
                 if at != shard:
                     close()
                     shard, rows = at, []
@@ -358,7 +381,7 @@ def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> Data
                 full = 0
                 for f in (f0, f1, f2, f3):
                     full = full << 64 | f % (1 << 64)
-                rows.append((own, name, full, grp))
+                rows.append((own, name, full, grp, n))
             yield taken()
         close()
         yield taken()
@@ -370,8 +393,26 @@ def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool) -> Data
     return found.select(F.least("held", "probe").alias("src"), F.greatest("held", "probe").alias("dst")).distinct()
 
 
+def _perhaps(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sizes and parities don't rule out the similarity; all that have it are among them.
+
+    At similarity s, sets of n and m elements differ in at most (n + m) (1 - s) / (1 + s) elements.
+    """
+    side = lambda name, n, odd: classes.select(F.col("name").alias(name), F.col("n").alias(n), F.col("odd").alias(odd))
+    both = pairs.join(side("src", "n", "a"), "src").join(side("dst", "m", "b"), "dst").select("src", "dst", (F.col("n") + F.col("m")).alias("all"), "a", "b")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = b.column(2).to_numpy() * ((1 - similarity) / (1 + similarity)) + SLACK
+            apart = np.fromiter(map(_apart, b.column(3).to_pylist(), b.column(4).to_pylist()), np.int64, b.num_rows)
+            yield b.select([0, 1]).filter(pa.array(apart <= most))
+
+    return both.mapInArrow(kept, "src long, dst long")
+
+
 def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have that Jaccard similarity or more."""
+    pairs = tmp.write(_perhaps(pairs, classes, similarity), "perhaps")
     names = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))).distinct()
     ids = tmp.write(classes.select("id", "name").join(names, "name"), "asked")
 
@@ -386,7 +427,7 @@ def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame,
     both = pairs.join(held.select(F.col("name").alias("src"), F.col("hashes").alias("a")), "src").join(held.select(F.col("name").alias("dst"), F.col("hashes").alias("b")), "dst")
     shared = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
     good = tmp.write(shared.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("src", "dst"), "alike")
-    tmp.drop(held)
+    tmp.drop(held, ids, pairs)
     return good
 
 
@@ -396,7 +437,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``h`` is the row's hash (``row_hash``); a group's first row is that with the smallest id, then hash.  Equal sets of
     5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of
     the 64 * PRINTS bits of their SimHashes, and are candidates within ``radius`` bits by the shard's BK-trees; every link
-    is checked on the sets themselves.  At a similarity of 0.8 a bit differs with a chance of 0.15: a pair meets with a
+    is checked on the sets themselves, once the sets' sizes and parities, whose difference bounds that of the sets from
+    below, leave it possible.  At a similarity of 0.8 a bit differs with a chance of 0.15: a pair meets with a
     chance of about 1 - (1 - 0.85 ** 20) ** 80 = 0.95, and differs in 39 of 256 bits, give or take 6; at 0.85 these are 0.99 and 33.
 
     First each class of a shard is tried with the nearest one before it, which is enough to join a clump;
@@ -404,19 +446,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     tmp = Scratch(docs.sparkSession, "copies")
     prints = tmp.write(_wide_prints(docs, id_col, text_col), "prints")
-    one = F.min_by(F.struct("fps", "keys"), F.struct("id", "h"))
-    classes = tmp.write(prints.groupBy("name").agg(F.min(F.struct("id", "h")).alias("row"), one.alias("s")).select("name", "row.id", "row.h", "s.fps", "s.keys"), "classes")
+    one = F.min_by(F.struct("fps", "keys", "n", "odd"), F.struct("id", "h"))
+    classes = tmp.write(prints.groupBy("name").agg(F.min(F.struct("id", "h")).alias("row"), one.alias("s")).select("name", "row.id", "row.h", "s.fps", "s.keys", "s.n", "s.odd"), "classes")
     met = tmp.write(_met(classes, shard_rows), "met")
-    state = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", F.col("name").alias("grp")), "state")
-    pairs = tmp.write(_pairs(met, state, radius, nearest=True), "nearest")
-    links = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
-    groups = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp"))
+    state = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", "n", F.col("name").alias("grp")), "state")
+    pairs = tmp.write(_pairs(met, state, radius, True, similarity), "nearest")
+    alike = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
+    groups = connected_components(alike).select(F.col("node").alias("name"), F.col("component").alias("grp"))
     state = tmp.write(state.drop("grp").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "state")
-    others = tmp.write(_pairs(met, state, radius, nearest=False).join(pairs, ["src", "dst"], "left_anti"), "others")
-    links = links.unionByName(_alike(tmp, others, classes, docs, id_col, text_col, similarity))
-    groups = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("grp"))
+    others = tmp.write(_pairs(met, state, radius, False, similarity).join(pairs, ["src", "dst"], "left_anti"), "others")
+    more = _alike(tmp, others, classes, docs, id_col, text_col, similarity)
+    groups = connected_components(alike.unionByName(more)).select(F.col("node").alias("name"), F.col("component").alias("grp"))
     grouped = tmp.write(classes.select("name", "id", "h").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "groups")
     lowest = grouped.groupBy("grp").agg(F.min(F.struct("id", "h")).alias("low"))
     named = tmp.write(grouped.join(lowest, "grp").select("name", "low"), "named")
+    tmp.drop(classes, met, state, pairs, others, alike, more, grouped)
     first = (F.col("id") == F.col("low.id")) & (F.col("h") == F.col("low.h"))
     return prints.select("id", "h", "name").join(named, "name").select("id", "h", F.col("low.id").alias("component"), first.alias("first"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pointweave.llm import simhash
 
 
@@ -76,3 +78,17 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, " ".join(words), "a"), (1, " ".join(words), "b"), (1, " ".join(words), "b"), (1, "quite another text than that", "a"), (2, " ".join(words), "a")]
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert [r["component"] for r in got] == [1] * 5 and sorted(r["first"] for r in got) in ([False] * 3 + [True] * 2, [False] * 2 + [True] * 3)
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, more, less = rng.randint(0, 400), rng.randint(0, 400), rng.randint(0, 100)
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[less:] + [rng.getrandbits(64) for _ in range(more)]
+        x, y = (simhash.parity(np.array(sorted(set(s)), np.uint64)) for s in (a, b))
+        differ = len(set(a) ^ set(b))
+        assert simhash._apart(x, y) == simhash._apart(y, x) <= differ
+        assert (simhash._apart(x, y) - differ) % 2 == 0
+        if 20 < differ < 0.3 * len(a):  # few share a bucket
+            assert simhash._apart(x, y) >= 0.6 * differ
