@@ -20,7 +20,8 @@ that are chance.
 
 Cost.  A text is cut into blocks of ``BLOCK`` code points once, and what lies around a span is cut from
 its blocks; running sums go by groups of ``GROUP`` matches.  So work grows with a text's length, whatever number
-of spans it holds.  Word counts are summed in each task before the shuffle, and no text is shuffled.
+of spans it holds.  Word counts are summed in each task before the shuffle; finding spans shuffles
+no whole text, but replacing them joins each text with its terms, which shuffles it once.
 
 Defined cases: a null text is empty; rows that repeat an id, or lack one, are documents of
 their own; a text that holds U+0001 or U+0002 is searched as if these were other letters; an entity that all
