@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import embeddings, fingerprints, html_wrapper, mixing, packing, privacy, quality, simhash, substring, warc
+from pointweave.llm import embeddings, fingerprints, html_wrapper, lexical, mixing, packing, phrases, privacy, quality, simhash, substring, url_trust, warc
 from pointweave.sources.scratch import Scratch
 from pointweave.sources.tables import read_table
 
@@ -68,6 +68,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Fixed values of the query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -79,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_fingerprints": op8_weighted_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_url_trust": op12_url_trust,
+    "op13_best_position_search": op13_best_position_search,
 }
 
 #: DuckDB SQL of the operators that SQL can express; the others are tested against plain Python in tests/llm.
@@ -130,4 +149,90 @@ with w as (
 )
 select w.doc_id, len(w.words) as n_words, cast(coalesce(o.n_removed, 0) as bigint) as n_removed, coalesce(o.kept_sha256, sha256('')) as kept_sha256
 from w left join o on w.doc_id = o.doc_id""",
+    "op11_phrase_collocations": r"""
+with p as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p
+), g as (
+    select lang, w, unnest(range(1, 6)) as k from w
+), o as (
+    select lang, k, unnest(list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: list_slice(w, i + 1, i + k))) as ws from g
+), f as (
+    select lang, k, ws, array_to_string(ws, ' ') as phrase, count(*) as f from o group by 1, 2, 3
+), n as (
+    select lang, sum(f)::bigint as n from f where k = 1 group by 1
+), c as (
+    select lang, k, ws, phrase, f as a from f where k > 1 and f >= 100
+), s as (
+    select lang, a, k, ws, unnest(range(2, k)) as size from c
+), t as (
+    select lang, a, unnest(list_transform(range(k - size + 1), lambda i: list_slice(ws, i + 1, i + size))) as ws from s
+), longer as (
+    select lang, ws, max(a) as longer from t group by 1, 2
+), free as (
+    select c.* from c left join longer on c.lang = longer.lang and c.ws = longer.ws where longer.longer is null or 100 * longer.longer < 100 * c.a
+), cut as (
+    select lang, phrase, ws, a, unnest(range(1, k)) as cut from free
+), scored as (
+    select cut.lang, cut.phrase, cut.a, cut.cut, x.f as l, y.f as r, n.n, (1000::hugeint * cut.a * n.n) // (x.f::hugeint * y.f) as score
+    from cut join f x on x.lang = cut.lang and x.ws = list_slice(cut.ws, 1, cut.cut) join f y on y.lang = cut.lang and y.ws = list_slice(cut.ws, cut.cut + 1, len(cut.ws)) join n on n.lang = cut.lang
+), best as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from best
+qualify rank <= 2000""",
+    "op12_url_trust": r"""
+with recursive u as (
+    select page_id, html, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), p as (
+    select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
+), rules(verdict, rule, h, q) as (
+    values ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')
+), fit as (
+    select page_id, verdict, rule from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, q)
+    qualify row_number() over (partition by page_id order by length(rule) desc, length(h) desc) = 1
+), found as (
+    select p.*, fit.rule, fit.verdict from p left join fit using (page_id)
+), hosts as (
+    select host, count(*) as n, count(*) filter (verdict = 'allow') as trust, count(*) filter (verdict = 'block') as distrust from found where host <> '' group by 1
+), base as (
+    select 'trust' as kind, host, (15 * (1000000000 * trust // n)) // 100 as mass from hosts where trust > 0
+    union all select 'distrust', host, (15 * (1000000000 * distrust // n)) // 100 from hosts where distrust > 0
+), links as (
+    select distinct host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\s]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from found where host <> ''
+), edges as (
+    select *, count(*) over (partition by kind, src) as degree from (
+        select 'trust' as kind, src, dst from links where src <> dst union all select 'distrust', dst, src from links where src <> dst)
+), walk(round, kind, host, mass) as (
+    select 1, kind, host, cast(mass as hugeint) from base
+    union all
+    select round, kind, host, cast(sum(mass) as hugeint) from (
+        select w.round + 1 as round, e.kind, e.dst as host, (w.mass * 85) // (100 * e.degree) as mass from walk w join edges e on e.kind = w.kind and e.src = w.host where w.round < 50
+        union all
+        select distinct w.round + 1, b.kind, b.host, b.mass from base b, (select distinct round from walk where round < 50) w
+    ) group by 1, 2, 3
+), net as (
+    select host, sum(case kind when 'distrust' then mass else -mass end) as net from walk where round = 50 group by 1
+)
+select page_id, host, path, rule, coalesce(verdict, case when net.net >= 75000000 then 'block' end, 'allow') as verdict from found left join net using (host)""",
+    "op13_best_position_search": r"""
+with d as (
+    select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), c as (
+    select count(*) as docs, sum(len(terms))::bigint as words from d where len(terms) > 0
+), m as (
+    select k, doc_id, terms, 10 + (90 * len(terms) * docs) // words as m from d, c where len(terms) > 0
+), q as (
+    select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), o as (
+    select k, doc_id, m, unnest(terms) as term from m
+), t as (
+    select k, doc_id, m, term, count(*) as tf from o where term in (select term from q) group by 1, 2, 3, 4
+), w as (
+    select term, cast(floor(1000 * ln((2.0::double * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from t, c group by 1
+), s as (
+    select q.item_id, t.k, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * t.m)))::bigint as score from t join w using (term) join q using (term) group by 1, 2, 3
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0 qualify rank <= 10""",
 }
