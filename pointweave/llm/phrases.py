@@ -9,13 +9,15 @@ A shard is as large as a share of the corpus is, so it is mined by many tasks.
 ``chunk_bytes``, and phrases are counted level by level, as each part of a frequent phrase is as frequent:
 
 1. a chunk sends the hashes of its words, each once with its number, to the buckets of their hashes;
-2. a bucket sums each shard's numbers, and tells all chunks which of the hashes that they sent reach the lower support in some shard;
+2. a bucket sums each shard's numbers; hashes that reach the lower support in some shard are candidates, and of these it sums the
+   numbers of all shards; it tells all chunks which of the hashes that they sent are candidates;
 3. the chunk does the same with pairs of such words, then with phrases of three to ``longest`` words all of whose pairs are such;
-4. at last it counts the phrases that were found frequent in some shard, and Spark sums these numbers by language and text.
+4. of the chunks that hold a candidate that has the full support, the first one gives its text.
 
 What travels is packed numbers, a row for each chunk and bucket, and one bit back for each number; the passes over the text
-read one shuffle of it.  A hash has 64 bits and is only a filter: a false candidate is one more phrase that is counted.  The lower
-support doesn't depend on the size of the corpus, and neither does what a chunk sends of the pairs; buckets hold about ``bucket_bytes`` of text each.
+read one shuffle of it.  The lower support doesn't depend on the size of the corpus, so what a chunk sends has a bound of its own;
+buckets hold about ``bucket_bytes`` of text each.  Hashes have 64 bits: with 10**9 different phrases to be summed, of which 10**6 are frequent,
+the odds that one of these meets another phrase's hash are 5e-5.
 
 Defined cases: a null text is empty; a null language is ``und``; repeated rows count each; texts of any length lie whole in a
 chunk; an empty table gives no rows; a word may hold any character but blanks, tabs and the marks that end a piece.
@@ -117,19 +119,18 @@ class _Chunk:
         bucket = ((values >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         return values, n, _runs(bucket)
 
-    def told(self, hashes: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
-        """Which of the hashes a bucket has called candidates."""
-        values, _, runs = self.asked(hashes)
+    def told(self, values: np.ndarray, runs: list[tuple[int, slice]], bits: dict[int, bytes]) -> np.ndarray:
+        """Which of the distinct hashes the buckets' bits mark."""
         good = np.zeros(len(values), bool)
         for k, s in runs:
             good[s] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=s.stop - s.start)
-        return good[np.searchsorted(values, hashes)]
+        return good
 
 
 _ASK = "bucket int, chunk int, a binary, b binary"
 _ASK_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_TELL = "chunk int, step int, bucket int, bits binary"
-_TELL_SCHEMA = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
+_TELL = "chunk int, step int, bucket int, bits binary, named binary, f binary"
+_TELL_SCHEMA = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("named", pa.binary()), ("f", pa.binary())])
 _OUT = "lang string, phrase string, words int, f long"
 _OUT_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
 
@@ -138,8 +139,8 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
 
 
-def phrase_counts(docs: DataFrame, support: int = 100, longest: int = 5, shards: int = 16, chunk_bytes: int = 8_000_000, bucket_bytes: int = 48_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``lang, phrase, words, f``: how often each word or phrase occurs that is locally frequent in some shard, among them all with ``f >= support``; and with no words all words of the language."""
+def phrase_counts(docs: DataFrame, support: int = 100, longest: int = 5, shards: int = 4, chunk_bytes: int = 8_000_000, bucket_bytes: int = 48_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``lang, phrase, words, f``: how often each word or phrase occurs that does so ``support`` times or more; and with no words all words of the language."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     per_shard = max(1, -(-size // (shards * chunk_bytes)))
@@ -153,30 +154,35 @@ def phrase_counts(docs: DataFrame, support: int = 100, longest: int = 5, shards:
         sizes = ([1], [2], range(3, longest + 1))[step]
         return [[c.level(n, g, p) for n in sizes] for p, g in zip(c.parts, good)]
 
-    def replay(c: _Chunk, replies: pa.Table, steps: int) -> tuple[list, list[list[list[tuple[np.ndarray, np.ndarray]]]]]:
-        """Marks of each language's places after so many steps, and the candidates of each step."""
-        bits: dict[int, dict[int, bytes]] = {}
+    def replay(c: _Chunk, replies: pa.Table, steps: int) -> tuple[list[np.ndarray | None], list[tuple[int, int, int, int]]]:
+        """Marks of each language's places after so many steps; and what this chunk is to name: language, place, words and number."""
+        told: dict[int, dict[int, dict]] = {}
         for r in replies.to_pylist():
-            bits.setdefault(r["step"], {})[r["bucket"]] = r["bits"]
+            told.setdefault(r["step"], {})[r["bucket"]] = r
         good: list[np.ndarray | None] = [None] * len(c.parts)
-        found = []
+        names = []
         for step in range(steps):
-            levels = hashes(c, step, good)
+            levels, mine = hashes(c, step, good), told.get(step, {})
             flat = [h for part in levels for _, h in part]
-            hit = c.told(np.concatenate(flat) if flat else np.zeros(0, np.uint64), bits.get(step, {}))
-            kept, at = [], 0
-            for k, part in enumerate(levels):
-                mine = []
-                for where, h in part:
-                    mark = hit[at : at + len(h)]
-                    at += len(h)
-                    mine.append((where[mark], h[mark]))
-                kept.append(mine)
-                if step < 2:
+            every = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+            values, _, runs = c.asked(every)
+            named = np.flatnonzero(c.told(values, runs, {k: r["named"] for k, r in mine.items()}))
+            if len(named):
+                f = np.concatenate([_unsquash(mine[k]["f"], np.int64) for k, _ in runs])
+                where = np.concatenate([w for part in levels for w, _ in part])
+                owner = np.repeat([k for k, part in enumerate(levels) for _ in part], [len(h) for h in flat])
+                words = np.repeat([n for _ in levels for n in ([1], [2], range(3, longest + 1))[step]], [len(h) for h in flat])
+                order = np.argsort(every, kind="stable")
+                at = order[np.searchsorted(every[order], values[named])]
+                names += zip(owner[at].tolist(), where[at].tolist(), words[at].tolist(), f.tolist())
+            if step < 2:
+                hit = c.told(values, runs, {k: r["bits"] for k, r in mine.items()})[np.searchsorted(values, every)]
+                at = 0
+                for k, [(where, h)] in enumerate(levels):
                     good[k] = np.zeros(len(c.parts[k][2]), bool)
-                    good[k][mine[0][0]] = True
-            found.append(kept)
-        return good, found
+                    good[k][where[hit[at : at + len(h)]]] = True
+                    at += len(h)
+        return good, names
 
     def ask(step: int):
         def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
@@ -193,18 +199,22 @@ def phrase_counts(docs: DataFrame, support: int = 100, longest: int = 5, shards:
 
     def mine(step: int):
         def run(table: pa.Table) -> pa.Table:
-            asked = table.to_pylist()
+            asked = sorted(table.to_pylist(), key=lambda r: r["chunk"])
             values = [np.cumsum(_unsquash(r["a"], np.uint64), dtype=np.uint64) for r in asked]
             shard = np.repeat([r["chunk"] // per_shard for r in asked], [len(v) for v in values])
-            every, back = np.unique(np.concatenate(values), return_inverse=True)
+            every, first, back = np.unique(np.concatenate(values), return_index=True, return_inverse=True)
             n = np.concatenate([_unsquash(r["b"], np.uint32) for r in asked])
-            frequent = np.zeros(len(every), bool)  # in some shard
+            candidate, f = np.zeros(len(every), bool), np.zeros(len(every), np.int64)
             for s in np.unique(shard):
                 own = shard == s
-                frequent |= np.bincount(back[own], n[own], len(every)) * shards >= support
+                here = np.bincount(back[own], n[own], len(every)).astype(np.int64)
+                candidate |= here * shards >= support
+                f += here
             out, at = [], 0
             for r, v in zip(asked, values):
-                out.append((r["chunk"], step, r["bucket"], np.packbits(frequent[back[at : at + len(v)]]).tobytes()))
+                k = back[at : at + len(v)]
+                named = candidate[k] & (f[k] >= support) & (first[k] == np.arange(at, at + len(v)))
+                out.append((r["chunk"], step, r["bucket"], np.packbits(candidate[k]).tobytes(), np.packbits(named).tobytes(), _squash(f[k[named]])))
                 at += len(v)
             return _table(out, _TELL_SCHEMA)
 
@@ -214,14 +224,10 @@ def phrase_counts(docs: DataFrame, support: int = 100, longest: int = 5, shards:
         if not left.num_rows:
             return _table([], _OUT_SCHEMA)
         c = _Chunk(left, buckets)
-        found, out = replay(c, right, 3)[1], []
-        for k, (lang, raw, h, start, stop, *_) in enumerate(c.parts):
-            out.append((lang, "", 0, len(h)))
-            for words, (where, code) in enumerate([level for step in found for level in step[k]], 1):
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
-                for i, f in zip(where[first].tolist(), n.tolist()):
-                    phrase = b" ".join(raw[start[j] : stop[j]] for j in range(i, i + words))
-                    out.append((lang, phrase.decode(), words, f))
+        out = [(lang, "", 0, len(h)) for lang, _, h, *_ in c.parts]
+        for k, i, words, f in replay(c, right, 3)[1]:
+            lang, raw, _, start, stop, *_ = c.parts[k]
+            out.append((lang, b" ".join(raw[start[j] : stop[j]] for j in range(i, i + words)).decode(), words, f))
         return _table(out, _OUT_SCHEMA)
 
     replies = rows.groupBy("chunk").applyInArrow(ask(0), _ASK).groupBy("bucket").applyInArrow(mine(0), _TELL)
@@ -239,7 +245,7 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = 5, top: int
     words; the lowest cut counts, of equal ones the first.  A phrase that always stands in the same longer one is left out.
     """
     tmp = Scratch(docs.sparkSession, "phrases")
-    every = tmp.write(phrase_counts(docs, support, longest, **how).where(f"words = 0 or f >= {int(support)}"), "counts")
+    every = tmp.write(phrase_counts(docs, support, longest, **how), "counts")
     f = every.where("words > 0").select("lang", "phrase", "f")
     whole = every.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), "words", F.split("phrase", " ").alias("w"))
     # What a longer phrase holds, and how often the most frequent longer one occurs.

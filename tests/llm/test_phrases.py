@@ -81,16 +81,12 @@ def test_top_of_each_language_and_ties(spark):
     assert got(spark, rows, 4, top=5, salts=3) == ranked(rows, 4, 5)
 
 
-def test_shards_send_only_what_can_be_frequent(spark):
-    """A phrase below its share in every shard isn't counted; all frequent ones are, exactly."""
+@pytest.mark.parametrize("shards", [1, 2, 30])
+def test_counts_are_exact_and_whole_in_any_number_of_shards(spark, shards):
     rows = corpus(5, 300)
-    docs = spark.createDataFrame(rows, SCHEMA)
-    found = {(r.lang, r.words, r.phrase): r.f for r in phrases.phrase_counts(docs, 30, shards=2).collect()}
-    every = counted(rows)
-    assert all(found[k] == f for k, f in every.items() if f >= 30)
-    assert all(every[k] == f for k, f in found.items())
-    assert min(f for (_, k, _), f in found.items() if k) >= 15  # half of the support in one of two shards
-    assert len(found) < len(every) / 3
+    found = phrases.phrase_counts(spark.createDataFrame(rows, SCHEMA), 30, shards=shards, chunk_bytes=2000).collect()
+    assert len(found) == len({(r.lang, r.words, r.phrase) for r in found})
+    assert {(r.lang, r.words, r.phrase): r.f for r in found} == {k: f for k, f in counted(rows).items() if f >= 30 or not k[1]}
 
 
 def test_phrases_end_with_a_piece_and_a_document(spark):
