@@ -76,77 +76,138 @@ def signed_weights(edges: DataFrame, bias: float = 0.0, p: str = "p") -> DataFra
     return edges.select("src", "dst", (log_odds(p) + bias).alias("w"))
 
 
-def _contract(edges: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Greedy additive contraction: join the two groups with the greatest positive sum of weights until none is left."""
-    near: dict[int, dict[int, float]] = {}
-    for a, b, w in edges:
-        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-        near.setdefault(b, {})[a] = near[a][b]
-    root = {x: x for x in near}
-    heap = [(-w, a, b) for a, row in near.items() for b, w in row.items() if a < b and w > 0]
+def _contract(edges: list[tuple[int, int, int, int, int]], least: int = 1) -> dict[int, int]:
+    """Greedy additive contraction of edges (a, b, w, and the key that parts equal weights): join the two groups with the greatest summed weight until none has ``least`` or more.
+
+    Parallel edges add up and keep the lower key.  The group with fewer neighbours moves into the other.
+    """
+    near: dict[int, dict[int, tuple[int, int, int]]] = {}
+    for a, b, *e in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = tuple(e)
+    name, parent = {x: x for x in near}, {x: x for x in near}
+    heap = [(-w, *key, a, b) for a, row in near.items() for b, (w, *key) in row.items() if a < b and w >= least]
     heapq.heapify(heap)
     while heap:
-        w, a, b = heapq.heappop(heap)
-        if a not in near or b not in near[a] or near[a][b] != -w:
+        w, p, q, a, b = heapq.heappop(heap)
+        if a not in near or near[a].get(b) != (-w, p, q):
             continue  # stale
-        keep, gone = min(a, b), max(a, b)
-        root[gone] = keep
+        keep, gone = (a, b) if len(near[a]) >= len(near[b]) else (b, a)
+        parent[gone], name[keep] = keep, min(name[a], name[b])
         del near[keep][gone]
-        for x, v in near.pop(gone).items():
+        for x, e in near.pop(gone).items():
             if x == keep:
                 continue
             del near[x][gone]
-            total = near[keep].get(x, 0.0) + v
-            near[keep][x] = near[x][keep] = total
-            if total > 0:
-                heapq.heappush(heap, (-total, min(keep, x), max(keep, x)))
+            old = near[keep].get(x)
+            if old:
+                e = (old[0] + e[0], *min(old[1:], e[1:]))
+            near[keep][x] = near[x][keep] = e
+            if e[0] >= least:
+                heapq.heappush(heap, (-e[0], *e[1:], keep, x))
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
         return x
 
-    return {x: find(x) for x in root}
+    return {x: name[find(x)] for x in parent}
+
+
+_EDGE = ["a", "b", "w", "p", "q"]
+
 
+def _summed(edges: DataFrame) -> DataFrame:
+    """Parallel edges as one: weights add up, the lower key stays."""
+    return edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"), F.min(F.struct("p", "q")).alias("k")).select("a", "b", "w", "k.p", "k.q")
 
-def correlation_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int = 20_000, max_rounds: int = 200) -> DataFrame:
-    """``node, cluster, exact``: greedy additive edge contraction of signed weights (src, dst, w).
 
-    Parallel edges add up.  No contraction crosses components of the positive edges, so each of up to
-    ``group_limit`` nodes is solved exactly in one task; larger ones contract all mutually best
-    positive pairs per round, with weights summed anew, and are marked ``exact = false``.
+def _moved(edges: DataFrame, to: DataFrame, *ends: str) -> DataFrame:
+    """Edges with ends renamed by (node, cluster)."""
+    for c in ends:
+        edges = edges.join(to.select(F.col("node").alias(c), F.col("cluster").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return edges
+
+
+def _blocks(tmp: Scratch, edges: DataFrame, least: int) -> DataFrame:
+    """``node, cluster``: groups of nodes between which no summed weight can reach ``least``, however they are contracted.
+
+    Nodes that an edge of that weight joins are of one block, and so are two blocks whose positive edges add up to it.
     """
-    tmp = Scratch(nodes.sparkSession, "correlation")
-    flat = weights.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
-    flat = tmp.write(flat, "weights")
-    comp = tmp.write(components(nodes, flat.where("w > 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    size = comp.groupBy("cluster").agg(F.count("*").alias("_n"))
-    named = comp.join(size, "cluster").select("node", F.col("cluster").alias("comp"), "_n")
-    inner = flat.join(named.select(F.col("node").alias("a"), "comp", "_n"), "a").join(named.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").where("comp = _c")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _contract(sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist())))
-        return pd.DataFrame({"node": list(found), "cluster": list(found.values())})
-
-    small = inner.where(F.col("_n") <= group_limit).select("comp", "a", "b", "w").groupBy("comp").applyInPandas(solve, "node long, cluster long").withColumn("exact", F.lit(True))
-    large = tmp.write(inner.where(F.col("_n") > group_limit).select("a", "b", "w"), "large")
-    parts, label = [small], None
-    if not large.isEmpty():
-        now, label = large, tmp.write(large.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")), "labels")
-        for _ in range(max_rounds):
-            both = now.where("w > 0").select(F.col("a").alias("n"), F.col("b").alias("m"), "w").unionByName(now.where("w > 0").select(F.col("b").alias("n"), F.col("a").alias("m"), "w"))
-            best = both.groupBy("n").agg(F.max_by("m", F.struct("w", -F.col("m"))).alias("m"))
-            mutual = tmp.write(best.join(best.select(F.col("n").alias("m"), F.col("m").alias("n")), ["n", "m"]).where("n > m"), "mutual")
-            if mutual.isEmpty():
-                break
-            move = lambda df, c: df.join(mutual.select(F.col("n").alias(c), F.col("m").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-            now = tmp.write(move(move(now, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "round")
-            label = tmp.write(move(label, "cluster"), "labels")
+    up = edges.where("w > 0").select("a", "b", "w")
+    links, label = up.where(F.col("w") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst")), None
+    while True:
+        step = connected_components(links).withColumnRenamed("component", "cluster")
+        if label is None:
+            label = step
         else:
-            raise RuntimeError(f"contraction did not settle in {max_rounds} rounds")
-        parts.append(label.withColumn("exact", F.lit(False)))
-    found = reduce(lambda x, y: x.unionByName(y), parts)
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("exact", F.lit(True)).alias("exact"))
+            ahead = step.select(F.col("node").alias("cluster"), F.col("cluster").alias("_to"))
+            label = label.join(ahead, "cluster", "left").select("node", F.coalesce("_to", "cluster").alias("cluster")).unionByName(step.join(label.select("node"), "node", "left_anti"))
+        label = tmp.write(label, "blocks")
+        up = tmp.write(_moved(up, step, "a", "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "between")
+        links = up.where(F.col("w") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        if links.isEmpty():
+            return label
+
+
+def correlation_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int = 100_000) -> DataFrame:
+    """``node, cluster``: greedy additive edge contraction of signed weights (src, dst, w).
+
+    Parallel edges add up; the two clusters with the greatest positive sum join, until none is left.  Of equal sums the one that holds the
+    lowest edge goes first.  Weights count in units of 1e-9, so that sums don't depend on their order.
+
+    The result is that of one contraction after another, for graphs of any size:
+
+    * a node with one edge only changes nobody's sums, so it joins at once if the weight is positive, a hub's leaves all in one step;
+    * for a weight t, the graph falls into blocks between which no sum can reach t, whatever contracts.  Each block is contracted down to t in
+      a task of its own; then clusters are renamed, parallel edges summed, and a lower t follows.
+
+    t is as low as lets no block have more than ``group_limit`` edges, and zero where the whole graph's components are that small.  If even the
+    greatest weight makes a larger block, that block is one task: its edges of that weight follow each other.
+    """
+    tmp = Scratch(nodes.sparkSession, "correlation")
+    raw = weights.where("src <> dst and w is not null").select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b"), F.round(F.col("w") * 1e9).cast("long").alias("w"))
+    now = tmp.write(_summed(raw.select("a", "b", "w", F.col("a").alias("p"), F.col("b").alias("q"))), "weights")
+    label = nodes.select(F.col("node").cast("long").alias("node"), F.col("node").cast("long").alias("cluster"))
+
+    def renamed(to: DataFrame) -> None:
+        nonlocal now, label
+        label = tmp.write(_moved(label, to.withColumnRenamed("node", "_n").select(F.col("_n").alias("node"), "cluster"), "cluster"), "labels")
+        now = tmp.write(_summed(_moved(now, to, "a", "b")), "round")
+
+    tried = 0.0  # the share of edges, from the greatest weight down, that made blocks small enough last time
+    while not now.where("w > 0").isEmpty():
+        edges, least, block = now.count(), 1, None
+        if edges > group_limit:
+            degree = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select("node", F.lit(True).alias("_leaf"))
+            leaves = now.join(degree.withColumnRenamed("node", "a").withColumnRenamed("_leaf", "la"), "a", "left").join(degree.withColumnRenamed("node", "b").withColumnRenamed("_leaf", "lb"), "b", "left").where("la or lb")
+            leaves = tmp.write(leaves, "leaves")
+            if not leaves.isEmpty():
+                # A star is named by its lowest node, so hub and leaves move together.
+                joined = leaves.where("w > 0").select(F.when(F.col("la"), F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(F.col("la"), F.col("a")).otherwise(F.col("b")).alias("node"))
+                low = joined.groupBy("hub").agg(F.least(F.min("node"), F.first("hub")).alias("cluster"))
+                to = tmp.write(joined.join(low, "hub").select("node", "cluster").unionByName(low.select(F.col("hub").alias("node"), "cluster")), "peeled")
+                now = now.join(leaves.select("a", "b"), ["a", "b"], "left_anti")
+                renamed(to)
+                continue
+            share = min(0.25, 8 * tried)
+            while True:
+                if share:
+                    least = now.where("w > 0").agg(F.percentile_approx("w", 1 - share, 100_000)).first()[0]
+                block = _blocks(tmp, now, least)
+                inside = _moved(now.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), block, "ca", "cb").where("ca = cb")
+                largest = inside.groupBy("ca").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+                if largest <= group_limit or share and share * edges < 1:
+                    break
+                share = share / 8 if share else 0.25
+            tried = share
+        tagged = now.select(*_EDGE, F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb")) if block is None else _moved(now.select(*_EDGE, F.col("a").alias("ca"), F.col("b").alias("cb")), block, "ca", "cb").where("ca = cb")
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: B023
+            found = _contract(list(zip(*[pdf[c].tolist() for c in _EDGE])), least)
+            return pd.DataFrame([(x, c) for x, c in found.items() if x != c], columns=["node", "cluster"], dtype="int64")
+
+        renamed(tmp.write(tagged.groupBy("ca").applyInPandas(solve, "node long, cluster long"), "solved"))
+    return label
 
 
 def greedy_clusters(nodes: DataFrame, edges: DataFrame, t: float = 0.5, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
@@ -200,7 +261,7 @@ def materialisations(nodes: DataFrame, edges: DataFrame, k: int, t: float = 0.5)
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
-def tiled_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int = 20_000) -> DataFrame:
+def tiled_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int = 100_000) -> DataFrame:
     """Correlation clusters within tiles, then joined where they share a segment (G4); nodes (node, tile, seg)."""
     end = lambda c, p: nodes.select(F.col("node").alias(c), F.col("tile").alias(f"_{p}"))
     inner = weights.join(end("src", "a"), "src").join(end("dst", "b"), "dst").where("_a = _b").select("src", "dst", "w")

@@ -13,6 +13,7 @@ from pointweave.functions.columns import cosine, norm, ratio
 from pointweave.operators.components import connected_components
 from pointweave.operators.connect import majority
 from pointweave.operators.spatial import XYZ, radius_pairs
+from pointweave.sources.scratch import Scratch
 
 
 def tile_grid(obs: DataFrame, rows: int, columns: int, halo: float, axes: tuple[str, str] | None = None) -> DataFrame:
@@ -76,52 +77,85 @@ def stitch_candidates(ends: DataFrame, supers: DataFrame, r: float) -> DataFrame
     return out.withColumn("score", (1 - F.col("gap") / r) * (F.col("cos") + 1) / 2).drop("_a", "_b")
 
 
+def capped_candidates(found: DataFrame, most: int, max_rounds: int = 1000) -> DataFrame:
+    """Candidates by falling score as long as both supers have fewer than ``most`` (J18); ties by ids.
+
+    A round keeps every candidate that is, at both ends, among the first of those not yet decided that still have room: all
+    earlier ones could be kept and it would fit.  Those of a full super go.  Only the first ``most`` rows of a super are ever ranked together.
+    """
+    tmp = Scratch(found.sparkSession, "capped")
+    todo, kept = tmp.write(found, "todo"), []
+    for _ in range(max_rounds):
+        key = F.struct((-F.col("score")).alias("o"), "i", "j").alias("e")
+        ends = todo.select(F.explode(F.array("i", "j")).alias("s"), key)
+        first = ends.withColumn("_r", F.row_number().over(W.partitionBy("s").orderBy("e"))).where(F.col("_r") <= most)
+        taken = [k.select(F.explode(F.array("i", "j")).alias("s")) for k in kept]
+        held = reduce(lambda x, y: x.unionByName(y), taken).groupBy("s").agg(F.count("*").alias("_n")) if kept else None
+        fits = first.join(held, "s", "left").where(F.col("_r") + F.coalesce("_n", F.lit(0)) <= most) if kept else first
+        new = fits.groupBy("e").agg(F.count("*").alias("_c")).where("_c = 2").select("e.i", "e.j")
+        new = tmp.write(todo.join(new, ["i", "j"], "left_semi"), "kept")
+        kept.append(new)
+        full = reduce(lambda x, y: x.unionByName(y), [k.select(F.explode(F.array("i", "j")).alias("s")) for k in kept]).groupBy("s").agg(F.count("*").alias("_n")).where(F.col("_n") >= most).select("s")
+        left = todo.join(new.select("i", "j"), ["i", "j"], "left_anti")
+        for c in ("i", "j"):
+            left = left.join(full.select(F.col("s").alias(c)), c, "left_anti")
+        todo = tmp.write(left.select(*found.columns), "todo")
+        if todo.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), kept)
+    raise RuntimeError(f"candidates did not settle in {max_rounds} rounds")
+
+
 REASONS = ("cycle", "endpoint_used", "soma_cannot_link", "obs_cap", "below_min_score")
+_PENDING = "o double, i long, j long, end_i long, end_j long, forced boolean, ca long, cb long, na long, nb long, sa boolean, sb boolean, used boolean"
+_ORDER = ["o", "i", "j", "end_i", "end_j"]
 
 
-def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_score: float = 0.0, max_obs: int | None = None, group_limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Stitched supers and what was decided on each candidate.
+def _prefix(tmp: Scratch, pending: DataFrame, limit: int) -> DataFrame:
+    """The first rows in order, as many as can be decided at once, with ``comp``: no joined group of clusters has more than ``limit`` rows.
 
-    Forced pairs join first; candidates follow by score, and are turned down if they close a cycle, use
-    an endpoint twice, would join two somata or pass ``max_obs`` observations, or score too low.  Groups
-    that no pair connects are independent, and each is solved in one task of up to ``group_limit`` rows.
-    Returns ``super_id, cluster`` and ``i, j, forced, decision, soma_conflict``; the last marks forced pairs that joined two somata.
+    Tries all rows, then ever shorter prefixes; ``limit`` rows are one group whatever they connect.
     """
-    pairs = forced.select("i", "j", F.lit(True).alias("forced"), F.lit(0).cast("long").alias("end_i"), F.lit(0).cast("long").alias("end_j"), F.lit(1e308).alias("score"))
-    pairs = pairs.unionByName(candidates.select("i", "j", F.lit(False).alias("forced"), F.col("end_i").cast("long").alias("end_i"), F.col("end_j").cast("long").alias("end_j"), "score"))
-    comp = connected_components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    nodes = supers.select(F.col("super_id").alias("node"), "n_obs", "has_soma").join(comp, "node")
-    rows = nodes.select("component", F.col("node").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("forced"), F.lit(0).cast("long").alias("end_i"), F.lit(0).cast("long").alias("end_j"), F.lit(0.0).alias("score"), "n_obs", "has_soma")
-    edges = pairs.join(comp.select(F.col("node").alias("i"), "component"), "i").select("component", "i", "j", "forced", "end_i", "end_j", "score", F.lit(0).cast("long").alias("n_obs"), F.lit(False).alias("has_soma"))
-    # No nulls among the ids: pandas would make them doubles.
-    every = rows.withColumn("n_obs", F.col("n_obs").cast("long")).withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
+    share = 1.0
+    while True:
+        part = pending if share == 1.0 else pending.where(F.col("o") < pending.agg(F.percentile_approx("o", share)).first()[0])
+        if part.limit(limit + 1).count() <= limit:
+            first = part if share == 1.0 else pending.orderBy(*_ORDER).limit(limit)
+            return first.withColumn("comp", F.lit(0).cast("long"))
+        # A row whose endpoint is used joins nothing: it is decided with its group if both ends are in one, and alone else.
+        comp = connected_components(part.where("not used").select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+        named = part.join(comp.select(F.col("node").alias("ca"), F.col("component").alias("_a")), "ca", "left").join(comp.select(F.col("node").alias("cb"), F.col("component").alias("_b")), "cb", "left")
+        named = tmp.write(named.withColumn("comp", F.when(F.col("_a") == F.col("_b"), F.col("_a"))).drop("_a", "_b"), "groups")
+        largest = named.where("comp is not null").groupBy("comp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= limit:
+            return named
+        share /= 8
+
+
+def _solver(max_obs: int | None):
+    """Decides the rows of a group one after another."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > group_limit:
-            raise ValueError(f"a stitching group has {len(pdf)} rows, more than {group_limit}: raise the score or lower the radius")
-        single = pdf[~pdf["edge"]]
-        parent = {int(i): int(i) for i in single["i"]}
-        size = dict(zip(parent, single["n_obs"].tolist()))
-        soma = dict(zip(parent, single["has_soma"].fillna(False).tolist()))
+        pdf = pdf.sort_values(_ORDER)
+        parent, size, soma = {}, {}, {}
+        for c, n, s in (("ca", "na", "sa"), ("cb", "nb", "sb")):
+            for k, x, y in zip(pdf[c].tolist(), pdf[n].tolist(), pdf[s].tolist()):
+                parent[k], size[k], soma[k] = k, x, y
 
         def find(x: int) -> int:
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        used, out = set(), []
-        for r in pdf[pdf["edge"]].sort_values(["forced", "score", "i", "j"], ascending=[False, False, True, True]).itertuples():
-            a, b = find(int(r.i)), find(int(r.j))
-            conflict = False
-            ends = {(int(r.i), r.end_i), (int(r.j), r.end_j)}
-            if r.forced:
-                why = "joined" if a != b else "cycle"
-                conflict = a != b and bool(soma[a] and soma[b])
-            elif r.score < min_score:
-                why = "below_min_score"
-            elif a == b:
-                why = "cycle"
-            elif ends & used:
+        used: set[tuple[int, int]] = set()
+        out, grown = [], set()
+        for r in pdf.itertuples(index=False):
+            a, b = find(r.ca), find(r.cb)
+            ends = {(r.i, r.end_i), (r.j, r.end_j)}
+            if a == b:
+                why = "already_joined" if r.forced else "cycle"
+            elif r.forced:
+                why = "joined"
+            elif r.used or ends & used:
                 why = "endpoint_used"
             elif soma[a] and soma[b]:
                 why = "soma_cannot_link"
@@ -130,21 +164,85 @@ def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_scor
             else:
                 why = "joined"
                 used |= ends
+            conflict = bool(why == "joined" and soma[a] and soma[b])
             if why == "joined":
                 keep, gone = min(a, b), max(a, b)
                 parent[gone], size[keep], soma[keep] = keep, size[a] + size[b], soma[a] or soma[b]
-            out.append((int(r.i), int(r.j), bool(r.forced), why, conflict, None))
-        out += [(i, None, False, None, False, find(i)) for i in parent]
-        names = ["i", "j", "forced", "decision", "soma_conflict", "cluster"]
-        return pd.DataFrame({c: pd.array([r[k] for r in out], "Int64") if c in ("i", "j", "cluster") else [r[k] for r in out] for k, c in enumerate(names)})
+                grown |= {a, b}
+            out.append((r.i, r.j, r.forced, why, conflict, r.o, r.end_i, r.end_j, 0, 0, 0, False))
+        out += [(0, 0, False, "", False, 0.0, 0, 0, c, find(c), size[find(c)], soma[find(c)]) for c in grown]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _SOLVED.split(", ")])
+
+    return solve
 
-    solved = every.groupBy("component").applyInPandas(solve, "i long, j long, forced boolean, decision string, soma_conflict boolean, cluster long")
-    found = solved.where("decision is null").select(F.col("i").alias("super_id"), "cluster")
-    parts = supers.select("super_id").join(found, "super_id", "left").select("super_id", F.coalesce("cluster", "super_id").alias("cluster"))
-    return parts, solved.where("decision is not null").select("i", "j", "forced", "decision", "soma_conflict")
 
+_SOLVED = "i long, j long, forced boolean, decision string, soma_conflict boolean, o double, end_i long, end_j long, cluster long, to_cluster long, n long, soma boolean"
 
-def two_level_stitch(parts: DataFrame, r: float, min_shared: int = 1, min_score: float = 0.0, max_obs: int | None = None) -> tuple[DataFrame, DataFrame]:
+
+def stitch(supers: DataFrame, forced: DataFrame, candidates: DataFrame, min_score: float = 0.0, max_obs: int | None = None, group_limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Stitched supers and what was decided on each candidate.
+
+    Forced pairs join first; candidates follow by score (ties by ids), and are turned down if they close a cycle, use
+    an endpoint twice, would join two somata or pass ``max_obs`` observations, or score too low.
+
+    The result is that of deciding one pair after another, for groups of any size.  A batch is a prefix of the order: it
+    splits into groups of clusters that its pairs connect, which know nothing of each other, so each group is decided in a task of up
+    to ``group_limit`` rows.  Then clusters are merged in a table, and what is left of the order follows; pairs within a cluster
+    are cycles, and pairs of clusters with a soma each, which can never join, wait until the end for their reason.  One batch does where no group is
+    larger than the limit; else each takes ``group_limit`` pairs at least.
+
+    Returns ``super_id, cluster`` and ``i, j, forced, decision, soma_conflict``; the last marks forced pairs that joined two somata.
+    A forced pair of one cluster is ``already_joined``.
+    """
+    tmp = Scratch(supers.sparkSession, "stitch")
+    ids = lambda df: [F.col(c).cast("long").alias(c) for c in ("i", "j")]
+    none = F.lit(0).cast("long")
+    pairs = forced.select(*ids(forced), F.lit(True).alias("forced"), none.alias("end_i"), none.alias("end_j"), F.lit(float("-inf")).alias("o"))
+    pairs = pairs.unionByName(candidates.select(*ids(candidates), F.lit(False).alias("forced"), F.col("end_i").cast("long").alias("end_i"), F.col("end_j").cast("long").alias("end_j"), (-F.col("score")).cast("double").alias("o")))
+    state = supers.select(F.col("super_id").cast("long").alias("super_id"), F.col("n_obs").cast("long").alias("n"), F.coalesce("has_soma", F.lit(False)).alias("s"))
+    every = pairs.join(state.select(F.col("super_id").alias("i"), F.col("n").alias("na"), F.col("s").alias("sa")), "i").join(state.select(F.col("super_id").alias("j"), F.col("n").alias("nb"), F.col("s").alias("sb")), "j")
+    every = tmp.write(every.select("o", "i", "j", "end_i", "end_j", "forced", F.col("i").alias("ca"), F.col("j").alias("cb"), "na", "nb", "sa", "sb", F.lit(False).alias("used")), "pairs")
+    low = ~F.col("forced") & (F.col("o") > -min_score)
+    decided = [every.where(low).select("i", "j", "forced", F.lit("below_min_score").alias("decision"), F.lit(False).alias("soma_conflict"))]
+    pending, label, doomed, taken = every.where(~low), state.select("super_id", F.col("super_id").alias("cluster")), [], []
+    while True:
+        same, never = F.col("ca") == F.col("cb"), ~F.col("forced") & F.col("sa") & F.col("sb") & (F.col("ca") != F.col("cb"))
+        decided.append(pending.where(same).select("i", "j", "forced", F.when(F.col("forced"), "already_joined").otherwise("cycle").alias("decision"), F.lit(False).alias("soma_conflict")))
+        doomed.append(pending.where(never))
+        pending = tmp.write(pending.where(~same & ~never), "pending")
+        if pending.isEmpty():
+            break
+        batch = tmp.write(_prefix(tmp, pending, group_limit), "batch")
+        alone = batch.where("comp is null").select("i", "j", "forced", F.lit("endpoint_used").alias("decision"), F.lit(False).alias("soma_conflict"))
+        solved = tmp.write(batch.where("comp is not null").groupBy("comp").applyInPandas(_solver(max_obs), _SOLVED), "solved")
+        done = solved.where("decision <> ''")
+        decided += [alone, done.select("i", "j", "forced", "decision", "soma_conflict")]
+        moved = solved.where("decision = ''").select("cluster", "to_cluster", "n", "soma")
+        label = tmp.write(label.join(moved.select("cluster", "to_cluster"), "cluster", "left").select("super_id", F.coalesce("to_cluster", "cluster").alias("cluster")), "labels")
+        joined = done.where("decision = 'joined' and not forced")
+        taken.append(joined.select(F.explode(F.array(F.struct(F.col("i").alias("s"), F.col("end_i").alias("e")), F.struct(F.col("j").alias("s"), F.col("end_j").alias("e")))).alias("k"), F.struct(*_ORDER).alias("by")).select("k.*", "by"))
+        rest = pending.join(batch.select(*_ORDER, "forced"), [*_ORDER, "forced"], "left_anti")
+        for c, n, s in (("ca", "na", "sa"), ("cb", "nb", "sb")):
+            now = moved.select(F.col("cluster").alias(c), "to_cluster", F.col("n").alias("_n"), F.col("soma").alias("_s"))
+            rest = rest.join(now, c, "left").withColumn(c, F.coalesce("to_cluster", c)).withColumn(n, F.coalesce("_n", n)).withColumn(s, F.coalesce("_s", s)).drop("to_cluster", "_n", "_s")
+        for c in ("i", "j"):
+            now = taken[-1].select(F.col("s").alias(c), F.col("e").alias(f"end_{c}"), F.lit(True).alias("_u")).distinct()
+            rest = rest.join(now, [c, f"end_{c}"], "left").withColumn("used", F.col("used") | F.coalesce("_u", F.lit(False))).drop("_u")
+        pending = tmp.write(rest.select(*[c.split()[0] for c in _PENDING.split(", ")]), "rest")
+    never = reduce(lambda x, y: x.unionByName(y), doomed)
+    if taken:  # whoever uses an endpoint earlier in the order is the reason
+        first = reduce(lambda x, y: x.unionByName(y), taken).groupBy("s", "e").agg(F.min("by").alias("by"))
+        for c in ("i", "j"):
+            never = never.join(first.select(F.col("s").alias(c), F.col("e").alias(f"end_{c}"), F.col("by").alias(f"by_{c}")), [c, f"end_{c}"], "left")
+        before = F.least("by_i", "by_j") < F.struct(*_ORDER)
+    else:
+        before = F.lit(False)
+    decided.append(never.select("i", "j", "forced", F.when(before, "endpoint_used").otherwise("soma_cannot_link").alias("decision"), F.lit(False).alias("soma_conflict")))
+    parts = supers.select("super_id").join(label, "super_id", "left").select("super_id", F.coalesce("cluster", "super_id").alias("cluster"))
+    return parts, reduce(lambda x, y: x.unionByName(y), decided)
+
+
+def two_level_stitch(parts: DataFrame, r: float, min_shared: int = 1, min_score: float = 0.0, max_obs: int | None = None, max_edges_per_super: int = 8) -> tuple[DataFrame, DataFrame]:
     """``id, cluster`` of every observation, and the decisions: clusters of tiles as super fragments, joined by shared keys and then by score.
 
     parts (id, key, tile_id, core, cluster, atom, label, has_soma, dna, x, y, z): the observations of each tile with its halo.
@@ -153,15 +251,15 @@ def two_level_stitch(parts: DataFrame, r: float, min_shared: int = 1, min_score:
     forced = shared_key_links(supers, keys, min_shared)
     ends = parts.where("cluster >= 0").select(F.xxhash64("tile_id", "id").alias("id"), F.xxhash64("tile_id", "cluster").alias("super_id"), *XYZ)
     found = stitch_candidates(ends, supers, r).join(forced.select("i", "j"), ["i", "j"], "left_anti")
-    joined, decisions = stitch(supers, forced, found, min_score, max_obs)
+    joined, decisions = stitch(supers, forced, capped_candidates(found, max_edges_per_super), min_score, max_obs)
     held = keys.join(supers.select("super_id", "tile_id"), "super_id")
     return global_labels(parts.where("core").select("id", "key", "tile_id"), held, joined), decisions
 
 
 def reject_counts(decisions: DataFrame) -> DataFrame:
-    """``decision, n`` with a row for every reason."""
+    """``decision, n`` with a row for every reason (G11); forced pairs are no rejections."""
     names = decisions.sparkSession.createDataFrame([(r,) for r in (*REASONS, "joined")], "decision string")
-    return names.join(decisions.groupBy("decision").agg(F.count("*").alias("n")), "decision", "left").na.fill(0, ["n"])
+    return names.join(decisions.where("not forced or decision = 'joined'").groupBy("decision").agg(F.count("*").alias("n")), "decision", "left").na.fill(0, ["n"])
 
 
 def global_labels(owners: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
