@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,7 +126,7 @@ def stratified_roots(points: DataFrame, low: tuple[float, ...], high: tuple[floa
     return roots.withColumn("_r", F.row_number().over(W.partitionBy("cell").orderBy(hash_order("root", seed=seed), "root"))).where(F.col("_r") <= per_cell).drop("_r")
 
 
-def simhash_code(features: DataFrame, bits: int, dim: int, seed: int = 0) -> DataFrame:
+def simhash_code(features: DataFrame, bits: int, seed: int = 0) -> DataFrame:
     """Adds ``code``: signs of hashed random projections of the array ``f`` (J30), up to 63 bits."""
     def plane(b: int) -> F.Column:
         terms = F.transform("f", lambda v, i: v * F.when(F.xxhash64(i, F.lit(b), F.lit(seed)) >= 0, 1.0).otherwise(-1.0))
@@ -134,15 +138,70 @@ def simhash_code(features: DataFrame, bits: int, dim: int, seed: int = 0) -> Dat
     return features.withColumn("code", code)
 
 
+def _parts(code: str, bits: list[list[int]]) -> F.Column:
+    """The code's blocks: for each list of bit places these bits, packed."""
+    pick = lambda b, to: F.shiftleft(F.shiftrightunsigned(F.col(code), b).bitwiseAND(F.lit(1).cast("long")), to)
+    return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), [pick(b, to) for to, b in enumerate(block)]) for block in bits])
+
+
+def near_codes(codes: DataFrame, k: int) -> DataFrame:
+    """``code, fold, other, distance``: for each code and fold the other codes, nearest first, as far as k members of other folds take; exact.
+
+    codes (code long, fold), a row for each member.  Multi-index hashing: the bits that differ at all are dealt into m blocks of about log2(n) bits.  Two codes within
+    m * (s + 1) - 1 bits agree in some block but for s bits, so looking up each block with all changes of up to s bits
+    finds them all.  s grows until the k-th member lies within that distance; only codes that still lack it look further.
+    When the changes of a code would outnumber the codes, the rest are compared with all codes.
+    """
+    tmp = Scratch(codes.sparkSession, "codes")
+    units = tmp.write(codes.groupBy("code", "fold").agg(F.count("*").alias("n")), "units")
+    every = tmp.write(units.groupBy("code").agg(F.sum("n").alias("n")), "every")
+    n, either, both = every.agg(F.count("*"), F.bit_or("code"), F.bit_and("code")).first()
+    places = [b for b in range(64) if n and ((either ^ both) >> b) & 1]
+    m = max(1, round(len(places) / max(1.0, math.log2(max(n, 2)))))
+    blocks = [places[b::m] for b in range(min(m, len(places)))] or [[0]]
+    m, width = len(blocks), max(map(len, blocks))
+    keyed = lambda df: df.select("*", F.posexplode(_parts("code", blocks)).alias("block", "part"))
+    table = keyed(every.select("code")).withColumnRenamed("code", "other")
+    members = units.select(F.col("code").alias("other"), F.col("fold").alias("_f"), F.col("n").alias("_own"))
+    todo, found, out, tried = units.select("code", "fold"), None, [], 0
+    for s in range(width + 1):
+        tried += m * math.comb(width, s)
+        scan = tried >= n or s == width
+        if scan:  # in blocks of codes, each met by all that are left
+            deal = F.lit(max(1, n // 4096)).cast("long")
+            left = todo.select("code").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), deal - 1)))
+            met = left.join(every.select(F.col("code").alias("other"), F.pmod(F.xxhash64("code"), deal).alias("_b")), "_b").select("code", "other")
+        else:
+            change = F.explode(F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in itertools.combinations(range(width), s)]))
+            probe = keyed(todo.select("code").distinct()).withColumn("_x", change).withColumn("part", F.col("part").bitwiseXOR(F.col("_x"))).drop("_x")
+            met = probe.join(table, ["block", "part"]).select("code", "other").distinct()
+        met = met.withColumn("distance", F.bit_count(F.col("code").bitwiseXOR(F.col("other"))).cast("int"))
+        found = tmp.write(met if found is None or scan else found.join(todo.select("code").distinct(), "code", "left_semi").unionByName(met).distinct(), "found")
+        # Members of other folds at each distance, and the distance that holds the k-th.
+        mine = todo.join(found, "code").join(every.select(F.col("code").alias("other"), "n"), "other").join(members.withColumnRenamed("_f", "fold"), ["other", "fold"], "left")
+        at = mine.groupBy("code", "fold", "distance").agg(F.sum(F.col("n") - F.coalesce("_own", F.lit(0))).alias("c")).where("c > 0")
+        held = at.withColumn("_sum", F.sum("c").over(W.partitionBy("code", "fold").orderBy("distance")))
+        far = held.groupBy("code", "fold").agg(F.min(F.when(F.col("_sum") >= k, F.col("distance"))).alias("far"))
+        done = far.where(F.lit(True) if scan else F.col("far") <= m * (s + 1) - 1).select("code", "fold", F.coalesce("far", F.lit(64)).alias("far"))
+        done = tmp.write(done, "done")
+        out.append(done.join(found, "code").where("distance <= far").select("code", "fold", "other", "distance"))
+        if scan:
+            break
+        todo = tmp.write(todo.join(done.select("code", "fold"), ["code", "fold"], "left_anti"), "todo")
+        if todo.isEmpty():
+            break
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
 def retrieval(codes: DataFrame, k: int, folds: int = 5) -> DataFrame:
-    """``id, other, distance, hit``: the k nearest codes of another group and fold, among those that share one of the code's bytes (J30); codes (id, group, y, code)."""
+    """``id, other, distance, hit``: the k nearest codes of other folds, exactly, ties by id (J30); codes (id, group, y, code) with ``fold``, or else folds of whole groups."""
     c = codes if "fold" in codes.columns else codes.withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(folds)))
-    keyed = c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_k", F.expr("shiftrightunsigned(code, _b * 8) & 255"))
-    a = keyed.select("_b", "_k", "id", "group", "fold", "y", "code")
-    b = keyed.select("_b", "_k", F.col("id").alias("other"), F.col("fold").alias("_f"), F.col("y").alias("_y"), F.col("code").alias("_c"))
-    j = a.join(b, ["_b", "_k"]).where("fold <> _f").select("id", "y", "other", "_y", F.bit_count(F.col("code").bitwiseXOR(F.col("_c"))).alias("distance")).distinct()
-    best = j.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))).where(F.col("_r") <= k)
-    return best.select("id", "other", "distance", (F.col("y") == F.col("_y")).alias("hit"))
+    c = Scratch(codes.sparkSession, "retrieval").write(c.select("id", F.col("fold").cast("long").alias("fold"), "y", F.col("code").cast("long").alias("code")), "codes")
+    # Of a code's members in a fold only the first k can be anyone's.
+    first = c.withColumn("_r", F.row_number().over(W.partitionBy("code", "fold").orderBy("id"))).where(F.col("_r") <= k).select(F.col("code").alias("other_code"), F.col("fold").alias("_f"), F.col("id").alias("other"), F.col("y").alias("_y"))
+    near = near_codes(c.select("code", "fold"), k).withColumnRenamed("other", "other_code")
+    best = near.join(first, "other_code").where("fold <> _f").withColumn("_r", F.row_number().over(W.partitionBy("code", "fold").orderBy("distance", "other"))).where(F.col("_r") <= k)
+    return c.join(best.select("code", "fold", "other", "distance", "_y"), ["code", "fold"]).select("id", "other", "distance", (F.col("y") == F.col("_y")).alias("hit"))
 
 
 def retrieval_scores(found: DataFrame, codes: DataFrame) -> DataFrame:

@@ -352,7 +352,7 @@ def j28_class_balance(p):
     return rounded(pairs.class_balance(pairs.cluster_examples(p, 500.0, "label")))
 
 
-_CODES = "cd as (select id, seg as grp, label % 4 as y, seg % 3 as fold, (id * 7919) % 65536 as code from v_xyz)"
+_CODES = "cd as (select id, seg as grp, label % 4 as y, seg % 3 as fold, (id * 7919) % 65536 + 65536 * ((id * 104729) % 65521) + 4294967296 * ((id * 1299709) % 2147483647) as code from v_xyz)"
 
 
 @query(
@@ -361,7 +361,7 @@ _CODES = "cd as (select id, seg as grp, label % 4 as y, seg % 3 as fold, (id * 7
     "v_xyz",
 )
 def j30_retrieval(p):
-    codes = p.select("id", F.col("seg").alias("group"), (F.col("label") % 4).alias("y"), (F.col("seg") % 3).alias("fold"), ((F.col("id") * 7919) % 65536).alias("code"))
+    codes = p.select("id", F.col("seg").alias("group"), (F.col("label") % 4).alias("y"), (F.col("seg") % 3).alias("fold"), F.expr("(id * 7919) % 65536 + 65536 * ((id * 104729) % 65521) + 4294967296 * ((id * 1299709) % 2147483647)").alias("code"))
     return pairs.retrieval(codes, 2).select("id", "other", F.col("distance").cast("int").alias("distance"), "hit")
 
 
