@@ -1,7 +1,8 @@
 """Skeletons as vertex (frag_id, vid, x, y, z, r) and edge (frag_id, u, v) tables.
 
-What walks along a tree runs per fragment in pandas: a fragment is one object of bounded size
-(``vertex_limit``), and a larger one is an error, never cut short.
+What walks along a tree runs in pandas for each fragment of up to ``limit`` vertices.  Larger fragments are walked by
+Euler tours (``tours``), with the same result, where no task holds a fragment; only paths between leaves and best cuts have no such
+way, and raise an error beyond ``VERTEX_LIMIT``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pointweave.functions.columns import distance, pairs_of
 from pointweave.operators.components import connected_components
 from pointweave.operators.graph import spanning_forest
 from pointweave.operators.spatial import XYZ, knn, radius_pairs
+from pointweave.operators.tours import marked_above, rooted
 
 VERTEX_LIMIT = 500_000
 
@@ -217,7 +219,20 @@ def per_tree(vertices: DataFrame, edges: DataFrame, work: Callable[[int, Tree],
     return vertices.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, schema)
 
 
-def diameter(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def _by_size(vertices: DataFrame, edges: DataFrame, limit: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Vertices and edges of the fragments of up to ``limit`` vertices, and those of the others, if there are any."""
+    large = vertices.groupBy("frag_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("frag_id")
+    if large.isEmpty():
+        return (vertices, edges), None
+    part = lambda how: tuple(df.join(large, "frag_id", how) for df in (vertices, _renewed(edges)))
+    return part("left_anti"), part("left_semi")
+
+
+def _lowest(vertices: DataFrame) -> DataFrame:
+    return vertices.groupBy("frag_id").agg(F.min("vid").alias("vid"))
+
+
+def diameter(vertices: DataFrame, edges: DataFrame, limit: int = VERTEX_LIMIT) -> DataFrame:
     """``frag_id, length, tortuosity``: the longest path, by two sweeps."""
 
     def work(frag: int, t: Tree) -> list[tuple]:
@@ -228,19 +243,39 @@ def diameter(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         straight = float(np.linalg.norm(t.xyz[a] - t.xyz[b]))
         return [(frag, dist[b], dist[b] / straight if straight > 1e-9 else 1.0)]
 
-    return per_tree(vertices, edges, work, "frag_id long, length double, tortuosity double")
-
-
-def pieces(vertices: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    small, large = _by_size(vertices, edges, limit)
+    out = per_tree(*small, work, "frag_id long, length double, tortuosity double")
+    if large is None:
+        return out
+    v, lengths = large[0], edge_lengths(*large)
+    farthest = lambda tree: tree.groupBy("frag_id").agg(F.max_by(F.struct("vid", "dist"), F.struct("dist", -F.col("pos"))).alias("f")).select("frag_id", "f.*")
+    a = farthest(rooted(lengths, _lowest(v))).select("frag_id", "vid")
+    b = farthest(rooted(lengths, a))
+    end = lambda ids, p: ids.join(v, ["frag_id", "vid"]).select("frag_id", *[F.col(c).alias(f"{p}{c}") for c in XYZ])
+    both = b.select("frag_id", F.col("dist").alias("length")).join(end(a, "p"), "frag_id").join(end(b.select("frag_id", "vid"), "q"), "frag_id")
+    straight = distance(("px", "py", "pz"), ("qx", "qy", "qz"))
+    return out.unionByName(both.select("frag_id", "length", F.when(straight > 1e-9, F.col("length") / straight).otherwise(1.0).alias("tortuosity")))
+
+
+def pieces(vertices: DataFrame, edges: DataFrame, n: int, limit: int = VERTEX_LIMIT) -> DataFrame:
     """``frag_id, vid, piece``: about equal pieces along the depth-first order."""
 
     def work(frag: int, t: Tree) -> list[tuple]:
-        order = [i for i in t.walk(0)[0]]
-        rest = [i for i in range(len(t.vid)) if i not in set(order)]
-        order += rest
+        order = t.walk(0)[0]
+        seen = set(order)
+        order += [i for i in range(len(t.vid)) if i not in seen]
         return [(frag, int(t.vid[i]), min(n - 1, k * n // len(order))) for k, i in enumerate(order)]
 
-    return per_tree(vertices, edges, work, "frag_id long, vid long, piece int")
+    small, large = _by_size(vertices, edges, limit)
+    out = per_tree(*small, work, "frag_id long, vid long, piece int")
+    if large is None:
+        return out
+    v = large[0]
+    tree = rooted(edge_lengths(*large), _lowest(v))
+    size = v.groupBy("frag_id").agg(F.count("*").alias("_n")).join(tree.groupBy("frag_id").agg(F.count("*").alias("_seen")), "frag_id")
+    rest = v.join(tree.select("frag_id", "vid"), ["frag_id", "vid"], "left_anti").select("frag_id", "vid", (F.row_number().over(W.partitionBy("frag_id").orderBy("vid")) - 1).alias("_k"))
+    every = tree.select("frag_id", "vid", F.col("pos").alias("_k"), F.lit(0).alias("_late")).unionByName(rest.select("frag_id", "vid", F.col("_k").cast("long").alias("_k"), F.lit(1).alias("_late")))
+    return out.unionByName(every.join(size, "frag_id").select("frag_id", "vid", F.expr(f"cast(least({n - 1}, ((_k + _late * _seen) * {n}) div _n) as int)").alias("piece")))
 
 
 def leaf_paths(vertices: DataFrame, edges: DataFrame, per_fragment: int, seed: int = 0) -> DataFrame:
@@ -258,14 +293,13 @@ def leaf_paths(vertices: DataFrame, edges: DataFrame, per_fragment: int, seed: i
     return per_tree(vertices, edges, work, "frag_id long, path int, pos int, vid long, x double, y double, z double")
 
 
-def obs_tree(vertices: DataFrame, edges: DataFrame, at: DataFrame) -> DataFrame:
+def obs_tree(vertices: DataFrame, edges: DataFrame, at: DataFrame, limit: int = VERTEX_LIMIT) -> DataFrame:
     """``frag_id, id, parent_id, path_length, depth``: each observation with the one before it on the way from the root (G23, G17, G18); at (frag_id, vid, id) by nearest vertex."""
-    tagged = vertices.join(at, ["frag_id", "vid"], "left")
 
     def run(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = v.dropna(subset=["id"]).groupby("vid")["id"].apply(lambda s: sorted(int(x) for x in s)).to_dict()
         t = Tree(v.drop_duplicates("vid"), e)
-        rows, seen = [], [None] * len(t.vid)
+        rows = []
         last: dict[int, tuple] = {}
         done: set[int] = set()
         for start in range(len(t.vid)):
@@ -282,14 +316,33 @@ def obs_tree(vertices: DataFrame, edges: DataFrame, at: DataFrame) -> DataFrame:
                 last[i] = now
         return pd.DataFrame(rows, columns=["frag_id", "id", "parent_id", "path_length", "depth"]).astype({"parent_id": "Int64"})
 
-    return tagged.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, "frag_id long, id long, parent_id long, path_length double, depth int")
-
-
-def depth_order(vertices: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    small, large = _by_size(vertices, edges, limit)
+    tagged = small[0].join(at, ["frag_id", "vid"], "left")
+    out = tagged.groupBy("frag_id").cogroup(_renewed(small[1]).groupBy("frag_id")).applyInPandas(run, "frag_id long, id long, parent_id long, path_length double, depth int")
+    if large is None:
+        return out
+    v, e = large
+    # A root for each tree of a fragment: its lowest vertex.
+    key = lambda c: vertex_key("frag_id", c)
+    comp = connected_components(e.select(key("u").alias("src"), key("v").alias("dst")).unionByName(v.select(key("vid").alias("src"), key("vid").alias("dst"))))
+    roots = v.select("frag_id", "vid", key("vid").alias("node")).join(comp, "node").groupBy("frag_id", "component").agg(F.min("vid").alias("vid")).select("frag_id", "vid")
+    own = at.join(v.select("frag_id", "vid"), ["frag_id", "vid"], "left_semi").select("frag_id", "vid", F.col("id").cast("long").alias("id"))
+    held = own.groupBy("frag_id", "vid").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    tree = rooted(edge_lengths(v, e), roots, held)
+    before = marked_above(tree, held).join(held.select("frag_id", F.col("vid").alias("before"), F.col("last").alias("_last")), ["frag_id", "before"], "left")
+    before = before.join(tree.select("frag_id", F.col("vid").alias("before"), F.col("dist").alias("_dist")), ["frag_id", "before"], "left").select("frag_id", "vid", "_last", "_dist")
+    here = W.partitionBy("frag_id", "vid").orderBy("id")
+    found = own.withColumn("_prev", F.lag("id").over(here)).withColumn("_k", F.row_number().over(here) - 1).join(tree.select("frag_id", "vid", "dist", "above"), ["frag_id", "vid"]).join(before, ["frag_id", "vid"])
+    length = F.when(F.col("_prev").isNotNull(), 0.0).when(F.col("_last").isNotNull(), F.col("dist") - F.col("_dist"))
+    return out.unionByName(found.select("frag_id", "id", F.coalesce("_prev", "_last").alias("parent_id"), length.alias("path_length"), (F.col("above") + F.col("_k")).cast("int").alias("depth")))
+
+
+def depth_order(vertices: DataFrame, edges: DataFrame, roots: DataFrame | None = None, limit: int = VERTEX_LIMIT) -> DataFrame:
     """``frag_id, vid, pos, depth_nm``: depth-first order from a root vertex (V17); roots (frag_id, root_vid), else the lowest vertex."""
     r = vertices.groupBy("frag_id").agg(F.min("vid").alias("_low"))
     r = r.join(roots, "frag_id", "left").select("frag_id", F.coalesce("root_vid", "_low").alias("root_vid")) if roots is not None else r.withColumnRenamed("_low", "root_vid")
-    tagged = vertices.join(r, "frag_id")
+    small, large = _by_size(vertices, edges, limit)
+    tagged = small[0].join(r, "frag_id")
 
     def run(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         t = Tree(v, e)
@@ -297,11 +350,15 @@ def depth_order(vertices: DataFrame, edges: DataFrame, roots: DataFrame | None =
         order, _, dist = t.walk(start)
         return pd.DataFrame([(key[0], int(t.vid[i]), k, dist[i]) for k, i in enumerate(order)], columns=["frag_id", "vid", "pos", "depth_nm"])
 
-    return tagged.groupBy("frag_id").cogroup(_renewed(edges).groupBy("frag_id")).applyInPandas(run, "frag_id long, vid long, pos int, depth_nm double")
+    out = tagged.groupBy("frag_id").cogroup(_renewed(small[1]).groupBy("frag_id")).applyInPandas(run, "frag_id long, vid long, pos int, depth_nm double")
+    if large is None:
+        return out
+    tree = rooted(edge_lengths(*large), r.join(large[0].select("frag_id").distinct(), "frag_id", "left_semi").select("frag_id", F.col("root_vid").alias("vid")))
+    return out.unionByName(tree.select("frag_id", "vid", F.col("pos").cast("int").alias("pos"), F.col("dist").alias("depth_nm")))
 
 
-def best_cuts(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_cuts: int = 8) -> DataFrame:
-    """``frag_id, step, u, v, before, after``: tree cuts, one after another, that lower the Rand disagreement most.
+def best_cuts(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_cuts: int | None = None) -> DataFrame:
+    """``frag_id, step, u, v, before, after``: tree cuts, one after another, that lower the Rand disagreement most, until none does (G15), or the first ``max_cuts``.
 
     labels (frag_id, vid, label, n): observations of a label at a vertex.  A cut's gain is the number of pairs of
     unlike labels that it parts, less those of like ones.
@@ -317,7 +374,7 @@ def best_cuts(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_cuts
         count = [own[int(k)] for k in t.vid]
         wrong = lambda c: (lambda n: n * (n - 1) / 2 - sum(x * (x - 1) / 2 for x in c.values()))(sum(c.values()))
         rows, cut = [], set()
-        for step in range(max_cuts):
+        for step in range(len(t.vid) if max_cuts is None else max_cuts):
             best, done = None, set()
             for start in range(len(t.vid)):
                 if start in done:
