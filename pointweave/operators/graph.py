@@ -213,32 +213,35 @@ def correlation_clusters(nodes: DataFrame, weights: DataFrame, group_limit: int
 def greedy_clusters(nodes: DataFrame, edges: DataFrame, t: float = 0.5, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """``node, cluster``: in hash order each node joins the neighbouring cluster of the highest mean p among edges with p >= t, or opens its own.
 
-    Exactly the sequential result: a round decides every node whose earlier neighbours are all decided.
-    A tie goes to the lower cluster id; a cluster is named by the node that opened it.
+    Exactly the sequential result: a round decides every node whose earlier neighbours are all decided, as in a maximal independent set by
+    random priorities, so rounds grow with the logarithm of a graph of bounded degree.  An edge is read with the round that decides
+    its earlier end, adds its vote to the later end's sums, and is gone; decisions are appended.  A tie goes to the lower cluster
+    id; a cluster is named by the node that opened it.  Means count p in units of 1e-12.
     """
     tmp = Scratch(nodes.sparkSession, "greedy")
     both = edges.select(F.col("src").alias("n"), F.col("dst").alias("m"), "p").unionByName(edges.select(F.col("dst").alias("n"), F.col("src").alias("m"), "p"))
     both = both.where("n <> m").groupBy("n", "m").agg(F.max("p").alias("p"))
     before = F.struct(F.xxhash64("m", F.lit(seed)), F.col("m")) < F.struct(F.xxhash64("n", F.lit(seed)), F.col("n"))
-    earlier = tmp.write(both.where(before), "earlier")
-    todo, done = tmp.write(nodes.select(F.col("node").alias("n")), "todo"), None
-    for _ in range(max_rounds):
-        waiting = earlier.join(todo.select(F.col("n").alias("m")), "m", "left_semi").select("n").distinct()
-        ready = tmp.write(todo.join(waiting, "n", "left_anti"), "ready")
-        if ready.isEmpty():
-            break
-        if done is None:
-            new = ready.select("n", F.col("n").alias("cluster"))
-        else:
-            votes = earlier.where(F.col("p") >= t).join(ready, "n", "left_semi").join(done.select(F.col("n").alias("m"), "cluster"), "m").groupBy("n", "cluster").agg(F.avg("p").alias("v"))
-            best = votes.groupBy("n").agg(F.max_by("cluster", F.struct("v", -F.col("cluster"))).alias("cluster"))
-            new = ready.join(best, "n", "left").select("n", F.coalesce("cluster", "n").alias("cluster"))
-        done = tmp.write(new if done is None else done.unionByName(new), "done")
-        todo = tmp.write(todo.join(ready, "n", "left_anti"), "todo")
-    else:
-        if not todo.isEmpty():
-            raise RuntimeError(f"greedy clusters did not settle in {max_rounds} rounds")
-    return done.select(F.col("n").alias("node"), "cluster") if done is not None else nodes.select("node", F.col("node").alias("cluster")).limit(0)
+    waits = both.where(before).join(nodes.select(F.col("node").alias("n")), "n", "left_semi").join(nodes.select(F.col("node").alias("m")), "m", "left_semi")
+    waits = tmp.write(waits.select("n", "m", F.when(F.col("p") >= t, F.col("p").cast("decimal(20,12)")).alias("p")), "waits")
+    new = tmp.write(nodes.select(F.col("node").alias("n")).join(waits.select("n").distinct(), "n", "left_anti").select("n", F.col("n").alias("cluster")), "decided")
+    done, votes = [new], None
+    for _ in range(max_rounds - 1):
+        if new.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), done).select(F.col("n").alias("node"), "cluster")
+        told = tmp.write(waits.join(new.select(F.col("n").alias("m"), "cluster"), "m").select("n", "cluster", "p"), "told")
+        rest = tmp.write(waits.join(new.select(F.col("n").alias("m")), "m", "left_anti").select("n", "m", "p"), "waits")
+        added = told.where("p is not null").select("n", "cluster", "p", F.lit(1).cast("long").alias("c"))
+        sums = (added if votes is None else votes.unionByName(added)).groupBy("n", "cluster").agg(F.sum("p").cast("decimal(38,12)").alias("p"), F.sum("c").alias("c"))
+        sums = tmp.write(sums, "sums")
+        ready = told.select("n").distinct().join(rest.select("n").distinct(), "n", "left_anti")
+        best = sums.groupBy("n").agg(F.max_by("cluster", F.struct(F.col("p").cast("double") / F.col("c"), -F.col("cluster"))).alias("cluster"))
+        new = tmp.write(ready.join(best, "n", "left").select("n", F.coalesce("cluster", "n").alias("cluster")), "decided")
+        votes = tmp.write(sums.join(new.select("n"), "n", "left_anti"), "votes")
+        tmp.drop(told, waits, sums)
+        waits = rest
+        done.append(new)
+    raise RuntimeError(f"greedy clusters did not settle in {max_rounds} rounds")
 
 
 def log_score(edges: DataFrame, parts: DataFrame, eps: float = 1e-6) -> DataFrame:
