@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import f1, pairs_of, ratio
+from pointweave.sources.scratch import Scratch
 
 NAN = float("nan")
 
@@ -230,19 +231,32 @@ def calibration_error(scored: DataFrame, bins: int = 15, p: str = "p", y: str =
     return r.agg(ratio(_sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))), F.sum("n"), 0.0).alias("ece"))
 
 
-def fit_temperature(scored: DataFrame, logit: str = "logit", y: str = "y", low: float = 0.05, high: float = 10.0, grid: int = 60, rounds: int = 3) -> tuple[float, float]:
-    """Temperature with the least mean negative log likelihood, and that mean (A34): each round is one pass over a grid, then a finer one."""
-    best = (1.0, NAN)
-    for _ in range(rounds):
-        ts = [low * (high / low) ** (k / (grid - 1)) for k in range(grid)]
-        z = F.col(logit) / F.col("t")
-        nll = F.greatest(z, F.lit(0.0)) - z * F.col(y).cast("double") + F.log1p(F.exp(-F.abs(z)))
-        row = scored.select(logit, y, F.explode(F.array(*[F.lit(t) for t in ts])).alias("t")).groupBy("t").agg(F.avg(nll).alias("nll")).orderBy("nll", "t").first()
-        if row is None:
-            return best
-        best, k = (row["t"], row["nll"]), min(range(grid), key=lambda i: abs(ts[i] - row["t"]))
-        low, high = ts[max(0, k - 1)], ts[min(grid - 1, k + 1)]
-    return best
+def fit_temperature(scored: DataFrame, logit: str = "logit", y: str = "y", held: F.Column | None = None, bias: float = 0.0, low: float = 0.05, high: float = 10.0) -> tuple[float, float]:
+    """Temperature t with the least mean negative log likelihood of sigmoid((logit + bias) / t) on the held-out rows, and that mean.
+
+    ``held`` marks these rows; by default a fifth of all, by a hash of all columns.  The mean is convex in 1 / t, so
+    Newton steps settle it, each one pass that sums first and second derivatives; a step out of the bracket is halved into it.
+    """
+    if held is None:
+        held = F.pmod(F.xxhash64(*scored.columns), F.lit(5)) == 0
+    rows = Scratch(scored.sparkSession, "temperature").write(scored.where(held).select((F.col(logit) + bias).cast("double").alias("z"), F.col(y).cast("double").alias("y")).where("z is not null and y is not null"), "held")
+    lo, hi, beta = 1 / high, 1 / low, min(max(1.0, 1 / high), 1 / low)
+    nll = NAN
+    for _ in range(100):
+        u = F.col("z") * beta
+        p = 1 / (1 + F.exp(-u))
+        loss = F.greatest(u, F.lit(0.0)) - u * F.col("y") + F.log1p(F.exp(-F.abs(u)))
+        row = rows.agg(F.avg(loss), F.sum(F.col("z") * (p - F.col("y"))), F.sum(F.col("z") ** 2 * p * (1 - p))).first()
+        if row[0] is None:
+            return 1.0, NAN
+        nll, slope, bend = row
+        lo, hi = (lo, beta) if slope > 0 else (beta, hi)
+        step = beta - slope / bend if bend > 0 else (lo + hi) / 2
+        step = step if lo < step < hi else (lo + hi) / 2
+        if abs(step - beta) <= 1e-10 * beta:
+            break
+        beta = step
+    return 1 / beta, nll
 
 
 def roc_auc(scored: DataFrame, score: str = "score", y: str = "y", by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -47,40 +49,51 @@ def blobs_of(points: DataFrame, eps: float, group: str = "group", min_samples: i
     return points.select(group).distinct().join(some, group, "left").na.fill(1, ["blobs"]).na.fill(1.0, ["largest"])
 
 
-def cloud_features(points: DataFrame, blob_nm: float, group: str = "group", limit: int = 200_000) -> DataFrame:
-    """The ten global features of a cloud (M2): ``log_n, log_extent, spread_1..3`` (of the extent), ``bimodality, centre_gap, balance, log_blobs, largest``.
+def two_means(points: DataFrame, group: str = "group", max_rounds: int = 100) -> DataFrame:
+    """``bimodality, centre_gap, balance`` of each group by two-means (M2), from the point with the lowest id and the one farthest from it.
 
-    Two-means runs in pandas per group of up to ``limit`` points, from the point with the lowest id and the one farthest from it;
-    groups of fewer than six points have none, and one blob.
+    All groups take their rounds at once: a join with two centres a group, and sums that are aggregated before the shuffle.  A group whose
+    centres stay is done.  Sums count in units of 1e-6, so that they don't depend on their order.  Groups of fewer than six points have zeros.
     """
+    tmp = Scratch(points.sparkSession, "means")
+    p = tmp.write(points.select(F.col(group).alias("g"), "id", *[F.col(c).cast("double").alias(c) for c in XYZ]), "points")
+    exact = lambda c: F.col(c).cast("decimal(30,6)")
+    span = [F.max(c).alias(f"hi_{c}") for c in XYZ] + [F.min(c).alias(f"lo_{c}") for c in XYZ] + [(F.sum(exact(c)).cast("double") / F.count("*")).alias(f"m_{c}") for c in XYZ]
+    groups = tmp.write(p.groupBy("g").agg(F.count("*").alias("n"), *span, F.min_by(F.struct(*XYZ), "id").alias("a")), "groups")
+    names = [f"{k}_{c}" for k in "ab" for c in XYZ]
+    first = [F.col(f"a.{c}").alias(f"a_{c}") for c in XYZ]
+    start = p.join(groups.where("n >= 6").select("g", *first), "g")
+    from_a = sum(((F.col(c) - F.col(f"a_{c}")) ** 2 for c in XYZ), F.lit(0.0))
+    centres = start.groupBy("g").agg(*[F.first(f"a_{c}").alias(f"a_{c}") for c in XYZ], F.max_by(F.struct(*XYZ), F.struct(from_a, -F.col("id"))).alias("b"))
+    now = tmp.write(centres.select("g", *names[:3], *[F.col(f"b.{c}").alias(f"b_{c}") for c in XYZ]), "centres")
+    off = {k: sum(((F.col(c) - F.col(f"{k}_{c}")) ** 2 for c in XYZ), F.lit(0.0)) for k in "ab"}
+    right = off["b"] < off["a"]
+    done = []
+    for r in range(max_rounds):
+        means = [F.when(F.count_if(side) > 0, F.sum(F.when(side, exact(c))).cast("double") / F.count_if(side)).otherwise(F.first(f"{k}_{c}")).alias(f"{k}_{c}") for k, side in (("a", ~right), ("b", right)) for c in XYZ]
+        new = tmp.write(p.join(now, "g").groupBy("g").agg(*means, *[F.first(c).alias(f"old_{c}") for c in names]), "centres")
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"old_{c}") for c in names])
+        done.append(new.where(same if r < max_rounds - 1 else F.lit(True)).select("g", *names))
+        now = new.where(~same).select("g", *names)
+        if now.isEmpty():
+            break
+    last = reduce(lambda x, y: x.unionByName(y), done)
+    mean = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in XYZ), F.lit(0.0))
+    held = p.join(last, "g").join(groups.select("g", *[f"m_{c}" for c in XYZ]), "g").groupBy("g").agg(F.sum(F.least(off["a"], off["b"])).alias("within"), F.sum(mean).alias("total"), F.count_if(right).alias("nb"))
+    j = groups.join(held, "g", "left").join(last, "g", "left")
+    wide = F.sqrt(sum(((F.col(f"hi_{c}") - F.col(f"lo_{c}")) ** 2 for c in XYZ), F.lit(0.0)))
+    gap = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in XYZ), F.lit(0.0))) / (wide + 1)
+    na = F.col("n") - F.col("nb")
+    columns = {"bimodality": F.when(F.col("total") > 0, 1 - F.col("within") / F.col("total")), "centre_gap": gap, "balance": F.least("nb", na) / F.greatest("nb", na)}
+    return j.select(F.col("g").alias(group), *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in columns.items()])
+
+
+def cloud_features(points: DataFrame, blob_nm: float, group: str = "group") -> DataFrame:
+    """The ten global features of a cloud (M2): ``log_n, log_extent, spread_1..3`` (of the extent), ``bimodality, centre_gap, balance, log_blobs, largest``; groups of fewer than six points have one blob."""
     axes = principal_axes(points, group)
     span = points.groupBy(group).agg(F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in XYZ), F.lit(0.0))).alias("_e"))
     sample = F.when(F.col("n") > 1, F.sqrt(F.col("n") / (F.col("n") - 1))).otherwise(0.0)
-
-    def two_means(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"a group has {len(pdf)} points, more than {limit}")
-        x = pdf.sort_values("id")[list(XYZ)].to_numpy(float)
-        bimodality = gap = balance = 0.0
-        if len(x) >= 6:
-            c = x[[0, int(np.linalg.norm(x - x[0], axis=1).argmax())]].copy()
-            for _ in range(100):
-                side = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(1)
-                new = np.stack([x[side == k].mean(0) if (side == k).any() else c[k] for k in (0, 1)])
-                if np.array_equal(new, c):
-                    break
-                c = new
-            total = ((x - x.mean(0)) ** 2).sum()
-            within = sum(((x[side == k] - c[k]) ** 2).sum() for k in (0, 1))
-            bimodality = float(1 - within / total) if total > 0 else 0.0
-            gap = float(np.linalg.norm(c[0] - c[1]) / (np.linalg.norm(x.max(0) - x.min(0)) + 1))
-            n = np.bincount(side, minlength=2)
-            balance = float(n.min() / n.max())
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "bimodality": [bimodality], "centre_gap": [gap], "balance": [balance]})
-
-    kind = points.schema[group].dataType.simpleString()
-    two = points.select(group, "id", *XYZ).groupBy(group).applyInPandas(two_means, f"{group} {kind}, bimodality double, centre_gap double, balance double")
-    j = axes.join(span, group).join(two, group).join(blobs_of(points, blob_nm, group), group)
+    j = axes.join(span, group).join(two_means(points, group), group).join(blobs_of(points, blob_nm, group), group)
     few = F.col("n") < 6
     spreads = [(F.col("spread")[k] * sample / (F.col("_e") + 1)).alias(f"spread_{k + 1}") for k in range(3)]
     blobs = F.log1p(F.when(few, 1).otherwise(F.col("blobs")).cast("double")).alias("log_blobs")

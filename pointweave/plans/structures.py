@@ -411,10 +411,21 @@ def a28_edge_precision(e, n):
     return rounded(stitch.edge_precision(e.select(F.col("src").alias("i"), F.col("dst").alias("j")), n.select(F.col("node").alias("super_id"), F.col("label").alias("majority_label"))))
 
 
-@query(None, "v_score")
+@query(
+    """with recursive d as (select p * 6 - 3.5 as z, cast(y as double) as y from v_score where id % 5 = 0),
+    n(step, beta) as (
+        select 0, cast(1 as double)
+        union all
+        select n.step + 1, n.beta - sum(z * (1 / (1 + exp(-n.beta * z)) - y)) / sum(z * z / (1 + exp(-n.beta * z)) * (1 - 1 / (1 + exp(-n.beta * z)))) from n, d where n.step < 25 group by n.step, n.beta
+    ),
+    b as (select beta from n where step = 25)
+    select round(1 / max(beta), 6) as temperature, round(avg(greatest(beta * z, 0) - beta * z * y + ln(1 + exp(-abs(beta * z)))), 6) as nll from d, b""",
+    "v_score",
+)
 def a34_temperature(s):
-    t, nll = metrics.fit_temperature(s.select((F.col("p") * 6 - 3).alias("logit"), "y"))
-    return s.sparkSession.createDataFrame([(float(t), float(nll))], "temperature double, nll double")
+    rows = s.select("id", (F.col("p") * 6 - 3).alias("logit"), "y")
+    t, nll = metrics.fit_temperature(rows, held=F.col("id") % 5 == 0, bias=-0.5)
+    return rounded(s.sparkSession.createDataFrame([(float(t), float(nll))], "temperature double, nll double"))
 
 
 @query(
@@ -745,6 +756,14 @@ def g11_stitch(p):
     return stitch.stitch(supers, forced, found, 0.3, 400)[0]
 
 
+@query(None, "v_xyz")
+def g11_two_level_stitch(p):
+    """Tiles with halos, clusters of each tile as super fragments, links by shared keys and by endpoints, and every observation's stitched cluster."""
+    tiles = stitch.tile_grid(p, 2, 2, 400.0, ("x", "y"))
+    parts = tiles.join(p, "id").select("id", F.col("id").alias("key"), "tile_id", "core", F.col("seg").alias("cluster"), F.col("id").alias("atom"), "label", (F.col("id") % 400 == 0).alias("has_soma"), F.array((F.col("seg") + 1).cast("double"), F.lit(3.0)).alias("dna"), "x", "y", "z")
+    return stitch.two_level_stitch(parts, 300.0, min_shared=2, min_score=0.3, max_obs=400)[0]
+
+
 # Streams
 
 

@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pointweave.operators import metrics, models, stitch
 
@@ -49,9 +51,42 @@ def test_seam_descriptor(spark):
 def test_temperature(spark):
     rng = random.Random(2)
     rows = [(z, int(rng.random() < 1 / (1 + math.exp(-z / 2)))) for z in (rng.gauss(0, 3) for _ in range(2000))]
-    t, nll = metrics.fit_temperature(spark.createDataFrame(rows, "logit double, y int"))
+    scored = spark.createDataFrame(rows, "logit double, y int")
+    t, nll = metrics.fit_temperature(scored, held=F.lit(True))
     cost = lambda t: sum(math.log1p(math.exp(-z / t if y else z / t)) for z, y in rows) / len(rows)
     assert abs(nll - cost(t)) < 1e-9 and all(nll <= cost(t * k) + 1e-9 for k in (0.9, 0.97, 1.03, 1.1))
+    part, _ = metrics.fit_temperature(scored)  # a fifth of them
+    assert 0 < abs(part - t) < 0.5
+    shifted, _ = metrics.fit_temperature(spark.createDataFrame([(z + 2, y) for z, y in rows], "logit double, y int"), held=F.lit(True), bias=-2.0)
+    assert abs(shifted - t) < 1e-6
+    assert metrics.fit_temperature(spark.createDataFrame([(5.0, 1), (-5.0, 0)], "logit double, y int"), held=F.lit(True))[0] < 0.051  # all right: as sharp as may be
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_two_means_of_all_groups_at_once(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for g, n in enumerate([1, 5, 6, 40, 300, 300]):
+        far = rng.choice([0, 5000])
+        rows += [(1000 * g + i, g, rng.gauss(0, 100) + far * (i % 3 == 0), rng.gauss(0, 50), rng.gauss(0, 10)) for i in range(n)]
+    rows += [(9000 + i, 9, 1.0, 2.0, 3.0) for i in range(8)]  # all in one place
+    got = {r["group"]: r for r in models.two_means(spark.createDataFrame(rows, "id long, group long, x double, y double, z double"), "group").collect()}
+    assert set(got) == {r[1] for r in rows}
+    for g in got:
+        x = np.array([r[2:] for r in sorted(rows) if r[1] == g])
+        want = [0.0, 0.0, 0.0]
+        if len(x) >= 6:
+            c = x[[0, int(np.linalg.norm(x - x[0], axis=1).argmax())]]
+            for _ in range(100):
+                side = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(1)
+                new = np.stack([x[side == k].mean(0) if (side == k).any() else c[k] for k in (0, 1)])
+                if np.allclose(new, c, atol=1e-9):
+                    break
+                c = new
+            total, n = ((x - x.mean(0)) ** 2).sum(), np.bincount(side, minlength=2)
+            within = sum(((x[side == k] - c[k]) ** 2).sum() for k in (0, 1))
+            want = [1 - within / total if total > 1e-9 else 0.0, np.linalg.norm(c[0] - c[1]) / (np.linalg.norm(x.max(0) - x.min(0)) + 1), n.min() / n.max()]
+        assert np.allclose([got[g][c] for c in ("bimodality", "centre_gap", "balance")], want, atol=1e-5), g
 
 
 def test_two_tiles_are_stitched(spark):
