@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.columns import distance, hash_order
 from pointweave.operators.sequence import pca_order
+from pointweave.operators.shared import BLOCKS, dealt
 from pointweave.operators.spatial import XYZ, knn, same_segment_pairs
 from pointweave.sources.scratch import Scratch
 
@@ -41,14 +42,15 @@ def partition_merge_pairs(parts: DataFrame, cell: float, k: int, r: float) -> Da
     parts (id, part, label, syn_id, x, y, z); distances are those of the closest points.
     """
     own = parts.select("part", "label").distinct()
-    a, b = own.select("label", F.col("part").alias("pa")), own.select("label", F.col("part").alias("pb"))
-    pos = a.where("label <> 0").join(b, "label").where("pa < pb").select("pa", "pb")
+    left, right = dealt(own.where("label <> 0"), "label", "part")
+    pos = left.withColumnRenamed("part", "pa").join(right.withColumnRenamed("part", "pb"), ["label", *BLOCKS]).where("pa < pb").select("pa", "pb")
     centres = parts.groupBy("part", "label").agg(*[F.avg(c).alias(c) for c in XYZ]).withColumnRenamed("part", "id")
     near = knn(centres, centres, k, r, max_distance=r, differs="label")
     neg = near.select(F.least("a", "b").alias("pa"), F.greatest("a", "b").alias("pb")).distinct()
     every = pos.withColumn("y", F.lit(1)).unionByName(neg.withColumn("y", F.lit(0)))
     s = parts.select("part", "syn_id").distinct()
-    shared = s.select("syn_id", F.col("part").alias("pa")).join(s.select("syn_id", F.col("part").alias("pb")), "syn_id").where("pa < pb").select("pa", "pb").distinct()
+    held = every.select("pa", "pb").distinct().join(s.select(F.col("part").alias("pa"), "syn_id"), "pa")  # only the pairs in question look at their synapses
+    shared = held.join(s.select(F.col("part").alias("pb"), "syn_id"), ["pb", "syn_id"], "left_semi").select("pa", "pb").distinct()
     kept = every.join(shared, ["pa", "pb"], "left_anti")
     gap = part_gaps(kept.select("pa", "pb"), parts, cell)
     return kept.join(gap, ["pa", "pb"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import cosine, distance, hash_order
+from pointweave.operators.shared import BLOCKS, dealt
 from pointweave.sources.scratch import Scratch
 
 XYZ = ("x", "y", "z")
@@ -120,16 +121,19 @@ def somata_near(fragments: DataFrame, somata: DataFrame, r: float) -> DataFrame:
 
 
 def same_segment_pairs(obs: DataFrame, cap: int, seg: str = "seg", seed: int = 0) -> DataFrame:
-    """``src, dst``: pairs of a segment's observations, at most ``cap`` of them per segment, both ways.
+    """``src, dst``: pairs of a segment's observations, ``cap`` of them per segment or all if there are fewer, both ways.
 
-    Each observation meets the next few in hash order, so a segment of any size costs as many
-    rows as it has observations; small segments give all their pairs.
+    Observations stand in a ring in hash order and meet the next one, then the one after it, and so on, until there are enough pairs:
+    only the pairs that are returned are ever made.
     """
     order = W.partitionBy(seg).orderBy(hash_order("id", seed=seed), "id")
-    few = obs.where(F.col(seg) > 0).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= int((2 * cap) ** 0.5) + 2)
-    a, b = few.select(seg, F.col("id").alias("a"), F.col("_r").alias("ra")), few.select(seg, F.col("id").alias("b"), F.col("_r").alias("rb"))
-    pairs = a.join(b, seg).where("ra < rb").withColumn("_k", F.row_number().over(W.partitionBy(seg).orderBy(hash_order("a", "b", seed=seed), "a", "b"))).where(F.col("_k") <= cap)
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    ranked = obs.where(F.col(seg) > 0).select(F.col(seg).alias("_g"), "id", (F.row_number().over(order) - 1).cast("long").alias("_r")).where(F.col("_r") <= cap)
+    n = obs.where(F.col(seg) > 0).groupBy(F.col(seg).alias("_g")).agg(F.count("*").alias("_n")).where("_n > 1")
+    k = n.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.expr("(_n * (_n - 1)) div 2"), F.lit(cap).cast("long")) - 1)))
+    k = k.select("_g", F.expr("_k % _n").alias("_a"), F.expr("(_k % _n + _k div _n + 1) % _n").alias("_b"))
+    end = lambda c, name: ranked.select("_g", F.col("_r").alias(c), F.col("id").alias(name))
+    found = k.join(end("_a", "a"), ["_g", "_a"]).join(end("_b", "b"), ["_g", "_b"])
+    return found.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("p")).select("p.*")
 
 
 def endpoint_pairs(ends: DataFrame, r: float) -> DataFrame:
@@ -141,11 +145,19 @@ def endpoint_pairs(ends: DataFrame, r: float) -> DataFrame:
 
 
 def adjacent_obs_pairs(frag_pairs: DataFrame, obs: DataFrame, cap: int, seed: int = 0) -> DataFrame:
-    """``src, dst``: observations of adjacent fragments, at most ``cap`` pairs per pair of fragments."""
-    few = obs.withColumn("_r", F.row_number().over(W.partitionBy("frag").orderBy(hash_order("id", seed=seed), "id"))).where(F.col("_r") <= cap)
-    a, b = few.select(F.col("frag").alias("fa"), F.col("id").alias("src")), few.select(F.col("frag").alias("fb"), F.col("id").alias("dst"))
-    j = frag_pairs.select("fa", "fb").join(a, "fa").join(b, "fb")
-    return j.withColumn("_k", F.row_number().over(W.partitionBy("fa", "fb").orderBy(hash_order("src", "dst", seed=seed), "src", "dst"))).where(F.col("_k") <= cap).select("src", "dst")
+    """``src, dst``: observations of adjacent fragments, ``cap`` pairs per pair of fragments or all if there are fewer.
+
+    The first observations of both, in hash order, about as many of each; only the pairs that are returned are ever made.
+    """
+    ranked = obs.select(F.col("frag").alias("_f"), "id", (F.row_number().over(W.partitionBy("frag").orderBy(hash_order("id", seed=seed), "id")) - 1).cast("long").alias("_r")).where(F.col("_r") < cap)
+    n = obs.groupBy(F.col("frag").alias("_f")).agg(F.count("*").alias("_n"))
+    end = lambda c: n.select(F.col("_f").alias(c), F.col("_n").alias(f"n{c}"))
+    j = frag_pairs.select("fa", "fb").join(end("fa"), "fa").join(end("fb"), "fb")
+    j = j.withColumn("_w", F.least("nfb", F.greatest(F.ceil(F.sqrt(F.lit(float(cap)))), F.ceil(F.lit(cap) / F.col("nfa")))).cast("long"))
+    j = j.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("nfa") * F.col("nfb"), F.lit(cap).cast("long")) - 1)))
+    j = j.select("fa", "fb", F.expr("_k div _w").alias("_a"), F.expr("_k % _w").alias("_b"))
+    side = lambda f, r, name: ranked.select(F.col("_f").alias(f), F.col("_r").alias(r), F.col("id").alias(name))
+    return j.join(side("fa", "_a", "src"), ["fa", "_a"]).join(side("fb", "_b", "dst"), ["fb", "_b"]).select("src", "dst")
 
 
 def typed_edges(same: DataFrame, near: DataFrame, ends: DataFrame, dna: DataFrame) -> DataFrame:
@@ -155,11 +167,22 @@ def typed_edges(same: DataFrame, near: DataFrame, ends: DataFrame, dna: DataFram
     return j.select("src", "dst", "etype", *[(F.col("etype") == k).cast("int").alias(n) for k, n in enumerate(("same_seg", "spatial", "endpoint"))], cosine("_a", "_b").alias("cos"))
 
 
-def shared_partners(obs: DataFrame, group: str = "seg", partner: str = "partner") -> DataFrame:
-    """``ga, gb, shared``: partners that two groups have in common."""
-    links = obs.where((F.col(group) != 0) & (F.col(partner) != 0)).select(F.col(group).alias("g"), F.col(partner).alias("p")).distinct()
-    a, b = links.select("p", F.col("g").alias("ga")), links.select("p", F.col("g").alias("gb"))
-    return a.join(b, "p").where("ga < gb").groupBy("ga", "gb").agg(F.count("*").alias("shared"))
+def _links(obs: DataFrame, group: str, partner: str) -> DataFrame:
+    return obs.where((F.col(group) != 0) & (F.col(partner) != 0)).select(F.col(group).alias("g"), F.col(partner).alias("p")).distinct()
+
+
+def shared_partners(obs: DataFrame, group: str = "seg", partner: str = "partner", block: int = 1000) -> DataFrame:
+    """``ga, gb, shared``: partners that two groups have in common (J11); a partner of many groups is spread over tasks."""
+    left, right = dealt(_links(obs, group, partner), "p", "g", block)
+    met = left.withColumnRenamed("g", "ga").join(right.withColumnRenamed("g", "gb"), ["p", *BLOCKS]).where("ga < gb")
+    return met.groupBy("ga", "gb").agg(F.count("*").alias("shared"))
+
+
+def shared_partners_of(pairs: DataFrame, obs: DataFrame, group: str = "seg", partner: str = "partner") -> DataFrame:
+    """``ga, gb, shared`` of the stated pairs (ga < gb) only: the partners of one looked up among those of the other."""
+    links = _links(obs, group, partner)
+    held = pairs.select("ga", "gb").where("ga < gb").distinct().join(links.select(F.col("g").alias("ga"), "p"), "ga")
+    return held.join(links.select(F.col("g").alias("gb"), "p"), ["gb", "p"]).groupBy("ga", "gb").agg(F.count("*").alias("shared"))
 
 
 def evidence_edges(obs: DataFrame, near: DataFrame, clique_size: int, scores: DataFrame | None = None) -> DataFrame:
@@ -171,7 +194,8 @@ def evidence_edges(obs: DataFrame, near: DataFrame, clique_size: int, scores: Da
     end = lambda k, p: obs.select(F.col("id").alias(k), F.col("seg").alias(f"{p}seg"), *[F.col(c).alias(f"{p}{c}") for c in XYZ])
     j = edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst")
     j = j.withColumn("distance", distance(("ax", "ay", "az"), ("bx", "by", "bz"))).withColumn("same_scaffold", ((F.col("aseg") == F.col("bseg")) & (F.col("aseg") != 0)).cast("int"))
-    j = j.withColumn("ga", F.least("aseg", "bseg")).withColumn("gb", F.greatest("aseg", "bseg")).join(shared_partners(obs), ["ga", "gb"], "left").withColumn("shared_partners", F.coalesce("shared", F.lit(0)))
+    j = j.withColumn("ga", F.least("aseg", "bseg")).withColumn("gb", F.greatest("aseg", "bseg"))
+    j = j.join(shared_partners_of(j, obs), ["ga", "gb"], "left").withColumn("shared_partners", F.coalesce("shared", F.lit(0)))
     if scores is not None:
         j = j.join(scores.select("ga", "gb", "score"), ["ga", "gb"], "left")
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pointweave.functions.columns import cosine, norm, ratio
 from pointweave.operators.components import connected_components
 from pointweave.operators.connect import majority
+from pointweave.operators.shared import BLOCKS, dealt
 from pointweave.operators.spatial import XYZ, radius_pairs
 from pointweave.sources.scratch import Scratch
 
@@ -54,12 +55,13 @@ def super_fragments(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return supers, sound.select("super_id", "key").distinct()
 
 
-def shared_key_links(supers: DataFrame, keys: DataFrame, min_shared: int, exclude: DataFrame | None = None) -> DataFrame:
-    """``i, j, shared``: supers of different tiles that share ``min_shared`` keys or more, each the other's best in its tile (J17); ties by id."""
+def shared_key_links(supers: DataFrame, keys: DataFrame, min_shared: int, exclude: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """``i, j, shared``: supers of different tiles that share ``min_shared`` keys or more, each the other's best in its tile (J17); ties by id; a key of many supers is spread over tasks."""
     held = keys.join(exclude.select("key"), "key", "left_anti") if exclude is not None else keys
     held = held.join(supers.select("super_id", "tile_id"), "super_id")
-    a, b = held.select("key", F.col("super_id").alias("i"), F.col("tile_id").alias("ti")), held.select("key", F.col("super_id").alias("j"), F.col("tile_id").alias("tj"))
-    n = a.join(b, "key").where("ti <> tj").groupBy("i", "ti", "j", "tj").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    left, right = dealt(held, "key", "super_id", block)
+    a, b = left.select("key", *BLOCKS, F.col("super_id").alias("i"), F.col("tile_id").alias("ti")), right.select("key", *BLOCKS, F.col("super_id").alias("j"), F.col("tile_id").alias("tj"))
+    n = a.join(b, ["key", *BLOCKS]).where("ti <> tj").groupBy("i", "ti", "j", "tj").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
     mine = n.withColumn("_r", F.row_number().over(W.partitionBy("i", "tj").orderBy(F.desc("shared"), "j"))).where("_r = 1")
     return mine.alias("x").join(mine.select(F.col("i").alias("_j"), F.col("j").alias("_i")), (F.col("x.i") == F.col("_i")) & (F.col("x.j") == F.col("_j"))).where("x.i < x.j").select("x.i", "x.j", "x.shared")
 

@@ -388,6 +388,27 @@ def j38_somata_of_a_region(s, m, p):
     return counts.join(here, "root_id", "left_semi")
 
 
+@query("select seg, cast(2 * least(50, (count(*) * (count(*) - 1)) // 2) as bigint) as n from v_xyz where seg > 0 group by 1", "v_xyz")
+def j8_capped_pairs(p):
+    """How many pairs a segment gives where the cap acts."""
+    found = spatial.same_segment_pairs(p, 50)
+    return found.distinct().join(p.select(F.col("id").alias("src"), "seg"), "src").groupBy("seg").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with n as (select label as frag, count(*) as n from v_xyz group by 1)
+    select a.frag as fa, b.frag as fb, cast(least(30, a.n * b.n) as bigint) as n from n a join n b on b.frag = a.frag + 1""",
+    "v_xyz",
+)
+def j9_capped_pairs(p):
+    """How many pairs two adjacent fragments give where the cap acts."""
+    obs = p.select("id", F.col("label").alias("frag"))
+    pairs_of_frags = obs.select(F.col("frag").alias("fa"), (F.col("frag") + 1).alias("fb")).distinct()
+    found = spatial.adjacent_obs_pairs(pairs_of_frags, obs, 30).distinct()
+    own = lambda c, f: obs.select(F.col("id").alias(c), F.col("frag").alias(f))
+    return found.join(own("src", "fa"), "src").join(own("dst", "fb"), "dst").groupBy("fa", "fb").agg(F.count("*").alias("n"))
+
+
 # Metrics
 
 
