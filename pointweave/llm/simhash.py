@@ -319,8 +319,8 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def row_hash(docs: DataFrame) -> F.Column:
-    """A hash of all columns: rows of one id with the same hash are the same row."""
-    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    """A hash of all columns, and of which are null: rows of one id with the same hash are the same row."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
 
 
 def _candidates(held: list[Sized], probes: list[Sized] | None, radius: int, nearest: bool, similarity: float) -> list[tuple[int, int, int]]:

@@ -4,9 +4,10 @@ import re
 import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pointweave.llm import mixing
+from pointweave.llm import mixing, simhash
 
 
 def corpus(spark, tmp_path):
@@ -78,3 +79,21 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_that_clash_and_nulls_in_changing_places(spark, tmp_path):
+    """More columns pass through unchanged, whatever their names; rows of one id that differ only in where a null is are two rows."""
+    corpus(spark, tmp_path)
+    more = ["score", "_h", "_id", "id", "h", "n", "row", "first", "_text_bytes", "text_bytes", "carry", "spans", "d"]
+    names = {c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in more}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("*", *[x.alias(c) for c, x in names.items()])
+    columns = docs.columns
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/more{k}")
+        docs = spark.read.parquet(f"{tmp_path}/more{k}")
+        kept = docs.collect()
+        assert len(kept) > 100 and all(r[c] in (None, f"{c} {r['doc_id']}") for r in kept for c in more)
+    two = spark.createDataFrame([(1, None, "a", None, 0), (1, "a", None, None, 0), (1, "a", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r[0] for r in two.select(simhash.row_hash(two)).collect()}) == 2
