@@ -16,10 +16,15 @@ from pointweave.sources.scratch import Scratch
 from pointweave.sources.tables import read_table
 
 
+def _whole(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """The documents with all their columns in one, ``row``, so that none clashes with what a stage adds."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *more)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rates good."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality.scored(_whole(docs), model, text_col="row.text").where("score >= 0.5").select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +34,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     the candidates, and each link is checked on the shingles themselves.  Rows that share an id are documents of their own,
     of which a group keeps one, by the hash of all columns; of rows that agree in all columns one stays.  Rows without an id stay.
     """
-    kept = simhash.near_copies(docs).where("first").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    kept = Scratch(spark, "kept").write(kept.groupBy("_id", "_h").agg(F.count("*").alias("_n")), "rows")
-    here = docs.withColumn("_h", simhash.row_hash(docs))
-    same = lambda some: here.join(some, (F.col("doc_id").cast("long") == F.col("_id")) & (here["_h"] == some["_h"]), "left_semi").select(*docs.columns)
-    once = same(kept.where("_n = 1")).unionByName(same(kept.where("_n > 1")).distinct())
-    return once.unionByName(docs.where(F.col("doc_id").cast("long").isNull())).select(*docs.columns)
+    kept = simhash.near_copies(docs).where("first").select("id", "h")
+    kept = Scratch(spark, "kept").write(kept.groupBy("id", "h").agg(F.count("*").alias("n")), "rows")
+    here = _whole(docs, F.col("doc_id").cast("long").alias("id"), simhash.row_hash(docs).alias("h"))
+    same = lambda some: here.join(some, ["id", "h"], "left_semi").select("row")
+    once = same(kept.where("n = 1")).unionByName(same(kept.where("n > 1")).distinct())
+    return once.unionByName(here.where("id is null").select("row")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
