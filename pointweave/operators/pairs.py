@@ -56,28 +56,60 @@ def partition_merge_pairs(parts: DataFrame, cell: float, k: int, r: float) -> Da
     return kept.join(gap, ["pa", "pb"], "left")
 
 
+def _boxes(points: DataFrame, low: list[float], size: float, deepest: int) -> list[DataFrame]:
+    """Cells that hold points of a part, level by level: ``part, c0, c1, c2``, the box around their points, and one of them; level n halves the width n times."""
+    cells = [F.floor((F.col(c) - low[k]) / (size / 2**deepest)).alias(f"c{k}") for k, c in enumerate(XYZ)]
+    own = points.select("part", *cells, *[F.col(c).cast("double").alias(f"{e}{c}") for e in ("lo_", "hi_") for c in XYZ], F.struct(*[F.col(c).cast("double").alias(c) for c in XYZ]).alias("one"))
+    out: list[DataFrame] = []
+    for _ in range(deepest + 1):
+        own = own.groupBy("part", "c0", "c1", "c2").agg(*[F.min(f"lo_{c}").alias(f"lo_{c}") for c in XYZ], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in XYZ], F.min("one").alias("one"))
+        out.insert(0, own)
+        own = own.select("part", *[F.shiftright(f"c{k}", 1).alias(f"c{k}") for k in range(3)], *[f"{e}{c}" for e in ("lo_", "hi_") for c in XYZ], "one")
+    return out
+
+
 def part_gaps(pairs: DataFrame, parts: DataFrame, cell: float) -> DataFrame:
-    """``pa, pb, d``: closest-point distance of the stated pairs of groups.
+    """``pa, pb, d``: closest-point distance of the stated pairs of groups (V10); pairs of which a group has no point are left out.
 
-    Pairs meet in cells that widen fourfold until every pair whose groups have points is found; each round looks at the pairs that are left only.
+    Branch and bound over nested cells: each holds the box around its group's points and one of them.  Two boxes bound the distance of their points from below,
+    two points from above.  Level by level, pairs of cells that can't beat the least upper bound of their groups go, and the others are halved, down to
+    cells no wider than ``cell``; only points of cells that are left are compared.
     """
     tmp = Scratch(pairs.sparkSession, "gaps")
-    held = parts.select("part", *XYZ).groupBy("part").agg(F.count("*").alias("_n")).select("part")
-    known = pairs.select("pa", "pb").distinct().join(held.withColumnRenamed("part", "pa"), "pa", "left_semi").join(held.withColumnRenamed("part", "pb"), "pb", "left_semi")
-    todo, r, out = tmp.write(known.select("pa", "pb"), "todo"), cell, None
-    while not todo.isEmpty():
-        cells = [F.floor(F.col(c) / r).alias(f"_c{k}") for k, c in enumerate(XYZ)]
-        right = parts.select(F.col("part").alias("pb"), *[F.col(c).alias(f"_{c}") for c in XYZ], *cells)
-        left = parts.select(F.col("part").alias("pa"), *XYZ).join(todo, "pa")
-        for k, c in enumerate(XYZ):
-            own = F.floor(F.col(c) / r)
-            left = left.withColumn(f"_c{k}", F.explode(F.sequence(own - 1, own + 1)))
-        near = left.join(right, ["pb", "_c0", "_c1", "_c2"]).withColumn("d", distance(XYZ, ("_x", "_y", "_z"))).where(F.col("d") <= r)
-        found = tmp.write(near.groupBy("pa", "pb").agg(F.min("d").alias("d")), "found")
-        out = found if out is None else out.unionByName(found)
-        todo = tmp.write(todo.join(found, ["pa", "pb"], "left_anti"), "todo")
-        r *= 4
-    return out if out is not None else pairs.select("pa", "pb", F.lit(0.0).alias("d")).limit(0)
+    asked = pairs.select("pa", "pb").distinct()
+    named = asked.select(F.col("pa").alias("part")).unionByName(asked.select(F.col("pb").alias("part"))).distinct()
+    points = tmp.write(parts.select("part", *XYZ).dropna().join(named, "part", "left_semi"), "points")
+    ends = points.agg(*[F.min(c) for c in XYZ], *[F.max(c) for c in XYZ]).first()
+    if ends[0] is None:
+        return pairs.select("pa", "pb", F.lit(0.0).alias("d")).limit(0)
+    low, size = list(ends[:3]), max(1e-9, *(float(b - a) for a, b in zip(ends[:3], ends[3:])))
+    deepest = min(20, max(0, math.ceil(math.log2(size / cell))))
+    levels = [tmp.write(level, "level") for level in _boxes(points, low, size, deepest)]
+    cells = ["c0", "c1", "c2"]
+    side = lambda p, level: level.select(F.col("part").alias(f"p{p}"), *[F.col(c).alias(f"{p}{c}") for c in level.columns if c != "part"])
+
+    def bounded(met: DataFrame) -> DataFrame:
+        """Adds the bounds of a pair of cells; a box is no nearer than the sum of its axes' gaps says, rounded like the distance itself."""
+        gap = sum((F.pow(F.greatest(F.col(f"alo_{c}") - F.col(f"bhi_{c}"), F.col(f"blo_{c}") - F.col(f"ahi_{c}"), F.lit(0.0)), 2) for c in XYZ), F.lit(0.0))
+        both = sum((F.pow(F.col(f"aone.{c}") - F.col(f"bone.{c}"), 2) for c in XYZ), F.lit(0.0))
+        return met.select("pa", "pb", *[f"{p}{c}" for p in "ab" for c in cells], F.sqrt(gap).alias("low"), F.sqrt(both).alias("high"))
+
+    now, best = None, None
+    for level in levels:
+        if now is None:
+            met = asked.join(side("a", level), "pa").join(side("b", level), "pb")
+        else:
+            kids = lambda p: side(p, level).withColumns({f"_{p}{c}": F.shiftright(f"{p}{c}", 1) for c in cells})  # noqa: B023, E731
+            above = now.select("pa", "pb", *[F.col(f"{p}{c}").alias(f"_{p}{c}") for p in "ab" for c in cells])
+            met = above.join(kids("a"), ["pa", *[f"_a{c}" for c in cells]]).join(kids("b"), ["pb", *[f"_b{c}" for c in cells]])
+        met = tmp.write(bounded(met), "met")
+        upper = met.groupBy("pa", "pb").agg(F.min("high").alias("d"))
+        best = tmp.write(upper if best is None else best.unionByName(upper).groupBy("pa", "pb").agg(F.min("d").alias("d")), "best")
+        now = met.join(best, ["pa", "pb"]).where("low < d").drop("low", "high", "d")
+    fine = points.select("part", *[F.floor((F.col(c) - low[k]) / (size / 2**deepest)).alias(f"c{k}") for k, c in enumerate(XYZ)], *XYZ)
+    near = now.join(side("a", fine), ["pa", *[f"a{c}" for c in cells]]).join(side("b", fine), ["pb", *[f"b{c}" for c in cells]])
+    near = near.groupBy("pa", "pb").agg(F.min(distance([f"a{c}" for c in XYZ], [f"b{c}" for c in XYZ])).alias("d"))
+    return best.unionByName(near).groupBy("pa", "pb").agg(F.min("d").alias("d"))
 
 
 def halves(obs: DataFrame, group: str = "seg") -> DataFrame:

@@ -221,18 +221,43 @@ def junctions(ordered: DataFrame, group: str = "group") -> DataFrame:
     return out.select(group, "pos", F.col("step").alias("step_before"), "step_after", (F.col("step_after") / F.greatest("step", F.lit(1e-9))).alias("ratio"), F.col("_t").alias("turn"), span.alias("span"), "seam")
 
 
+def _tube_cells(width: F.Column, radius: F.Column, length: F.Column) -> F.Column:
+    """The cells ``{x, y, z}`` of that width which the tube from a to b can touch, for a radius of at most the width: each stretch of the segment no longer than
+    the width has at most 4 x 4 x 4."""
+    n = F.greatest(F.ceil(length / width), F.lit(1)).cast("int")
+
+    def of(i: F.Column) -> F.Column:
+        spans = []
+        for c in XYZ:
+            at = lambda k: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * k / n  # noqa: B023, E731
+            low, high = F.least(at(i), at(i + 1)) - radius * 1.000001, F.greatest(at(i), at(i + 1)) + radius * 1.000001
+            spans.append(F.sequence(F.floor(low / width), F.floor(high / width)))
+        x, y, z = spans
+        return F.flatten(F.transform(x, lambda p: F.flatten(F.transform(y, lambda q: F.transform(z, lambda r: F.struct(p.alias("x"), q.alias("y"), r.alias("z")))))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)))
+
+
 def gap_occupancy(pairs: DataFrame, obs: DataFrame, bins: int = 6, share: float = 0.15, floor_nm: float = 500.0) -> DataFrame:
-    """``a, b, occupancy``: share of bins between two points that hold a point of the segment within a tube (V8).
+    """``a, b, occupancy``: share of bins between two points that hold a point of the segment within a tube (V8); the ends count, and points at one place have 1.
 
-    pairs (a, b, seg, ax, ..., bz); obs (id, seg, x, y, z).  The tube's radius is ``share`` of the length, ``floor_nm`` at least.
+    pairs (a, b, seg, ax, ..., bz); obs (id, seg, x, y, z).  The tube's radius is ``share`` of the length, ``floor_nm`` at least.  A pair meets the points in
+    the cells that its tube touches only; cells are as wide as the next power of two above the radius, so a tube touches some hundreds at most.
     """
-    j = pairs.join(obs.select("seg", "id", *XYZ), "seg").where("id <> a and id <> b")
     length = distance(("ax", "ay", "az"), ("bx", "by", "bz"))
-    t = sum(((F.col(c) - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0)) / (length * length)
-    j = j.withColumn("_l", length).where("_l > 0").withColumn("_t", t).where("_t >= 0 and _t < 1")
+    j = pairs.select("a", "b", "seg", *[f"{e}{c}" for e in "ab" for c in XYZ]).distinct().withColumn("_l", length).where("_l >= 1e-6")
+    j = j.withColumn("_r", F.greatest(share * F.col("_l"), F.lit(floor_nm))).withColumn("_s", F.ceil(F.log2("_r")).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("_s"))
+    tubes = j.withColumn("_c", F.explode(_tube_cells(width, F.col("_r"), F.col("_l"))))
+    points = obs.select("seg", *XYZ).join(j.select("seg", "_s").distinct(), "seg").withColumn("_c", F.struct(*[F.floor(F.col(c) / width).alias(c) for c in XYZ]))
+    met = tubes.join(points, ["seg", "_s", "_c"])
+    t = sum(((F.col(c) - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0)) / (F.col("_l") * F.col("_l"))
+    met = met.withColumn("_t", t).where("_t >= 0 and _t <= 1")
     off = F.sqrt(sum(((F.col(c) - F.col(f"a{c}") - F.col("_t") * (F.col(f"b{c}") - F.col(f"a{c}"))) ** 2 for c in XYZ), F.lit(0.0)))
-    full = j.where(off <= F.greatest(share * F.col("_l"), F.lit(floor_nm))).groupBy("a", "b").agg((F.countDistinct(F.floor(F.col("_t") * bins)) / bins).alias("occupancy"))
-    return pairs.select("a", "b").join(full, ["a", "b"], "left").na.fill(0.0, ["occupancy"])
+    inner = met.where(off <= F.col("_r")).select("a", "b", F.least(F.floor(F.col("_t") * bins), F.lit(bins - 1)).alias("_bin"))
+    ends = j.select("a", "b", F.explode(F.array(F.lit(0), F.lit(bins - 1)).cast("array<long>")).alias("_bin"))  # the end at t = 1 may round to beside it
+    full = inner.unionByName(ends).groupBy("a", "b").agg((F.countDistinct("_bin") / bins).alias("occupancy"))
+    return pairs.select("a", "b").join(full, ["a", "b"], "left").na.fill(1.0, ["occupancy"])
 
 
 def tip_directions(tips: DataFrame, obs: DataFrame, k: int, cell: float) -> DataFrame:

@@ -14,6 +14,7 @@ from pointweave.plans.further import ORACLE_SQL, QUERIES, _trees
 from pointweave.plans.queries import query, rounded
 from pointweave.sources import boxes, synapses
 from pointweave.sources.scratch import Scratch
+from pointweave.sources.tables import read_table
 from pointweave.streaming import jobs
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -515,10 +516,14 @@ def v7_junction_windows(p):
 
 
 @query(
-    f"""with {_ROWS}, c as (select a.seg, a.id as a, b.id as b, a.x as ax, a.y as ay, a.z as az, b.x - a.x as vx, b.y - a.y as vy, b.z - a.z as vz, {_gap('a', 'b')} as l from rw a join rw b on a.seg = b.seg and b.k = a.k + 1),
-    t as (select c.*, ((o.x - ax) * vx + (o.y - ay) * vy + (o.z - az) * vz) / (l * l) as t, o.x as ox, o.y as oy, o.z as oz from c join v_xyz o on o.seg = c.seg and o.id <> c.a and o.id <> c.b where l > 0),
-    f as (select a, b, count(distinct floor(t * 6)) as n from t where t >= 0 and t < 1 and sqrt(pow(ox - ax - t * vx, 2) + pow(oy - ay - t * vy, 2) + pow(oz - az - t * vz, 2)) <= greatest(0.15 * l, 500) group by 1, 2)
-    select c.a, c.b, round(coalesce(n, 0) / 6, 6) as occupancy from c left join f on c.a = f.a and c.b = f.b""",
+    f"""with {_ROWS}, c as (select a.seg, a.id as a, b.id as b, a.x as ax, a.y as ay, a.z as az, b.x - a.x as vx, b.y - a.y as vy, b.z - a.z as vz, {_gap('a', 'b')} as l
+        from rw a join rw b on a.seg = b.seg and b.k = a.k + 1),
+    t as (select c.*, ((o.x - ax) * vx + (o.y - ay) * vy + (o.z - az) * vz) / (l * l) as t, o.x as ox, o.y as oy, o.z as oz from c join v_xyz o on o.seg = c.seg where l >= 1e-6),
+    f as (select a, b, least(floor(t * 6), 5) as bin from t
+        where t >= 0 and t <= 1 and sqrt(pow(ox - ax - t * vx, 2) + pow(oy - ay - t * vy, 2) + pow(oz - az - t * vz, 2)) <= greatest(0.15 * l, 500)
+        union select a, b, 0 from c where l >= 1e-6 union select a, b, 5 from c where l >= 1e-6),
+    n as (select a, b, count(distinct bin) as n from f group by 1, 2)
+    select c.a, c.b, round(coalesce(n / 6, 1), 6) as occupancy from c left join n on c.a = n.a and c.b = n.b""",
     "v_xyz",
 )
 def v8_gap_occupancy(p):
@@ -803,10 +808,55 @@ def r2_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r3_first_of_each(spark: SparkSession, folder: str) -> DataFrame:
-    """Users whose events came, one row each."""
-    first = jobs.first_of_each(_events(spark, folder).select("user_id", "ts"), "user_id", "ts", "36500 days")
-    return jobs.landed(first, Scratch(spark, "first").path("users"), "append").select("user_id")
-
-
-QUERIES |= {"r2_ingest": r2_ingest, "r3_first_of_each": r3_first_of_each}
-ORACLE_SQL |= {"r2_ingest": "select event_id, user_id from events", "r3_first_of_each": "select distinct user_id from events"}
+    """Events as tiles deliver them, three days a tile: again in the next tile, and again seven tiles on, long after the watermark of five days.
+
+    The job stops after each tile and goes on from its checkpoint with the next.
+    """
+    tmp = Scratch(spark, f"first-{uuid4().hex}")
+    tiles, mark, out = tmp.path("tiles"), tmp.path("checkpoint"), tmp.path("rows")
+    events = read_table(spark, folder, "events").select("event_id", "ts", F.floor(F.unix_timestamp("ts") / 259200).alias("own"))
+    again = F.array(*[F.struct(F.lit(n).alias("after"), F.expr(f"interval {h} hours").alias("later")) for n, h in ((0, 0), (0, 1), (1, 2), (7, 21 * 24))])
+    told = events.withColumn("_a", F.explode(again)).select("event_id", (F.col("ts") + F.col("_a.later")).alias("ts"), (F.col("own") + F.col("_a.after")).alias("tile"))
+    told = tmp.write(told, "told")
+    for tile in sorted(r["tile"] for r in told.select("tile").distinct().collect()):
+        told.where(F.col("tile") == tile).drop("tile").coalesce(8).write.mode("append").parquet(tiles)
+        first = jobs.first_of_each(jobs.as_stream(spark, tiles, "event_id bigint, ts timestamp", 1000), "event_id", "ts", "5 days")
+        jobs.landed(first, out, "append")
+    return spark.read.schema("event_id bigint").parquet(out)
+
+
+def _edit_log(events: DataFrame) -> DataFrame:
+    """A third of the events as merges and splits of their user's eight labels."""
+    a = F.expr("(event_id div 3) % 8")
+    b = F.expr("((event_id div 3) % 8 + 1 + (event_id div 24) % 7) % 8")
+    label = lambda k: F.col("user_id") * 8 + k
+    return events.where("event_id % 3 = 0").select(F.col("event_id").alias("edit_id"), "ts", F.when(F.col("event_id") % 2 == 0, "merge").otherwise("split").alias("op"), label(a).alias("a"), label(b).alias("b"))
+
+
+def r4_edit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled pairs of an ordered log of merges and splits, as far as a watermark of five days has settled it."""
+    events = read_table(spark, folder, "events")
+    labels = events.select(F.col("event_id").alias("id"), (F.col("user_id") * 8 + F.col("event_id") % 4).alias("label"))
+    moved = events.select("user_id", F.col("event_id").alias("edit_id")).where("edit_id % 3 = 0 and edit_id % 2 = 1").join(events.select("user_id", F.col("event_id").alias("id")), "user_id").where("(id + edit_id div 3) % 3 = 0").select("edit_id", "id")
+    path = Scratch(spark, f"log-{uuid4().hex}").path("log")
+    jobs.follow_edits(jobs.settled_edits(_edit_log(_events(spark, folder)), "5 days"), labels, moved, path).awaitTermination()
+    return spark.read.schema("edit_id long, op string, i long, j long, y int").parquet(f"{path}/pairs/*")
+
+
+QUERIES |= {"r2_ingest": r2_ingest, "r3_first_of_each": r3_first_of_each, "r4_edit_log": r4_edit_log}
+ORACLE_SQL |= {
+    "r2_ingest": "select event_id, user_id from events",
+    "r3_first_of_each": "select event_id from events union all select event_id from events",
+    "r4_edit_log": """with recursive
+    e as (select event_id as edit_id, user_id as u, ts, case when event_id % 2 = 0 then 'merge' else 'split' end as op,
+        user_id * 8 + (event_id // 3) % 8 as a, user_id * 8 + ((event_id // 3) % 8 + 1 + (event_id // 24) % 7) % 8 as b from events where event_id % 3 = 0),
+    s as (select *, row_number() over (partition by u order by ts, edit_id) as k from e
+        where epoch_us(ts) <= (select max(epoch_us(ts)) // 1000 * 1000 - 432000000000 from e)),
+    st(u, k, id, label) as (select user_id, 0, event_id, user_id * 8 + event_id % 4 from events
+        union all select st.u, st.k + 1, st.id, case when op = 'merge' and label = b then a when op = 'split' and label = a and (id + edit_id // 3) % 3 = 0 then b else label end
+        from st join s on s.u = st.u and s.k = st.k + 1),
+    m as (select edit_id, op, label = b as far, id, row_number() over (partition by edit_id, label order by id) as r
+        from s join st on st.u = s.u and st.k = case when op = 'merge' then s.k - 1 else s.k end and label in (a, b))
+    select m.edit_id, m.op, least(m.id, o.id) as i, greatest(m.id, o.id) as j, case when m.op = 'merge' then 1 else 0 end as y
+    from m join m o on m.edit_id = o.edit_id and o.far and not m.far and m.r <= 10 and o.r <= 10""",
+}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pointweave.operators.edits import apply_edits, edit_pairs
+
 
 def root_counts(pairs: DataFrame, pre: str = "pre_root", post: str = "post_root") -> DataFrame:
     """Running synapse counts per root; write with output mode update or complete (R1).  State grows with the roots."""
@@ -35,6 +37,31 @@ def edit_rates(edits: DataFrame, width: str = "1 hour", late: str = "10 minutes"
     return edits.withWatermark("ts", late).groupBy(F.window("ts", width), "op").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "op", "n")
 
 
+def settled_edits(edits: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Edits (edit_id, ts, op, a, b) once the watermark has passed them, each once (R4); write with output mode append.
+
+    What is released before can't come after what is released later, whatever the order of arrival.  Edits later than the watermark are dropped.
+    """
+    return edits.withWatermark("ts", late).groupBy("ts", "edit_id", "op", "a", "b").count().drop("count")
+
+
+def follow_edits(settled: DataFrame, labels: DataFrame, moved: DataFrame, path: str, cap: int = 10) -> StreamingQuery:
+    """Applies settled edits to a snapshot of labels as they are released, and stops when all have been read.
+
+    Batch n writes ``path/labels/n``, all labels after it, from those of batch n - 1, and ``path/pairs/n``, its labelled pairs.  A batch that
+    is run again after a failure writes the same.  A batch without edits writes its labels again; compact or drop old folders at will.
+    """
+    spark = labels.sparkSession
+
+    def step(edits: DataFrame, n: int) -> None:
+        now = spark.read.schema("id long, label long").parquet(f"{path}/labels/{n - 1}") if n else labels
+        after, sides = apply_edits(now, edits, moved, cap)
+        after.write.mode("overwrite").parquet(f"{path}/labels/{n}")
+        edit_pairs(sides).write.mode("overwrite").parquet(f"{path}/pairs/{n}")
+
+    return settled.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
 def as_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """Parquet files as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
