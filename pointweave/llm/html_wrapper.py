@@ -14,13 +14,15 @@ elements and repeated groups, each may be optional, and each node holds a text s
   and no page holds another (pages that agree in their three longest blocks count as copies, not as different).
   The region is the element whose own and children's slots hold most data outside links, each element's
   share divided by how often a page repeats it; first those inside ``article`` or ``main``.  It reaches up to
-  the nearest of these, or as far as parents hold a heading.  Inside it, subtrees without data (but headings), all
-  of links, or of repeated records (repeated blocks with inner blocks and no heading) go, as do menus,
-  headers, footers, sidebars, forms and reader comments by their elements.  A page without the region takes
+  the nearest of these, or as far as parents hold a heading.  Inside it, subtrees without data (but headings) go, as do menus,
+  headers, footers, sidebars and forms by their elements, and reader comments: repeated ``article`` elements inside one, and, outside ``article``,
+  records.  A record is an element that the alignment has put into a repeated group and whose own slots, lists, tables and quotes
+  apart, hold data of two kinds or more, none of them a heading: a name and a reply, say.  Nested lists, callouts and
+  list items with paragraphs have one kind and stay.  Subtrees all of links go outside ``article`` only.  A page without the region takes
   the next best that it has.
 * A page's text is what its match with the wrapper yields in the region, in page order.
 
-Class and id words decide nothing on a host with two different pages, but for ``comment``; on others, where
+Class and id words decide nothing on a host with two different pages, but for ``comment`` and names that say advert and nothing else; on others, where
 there is nothing to align, words for menus, adverts and the like break the tie.
 
 Defined cases: null html is empty and gives an empty text; a page without a host has the
@@ -63,7 +65,10 @@ APART_NAMES = {
     "cookie", "cookies", "notice", "notices", "alert", "consent", "gdpr", "comment", "comments", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "login", "signup", "subscribe", "newsletter", "popup", "modal",
     "search", "pagination", "pager", "widget", "skip", "contentinfo", "complementary", "hidden", "form", "dialog", "toolbar", "copyright",
 }
+ADVERT_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsored"}
 MAIN = {"article", "main"}
+#: Their slots are not a record's own.
+NESTED = {"ul", "ol", "dl", "table", "blockquote"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a ``p`` further out is shut off by.
 P_SCOPE = {"button", "td", "th", "caption", "table"}
@@ -346,11 +351,13 @@ def decide(root: Node) -> str:
     tag = [x.kind.partition(".")[0] for x, _ in rows]
     names = [set(x.kind.split(".")[1:]) for x, _ in rows]
     lone = not any(len(x.seen) > 1 for x, _ in rows)
-    main, apart = [-1] * n, [False] * n  # the nearest article or main element
+    main, apart = [-1] * n, [False] * n  # the nearest article or main element; an article in another is part of it
     for i, (_, up) in enumerate(rows):
-        main[i] = i if tag[i] in MAIN or "role=main" in names[i] else main[up] if up >= 0 else -1
+        main[i] = main[up] if up >= 0 else -1
+        if (tag[i] in MAIN or "role=main" in names[i]) and not (tag[i] == "article" and main[i] >= 0 and tag[main[i]] == "article"):
+            main[i] = i
         bare = {w.removeprefix("role=") for w in names[i]}
-        apart[i] = up >= 0 and apart[up] or tag[i] in APART and not (tag[i] == "header" and main[i] >= 0) or bool(bare & {"comment", "comments"})
+        apart[i] = up >= 0 and apart[up] or tag[i] in APART and not (tag[i] == "header" and main[i] >= 0) or bool(bare & {"comment", "comments"}) or bool(bare) and bare <= ADVERT_NAMES
         if lone and tag[i] not in ("html", "body", *MAIN, *HEADINGS) and "main" not in bare:
             apart[i] |= bool(bare & APART_NAMES)
     # Data in each slot; the same outside links; and in each subtree.
@@ -358,14 +365,13 @@ def decide(root: Node) -> str:
     if not any(d and not out for d, out in zip(data, apart)):  # all pages agree in all: nothing tells the template
         data = [x.chars for x, _ in rows]
     own = [0.0 if apart[i] or not data[i] else data[i] * (1 - x.links / x.chars) for i, (x, _) in enumerate(rows)]
-    full, all_chars, all_links, near, blocks, titled = data[:], [x.chars for x, _ in rows], [x.links for x, _ in rows], own[:], [False] * n, [False] * n
+    full, all_chars, all_links, near, titled = data[:], [x.chars for x, _ in rows], [x.links for x, _ in rows], own[:], [False] * n
     for i in range(n - 1, 0, -1):
         up = rows[i][1]
         full[up] += full[i]
         all_chars[up] += all_chars[i]
         all_links[up] += all_links[i]
         near[up] += own[i]
-        blocks[up] |= all_chars[i] > 0
         titled[up] |= tag[i] in HEADINGS and data[i] > 0
     score = [near[i] * x.pages / x.count for i, (x, _) in enumerate(rows)]
     inside = [i for i in range(n) if score[i] > 0 and not apart[i]]
@@ -384,11 +390,22 @@ def decide(root: Node) -> str:
         while i >= 0 and not spared[i]:
             spared[i] = True
             i = rows[i][1]
+    # What the alignment has found to repeat, and how many kinds of data its elements hold themselves.
+    repeated, slots = [False] * n, [0] * n
+    for i, (x, up) in enumerate(rows):
+        if up >= 0:
+            repeated[i] = any(again and x.kind in kinds for kinds, again in rows[up][0].groups)
+    for i in range(n - 1, -1, -1):
+        slots[i] += data[i] > 0
+        if i and tag[i] not in NESTED:
+            slots[rows[i][1]] += slots[i]
     goes = []
-    for i, (x, _) in enumerate(rows):
+    for i, (x, up) in enumerate(rows):
+        within = main[up] if up >= 0 else -1
+        article = within >= 0 and tag[within] == "article"
         still = all_chars[i] > 0 and not full[i] and tag[i] not in HEADINGS
-        linked = tag[i] in ("ul", "ol", "div", "section", "table") and all_chars[i] > 0 and all_links[i] >= 0.9 * all_chars[i]
-        record = tag[i] in ("div", "li", "article") and x.count > x.pages and blocks[i] and not titled[i]
+        linked = not article and tag[i] in ("ul", "ol", "div", "section", "table") and all_chars[i] > 0 and all_links[i] >= 0.9 * all_chars[i]
+        record = repeated[i] and x.count > x.pages and not titled[i] and slots[i] > 1 and tag[i] in ({"article"} if article else {"div", "li", "article"})
         goes.append(int(apart[i] or not spared[i] and (still or linked or record)))
     return json.dumps([[up, x.kind, rank[i], goes[i]] for i, (x, up) in enumerate(rows)], ensure_ascii=False)
 

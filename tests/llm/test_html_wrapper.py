@@ -91,6 +91,40 @@ def test_repeated_records_go_and_sections_stay():
     assert got[2] == "T2" + "\nS2\nLong part of the text number 2" * 3
 
 
+PARTS = {
+    "nested list": ("<ul><li><p>Point {n}</p><ul><li>Under {n}</li><li>Also {n}</li></ul></li><li><p>Next {n}</p></li></ul>", "Point {n}\nUnder {n}\nAlso {n}\nNext {n}"),
+    "callouts": ("<div class='note'><p>Mind {n}</p></div><div class='note'><p>And {n}</p><p>more {n}</p></div>", "Mind {n}\nAnd {n}\nmore {n}"),
+    "quote": ("<blockquote><p>Said {n}</p><p>Who {n}</p></blockquote><blockquote><p>Told {n}</p></blockquote>", "Said {n}\nWho {n}\nTold {n}"),
+    "sources": ("<h2>Sources {n}</h2><ul><li><a href='x'>Book {n}</a></li><li><a href='y'>Paper {n}</a></li></ul>", "Sources {n}\nBook {n}\nPaper {n}"),
+    "table": ("<table><tr><td>k {n}</td><td>v {n}</td></tr><tr><td>l {n}</td><td>w {n}</td></tr></table>", "k {n}\nv {n}\nl {n}\nw {n}"),
+    "questions": ("<div class='q'><p>Asked {n}</p><div>Told {n}</div></div><div class='q'><p>Why {n}</p><div>So {n}</div></div>", "Asked {n}\nTold {n}\nWhy {n}\nSo {n}"),
+}
+
+
+def test_an_article_keeps_all_its_blocks():
+    """Each page has its own choice of parts; beside the article stand a menu, other stories and a footer."""
+    rng = random.Random(1)
+    pages, want = [], []
+    for n in range(12):
+        parts = [PARTS[k] for k in rng.sample(sorted(PARTS), rng.randint(1, 6))]
+        body = "<h1>T{n}</h1><p>Opening words of story {n}</p>" + "<p>between {n}</p>".join(p for p, _ in parts)
+        page = "<nav><a href=x>Home</a></nav><article>" + body + "<div class='ad'><p>Buy {n}</p></div><div class='comments'><div><b>by</b><p>me {n}</p></div></div></article><div><a href=x>Story {n}</a></div><footer>(c) {n}</footer>"
+        pages.append(page.replace("{n}", str(n)))
+        want.append(("T{n}\nOpening words of story {n}\n" + "\nbetween {n}\n".join(t for _, t in parts)).replace("{n}", str(n)))
+    assert texts(pages) == want
+
+
+def test_the_alignment_tells_comments(monkeypatch):
+    page = "<main><h1>T{n}</h1><p>A long enough text of story number {n}</p><ul><li><p>One {n}</p></li><li><p>Two {n}</p></li></ul>" + "<div class='r'><div>by {n}</div><p>Reply {n}</p><p>and more {n}</p></div>" * 3 + "</main>"
+    nested = "<article><h1>T{n}</h1><p>A long enough text of story number {n}</p>" + "<article><p>by {n}</p><div>Reply {n}</div></article>" * 3 + "</article>"
+    pages, others = ([p.replace("{n}", str(i)) for i in range(4)] for p in (page, nested))
+    assert texts(pages)[1] == "T1\nA long enough text of story number 1\nOne 1\nTwo 1"
+    assert texts(others)[1] == "T1\nA long enough text of story number 1"
+    monkeypatch.setattr(hw, "fold", lambda kinds: [])
+    monkeypatch.setattr(hw, "sequence", lambda a, b: [])
+    assert "Reply 1" in texts(pages)[1]
+
+
 def test_truncated_and_odd_pages():
     for page in ("<p>one</p><p", "<p>one</p><a href=\"x", "<p>one</p><!-- x", "<p>one</p><script>y", "<P CLASS=x>one</P></div></p>"):
         assert [v for what, v, _ in hw.events(page) if what == "#"][:1] == ["one"]
