@@ -7,21 +7,22 @@ recurses nor rescans: separators inside a card number and dots inside a domain a
 a mark of the same length.
 
 Terms.  Each distinct value found is a protected entity e.  A term t (a lower-cased word of
-three letters or more, known by its hash) that stands within ``reach`` code points of e tells about it
+three letters or more, known by its hash) that stands within ``reach`` code points of e leaves of its information IC(e) = -log2 P(e)
 
-    disclosure(t, e) = PMI(t, e) / IC(e) = 1 + ln(P(t, e) / P(t)) / ln(1 / P(e)),
+    left(t, e) = IC(e) - PMI(t, e) = -log2 P(e|t)
 
-1 if t occurs only with e, 0 if they are independent; probabilities are shares of all
-documents of the corpus, each copy counting, and ``smooth`` documents without e are added to P(t), a bound for
-terms seen seldom.  A term whose disclosure reaches ``threshold`` is removed like e itself, wherever it
-stands, from documents that hold e: it gets spans of kind ``term``.  A document without e that holds ``together``
+bits open: 0 if t occurs only with e.  P(e|t) is taken at its lower confidence bound (Wilson's, of one standard error), so that what was seen
+seldom proves little: seen once it is 1/2, twice 2/3.  A term that leaves at most ``left_bits`` open, and whose PMI by the same bound is
+``gain_bits`` or more, is removed like e itself, wherever it stands, from documents that hold e: it gets spans of kind ``term``.
+Neither bound moves with the size of the corpus: a larger one of the same make has the same terms.  Each copy of a document counts.  A word that
+occurs in one document only says nothing beyond it, and stays.  A document without e that holds ``together``
 or more of the terms that reveal it tells who is meant by their combination, and loses these terms too; fewer than
-that are chance.
+that are chance.  Terms are removed, not generalised: the corpus holds no broader words to put in their place.
 
 Cost.  A text is cut into blocks of ``BLOCK`` code points once, and what lies around a span is cut from
 its blocks; running sums go by groups of ``GROUP`` matches.  So work grows with a text's length, whatever number
-of spans it holds.  Word counts are summed in each task before the shuffle; finding spans shuffles
-no whole text, but replacing them joins each text with its terms, which shuffles it once.
+of spans it holds.  Only words that stand by an entity often enough to reveal it are counted, summed in each task before the shuffle.  Finding spans sends the
+marked rows' ids to the texts, by broadcast if they are few; replacing them joins each text with its terms, which shuffles it once.
 
 Defined cases: a null text is empty; rows that repeat an id, or lack one, are documents of
 their own; a text that holds U+0001 or U+0002 is searched as if these were other letters; an entity that all
@@ -128,7 +129,7 @@ class Found(NamedTuple):
     terms: DataFrame
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, reach: int = 120, smooth: float = 1.0, together: int = 3, whole: bool = False, broadcast_rows: int = 1_000_000) -> Found:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", left_bits: float = 0.9, gain_bits: float = 1.0, reach: int = 120, together: int = 3, whole: bool = False, broadcast_rows: int = 1_000_000) -> Found:
     """whole: the rows keep all other columns of the documents in ``carry.c``, and in ``carry.gone`` whether the text was null.  Up to ``broadcast_rows`` terms go to the words of all documents by broadcast, more by a shuffle."""
     tmp = Scratch(docs.sparkSession, "privacy")
     others = F.struct(*[c for c in docs.columns if c != text_col])
@@ -146,13 +147,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     holds = tmp.write(around.select("row", "e").distinct(), "holds")
     seen = holds.groupBy("e").agg(F.count("*").alias("with_e"))
     pair = around.select("row", "e", F.explode("ts").alias("t")).distinct()
-    both = tmp.write(pair.groupBy("e", "t").agg(F.count("*").alias("both")), "pairs")
-    # In how many documents each term stands: all documents count; summed in each task first.
+    enough = 2.0**-left_bits
+    # A term has at least as many documents as it shares with e, so its bound is at most k / (k + 1).
+    both = pair.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") / (F.col("both") + 1) >= enough)
+    both = tmp.write(both, "pairs")
+    asked = tmp.write(both.select("t").distinct(), "asked")
+    # In how many documents each of these stands: all documents count; summed in each task first.
     word = rows.select("row", F.explode(F.expr(_words("text"))).alias("t"))
-    every = word.groupBy("t").agg(F.count("*").alias("with_t"))
+    sent = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    every = word.join(sent, "t", "left_semi").groupBy("t").agg(F.count("*").alias("with_t"))
     n = rows.count()
-    tells = 1 + F.log(F.col("both") / (F.col("with_t") + smooth)) / F.log(F.lit(float(max(n, 1))) / F.col("with_e"))
-    known = both.join(every, "t").join(seen, "e").where((F.col("with_e") < n) & (tells >= threshold))
+    m, share = F.col("with_t"), F.col("both") / F.col("with_t")
+    low = (share + 0.5 / m - F.sqrt(share * (1 - share) / m + 0.25 / (m * m))) / (1 + 1 / m)
+    known = both.join(every, "t").join(seen, "e").where((low >= enough) & (low * n >= F.col("with_e") * 2.0**gain_bits))
     known = tmp.write(known.select("e", "t", (F.col("with_t") > F.col("both")).alias("elsewhere")), "revealing")
     # Each document meets the terms it has, not all that its entities have.
     hit = word.join(F.broadcast(known) if known.count() <= broadcast_rows else known, "t").join(holds.withColumn("held", F.lit(True)), ["row", "e"], "left")
@@ -165,7 +172,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     run = rows.join(marks.select("row").distinct(), "row", "left_semi").select("row", runs).select("row", F.xxhash64(F.lower("x.m")).alias("t"), F.expr("named_struct('start', x.start, 'kind', 4, 'end', x.start + length(x.m), 'value', x.m)").alias("s"))
     found = run.join(marks, ["row", "t"], "left_semi").groupBy("row").agg(F.collect_list("s").alias("more"))
     terms = tmp.write(found, "terms")
-    tmp.drop(around, holds, both, known, hit, marks)
+    tmp.drop(around, holds, both, asked, known, hit, marks)
     return Found(rows, terms)
 
 

@@ -52,7 +52,13 @@ def test_base_spans_match_the_patterns(spark):
         assert got[i] == slow(t), repr(t)[:200]
 
 
-def slow_terms(rows, threshold=0.8, reach=120, smooth=1.0, together=3):
+def bound(k, m):
+    """Wilson's lower bound of a share, one standard error."""
+    p = k / m
+    return (p + 1 / (2 * m) - math.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+
+
+def slow_terms(rows, left_bits=0.9, gain_bits=1.0, reach=120, together=3):
     """Spans of kind term by counting over all documents."""
     texts = [t or "" for _, t in rows]
     word = re.compile(r"[^\W\d_]{3,}")
@@ -72,7 +78,8 @@ def slow_terms(rows, threshold=0.8, reach=120, smooth=1.0, together=3):
     reveal, elsewhere = {}, {}
     for (e, w), docs in near.items():
         with_t = sum(w in h for h in has)
-        if len(holds[e]) < n and 1 + math.log(len(docs) / (with_t + smooth)) / math.log(n / len(holds[e])) >= threshold:
+        low = bound(len(docs), with_t)
+        if -math.log2(low) <= left_bits and math.log2(low / (len(holds[e]) / n)) >= gain_bits:
             reveal.setdefault(e, set()).add(w)
             if with_t > len(docs):
                 elsewhere.setdefault(e, set()).add(w)
@@ -106,6 +113,17 @@ def test_terms_match_the_slow_version(spark):
     assert privacy.all_spans(privacy.find(docs.limit(0))).count() == 0
 
 
+def test_the_measure_does_not_move_with_the_corpus(spark):
+    """The same documents beside ten times as many others lose the same terms, and a word seen once stays."""
+    said = [(i, f"ask Quirin Vandal q{i // 4}@host.org {'lonely' if i == 5 else ''} today") for i in range(4)] + [(5, "Solitary sits by only@once.org")]
+    found = []
+    for more in (40, 400):
+        rows = said + [(100 + i, f"today others ask other{'abcdefghij'[i % 10]}") for i in range(more)]
+        out = privacy.all_spans(privacy.find(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id < 100").collect()
+        found.append({r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == 4] for r in out})
+    assert found[0] == found[1] and found[0][0] == ["Quirin", "Vandal"] and found[0][5] == []
+
+
 def test_a_long_line_full_of_addresses(spark):
     line = " ".join(f"name{i} word{i % 700} é a{i}@b{i % 50}.org" for i in range(30_000))
     began = time.time()
