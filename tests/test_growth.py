@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import spatial
+from pointweave.operators import shared, spatial
 
 
 def plan(df):
@@ -40,3 +40,20 @@ def test_nearest_in_crowds(spark, cell):
     seg = np.arange(len(x)) % 4
     d[(seg[:, None] != seg[None]) | np.eye(len(x), dtype=bool)] = np.inf
     assert got == {(i, k + 1): b for i in range(len(x)) for k, b in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3].tolist())}
+
+
+def test_all_pairs_meet_in_blocks(spark):
+    rows = spark.createDataFrame([(i, 0 if i < 2500 else i % 7) for i in range(3000)], "id long, g long")
+    held = shared.in_blocks(rows, "g", F.col("id"), "id", 100)
+    assert held.agg(F.max(F.size("members"))).first()[0] < 200 and held.where("g = 0").count() > 20
+    made = shared.all_pairs(rows, "g", F.col("id"), "id", 100).select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = rows.groupBy("g").count().select("g", F.expr("count * (count - 1) div 2").alias("n"))
+    got = made.groupBy("g").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, n.collect())) and made.where("a < b").distinct().count() == made.count()
+
+
+def test_more_pairs_than_an_array_holds(spark):
+    assert shared.counted(spark.range(2), F.col("id") * 200_000, "k").agg(F.count("*"), F.max("k"), F.countDistinct("k")).first()[:] == (200_000, 199_999, 200_000)
+    obs = spark.range(40).select("id", (F.col("id") % 2).alias("frag"))
+    frags = spark.createDataFrame([(0, 1)], "fa long, fb long")
+    assert spatial.adjacent_obs_pairs(frags, obs, 10**9).distinct().count() == 400
