@@ -13,7 +13,7 @@ from pointweave.functions.columns import cosine, norm, ratio
 from pointweave.operators.components import connected_components
 from pointweave.operators.connect import majority
 from pointweave.operators.shared import BLOCKS, dealt
-from pointweave.operators.spatial import XYZ, radius_pairs
+from pointweave.operators.spatial import XYZ, nearest_of_groups
 from pointweave.sources.scratch import Scratch
 
 
@@ -68,11 +68,9 @@ def shared_key_links(supers: DataFrame, keys: DataFrame, min_shared: int, exclud
 
 def stitch_candidates(ends: DataFrame, supers: DataFrame, r: float) -> DataFrame:
     """``i, j, end_i, end_j, gap, cos, score``: the nearest endpoints of two supers of different tiles within r (J18); ends (id, super_id, x, y, z)."""
-    near = radius_pairs(ends, ends, r).where("a < b")
-    own = ends.select("id", "super_id").join(supers.select("super_id", "tile_id"), "super_id")
-    j = near.join(own.select(F.col("id").alias("a"), F.col("super_id").alias("sa"), F.col("tile_id").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("super_id").alias("sb"), F.col("tile_id").alias("tb")), "b").where("ta <> tb and sa <> sb")
-    j = j.select(F.least("sa", "sb").alias("i"), F.greatest("sa", "sb").alias("j"), F.struct("d", F.when(F.col("sa") < F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("ei"), F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("ej")).alias("e"))
-    best = j.groupBy("i", "j").agg(F.min("e").alias("e")).select("i", "j", F.col("e.ei").alias("end_i"), F.col("e.ej").alias("end_j"), F.col("e.d").alias("gap"))
+    e = ends.join(supers.select("super_id", F.col("tile_id").alias("t")), "super_id").select("id", F.col("super_id").alias("g"), "t", *XYZ)
+    near = nearest_of_groups(e, e, r, (F.col("ga") < F.col("gb")) & (F.col("ta") != F.col("tb")))
+    best = near.select(F.col("ga").alias("i"), F.col("gb").alias("j"), F.col("a").alias("end_i"), F.col("b").alias("end_j"), F.col("d").alias("gap"))
     dna = supers.select("super_id", "dna")
     out = best.join(dna.select(F.col("super_id").alias("i"), F.col("dna").alias("_a")), "i").join(dna.select(F.col("super_id").alias("j"), F.col("dna").alias("_b")), "j")
     out = out.withColumn("cos", F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1.0).otherwise(cosine("_a", "_b")))

@@ -57,3 +57,36 @@ def test_more_pairs_than_an_array_holds(spark):
     obs = spark.range(40).select("id", (F.col("id") % 2).alias("frag"))
     frags = spark.createDataFrame([(0, 1)], "fa long, fb long")
     assert spatial.adjacent_obs_pairs(frags, obs, 10**9).distinct().count() == 400
+
+
+def test_nearest_points_of_groups(spark):
+    """Widths start far below r in the crowd; groups that lie apart are found further out."""
+    p, x = crowded(spark, 200, groups=6)
+    p = p.withColumn("g", F.when(F.col("id") >= 160, F.col("seg") + 10).otherwise(F.col("seg"))).withColumn("t", F.col("seg") % 2)
+    side = p.select("id", "g", "t", "x", "y", "z")
+    got = {(r["ga"], r["gb"]): (r["d"], r["a"], r["b"]) for r in spatial.nearest_of_groups(side, side, 700.0, (F.col("ga") < F.col("gb")) & (F.col("ta") != F.col("tb"))).collect()}
+    g = [i % 6 + (10 if i >= 160 else 0) for i in range(200)]
+    want = {}
+    for i in range(200):
+        for j in range(200):
+            d = float(np.linalg.norm(x[i] - x[j]))
+            if g[i] < g[j] and i % 2 != j % 2 and d <= 700:
+                want[g[i], g[j]] = min(want.get((g[i], g[j]), (9e9, 0, 0)), (d, i, j))
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k][1:] == want[k][1:] and abs(got[k][0] - want[k][0]) < 1e-6 for k in want)
+
+
+def test_somata_near_by_brute_force(spark):
+    p, x = crowded(spark, 200)
+    s = spark.createDataFrame([(i, float(i * 7), float(i * 5), float(i * 3)) for i in range(120)], "id long, x double, y double, z double")
+    d = np.linalg.norm(x[:, None] - np.array([(i * 7, i * 5, i * 3) for i in range(120)], float)[None], axis=2)
+    for r in (40.0, 300.0):
+        got = {row["seg"]: row["somata"] for row in spatial.somata_near(p, s, r).collect()}
+        assert got == {k: int((d[np.arange(200) % 4 == k] <= r).any(0).sum()) for k in range(4)}
+
+
+def test_somata_are_not_met_by_every_point(spark):
+    """Where all lies in one cell, a fragment is one row of it."""
+    p = spark.range(3000).select("id", F.col("id") % 3, *[F.rand(k) for k in range(3)]).toDF("id", "seg", "x", "y", "z")
+    s = spark.range(2000).select("id", *[F.rand(k + 5) for k in range(3)]).toDF("id", "x", "y", "z")
+    assert {tuple(r) for r in spatial.somata_near(p, s, 100.0).collect()} == {(k, 2000) for k in range(3)}
