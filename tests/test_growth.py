@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import shared, spatial
+from pointweave.plans import further
 
 
 def plan(df):
@@ -90,3 +91,17 @@ def test_somata_are_not_met_by_every_point(spark):
     p = spark.range(3000).select("id", F.col("id") % 3, *[F.rand(k) for k in range(3)]).toDF("id", "seg", "x", "y", "z")
     s = spark.range(2000).select("id", *[F.rand(k + 5) for k in range(3)]).toDF("id", "x", "y", "z")
     assert {tuple(r) for r in spatial.somata_near(p, s, 100.0).collect()} == {(k, 2000) for k in range(3)}
+
+
+def test_sql_hash_order_is_sparks(spark):
+    """The SQL of f6_capped takes the same rows where its cap acts."""
+    duckdb = pytest.importorskip("duckdb")
+    found = duckdb.sql(f"with v_obs as (select range * 12345678901 - 5 as syn_id from range(300)) select k, h from {further._hash_order('syn_id')}").fetchall()
+    assert {tuple(map(int, r)) for r in found} == {tuple(r) for r in spark.range(300).select((F.col("id") * 12345678901 - 5).alias("k")).select("k", F.xxhash64("k", F.lit(0))).collect()}
+
+
+def test_sql_windows_of_a_long_chain():
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql("create or replace table customer as select range * 25 as c_custkey from range(9000)")  # all of one segment
+    sql = further.ORACLE_SQL["v6_windows"]
+    assert duckdb.sql(f"select max(start), count(*) from ({sql})").fetchall() == [(8992, 8 * 2249)]
