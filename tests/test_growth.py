@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import shared, spatial
+from pointweave.operators import shared, spatial, versions
 from pointweave.plans import further
 
 
@@ -105,3 +105,28 @@ def test_sql_windows_of_a_long_chain():
     duckdb.sql("create or replace table customer as select range * 25 as c_custkey from range(9000)")  # all of one segment
     sql = further.ORACLE_SQL["v6_windows"]
     assert duckdb.sql(f"select max(start), count(*) from ({sql})").fetchall() == [(8992, 8 * 2249)]
+
+
+def test_scores_of_ids_in_several_groups(spark):
+    rows = [(i, i % 3, float(i % 3) * 10) for i in range(30)] + [(4, 2, 20.0), (7, 0, 0.0), (7, 0, 0.0)]
+    obs = spark.createDataFrame(rows, "id long, seg long, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)}).where("seg <> 0").unionByName(
+        spark.createDataFrame([(r[0], 5, 0.0) for r in rows if r[1] == 0], "id long, seg long, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    )
+    kept = [(r["id"], r["seg"], r["x"]) for r in obs.collect()]
+    mean = {g: np.mean([x for _, s, x in kept if s == g]) for g in {s for _, s, _ in kept}}
+    want = {}
+    for i, a, _ in kept:
+        for j, b, _ in kept:
+            if a < b and abs(mean[a] - mean[b]) <= 12:
+                k = (min(i, j), max(i, j))
+                want[k] = max(want.get(k, -9.0), 1 - abs(mean[a] - mean[b]) / 12)
+    made = [tuple(r) for r in spatial.group_scores(obs, 12.0, 1 - F.col("d") / 12.0).collect()]
+    assert len(made) == len(want) and all(abs(want[a, b] - s) < 1e-9 for a, b, s in made)
+
+
+def test_pairs_are_not_aggregated(spark):
+    """Pairs of ids that are one row each leave the task that makes them as they are."""
+    obs = spark.createDataFrame([(i, i % 2, 1.0, 0.0, 0.0) for i in range(20)], "id long, seg long, x double, y double, z double")
+    links = obs.select(F.col("seg") + 1, F.col("id") + 1).toDF("seg", "label")
+    assert "collect_list" in plan(versions.edit_pairs(links))  # blocks travel, not the rows of a key to one task
+    assert versions.edit_pairs(links).where("kind = 'false_merge'").count() == 2 * 45
