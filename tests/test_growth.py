@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import shared, spatial, versions
+from pointweave.operators import shared, skeleton, spatial, versions
 from pointweave.plans import further
 
 
@@ -130,3 +130,13 @@ def test_pairs_are_not_aggregated(spark):
     links = obs.select(F.col("seg") + 1, F.col("id") + 1).toDF("seg", "label")
     assert "collect_list" in plan(versions.edit_pairs(links))  # blocks travel, not the rows of a key to one task
     assert versions.edit_pairs(links).where("kind = 'false_merge'").count() == 2 * 45
+
+
+@pytest.mark.parametrize("r", [8.0, 25.0, 120.0])
+def test_parts_by_brute_force(spark, r):
+    p, x = crowded(spark, 150, groups=3)
+    part = {i: i for i in range(150)}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for _ in range(150):
+        part = {i: min(part[j] for j in range(i % 3, 150, 3) if d[i, j] <= r) for i in range(150)}
+    assert {row["id"]: row["part"] for row in skeleton._reached(p, r).collect()} == part
