@@ -140,3 +140,16 @@ def test_parts_by_brute_force(spark, r):
     for _ in range(150):
         part = {i: min(part[j] for j in range(i % 3, 150, 3) if d[i, j] <= r) for i in range(150)}
     assert {row["id"]: row["part"] for row in skeleton._reached(p, r).collect()} == part
+
+
+def test_shared_partners_of_a_crowd_meet_in_blocks(spark):
+    """Hundreds of groups around the same few partners: pairs are counted where blocks meet, not once for each partner and then summed."""
+    rng = np.random.default_rng(4)
+    has = rng.random((230, 12)) < 0.7
+    rows = [(int(g) + 1, int(p) + 1) for g, p in zip(*np.nonzero(has))] * 2 + [(0, 1), (7, 0)]
+    made = spatial.shared_partners(spark.createDataFrame(rows, "seg long, partner long"), block=50)
+    assert "FlatMapGroupsInArrow" in plan(made) and "Join" not in plan(made)
+    n = has.astype(int) @ has.T.astype(int)
+    want = {(i + 1, j + 1): n[i, j] for i in range(230) for j in range(i + 1, 230) if n[i, j]}
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(want) and {(a, b): k for a, b, k in got} == want
