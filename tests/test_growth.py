@@ -183,3 +183,13 @@ def test_nearest_of_groups_starts_narrow(spark, monkeypatch):
     spatial.nearest_of_groups(side, side, 300.0, F.col("ga") < F.col("gb"))
     c = np.floor(x / widths[0])
     assert (np.abs(c[:, None] - c[None]).max(2) <= 1).sum(1).mean() < 30
+
+
+def test_boxes_meet_points_in_many_tasks(spark):
+    """A crowded cell's points are many keys, and tasks follow the pairs to look at; faces count, and columns stay."""
+    p, x = crowded(spark)
+    b = p.where("id % 10 = 0").selectExpr("id as box_id", *[f"{c} - 30 as lo_{c}" for c in "xyz"], *[f"{c} + 40 as hi_{c}" for c in "xyz"])
+    found = spatial.points_in_boxes(b, p, 500.0, 8, 100)
+    assert found.columns == ["box_id", *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"], "id", "x", "y", "z", "seg"] and found.rdd.getNumPartitions() > 20
+    got = sorted((r["box_id"], r["id"], r["seg"]) for r in found.collect())
+    assert got == sorted((i, j, j % 4) for i in range(0, 300, 10) for j in range(300) if (x[j] >= x[i] - 30).all() and (x[j] <= x[i] + 40).all())
