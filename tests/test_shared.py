@@ -1,13 +1,14 @@
 """Pairs by keys that many hold, and caps that make no more pairs than they return."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import shared, spatial, stitch
+from pointweave.operators import pairs, shared, spatial, stitch
 
 
 @pytest.mark.parametrize("block", [3, 1000])
@@ -55,3 +56,22 @@ def test_pairs_of_adjacent_fragments(spark, cap):
     rows = [tuple(r) for r in spatial.adjacent_obs_pairs(spark.createDataFrame(near, "fa long, fb long"), obs, cap).collect()]
     n = Counter((a // 1000, b // 1000) for a, b in rows)
     assert len(rows) == len(set(rows)) and n == {(a, b): min(cap, sizes[a] * sizes[b]) for a, b in near}
+
+
+def test_lowest_without_a_task_that_holds_them_all(spark):
+    rows = spark.range(40_000).select("id", (F.col("id") % 3).alias("b"))
+    order = F.xxhash64("id", F.lit(1))
+    for n in (0, 1, 777, 39_999, 40_000, 10**9):
+        assert sorted(shared.lowest(rows, n, order, "id").collect()) == sorted(rows.orderBy(order, "id").limit(n).collect()), n
+    same = shared.lowest(rows, 100, F.lit(-5).cast("long"), "id")  # all in one bin: ties decide
+    assert sorted(r["id"] for r in same.collect()) == list(range(100))
+
+
+def test_negatives_are_not_gathered_in_one_task(spark):
+    """The cut at ``ratio`` takes a few rows in order, not all that are kept."""
+    rng = random.Random(3)
+    p = spark.createDataFrame([(i, 1 + i % 5, 1 + i % 7, *(float(rng.randrange(300)) for _ in range(3))) for i in range(600)], "id long, seg long, label long, x double, y double, z double")
+    made = pairs.merge_pairs(p, 3, 300.0)
+    kept = made.groupBy("y").count().collect()
+    limits = [int(n) for n in re.findall(r"(?:Limit |limit=)(\d+)", made._jdf.queryExecution().executedPlan().toString())]
+    assert {r["y"]: r["count"] for r in kept}[0] > 500 and all(n < 50 for n in limits)
