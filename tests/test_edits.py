@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pointweave.operators import edits, pairs, sequence
@@ -52,6 +53,18 @@ def test_edits_apply_in_order_whatever_the_parts(spark):
     assert {tuple(r) for r in edits.apply_edits(points, frame.limit(0), moves)[0].collect()} == set(labels)
 
 
+def test_a_part_is_read_in_runs():
+    """Points of a label and what an edit moves are taken at once; each edit is one step."""
+    rows = [(1, 0, None, None, 7, None, 0, i) for i in range(1000)] + [(1, 0, None, None, 8, None, 0, i) for i in range(3)]
+    rows += [(1, 0, 5, "split", 7, 8, 1, i) for i in range(500)] + [(1, 0, 5, "split", 7, 8, 2, None), (1, 0, 6, "merge", 7, 8, 2, None), (1, 1, None, None, 8, None, 0, 1)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], edits._ROWS)
+    assert edits._runs(batch) == [0, 1000, 1003, 1503, 1504, 1505]
+    assert edits._runs(batch.slice(0, 0)) == [] and list(edits._fold(4)(iter([batch.slice(0, 0)])))[0].num_rows == 0
+    sides = [r for out in edits._fold(4)(iter([batch.slice(0, 200), batch.slice(200)])) for r in out.to_pylist() if r["label"] is None]
+    assert [(r["edit_id"], r["side"], r["size"], r["ids"]) for r in sides] == [(5, 0, 500, [500, 501, 502, 503]), (5, 1, 500, [0, 1, 2, 3]), (6, 0, 500, [500, 501, 502, 503]), (6, 1, 500, [0, 1, 2, 3])]
+
+
 def test_pairs_of_edits(spark):
     labels = spark.createDataFrame([(1, 10), (2, 10), (3, 20)], "id long, label long")
     log = spark.createDataFrame([(1, 5, "merge", 10, 20), (2, 6, "split", 10, 30)], "edit_id long, t long, op string, a long, b long").withColumn("ts", F.timestamp_seconds("t"))
