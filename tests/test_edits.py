@@ -105,6 +105,14 @@ def test_first_of_each_across_batches_and_restarts(spark):
     assert got == [[1, 2], [1, 2, 3], [1, 2, 3, 4], [1, 1, 2, 2, 3, 4]]
 
 
+def test_state_of_restarted_streams_lies_outside_the_heap(spark):
+    path = Scratch(spark, "state").path("in")
+    spark.range(50).select(F.col("id").alias("syn_id"), F.timestamp_seconds("id").alias("ts")).write.parquet(path)
+    jobs.landed(jobs.first_of_each(jobs.as_stream(spark, path, "syn_id long, ts timestamp")), path + "-out", "append")
+    offsets = spark.read.text(path + "-out-checkpoint/offsets/0").where("value like '%providerClass%'").first()["value"]
+    assert "RocksDBStateStoreProvider" in offsets and "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
+
+
 def test_gap_occupancy_by_brute_force(spark):
     rng = random.Random(2)
     obs = [(i, i % 3, *(rng.uniform(-4000, 4000) * (k < 2 or i % 2) for k in range(3))) for i in range(400)]
