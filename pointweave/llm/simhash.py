@@ -32,7 +32,7 @@ and link nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -138,7 +138,6 @@ class BKTree:
 
 
 Row = tuple[int, int, int]  # id, fp, fp2
-Sized = tuple[int, int, int, int]  # name, fp, group, size of the set
 
 
 def _joins(held: list[Row], probes: list[Row] | None, radius: int, far: int) -> list[tuple[int, int]]:
@@ -234,10 +233,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 SHINGLE = 5
 SLACK = 1e-6  # so that rounding drops no pair that is just similar enough
 PRINTS = 4
-TABLES, TABLE_BITS = 80, 20
-#: For each table, the bits of the PRINTS fingerprints that make its key.
+TABLES, TABLE_BITS, TABLE_SHINGLES = 20, 8, 2
+#: For each table, the bits of the PRINTS fingerprints that are in its key, and the orders whose first shingles are.
 _CHOSEN = np.stack([np.random.RandomState(SEED + t).permutation(64 * PRINTS)[:TABLE_BITS] for t in range(TABLES)])
-_WEIGHTS = 1 << np.arange(TABLE_BITS, dtype=np.int64)
+_WEIGHTS = np.uint64(1) << np.arange(TABLE_BITS, dtype=np.uint64)
+_ORDERS, _FACTORS = np.random.RandomState(SEED).randint(0, 1 << 64, (2, TABLES * TABLE_SHINGLES, 1), np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -276,6 +276,20 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def table_keys(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The key of a set in each table: bits of its fingerprints and the shingles that come first in two random orders of all shingles."""
+    first = np.full(TABLES * TABLE_SHINGLES, -1, np.int64).view(np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = (hashes[at : at + 1024] ^ _ORDERS) * _FACTORS
+        x ^= x >> np.uint64(32)
+        first = np.minimum(first, (x * _FACTORS[::-1]).min(1))
+    key = bits[_CHOSEN].astype(np.uint64) @ _WEIGHTS + np.arange(TABLES, dtype=np.uint64) * np.uint64(1 << TABLE_BITS)
+    for one in first.reshape(TABLE_SHINGLES, TABLES):
+        key = (key ^ one) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """For each of 2 to 4 buckets an element, whether it holds an odd number of them: little-endian bits.
 
@@ -306,16 +320,15 @@ def _wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, h, name, n, odd, fps, keys`` of every row with an id: the row's hash, its set's name, size and parity, its fingerprints and its key in every table."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.arange(TABLES) << TABLE_BITS
         for b in batches:
             for part, sets in _batches_of_sets(b):
                 bits = [wide_bits(x) for x in sets]
                 fps = [np.packbits(x).view(">i8").tolist() for x in bits]
-                keys = [(x[_CHOSEN] @ _WEIGHTS + shift).tolist() for x in bits]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["id", "h", "name", "n", "odd", "fps", "keys"])
+                keys = [table_keys(x, y) for x, y in zip(sets, bits)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(_name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "name", "n", "odd", "fps", "keys"])
 
     rows = docs.where(F.col(id_col).cast("long").isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(prints, "id long, h long, name long, n int, odd binary, fps array<long>, keys array<int>")
+    return rows.mapInArrow(prints, "id long, h long, name long, n int, odd binary, fps array<long>, keys array<long>")
 
 
 def row_hash(docs: DataFrame) -> F.Column:
@@ -323,12 +336,28 @@ def row_hash(docs: DataFrame) -> F.Column:
     return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
 
 
-def _candidates(held: list[Sized], probes: list[Sized] | None, radius: int, nearest: bool, similarity: float) -> list[tuple[int, int, int]]:
-    """(held name, probe name, distance) of rows (name, fingerprint, group, size) of different groups whose sizes allow the similarity: each probe's nearest, or all."""
-    tree, at_node, out = BKTree(), [], []
+class Sized(NamedTuple):
+    """A class of equal sets in a shard: one of its ``chunk``, with its fingerprints as one number."""
+
+    chunk: int
+    name: int
+    group: int
+    n: int
+    odd: bytes
+    tried: int | None  # the class with which it was compared already
+    fp: int
+    hashes: np.ndarray | None = None
+
+
+def _possible(held: list[Sized], probes: list[Sized] | None, radius: int, similarity: float, group: Callable[[Sized], int]) -> Iterator[tuple[Sized, Sized, float]]:
+    """Held row, probe and share of elements that surely differ, of pairs of different groups within the radius that may have the similarity; no probes: the held rows, each with those before it.
+
+    Sizes and parities rule out the others: at similarity s, sets of n and m elements differ in at most (n + m) (1 - s) / (1 + s) elements.
+    """
+    tree, at_node, most = BKTree(), [], (1 - similarity) / (1 + similarity)
 
     def add(row: Sized) -> None:
-        node = tree.insert(row[1])
+        node = tree.insert(row.fp)
         if node == len(at_node):
             at_node.append([])
         at_node[node].append(row)
@@ -336,85 +365,146 @@ def _candidates(held: list[Sized], probes: list[Sized] | None, radius: int, near
     if probes is not None:
         for row in held:
             add(row)
-    for name, fp, group, n in held if probes is None else probes:
-        found = [((tree.values[node] ^ fp).bit_count(), other) for node in tree.within(fp, radius) for other, _, theirs, m in at_node[node] if theirs != group and min(n, m) >= similarity * max(n, m) - SLACK]
-        out += [(other, name, d) for d, other in ([min(found)] if nearest and found else found)]
+    for row in held if probes is None else probes:
+        for node in tree.within(row.fp, radius):
+            for other in at_node[node]:
+                n, m = row.n, other.n
+                if group(other) == group(row) or min(n, m) < similarity * max(n, m) - SLACK or row.tried == other.name or other.tried == row.name:
+                    continue
+                apart = _apart(row.odd, other.odd)
+                if apart <= (n + m) * most + SLACK:
+                    yield other, row, apart / (n + m)
         if probes is None:
-            add((name, fp, group, n))
-    return out
+            add(row)
 
 
-def _met(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """``key, chunks, own, name``: the keys that two or more classes share."""
-    keyed = classes.select("name", F.explode("keys").alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(crowd, "key").select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"), "name")
-    return met.withColumn("own", F.pmod(F.xxhash64("name"), "chunks").cast("int"))
+def _sides(lo: int, hi: int, rows: list[Sized]) -> tuple[list[Sized], list[Sized] | None]:
+    """The rows held and the probes of a shard's two chunks, or of one."""
+    return (rows, None) if lo == hi else ([r for r in rows if r.chunk == lo], [r for r in rows if r.chunk == hi])
 
 
-def _pairs(met: DataFrame, state: DataFrame, radius: int, nearest: bool, similarity: float) -> DataFrame:
-    """``src, dst`` (src < dst), distinct pairs of different groups within the radius; nearest: one for each probe."""
-    dealt = met.join(state.select("name", "fps", "grp", "n"), "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "name", "grp", "n", *[F.col("fps")[k].alias(f"f{k}") for k in range(PRINTS)])
+_BY = ["key", "lo", "hi"]
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, out = None, [], []
 
-        def close() -> None:
-            if shard and len({r[3] for r in rows}) > 1:
-                lo, hi = shard[1], shard[2]
-                held = [r[1:] for r in rows if r[0] == lo]
-                out.extend(_candidates(held, None if lo == hi else [r[1:] for r in rows if r[0] == hi], radius, nearest, similarity))
+def _in_shards(dealt: DataFrame, state: DataFrame, work: Callable[[list, list[Sized]], list[tuple]], schema: str) -> DataFrame:
+    """What ``work([key, lo, hi], rows)`` returns for the rows of each pair of chunks, in the order of ``at``, if they are of two or more groups."""
 
-        def taken() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["held", "probe", "d"])
+    def values(c: pa.Array) -> list:
+        if not pa.types.is_list(c.type):
+            return c.to_pylist()
+        flat, edges = c.values.to_numpy(), c.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(edges, edges[1:])]
 
-        for b in batches:
-            for *at, own, name, grp, n, f0, f1, f2, f3 in zip(*(c.to_pylist() for c in b.columns)):
-                if at != shard:
-                    close()
-                    shard, rows = at, []
-                    if len(out) > 100_000:
-                        yield taken()
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[Sized]]]:
+        shard, rows = None, []
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):  # few rows as Python's objects at a time
+            for key, lo, hi, chunk, name, group, n, odd, tried, f0, f1, f2, f3, *more in zip(*map(values, b.columns)):
+                if shard != [key, lo, hi]:
+                    if rows:
+                        yield shard, rows
+                    shard, rows = [key, lo, hi], []
                 full = 0
                 for f in (f0, f1, f2, f3):
                     full = full << 64 | f % (1 << 64)
-                rows.append((own, name, full, grp, n))
-            yield taken()
-        close()
+                rows.append(Sized(chunk, name, group, n, odd, tried, full, *more))
+        if rows:
+            yield shard, rows
+
+    kinds = [field.split()[0] for field in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[field.split()[1]] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], kinds)
+
+        for shard, rows in shards(batches):
+            if len({r.group for r in rows}) > 1:
+                out.extend(work(shard, rows))
+            if len(out) > 50_000:
+                yield taken()
         yield taken()
 
-    by = ["key", "lo", "hi"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(trees, "held long, probe long, d long")
-    if nearest:
-        found = found.groupBy("probe").agg(F.min(F.struct("d", "held")).alias("m")).select(F.col("m.held").alias("held"), "probe")
-    return found.select(F.least("held", "probe").alias("src"), F.greatest("held", "probe").alias("dst")).distinct()
+    held = dealt.join(state, "name")
+    held = held.select(*_BY, "own", "name", "grp", "n", "odd", "tried", *[F.col("fps")[k].alias(f"f{k}") for k in range(PRINTS)], *[c for c in state.columns if c == "hashes"], "at")
+    sorted_ = held.repartition(*_BY).sortWithinPartitions(*_BY, "at", "name")
+    return sorted_.drop("at").mapInArrow(run, schema)
 
 
-def _perhaps(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sizes and parities don't rule out the similarity; all that have it are among them.
+def _met(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """``key, chunks, lead, at, own, name``: the keys that two or more classes share, and where the classes stand in the shard.
 
-    At similarity s, sets of n and m elements differ in at most (n + m) (1 - s) / (1 + s) elements.
+    ``at`` orders all classes alike in all shards, and the chunks as well; ``lead`` is the first of the shard.
     """
-    side = lambda name, n, odd: classes.select(F.col("name").alias(name), F.col("n").alias(n), F.col("odd").alias(odd))
-    both = pairs.join(side("src", "n", "a"), "src").join(side("dst", "m", "b"), "dst").select("src", "dst", (F.col("n") + F.col("m")).alias("all"), "a", "b")
+    keyed = classes.select("name", F.pmod(F.xxhash64("name"), F.lit(1 << 31)).alias("at"), F.explode("keys").alias("key"))
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("lead")).where("n > 1")
+    met = keyed.join(crowd, "key").select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"), "lead", "at", "name")
+    return met.withColumn("own", F.shiftright(F.col("at") * F.col("chunks"), 31).cast("int"))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            most = b.column(2).to_numpy() * ((1 - similarity) / (1 + similarity)) + SLACK
-            apart = np.fromiter(map(_apart, b.column(3).to_pylist(), b.column(4).to_pylist()), np.int64, b.num_rows)
-            yield b.select([0, 1]).filter(pa.array(apart <= most))
 
-    return both.mapInArrow(kept, "src long, dst long")
+def _nearest(met: DataFrame, state: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``held, probe``: for each class the one most like it, by parities, of those before it in its chunks and the first ones of its shards."""
 
+    def work(shard: list, rows: list[Sized]) -> list[tuple]:
+        best = {}
+        for held, probe, apart in _possible(rows, None, radius, similarity, lambda row: row.group):
+            best[probe.name] = min(best.get(probe.name, (2.0, 0)), (apart, held.name))
+        return [(held, probe, apart) for probe, (apart, held) in best.items()]
 
-def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have that Jaccard similarity or more."""
-    pairs = tmp.write(_perhaps(pairs, classes, similarity), "perhaps")
-    names = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))).distinct()
-    ids = tmp.write(classes.select("id", "name").join(names, "name"), "asked")
+    chunk = F.explode(F.when(F.col("at") == F.col("lead"), F.sequence(F.col("own"), F.col("chunks") - 1)).otherwise(F.array("own")))
+    dealt = met.withColumn("own", chunk).select("key", F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "at", "name")
+    found = _in_shards(dealt, state, work, "held long, probe long, apart double")
+    return found.groupBy("probe").agg(F.min(F.struct("apart", "held")).alias("m")).select(F.col("m.held").alias("held"), "probe")
+
+
+def _undecided(met: DataFrame, state: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``key, lo, hi, own, at, name``: the classes of each two chunks that may be alike to one of another group there, by sizes and parities.
+
+    Chunks that hold only their shard's largest group need not meet one another.
+    """
+
+    def work(shard: list, rows: list[Sized]) -> list[tuple]:
+        open_ = {r.name for pair in _possible(*_sides(*shard[1:], rows), radius, similarity, lambda row: row.group) for r in pair[:2]}
+        return [(*shard, r.chunk, r.name) for r in rows if r.name in open_]
+
+    grouped = met.join(state.select("name", "grp"), "name")
+    largest = grouped.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = grouped.join(largest, "key").where("grp <> main").select("key", "own").groupBy("key").agg(F.collect_set("own").alias("mixed"))
+    others = F.when(F.array_contains("mixed", F.col("own")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("mixed"))
+    dealt = met.join(mixed, "key").withColumn("other", F.explode(others))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "at", "name")
+    return _in_shards(dealt, state, work, "key long, lo int, hi int, own int, name long")
+
+
+def _links(rows: DataFrame, state: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``src, dst``: links between alike sets (``hashes`` of the state) that connect the groups in which all alike ones of each two chunks are."""
+
+    def work(shard: list, rows: list[Sized]) -> list[tuple]:
+        parent: dict[int, int] = {}
+        out = []
+
+        def root(row: Sized) -> int:
+            x = row.group
+            while (p := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(p, p)
+            return x
+
+        for a, b, _ in _possible(*_sides(*shard[1:], rows), radius, similarity, root):
+            shared = len(np.intersect1d(a.hashes, b.hashes, assume_unique=True))
+            if shared / (a.n + b.n - shared) >= similarity:
+                parent[root(a)] = root(b)
+                out.append((a.name, b.name))
+        return out
+
+    return _in_shards(rows.withColumn("at", F.pmod(F.xxhash64("name"), F.lit(1 << 31))), state, work, "src long, dst long")
+
+
+def _sets(tmp: Scratch, names: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``name, hashes`` of the named classes, from the text of one row each."""
+    ids = tmp.write(classes.select("id", "name").join(names.distinct(), "name"), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -424,10 +514,17 @@ def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids.select("id").distinct(), "id", "left_semi")
     held = texts.mapInArrow(sets, "id long, name long, hashes array<long>").join(ids, ["id", "name"], "left_semi").dropDuplicates(["name"])
     held = tmp.write(held.select("name", "hashes"), "sets")
+    tmp.drop(ids)
+    return held
+
+
+def _alike(tmp: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The pairs ``src, dst`` whose shingle sets have that Jaccard similarity or more."""
+    held = _sets(tmp, pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))), classes, docs, id_col, text_col)
     both = pairs.join(held.select(F.col("name").alias("src"), F.col("hashes").alias("a")), "src").join(held.select(F.col("name").alias("dst"), F.col("hashes").alias("b")), "dst")
     shared = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
     good = tmp.write(shared.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("src", "dst"), "alike")
-    tmp.drop(held, ids, pairs)
+    tmp.drop(held)
     return good
 
 
@@ -435,31 +532,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, h, component, first``: every row with an id, the smallest id that links of exact Jaccard similarity reach, and whether the row is its group's first.
 
     ``h`` is the row's hash (``row_hash``); a group's first row is that with the smallest id, then hash.  Equal sets of
-    5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of
-    the 64 * PRINTS bits of their SimHashes, and are candidates within ``radius`` bits by the shard's BK-trees; every link
-    is checked on the sets themselves, once the sets' sizes and parities, whose difference bounds that of the sets from
-    below, leave it possible.  At a similarity of 0.8 a bit differs with a chance of 0.15: a pair meets with a
-    chance of about 1 - (1 - 0.85 ** 20) ** 80 = 0.95, and differs in 39 of 256 bits, give or take 6; at 0.85 these are 0.99 and 33.
-
-    First each class of a shard is tried with the nearest one before it, which is enough to join a clump;
-    then all candidates that are still in different groups.  No candidate goes unchecked, but in one group.
+    5-word shingles are one class.  Classes meet in the shards of TABLES keys, each of TABLE_BITS of the 64 * PRINTS bits of
+    their SimHashes and the TABLE_SHINGLES shingles that random orders put first, and are candidates within ``radius`` bits by
+    the shard's BK-trees, unless the sets' sizes and parities, whose difference bounds that of the sets from below, rule the
+    similarity out; every link is checked on the sets themselves.  At a similarity of 0.8 a first shingle is shared with a chance of 0.8
+    and a bit with one of 0.85: a pair meets with a chance of about 1 - (1 - 0.8 ** 2 * 0.85 ** 8) ** 20 = 0.98, and differs in 39 of
+    256 bits, give or take 6.  Texts without a common shingle meet in no shard, so what meets doesn't grow by chance with the corpus.
+
+    First each class is tried with the one most like it before it in its chunk, or the shard's first, which is enough to join a clump;
+    then, in the shards, all candidates that are still in different groups.  The sets of those go to the shards, which
+    return links that join groups, not pairs.  No candidate goes unchecked, but in one group.
     """
     tmp = Scratch(docs.sparkSession, "copies")
     prints = tmp.write(_wide_prints(docs, id_col, text_col), "prints")
     one = F.min_by(F.struct("fps", "keys", "n", "odd"), F.struct("id", "h"))
     classes = tmp.write(prints.groupBy("name").agg(F.min(F.struct("id", "h")).alias("row"), one.alias("s")).select("name", "row.id", "row.h", "s.fps", "s.keys", "s.n", "s.odd"), "classes")
     met = tmp.write(_met(classes, shard_rows), "met")
-    state = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", "n", F.col("name").alias("grp")), "state")
-    pairs = tmp.write(_pairs(met, state, radius, True, similarity), "nearest")
-    alike = _alike(tmp, pairs, classes, docs, id_col, text_col, similarity)
+    alone = tmp.write(classes.join(met.select("name").distinct(), "name", "left_semi").select("name", "fps", "n", "odd"), "alone")
+    tried = tmp.write(_nearest(met, alone.withColumn("grp", F.col("name")).withColumn("tried", F.lit(None).cast("long")), radius, similarity), "nearest")
+    alike = _alike(tmp, tried.select(F.col("held").alias("src"), F.col("probe").alias("dst")), classes, docs, id_col, text_col, similarity)
     groups = connected_components(alike).select(F.col("node").alias("name"), F.col("component").alias("grp"))
-    state = tmp.write(state.drop("grp").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "state")
-    others = tmp.write(_pairs(met, state, radius, False, similarity).join(pairs, ["src", "dst"], "left_anti"), "others")
-    more = _alike(tmp, others, classes, docs, id_col, text_col, similarity)
+    state = alone.join(groups, "name", "left").join(tried.select(F.col("probe").alias("name"), F.col("held").alias("tried")), "name", "left")
+    state = tmp.write(state.withColumn("grp", F.coalesce("grp", "name")), "state")
+    rows = tmp.write(_undecided(met, state, radius, similarity), "undecided")
+    held = _sets(tmp, rows.select("name"), classes, docs, id_col, text_col)
+    more = tmp.write(_links(rows, state.join(held, "name"), radius, similarity), "more")
     groups = connected_components(alike.unionByName(more)).select(F.col("node").alias("name"), F.col("component").alias("grp"))
     grouped = tmp.write(classes.select("name", "id", "h").join(groups, "name", "left").withColumn("grp", F.coalesce("grp", "name")), "groups")
     lowest = grouped.groupBy("grp").agg(F.min(F.struct("id", "h")).alias("low"))
     named = tmp.write(grouped.join(lowest, "grp").select("name", "low"), "named")
-    tmp.drop(classes, met, state, pairs, others, alike, more, grouped)
+    tmp.drop(classes, met, alone, tried, alike, state, rows, held, more, grouped)
     first = (F.col("id") == F.col("low.id")) & (F.col("h") == F.col("low.h"))
     return prints.select("id", "h", "name").join(named, "name").select("id", "h", F.col("low.id").alias("component"), first.alias("first"))

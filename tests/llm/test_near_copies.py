@@ -92,3 +92,37 @@ def test_parities_bound_the_difference_of_sets():
         assert (simhash._apart(x, y) - differ) % 2 == 0
         if 20 < differ < 0.3 * len(a):  # few share a bucket
             assert simhash._apart(x, y) >= 0.6 * differ
+
+
+def written(monkeypatch) -> dict[str, int]:
+    """Most rows written to each scratch table."""
+    rows, write = {}, simhash.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "write", counted)
+    return rows
+
+
+def test_a_clump_just_below_the_similarity_makes_no_pairs(spark, monkeypatch):
+    """F-pipeline: what is passed on follows the rows and their keys, not the square of the clump."""
+    n = 150
+    base = [f"u{k}" for k in range(100)]
+    texts = [base + [f"own{k}x{i}" for i in range(13)] for k in range(n)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert 0.78 < jaccard(" ".join(texts[0]), " ".join(texts[1])) < 0.8
+    rows = written(monkeypatch)
+    assert {r["id"]: r["component"] for r in simhash.near_copies(docs, shard_rows=64).collect()} == {k: k for k in range(n)}
+    assert rows["met"] > n and max(rows.values()) <= simhash.TABLES * n * 3  # a class is in up to three pairs of chunks
+    assert sum(r for name, r in rows.items() if name in ("nearest", "others", "perhaps", "alike", "more")) <= n
+
+
+def test_unrelated_texts_do_not_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(f"v{rng.randrange(50_000)}" for _ in range(60))) for k in range(1500)], "doc_id long, text string")
+    rows = written(monkeypatch)
+    assert len({r["component"] for r in simhash.near_copies(docs).collect()}) == 1500
+    assert rows["met"] == 0
