@@ -22,6 +22,7 @@ an id count as vectors of their own; of equally near centroids the first is home
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,17 +151,18 @@ def place(classes: DataFrame, margin: float, cell_rows: int, full_rows: int, fan
         took = pa.array(i)
         return pa.RecordBatch.from_arrays([b.column("id").take(took), b.column("e").take(took), pa.array(to, pa.string()), pa.array(lives)], ["id", "e", "cell", "lives"])
 
-    here = classes.select("id", "e", F.size("e").cast("string").alias("cell"), F.lit(True).alias("lives"))
+    here, settled = classes.select("id", "e", F.size("e").cast("string").alias("cell"), F.lit(True).alias("lives")), []
     while True:
         full = here.where("not endswith(cell, '!')").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > full_rows)
         full = tmp.write(full.withColumn("k", F.least(F.lit(fan), F.ceil(F.col("n") / cell_rows)).cast("int")), "full")
+        settled.append(here.join(full, "cell", "left_anti").select("id", "cell", "lives"))  # a level reads the cells that the one before has cut, no others
         if full.isEmpty():
             break
         of_hash = F.pmod(F.xxhash64("id", F.length("cell")), F.lit(1 << 20)) < F.col("k") / F.col("n") * (16 << 20)
         sample = here.join(full, "cell").where(of_hash).select("cell", "k", "id", "e")
         centroids = tmp.write(sample.groupBy("cell").applyInArrow(fit, "cell string, value binary"), "centroids")
-        cut = mapped_beside(here.join(full, "cell", "left_semi"), "cell", centroids, assign, f"id long, e {kind}, cell string, lives boolean", broadcast_bytes)
-        here = tmp.write(here.join(full, "cell", "left_anti").unionByName(cut), "cells")
+        here = tmp.write(mapped_beside(here.join(full, "cell", "left_semi"), "cell", centroids, assign, f"id long, e {kind}, cell string, lives boolean", broadcast_bytes), "cells")
+    here = reduce(DataFrame.unionByName, settled)
     cell = F.xxhash64("cell")
     return here.groupBy("id").agg(F.max(F.when(F.col("lives"), cell)).alias("home"), F.collect_set(F.when(~F.col("lives"), cell)).alias("visits"))
 

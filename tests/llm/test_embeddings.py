@@ -100,3 +100,20 @@ def test_unsound_vectors_link_with_nothing(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out}
     assert got == {1: (3, 1), 2: (3, 1), 10: (3, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (2, 9), 11: (2, 9), 12: (2, 9), None: (0, None)}
     assert em.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_a_level_writes_only_the_cells_it_cuts(spark, monkeypatch):
+    cut, write = [], em.Scratch.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        if name == "cells":
+            cut.append({r["id"] for r in out.select("id").collect()})
+        return out
+
+    monkeypatch.setattr(em.Scratch, "write", noted)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8 if i < 130 else 16).tolist()) for i in range(230)]  # those of length 16 are few enough for one cell
+    placed = em.place(spark.createDataFrame(rows, "id long, e array<double>"), 0.06, 65, 120, 6, 32_000_000).select("id", "home").collect()
+    assert sorted(r["id"] for r in placed) == list(range(230)) and all(r["home"] is not None for r in placed)
+    assert cut[0] == set(range(130)) and all(ids <= cut[0] for ids in cut)
