@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import metrics, models, stitch
+from pointweave.operators import metrics, models, skeleton, stitch
 
 
 def test_seam_descriptor(spark):
@@ -102,3 +102,10 @@ def test_two_tiles_are_stitched(spark):
     strands = [{by[i] for i, *_ in rows if (i % 1000 >= 500) == upper} for upper in (False, True)]
     assert all(len(s) == 1 for s in strands) and strands[0] != strands[1] and len(by) == len(rows)
     assert sorted((r["forced"], r["decision"], r["soma_conflict"]) for r in decisions.collect()) == [(False, "joined", False), (True, "joined", False)]
+
+
+def test_cloud_ends_of_ties(spark):
+    """Of several points at one end of the widest axis the lowest id is it, at either end."""
+    rows = [(i, i % 2, float(i // 2 % 5) * 10, 1.0, 2.0) for i in range(60)] + [(99, 0, None, 1.0, 2.0)]
+    ends = skeleton.cloud_ends(spark.createDataFrame(rows, "id long, seg long, x double, y double, z double").repartition(5, "id"))
+    assert {tuple(r)[:3] for r in ends.collect()} == {(0, 0, 8), (1, 1, 9)}
