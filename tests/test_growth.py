@@ -1,10 +1,12 @@
 """What must not grow faster than its input: plans and widths, and the same results by brute force."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import models, shared, skeleton, spatial, versions
+from pointweave.operators import models, pairs, shared, skeleton, spatial, versions
 from pointweave.plans import further
 
 
@@ -53,6 +55,22 @@ def test_all_pairs_meet_in_blocks(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, n.collect())) and made.where("a < b").distinct().count() == made.count()
 
 
+def test_pairs_of_a_base_id_are_whole(spark):
+    """No number of pairs switches to a part of them; rows that repeat an id meet others, not each other."""
+    rows = [(i % 500, i % 3, i % 5) for i in range(900)] + [(900, 1, None), (901, None, 2), (902, -1, 2), (903, -1, 2)]
+    obs = spark.createDataFrame(rows, "id long, seg long, label long")
+    made = pairs.split_pairs(obs)
+    want = sorted((a, b, int(p == q)) for a, s, p in rows for b, t, q in rows if s and s > 0 and s == t and p and q and a < b)
+    assert sorted(map(tuple, made.collect())) == want and "cap" not in inspect.signature(pairs.split_pairs).parameters
+
+
+def test_tasks_follow_the_pairs(spark):
+    rows = spark.range(3000).select("id", F.lit(1).alias("g"))
+    assert shared.tasks_of(spark, None) == 4 and shared.tasks_of(spark, 1e9) == 50
+    held = shared.in_blocks(rows, "g", F.col("id"), "id", 1000).select(shared.chunks("members").alias("m"))
+    assert held.agg(F.max(F.size("m")), F.sum(F.size("m"))).first()[:] == (8, 3000)  # what two nested explodes make of a row is held at once
+
+
 def test_more_pairs_than_an_array_holds(spark):
     assert shared.counted(spark.range(2), F.col("id") * 200_000, "k").agg(F.count("*"), F.max("k"), F.countDistinct("k")).first()[:] == (200_000, 199_999, 200_000)
     obs = spark.range(40).select("id", (F.col("id") % 2).alias("frag"))
