@@ -75,3 +75,10 @@ def test_negatives_are_not_gathered_in_one_task(spark):
     kept = made.groupBy("y").count().collect()
     limits = [int(n) for n in re.findall(r"(?:Limit |limit=)(\d+)", made._jdf.queryExecution().executedPlan().toString())]
     assert {r["y"]: r["count"] for r in kept}[0] > 500 and all(n < 50 for n in limits)
+
+
+def test_all_pairs_of_a_segment(spark):
+    """Without a cap, and rows that repeat an id don't meet each other."""
+    rows = [(i % 90, i % 2) for i in range(200)] + [(None, 1)]
+    made = [tuple(r) for r in spatial.same_segment_pairs(spark.createDataFrame(rows, "id long, seg long")).collect()]
+    assert sorted(made) == sorted((a, b) for a, s in rows for b, t in rows if s == t == 1 and None not in (a, b) and a != b)
