@@ -150,6 +150,29 @@ def test_pairs_are_not_aggregated(spark):
     assert versions.edit_pairs(links).where("kind = 'false_merge'").count() == 2 * 45
 
 
+def test_members_of_asked_keys_meet(spark):
+    """Blocks of two keys meet as short arrays beside long ones, each two once, in as many tasks as the pairs ask for."""
+    rows = spark.createDataFrame([(i, i % 3) for i in range(210)], "id long, g long")
+    held = shared.in_blocks(rows, "g", F.col("id"), "id", 20)
+    asked = spark.createDataFrame([(0, 1), (1, 1), (2, 9)], "ga long, gb long")
+    met = shared.members_met(asked, held, held, "ga", "gb", "g")
+    assert met.agg(F.max(F.size("_l")), F.max(F.size("_r")) < 45).first()[:] == (8, True)
+    got = met.select("ga", "gb", F.explode("_l").alias("a"), "_r").select("ga", "gb", "a", F.explode("_r").alias("b")).collect()
+    assert sorted(map(tuple, got)) == sorted((f, g, a, b) for f, g in ((0, 1), (1, 1)) for a in range(f, 210, 3) for b in range(g, 210, 3))
+
+
+def test_adjacent_pairs_without_a_cap(spark):
+    obs = spark.createDataFrame([(i, i % 3) for i in range(90)] + [(5, 2)], "id long, frag long")
+    made = spatial.adjacent_obs_pairs(spark.createDataFrame([(0, 2), (1, 7)], "fa long, fb long"), obs)
+    assert sorted(map(tuple, made.collect())) == sorted((a, b) for a in range(0, 90, 3) for b in [*range(2, 90, 3), 5])
+
+
+def test_scores_are_rounded_before_members_meet(spark, tmp_path):
+    spark.range(300).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    made = further.QUERIES["j12_group_scores"](spark, str(tmp_path))
+    assert "round(" not in plan(made) and made.count() > 0
+
+
 @pytest.mark.parametrize("r", [8.0, 25.0, 120.0])
 def test_parts_by_brute_force(spark, r):
     p, x = crowded(spark, 150, groups=3)
