@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.columns import distance
+from pointweave.operators.shared import shuffled
 from pointweave.operators.spatial import XYZ, knn
+from pointweave.sources.scratch import Scratch
 
 TOKENS = ("F", "B", "L", "R")
 
@@ -222,42 +225,72 @@ def junctions(ordered: DataFrame, group: str = "group") -> DataFrame:
 
 
 def _tube_cells(width: F.Column, radius: F.Column, length: F.Column) -> F.Column:
-    """The cells ``{x, y, z}`` of that width which the tube from a to b can touch, for a radius of at most the width: each stretch of the segment no longer than
-    the width has at most 4 x 4 x 4."""
+    """The cells ``{x, y, z}`` of that width, within lo_x to hi_x and so on, which the tube from p to q can touch, for a radius of at most the width: each stretch
+    of the segment no longer than the width has at most 4 x 4 x 4."""
     n = F.greatest(F.ceil(length / width), F.lit(1)).cast("int")
 
     def of(i: F.Column) -> F.Column:
         spans = []
         for c in XYZ:
-            at = lambda k: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * k / n  # noqa: B023, E731
-            low, high = F.least(at(i), at(i + 1)) - radius * 1.000001, F.greatest(at(i), at(i + 1)) + radius * 1.000001
-            spans.append(F.sequence(F.floor(low / width), F.floor(high / width)))
+            at = lambda k: F.col(f"p{c}") + (F.col(f"q{c}") - F.col(f"p{c}")) * k / n  # noqa: B023, E731
+            low = F.floor(F.greatest(F.least(at(i), at(i + 1)) - radius * 1.000001, F.col(f"lo_{c}")) / width)
+            high = F.floor(F.least(F.greatest(at(i), at(i + 1)) + radius * 1.000001, F.col(f"hi_{c}")) / width)
+            spans.append(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
         x, y, z = spans
         return F.flatten(F.transform(x, lambda p: F.flatten(F.transform(y, lambda q: F.transform(z, lambda r: F.struct(p.alias("x"), q.alias("y"), r.alias("z")))))))
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)))
 
 
-def gap_occupancy(pairs: DataFrame, obs: DataFrame, bins: int = 6, share: float = 0.15, floor_nm: float = 500.0) -> DataFrame:
+def gap_occupancy(pairs: DataFrame, obs: DataFrame, bins: int = 6, share: float = 0.15, floor_nm: float = 500.0, few: int = 4) -> DataFrame:
     """``a, b, occupancy``: share of bins between two points that hold a point of the segment within a tube (V8); the ends count, and points at one place have 1.
 
-    pairs (a, b, seg, ax, ..., bz); obs (id, seg, x, y, z).  The tube's radius is ``share`` of the length, ``floor_nm`` at least.  A pair meets the points in
-    the cells that its tube touches only; cells are as wide as the next power of two above the radius, so a tube touches some hundreds at most.
+    pairs (a, b, seg, ax, ..., bz); obs (id, seg, x, y, z).  The tube's radius is ``share`` of the length, ``floor_nm`` at least.  As the first and the last bin
+    count anyway, a pair meets the points in the cells that the tube touches in between only; cells are as wide as the next power of two above the radius.
+    In a crowd a few points show that a bin is held: each cell first answers with ``few`` of its points, and only pairs with an empty bin by then meet the rest.
     """
-    length = distance(("ax", "ay", "az"), ("bx", "by", "bz"))
-    j = pairs.select("a", "b", "seg", *[f"{e}{c}" for e in "ab" for c in XYZ]).distinct().withColumn("_l", length).where("_l >= 1e-6")
+    tmp = Scratch(pairs.sparkSession, "gaps")
+    cell = ["_c0", "_c1", "_c2"]
+    ends = [f"{e}{c}" for e in "ab" for c in XYZ]
+    j = pairs.select("a", "b", "seg", *ends).distinct().withColumn("_l", distance(("ax", "ay", "az"), ("bx", "by", "bz"))).where("_l >= 1e-6")
     j = j.withColumn("_r", F.greatest(share * F.col("_l"), F.lit(floor_nm))).withColumn("_s", F.ceil(F.log2("_r")).cast("int"))
+    box = obs.groupBy("seg").agg(*[f(c).alias(f"{e}{c}") for c in XYZ for e, f in (("lo_", F.min), ("hi_", F.max))])
+    j = tmp.write(j.join(box, "seg", "left"), "pairs")
+    size = j.count()
     width = F.pow(F.lit(2.0), F.col("_s"))
-    tubes = j.withColumn("_c", F.explode(_tube_cells(width, F.col("_r"), F.col("_l"))))
-    points = obs.select("seg", *XYZ).join(j.select("seg", "_s").distinct(), "seg").withColumn("_c", F.struct(*[F.floor(F.col(c) / width).alias(c) for c in XYZ]))
-    met = tubes.join(points, ["seg", "_s", "_c"])
-    t = sum(((F.col(c) - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0)) / (F.col("_l") * F.col("_l"))
-    met = met.withColumn("_t", t).where("_t >= 0 and _t <= 1")
-    off = F.sqrt(sum(((F.col(c) - F.col(f"a{c}") - F.col("_t") * (F.col(f"b{c}") - F.col(f"a{c}"))) ** 2 for c in XYZ), F.lit(0.0)))
-    inner = met.where(off <= F.col("_r")).select("a", "b", F.least(F.floor(F.col("_t") * bins), F.lit(bins - 1)).alias("_bin"))
-    ends = j.select("a", "b", F.explode(F.array(F.lit(0), F.lit(bins - 1)).cast("array<long>")).alias("_bin"))  # the end at t = 1 may round to beside it
-    full = inner.unionByName(ends).groupBy("a", "b").agg((F.countDistinct("_bin") / bins).alias("occupancy"))
-    return pairs.select("a", "b").join(full, ["a", "b"], "left").na.fill(1.0, ["occupancy"])
+    first, last = max(0.0, 1 / bins - 1e-6), min(1.0, 1 - 1 / bins + 1e-6)
+
+    def tubes(of: DataFrame) -> DataFrame:
+        of = of.repartition(max(int(tmp.spark.conf.get("spark.sql.shuffle.partitions")), size // 50_000), "a", "b")  # a pair is some dozen cells
+        between = of.withColumns({f"{n}{c}": F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * t for c in XYZ for n, t in (("p", first), ("q", last))})
+        out = between.withColumn("_c", F.explode(_tube_cells(width, F.col("_r"), F.col("_l") * abs(last - first))))
+        # How near the cell's centre comes to the tube's axis.
+        centre = {c: (F.col(f"_c.{c}") + 0.5) * width for c in XYZ}
+        along = sum(((centre[c] - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0)) / (F.col("_l") * F.col("_l"))
+        out = out.withColumn("_t", F.least(F.greatest(along, F.lit(min(first, last))), F.lit(max(first, last))))
+        off = F.sqrt(sum(((centre[c] - F.col(f"a{c}") - F.col("_t") * (F.col(f"b{c}") - F.col(f"a{c}"))) ** 2 for c in XYZ), F.lit(0.0)))
+        out = out.where(off <= (F.col("_r") + width * (math.sqrt(3) / 2)) * 1.000001)
+        return shuffled(out.select("a", "b", "seg", "_s", *[F.col(f"_c.{c}").alias(k) for k, c in zip(cell, XYZ)], *ends))
+
+    def hits(met: DataFrame) -> DataFrame:
+        span = sum(((F.col(f"b{c}") - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0))
+        met = met.withColumn("_l", F.sqrt(span)).withColumn("_t", sum(((F.col(c) - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in XYZ), F.lit(0.0)) / (F.col("_l") * F.col("_l")))
+        off = F.sqrt(sum(((F.col(c) - F.col(f"a{c}") - F.col("_t") * (F.col(f"b{c}") - F.col(f"a{c}"))) ** 2 for c in XYZ), F.lit(0.0)))
+        inner = met.where("_t >= 0 and _t <= 1").where(off <= F.greatest(share * F.col("_l"), F.lit(floor_nm)))
+        return inner.select("a", "b", F.least(F.floor(F.col("_t") * bins), F.lit(bins - 1)).alias("_bin")).where((F.col("_bin") > 0) & (F.col("_bin") < bins - 1)).distinct()
+
+    held = obs.select("seg", *XYZ).join(j.select("seg", "_s").distinct(), "seg").withColumns({k: F.floor(F.col(c) / width) for k, c in zip(cell, XYZ)})
+    some = held.withColumn("_k", F.row_number().over(W.partitionBy("seg", "_s", *cell).orderBy(F.xxhash64(*XYZ)))).where(F.col("_k") <= few + 1)
+    some = some.groupBy("seg", "_s", *cell).agg(F.collect_list(F.when(F.col("_k") <= few, F.struct(*XYZ))).alias("_some"), F.max("_k").alias("_k"))
+    some = tmp.write(some, "some")
+    found = tmp.write(hits(tubes(j).join(some, ["seg", "_s", *cell]).select("a", "b", *ends, F.explode("_some").alias("_p")).select("a", "b", *ends, "_p.*")), "found")
+    full = found.groupBy("a", "b").agg(F.count("*").alias("_n")).where(F.col("_n") >= bins - 2)
+    rest = tubes(j.join(full, ["a", "b"], "left_anti"))
+    crowded = shuffled(rest.join(some.where(F.col("_k") > few).select("seg", "_s", *cell), ["seg", "_s", *cell]))
+    more = tmp.write(hits(crowded.join(held, ["seg", "_s", *cell]).select("a", "b", *ends, *XYZ)), "more")
+    both = j.select("a", "b", F.explode(F.array(F.lit(0), F.lit(bins - 1)).cast("array<long>")).alias("_bin"))  # the end at t = 1 may round to beside it
+    occupied = found.unionByName(more).unionByName(both).groupBy("a", "b").agg((F.countDistinct("_bin") / bins).alias("occupancy"))
+    return pairs.select("a", "b").join(occupied, ["a", "b"], "left").na.fill(1.0, ["occupancy"])
 
 
 def tip_directions(tips: DataFrame, obs: DataFrame, k: int, cell: float) -> DataFrame:

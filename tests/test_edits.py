@@ -2,6 +2,7 @@ import math
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import edits, pairs, sequence
@@ -133,6 +134,37 @@ def test_gap_occupancy_by_brute_force(spark):
         assert got[a, b] == (len(bins) / 6 if size else 1.0)
 
 
+@pytest.mark.parametrize("few", [1, 4])
+def test_gap_occupancy_in_a_crowd(spark, few):
+    """Far more points in a cell than first answer, most of them off the tube; the cells of tubes are not broadcast; a segment without points has its ends."""
+    rng = random.Random(few)
+    obs = [(i, 0, *(rng.uniform(0, 900) for _ in range(3))) for i in range(600)] + [(600, 0, 0.0, 0.0, 0.0), (601, 0, 900.0, 900.0, 900.0)] + [(602 + i, 0, 300.0 + i % 2, 900.0, 0.0) for i in range(200)]
+    ends = [(600, 601), (0, 1), (2, 3), (4, 5)]
+    frame = spark.createDataFrame(obs, "id long, seg long, x double, y double, z double")
+    asked = spark.createDataFrame([(a, b, 0, *obs[a][2:], *obs[b][2:]) for a, b in ends] + [(7, 8, 9, 0.0, 0.0, 0.0, 900.0, 0.0, 0.0)], "a long, b long, seg long, ax double, ay double, az double, bx double, by double, bz double")
+    got = {(r["a"], r["b"]): r["occupancy"] for r in sequence.gap_occupancy(asked, frame, share=0.01, floor_nm=30.0, few=few).collect()}
+    assert got.pop((7, 8)) == 2 / 6
+    for a, b in ends:
+        p, q = obs[a][2:], obs[b][2:]
+        size, bins = math.dist(p, q), {0, 5}
+        for o in obs:
+            t = sum((o[2 + k] - p[k]) * (q[k] - p[k]) for k in range(3)) / size**2
+            if 0 <= t <= 1 and math.dist(o[2:], [p[k] + t * (q[k] - p[k]) for k in range(3)]) <= max(0.01 * size, 30.0):
+                bins.add(min(5, int(t * 6)))
+        assert got[a, b] == len(bins) / 6
+
+
+def test_cells_of_tubes_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 0, float(i * 37 % 1000), float(i * 53 % 1000), 0.0) for i in range(50)], "id long, seg long, x double, y double, z double")
+    asked = rows.where("id < 5").selectExpr("id as a", "id + 1 as b", "seg", "x as ax", "y as ay", "z as az", "1000 - x as bx", "y as by", "z as bz")
+    plans, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df, label))
+    made = sequence.gap_occupancy(asked, rows)
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    tubes = [p for p in plans if "array_distinct" in p]
+    assert tubes and all("SortMergeJoin" in p and "array_distinct" not in b for p in tubes for b in p.split("BroadcastExchange")[1:])
+
+
 def test_part_gaps_by_brute_force(spark):
     rng = random.Random(4)
     middle = [tuple(rng.uniform(0, 20_000) for _ in range(3)) for _ in range(12)]
