@@ -31,6 +31,21 @@ def test_equal_to_comparing_all(spark, seed, bits, n, k):
     assert got(spark, rows, k) == plain(rows, k)
 
 
+@pytest.mark.parametrize("worth", [0, 10**9])
+def test_by_changes_and_by_comparing_blocks(spark, worth):
+    """Both ways give the nearest codes of other folds as far as k members take, ties included; codes of several members and folds, negative ones too."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(40) for _ in range(40)] + [-1, -2, -(2**63)]
+    rows = [(rng.choice(base) ^ (rng.random() < 0.3) << rng.randrange(40), rng.randrange(3)) for _ in range(400)]
+    got = sorted(tuple(r) for r in pairs.near_codes(spark.createDataFrame(rows, "code long, fold long"), 3, worth).where("distance <= 64").distinct().collect())
+    apart = lambda c, d: ((c ^ d) & (2**64 - 1)).bit_count()
+    for c, f in set(rows):
+        near = sorted(apart(c, d) for d, g in rows if g != f)
+        held = {(c, f, d, apart(c, d)) for d, g in rows if g != f and apart(c, d) <= near[2]}
+        mine = {r for r in got if r[:2] == (c, f)}
+        assert held <= mine and {r for r in mine if any(d == r[2] and g != f for d, g in rows)} == held
+
+
 def test_one_fold_has_nobody(spark):
     assert got(spark, [(1, 1, 0, 7, 0), (2, 2, 0, 7, 0)], 2) == []
     assert got(spark, [], 2) == []
