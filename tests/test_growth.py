@@ -71,6 +71,15 @@ def test_tasks_follow_the_pairs(spark):
     assert held.agg(F.max(F.size("m")), F.sum(F.size("m"))).first()[:] == (8, 3000)  # what two nested explodes make of a row is held at once
 
 
+def test_links_are_read_once_and_meet_in_short_arrays(spark):
+    rows = [(i % 40 + 1, i * i % 7) for i in range(300)] + [(0, 3), (None, 2), (5, None)]
+    made = versions.edit_pairs(spark.createDataFrame(rows, "seg long, label long"))
+    assert "posexplode" not in plan(made) and "ExistingRDD" not in plan(made)
+    links = {(s, p) for s, p in rows if s and p}
+    want = [("false_split", p, a, b) for a, p in links for b, q in links if p == q and a < b] + [("false_merge", s, a, b) for s, a in links for t, b in links if s == t and a < b]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
 def test_more_pairs_than_an_array_holds(spark):
     assert shared.counted(spark.range(2), F.col("id") * 200_000, "k").agg(F.count("*"), F.max("k"), F.countDistinct("k")).first()[:] == (200_000, 199_999, 200_000)
     obs = spark.range(40).select("id", (F.col("id") % 2).alias("frag"))
