@@ -205,6 +205,16 @@ def test_shared_partners_of_a_crowd_meet_in_blocks(spark):
     assert len(got) == len(want) and {(a, b): k for a, b, k in got} == want
 
 
+def test_blocks_of_groups_grow_with_their_number(spark):
+    """A group is sent to few blocks, however many groups there are; more partners than are counted at a time, too."""
+    assert [spatial._block_count(n, 1000) for n in (230, 9000, 90_000, 540_000)] == [1, 8, 12, 68]
+    rng = np.random.default_rng(6)
+    has = rng.random((60, 2500)) < 0.3
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(has))], "g long, p long")
+    n = has.astype(int) @ has.T.astype(int)
+    assert {tuple(r) for r in spatial._shared_in_blocks(links, 60, 9).collect()} == {(i, j, int(n[i, j])) for i in range(60) for j in range(i + 1, 60) if n[i, j]}
+
+
 @pytest.mark.parametrize("r, least", [(60.0, 3), (25.0, 4), (60.0, 1)])
 def test_density_clusters_by_cells(spark, monkeypatch, r, least):
     """Crowded points are not measured against each other; clusters are those of all distances."""
